@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts that split on ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = 500
 #: Small sides up to this many rows may be broadcast; beyond it a salted shuffle join is used.
 BROADCAST_ROWS = 200_000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ARROW_ROWS rows and so a worker's memory to some MB of text; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +49,7 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
 
     This cuts the lineage: a lost executor afterwards costs a re-read, not a recomputation.
     """
+    bound_batches(df.sparkSession)
     path = path or shared_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

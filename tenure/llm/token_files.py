@@ -24,7 +24,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import bound_batches, shared_dir
 
-PIECES = 400_000
+#: Pieces that a worker remembers, some 200 bytes each.
+PIECES = 250_000
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids_crc32 long, ids array<int>"
 
 
@@ -54,28 +55,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.by_piece = True
         probe = self.PROBE + " ".join(self.PROBE)
         self.by_piece = self.encode(probe) == self.whole([probe])[0]
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The library's own encoding of each text, as 32-bit little-endian ids."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=sum(map(len, ids))).tobytes()
+        ends = np.cumsum([0, *map(len, ids)]) * 4
+        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of one whole text."""
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one whole text, as 32-bit little-endian integers."""
         if not text:
-            return []
+            return b""
         if not self.by_piece:
             return self.whole([text])[0]
         pieces, known = text.replace("\n", " ").split(" "), self.known
-        new = list({p for p in pieces if p not in known})
+        new = [p for p in set(pieces) if p not in known]
         if new:
-            if len(known) > PIECES:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, map(tuple, self.whole(new)), strict=True))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+            if len(known) + len(new) > PIECES:  # frequent pieces came early: the later half goes
+                self.known = known = dict(islice(known.items(), PIECES // 2))
+                new = [p for p in set(pieces) if p not in known]
+            known.update(zip(new, self.whole(new), strict=True))
+        return b"".join(map(known.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)
@@ -85,6 +90,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFrame:
     """SCHEMA's rows, range-sorted by doc_id."""
+    bound_batches(documents.sparkSession)
     # the parts are ranges of ids; their number follows the session's shuffle partitions
     ranged = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -92,14 +98,15 @@ def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFram
         from pyspark import TaskContext
 
         part, at, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
             step = 256  # documents a batch: bounds the ids held at once
             for low in range(0, len(batch), step):
-                ids = [np.array([*encode_text(t.as_py()), end_id], dtype="<u4") for t in texts[low : low + step]]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                ids = [encode_text(t.as_py()) + end for t in texts[low : low + step]]
+                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], sizes.cumsum()])
-                flat = np.concatenate(ids).view(np.int32)
+                flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[low : low + step].cast(pa.int64()),
