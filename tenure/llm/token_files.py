@@ -10,9 +10,7 @@ session's own Parquet writer, which commits through the file system of the targe
 - ``part`` and ``at`` give a document's place: ``at`` counts the ids before it in its part. Only the parts' totals, one
   row per part, are gathered to make global offsets.
 
-The library's encoding of a text is the concatenation of its encodings of the pieces between spaces and line feeds,
-as the tokenizer drops white space and no token crosses it; pieces repeat, so each worker keeps a bounded table of
-their ids. ``encode`` checks on the tokenizer at hand that this holds and otherwise encodes whole texts.
+Texts are encoded by the library, Latin-1 texts word by word with a bounded table of the words that a worker has met.
 
 Edge cases: null and empty texts have only the end id; repeated ids stay side by side, ordered by text; rows with a
 null id come first; an empty table writes files without rows; other columns of the input are not looked at.
@@ -35,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, shared_dir
 
-#: Pieces that a worker remembers, some 200 bytes each.
-PIECES = 150_000
+#: Words that a worker remembers, some 250 bytes each.
+WORDS_HELD = 300_000
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids_crc32 long, ids array<int>"
 
 
@@ -47,73 +45,78 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file, piece by piece where that is the same.
+    """Encodes texts with a tokenizer file; Latin-1 texts word by word where that is the same.
 
-    A piece of Latin letters and an end of ASCII marks is put together from the ids of both, which repeat more often.
+    The tokenizer's own steps (NFC, one space for white space, lower case, splitting into words) come to ``lower`` and
+    WORDS on Latin-1 text without its added tokens; the library then encodes each new word, and words repeat. ``check``
+    compares this with the library's encoding of whole texts; a tokenizer that differs is used on whole texts only.
     """
 
-    PROBE = "It's 25 o'clock,\n\n\"naïve\"  ÇA!! #x_1|\té\u0301 a b c 'll n't\n<|endoftext|> ΣΑΣ Σ İ 中文 ... Word. word, Été.*** x~ ~"
-    MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+)([.,;:!?|#*$%&()-]+)")
-    MARK = "~"
+    #: Fixed value: the word pattern of the tokenizer's file, with the letters, numbers and white space of Latin-1 spelt out.
+    WORDS = re.compile(
+        "'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+        "|[^ \t-\r\x85\xa0a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    )
+    PROBES = (
+        "It's 25 o'clock,\n\n\"naïve\"  ÇA!! #x_1|\té a b c 'll n't Word. word, Été.*** x~ ~ \x1c\x1f\x85\xa0 ½ 10³ µm ª «d'd'Re»",
+        "".join(map(chr, range(1, 256))),
+        " ".join(map(chr, range(1, 256))),
+        " a".join(map(chr, range(1, 256))) + " 1",
+    )
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        mark = self.whole([self.MARK])[0]
-        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
-        self.by_piece = True
-        probes = [self.PROBE, " ".join(self.PROBE), self.PROBE.upper()]
-        self.by_piece = self.encode(probes) == self.whole(probes)
+        # the same model on words that have been split and normalised already
+        self.words = Tokenizer.from_str(self.tokenizer.to_str())
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)])
+        # a sign beyond Latin-1 with one id parts the words of a call
+        marks = [(c, x) for c, x in zip("♥★…—♪", map(self._raw, "♥★…—♪"), strict=True) if len(x) == 1]
+        self.mark, self.mark_id = (marks[0][0], marks[0][1][0]) if marks else (None, None)
+        self.added = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
+        self.by_word = self.mark is not None
+        self.by_word = self.by_word and self.encode(list(self.PROBES)) == self.whole(list(self.PROBES))
         self.known.clear()
 
+    def _raw(self, text: str) -> list[int]:
+        return self.words.encode(text, add_special_tokens=False).ids
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own encoding of each text, as 32-bit little-endian ids."""
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """``whole`` of pieces without white space, in one call: they are joined by marks and cut at the marks' ids.
-
-        A mark between spaces is one id; if a piece holds that id as well, the count tells, and each goes by itself.
-        """
-        if self.mark is not None and len(pieces) > 1:
-            ids = np.frombuffer(self.whole([f" {self.MARK} ".join(pieces)])[0], dtype="<u4")
-            at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(pieces) - 1:
-                raw, cuts = ids.tobytes(), (at * 4).tolist()
-                return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
-        return self.whole(pieces)
-
-    def learn(self, new: set[str]) -> None:
-        marked = {p: m for p in new if (m := self.MARKED.fullmatch(p))}
-        parts = {x.lower() if x.isascii() else x for m in marked.values() for x in m.groups()}
-        missing = [x for x in parts if x not in self.parts]
-        if len(self.parts) + len(missing) > PIECES:
-            self.parts = dict(islice(self.parts.items(), PIECES // 2))
-            missing = [x for x in parts if x not in self.parts]
-        plain = [p for p in new if p not in marked]
-        found = self.pieces(missing + plain) if missing or plain else []
-        self.parts.update(zip(missing, found, strict=False))
-        self.known.update(zip(plain, found[len(missing) :], strict=True))
-        of = lambda x: self.parts[x.lower() if x.isascii() else x]
-        self.known.update((p, of(m[1]) + of(m[2])) for p, m in marked.items())
+    def learn(self, words: list[str]) -> None:
+        """Encode new words in one call, parted by the mark."""
+        joined = f" {self.mark} ".join(words)
+        ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+        found = [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
+        self.known.update(zip(words, found, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each as 32-bit little-endian integers."""
-        if not self.by_piece:
-            return self.whole([t or "" for t in texts])
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes | None] = []
+        split: list[list[str]] = []
+        for t in texts:
+            try:
+                (t or "").encode("latin-1")
+                plain = self.by_word and not self.added.search(t or "")
+            except UnicodeEncodeError:
+                plain = False
+            split.append(self.WORDS.findall((t or "").lower()) if plain else [])
+            out.append(None if plain else self.whole([t or ""])[0])
         needed = set(chain.from_iterable(split))
         new = needed.difference(self.known)
-        if len(self.known) + len(new) > PIECES:  # frequent pieces came early: the later half goes
-            self.known = dict(islice(self.known.items(), PIECES // 2))
+        if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
+            self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
             new = needed.difference(self.known)
         if new:
-            self.learn(new)
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, words)) if x is None else x for x, words in zip(out, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
