@@ -23,10 +23,9 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, shared_dir
 
 #: Words that a worker remembers, some 250 bytes each.
-WORDS_HELD = 300_000
+WORDS_HELD = 600_000
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids_crc32 long, ids array<int>"
 
 
@@ -74,10 +73,11 @@ class Encoder:
         self.words = Tokenizer.from_str(self.tokenizer.to_str())
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)])
+        self.words.model._resize_cache(0)  # each word comes once
         # a sign beyond Latin-1 with one id parts the words of a call
         marks = [(c, x) for c, x in zip("♥★…—♪", map(self._raw, "♥★…—♪"), strict=True) if len(x) == 1]
         self.mark, self.mark_id = (marks[0][0], marks[0][1][0]) if marks else (None, None)
-        self.added = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self.mark is not None
         self.by_word = self.by_word and self.encode(list(self.PROBES)) == self.whole(list(self.PROBES))
         self.known.clear()
@@ -99,24 +99,35 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each as 32-bit little-endian integers."""
-        out: list[bytes | None] = []
-        split: list[list[str]] = []
-        for t in texts:
-            try:
-                (t or "").encode("latin-1")
-                plain = self.by_word and not self.added.search(t or "")
-            except UnicodeEncodeError:
-                plain = False
-            split.append(self.WORDS.findall((t or "").lower()) if plain else [])
-            out.append(None if plain else self.whole([t or ""])[0])
-        needed = set(chain.from_iterable(split))
-        new = needed.difference(self.known)
-        if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
-            self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
-            new = needed.difference(self.known)
-        if new:
+        whole: dict[int, bytes] = {}
+        flat: list[str] = []
+        ends = [0]
+        for n, t in enumerate(texts):
+            if self.by_word and self._latin(t):
+                flat += self.WORDS.findall(t.lower()) if t else ()
+            else:
+                whole[n] = self.whole([t or ""])[0]
+            ends.append(len(flat))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = {flat[i] for i in missing}
+            if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
+                self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
             self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, words)) if x is None else x for x, words in zip(out, split, strict=True)]
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        return [whole[n] if n in whole else b"".join(ids[a:b]) for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
+    def _latin(self, text: str | None) -> bool:
+        """Whether all of a text is Latin-1 and none of it is an added token."""
+        if text is None or text.isascii():
+            return not any(x in (text or "") for x in self.added)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not any(x in text for x in self.added)
 
 
 @lru_cache(maxsize=2)
@@ -194,12 +205,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def verify(rows: DataFrame) -> DataFrame:
     """The rows with ``n_tokens`` and ``ids_crc32`` recomputed from the ids that were read."""
 
-    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crc = [zlib.crc32(np.asarray(x).astype("<u4")) for x in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "start": b["start"], "n_tokens": [len(x) for x in b["ids"]], "ids_crc32": crc})
-
-    return rows.select("doc_id", "start", "ids").mapInPandas(checked, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            ids = b.column("ids")
+            raw, ends = ids.flatten().to_numpy().astype("<i4", copy=False).tobytes(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            sizes = np.diff(ends).astype(np.int64)
+            crc = [zlib.crc32(raw[x:y]) for x, y in zip((ends * 4).tolist(), (ends[1:] * 4).tolist(), strict=False)]
+            columns = [b.column("doc_id"), b.column("start"), pa.array(sizes), pa.array(crc, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return rows.select("doc_id", "start", "ids").mapInArrow(checked, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, *, tokenizer: str | None = None, path: str | None = None, **parameters) -> DataFrame:
