@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, joins, scalar  # noqa: F401  register their queries
+from . import aggregates, filters, joins, scalar, statistics, windows  # noqa: F401  register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
