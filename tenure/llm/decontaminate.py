@@ -47,7 +47,7 @@ class Windows:
         self.items = [item for item, _ in items]
         texts = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)] for _, text in items]
         self.flat = np.array([i for ids in texts for i in ids], dtype=np.uint32)
-        lengths = np.array([len(ids) for ids in texts])
+        lengths = np.array([len(ids) for ids in texts], dtype=np.int64)
         begins = np.concatenate([[0], lengths.cumsum()])
         owner = np.repeat(np.arange(len(texts)), lengths)
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}

@@ -64,4 +64,71 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL = {}
+
+#: Sizes, targets by the level at which no source is above its cap, places in hash order, and the document that fills the rest.
+MIXING_SQL = r"""
+with recursive d as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(concat('7:', cast(doc_id as varchar))) as k
+    from documents
+), s as (
+    select source, sum(size) as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by 1
+), level(n, l) as (
+    select 0, cast(0 as double)
+    union all
+    select n + 1, (select (cast(sum(source_size) as double) - coalesce(sum(case when not 3 * source_size > w * level.l then 3 * source_size end), 0))
+        / nullif(sum(case when 3 * source_size > w * level.l then w end), 0) from s)
+    from level where n < 40 and l is not null
+), t as (
+    select source, source_size, round(least(cast(3 * source_size as double), w * (select max(l) from level)), 6) as target from s
+), p as (
+    select doc_id, d.source, size, k, source_size, target,
+        coalesce(sum(size) over (partition by d.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as b
+    from d join t on t.source is not distinct from d.source
+), c as (
+    select *, case when size > 0 then greatest(0, least(3, floor((target - b - size) / source_size + 1e-9) + 1)) else 0 end as copies from p
+), r as (
+    select source, max(target) - sum(size * copies) as rest from c group by 1
+), f as (
+    select c.source, k, size, row_number() over (partition by c.source order by abs(rest - size), k, size) as nth
+    from c join r on r.source is not distinct from c.source where copies < 3 and size > 0 and abs(rest - size) < rest
+)
+select doc_id, cast(c.size as bigint) as size, cast(source_size as bigint) as source_size, target,
+    cast(c.size * least(3, copies + case when f.k is not null then 1 else 0 end) as bigint) as taken
+from c left join f on f.nth = 1 and f.source is not distinct from c.source and f.k = c.k and f.size = c.size
+"""
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages), g as (select *, strlen(h) as n, max(page_id) over (partition by h) as m from p)
+select page_id, n as payload_bytes, sha1(h) as payload_digest, case when n >= 1000 and page_id <> m then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id <> m then m end as refers_to
+from g
+"""
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _FOLDED + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION_SQL = f"""
+with i as (select item_id, {_WORDS} as w from benchmark), iz as (select *, least(13, len(w)) as z from i where len(w) > 0),
+iw as (select distinct item_id, z, array_to_string(list_slice(w, n, n + z - 1), ' ') as g from (select *, unnest(range(1, len(w) - z + 2)) as n from iz)),
+d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+dw as (select doc_id, z, n, array_to_string(list_slice(w, n, n + z - 1), ' ') as g
+    from (select doc_id, w, z, unnest(range(1, len(w) - z + 2)) as n from d, (select distinct z from iw) where len(w) >= z)),
+h as (select doc_id, dw.z, n, item_id from dw join iw on iw.z = dw.z and iw.g = dw.g),
+c as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(n, n + z)) as x from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c on c.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
+"""
+
+TOKEN_COUNTS_SQL = r"""
+with c as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) as n from documents)
+select source, lang, 'words-2' as tokenizer, count(*) as documents, cast(sum(n) as bigint) as tokens from c where n > 0 group by 1, 2
+"""
+
+#: The others learn, resolve components, extract or tokenise; their tests hold them against brute force.
+ORACLE_SQL = {
+    "op3_source_mixing": MIXING_SQL,
+    "op4_warc_salvage": WARC_SQL,
+    "op8_decontamination": DECONTAMINATION_SQL,
+    "op10_token_counts": TOKEN_COUNTS_SQL,
+}

@@ -231,8 +231,8 @@ def keep_one(documents: DataFrame, *, radius: int = 3, bands: int = 6, block: in
     printed = documents.withColumn("__fingerprint", fingerprint_of("text"))
     prints = materialize(printed.select("doc_id", F.col("__fingerprint").alias("fp")))
     first = _placed(prints, radius=radius, bands=bands, block=block).where("__fp = first_fp")
-    kept = printed.join(
-        first, (F.col("__fingerprint") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi"
-    )
+    first = first.select("__fp", F.col("component_id").alias("__first"))
+    same = (F.col("__fingerprint") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__first"))
+    kept = printed.join(first, same, "left_semi")
     nth = F.row_number().over(Window.partitionBy("__fingerprint", "doc_id").orderBy("text"))
     return kept.withColumn("__nth", nth).where("__nth = 1").drop("__fingerprint", "__nth")

@@ -47,8 +47,9 @@ class Encoder:
     """Encodes texts with a tokenizer file; Latin-1 texts word by word where that is the same.
 
     The tokenizer's own steps (NFC, one space for white space, lower case, splitting into words) come to ``lower`` and
-    WORDS on Latin-1 text without its added tokens; the library then encodes each new word, and words repeat. ``check``
-    compares this with the library's encoding of whole texts; a tokenizer that differs is used on whole texts only.
+    WORDS on Latin-1 text without its added tokens; the library's model then encodes each new word, and words repeat.
+    On loading, this is compared with the library's encoding of whole texts that hold every Latin-1 character; a
+    tokenizer that differs is used on whole texts only.
     """
 
     #: Fixed value: the word pattern of the tokenizer's file, with the letters, numbers and white space of Latin-1 spelt out.
@@ -56,6 +57,8 @@ class Encoder:
         "'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
         "|[^ \t-\r\x85\xa0a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
     )
+    #: What ``split`` takes for white space and the tokenizer doesn't.
+    NOT_SPACE = "\x1c\x1d\x1e\x1f"
     PROBES = (
         "It's 25 o'clock,\n\n\"naïve\"  ÇA!! #x_1|\té a b c 'll n't Word. word, Été.*** x~ ~ \x1c\x1f\x85\xa0 ½ 10³ µm ª «d'd'Re»",
         "".join(map(chr, range(1, 256))),
@@ -65,37 +68,31 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        # the same model on words that have been split and normalised already
-        self.words = Tokenizer.from_str(self.tokenizer.to_str())
-        self.words.normalizer = None
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)])
-        self.words.model._resize_cache(0)  # each word comes once
-        # a sign beyond Latin-1 with one id parts the words of a call
-        marks = [(c, x) for c, x in zip("♥★…—♪", map(self._raw, "♥★…—♪"), strict=True) if len(x) == 1]
-        self.mark, self.mark_id = (marks[0][0], marks[0][1][0]) if marks else (None, None)
+        self.model = self.tokenizer.model
+        # byte-level models read bytes as letters: visible Latin-1 signs are themselves, the others follow from 256 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(visible)]
+        self.letters = {b: 256 + n for n, b in enumerate(hidden)}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_word = self.mark is not None
-        self.by_word = self.by_word and self.encode(list(self.PROBES)) == self.whole(list(self.PROBES))
+        self.by_word = True
+        self.by_word = self.encode(list(self.PROBES)) == self.whole(list(self.PROBES))
         self.known.clear()
 
-    def _raw(self, text: str) -> list[int]:
-        return self.words.encode(text, add_special_tokens=False).ids
-
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own encoding of each text, as 32-bit little-endian ids."""
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words in one call, parted by the mark."""
-        joined = f" {self.mark} ".join(words)
-        ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-        found = [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
-        self.known.update(zip(words, found, strict=True))
+        """Encode new words: the library's model on each word as it comes from the tokenizer's own steps."""
+        spelt = [w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        tokens = list(map(self.model.tokenize, spelt))
+        ids = np.fromiter((t.id for ts in tokens for t in ts), dtype="<u4").tobytes()
+        ends = (np.cumsum([0, *map(len, tokens)]) * 4).tolist()
+        self.known.update((w, ids[a:b]) for w, a, b in zip(words, ends, ends[1:], strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each as 32-bit little-endian integers."""
@@ -103,22 +100,35 @@ class Encoder:
         flat: list[str] = []
         ends = [0]
         for n, t in enumerate(texts):
-            if self.by_word and self._latin(t):
-                flat += self.WORDS.findall(t.lower()) if t else ()
-            else:
+            if not (self.by_word and self._latin(t)):
                 whole[n] = self.whole([t or ""])[0]
+            elif t and any(c in t for c in self.NOT_SPACE):
+                flat += self.WORDS.findall(t.lower())
+            elif t:
+                flat += t.lower().split()
             ends.append(len(flat))
         ids = list(map(self.known.get, flat))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            new = {flat[i] for i in missing}
-            if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
-                self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
-            self.learn(list(new))
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            found = self._found({flat[i] for i in missing})
             for i in missing:
-                ids[i] = self.known[flat[i]]
+                ids[i] = found[flat[i]]
         return [whole[n] if n in whole else b"".join(ids[a:b]) for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
 
+    def _found(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces between white space that aren't known: their words are learnt and put together."""
+        parts = {p: [p] if p.isalpha() else self.WORDS.findall(p) for p in pieces}
+        words = {w for p in parts.values() for w in p}
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
+            self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
+            new = words.difference(self.known)
+        if new:
+            self.learn(list(new))
+        found = {p: b"".join([self.known[w] for w in ws]) for p, ws in parts.items()}
+        if len(self.known) + len(found) < WORDS_HELD // 2:
+            self.known.update(found)
+        return found
+
     def _latin(self, text: str | None) -> bool:
         """Whether all of a text is Latin-1 and none of it is an added token."""
         if text is None or text.isascii():
