@@ -60,11 +60,13 @@ def exists_between(left: DataFrame, right: DataFrame, key: str, low: str, high:
 
 
 def flag_between(left: DataFrame, right: DataFrame, key: str, low: str, high: str, day: str, name: str) -> DataFrame:
-    """Left rows with a boolean: is there a right row of the key between two of their days, inclusive?"""
-    days = right.groupBy(key).agg(F.sort_array(F.collect_set(day)).alias("__days"))
-    days = days.select(F.col(key).alias("__k"), "__days")
-    hit = F.exists("__days", lambda d: d.between(F.col(low), F.col(high)))
-    return left.join(days, F.col(key) == F.col("__k"), "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__k", "__days")
+    """Left rows with a boolean: is there a right row of the key between two of their days, inclusive?
+
+    An existence join: no row of either side is multiplied or gathered.
+    """
+    sql = f"""select l.*, exists (select 1 from {{right}} r where r.`{key}` = l.`{key}` and r.`{day}` between l.`{low}` and l.`{high}`) as `{name}`
+        from {{left}} l"""
+    return left.sparkSession.sql(sql, left=left, right=right)
 
 
 def nearest_unique(

@@ -209,18 +209,26 @@ def adversarial(rows: DataFrame, pair: str, n: int, sign: float = 1.0) -> DataFr
     return best.select(pair, "b.*").orderBy(F.desc(F.col("effect") * sign), pair).limit(n)
 
 
+def finishing_order(effect: np.ndarray, rng: np.random.Generator, mode: str, kappa: float) -> np.ndarray:
+    """Recodings as runners of a race: each has a finishing time, and the first are chosen.
+
+    Random: equal chances. Tilted: exponential times whose rate grows by kappa with the standardised effect, which draws
+    without replacement with chances by rate. Adversarial: the larger the effect, the earlier.
+    """
+    if mode == "adversarial":
+        time = -effect
+    else:
+        spread = effect.std() if mode == "tilted" else 0.0
+        rate = np.exp(kappa * (effect - effect.mean()) / spread) if spread else 1.0
+        time = rng.exponential(size=len(effect)) / rate
+    return np.argsort(time, kind="stable")
+
+
 def pick(effect: np.ndarray, pair: np.ndarray, n: int, rng: np.random.Generator, mode: str, sign: float = 1.0, kappa: float = 1.0) -> np.ndarray:
-    """Places of ``n`` recodings, one per pair at most: at random, by effect, or tilted towards it by kappa."""
+    """Places of the ``n`` recodings that finish first, one per pair at most."""
     if n <= 0 or not len(effect):
         return np.zeros(0, dtype=int)
-    if mode == "random":
-        order = rng.permutation(len(effect))
-    elif mode == "adversarial":
-        order = np.argsort(-sign * effect, kind="stable")
-    else:
-        e = sign * effect
-        z = (e - e.mean()) / (e.std() or 1.0)
-        order = np.argsort(-(np.log(rng.random(len(e))) / np.exp(kappa * z)))
+    order = finishing_order(sign * effect, rng, mode, kappa)
     first = np.unique(pair[order], return_index=True)[1]
     return order[np.sort(first)][:n]
 
