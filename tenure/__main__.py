@@ -32,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", help="folder of the input tables")
     parser.add_argument("--out", help="folder of the results; any file system that Spark knows")
-    o = parser.parse_args(args)
+    o = parser.parse_intermixed_args(args)
     from tenure.plans.catalogue import QUERIES
 
     names = o.names or sorted(QUERIES)
