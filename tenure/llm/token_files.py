@@ -59,6 +59,8 @@ class Encoder:
     )
     #: What ``split`` takes for white space and the tokenizer doesn't.
     NOT_SPACE = "\x1c\x1d\x1e\x1f"
+    #: ASCII marks but the apostrophe, which begins words of its own.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     PROBES = (
         "It's 25 o'clock,\n\n\"naïve\"  ÇA!! #x_1|\té a b c 'll n't Word. word, Été.*** x~ ~ \x1c\x1f\x85\xa0 ½ 10³ µm ª «d'd'Re»",
         "".join(map(chr, range(1, 256))),
@@ -116,19 +118,27 @@ class Encoder:
 
     def _found(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces between white space that aren't known: their words are learnt and put together."""
-        parts = {p: [p] if p.isalpha() else self.WORDS.findall(p) for p in pieces}
-        words = {w for p in parts.values() for w in p}
+        alone = {p for p in pieces if p.isalpha()}
+        parts = {p: self._parts(p) for p in pieces - alone}
+        words = alone.union(*parts.values())
         new = words.difference(self.known)
         if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
             self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
             new = words.difference(self.known)
         if new:
             self.learn(list(new))
-        found = {p: b"".join([self.known[w] for w in ws]) for p, ws in parts.items()}
+        of = self.known.__getitem__
+        found = {p: b"".join(map(of, ws)) for p, ws in parts.items()}
         if len(self.known) + len(found) < WORDS_HELD // 2:
             self.known.update(found)
+        found.update(zip(alone, map(of, alone), strict=True))
         return found
 
+    def _parts(self, piece: str) -> list[str]:
+        """WORDS of a piece; letters and an end of plain marks, the usual kind, don't need the pattern."""
+        letters = piece.rstrip(self.MARKS)
+        return [letters, piece[len(letters) :]] if letters.isalpha() else self.WORDS.findall(piece)
+
     def _latin(self, text: str | None) -> bool:
         """Whether all of a text is Latin-1 and none of it is an added token."""
         if text is None or text.isascii():
