@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,27 +111,35 @@ def scores(df: DataFrame, entries: Column, fit: Fit, keep: list[str]) -> DataFra
     beta, of_y, of_t, inv = fit.beta, fit.of_y, fit.of_targets, np.linalg.inv(fit.gram)
     targets = {f"t:{n}": i for i, n in enumerate(fit.targets)}
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r, q = np.zeros(len(b)), np.zeros((len(b), k))
-            for row, x in enumerate(b["__x"]):
-                for entry in x:
-                    name, v = entry["k"], entry["v"]
-                    if name == "y":
-                        r[row] += v
-                    elif name in targets:
-                        q[row, targets[name]] += v
-                    else:
-                        r[row] -= v * of_y[at[name]]
-                        q[row] -= v * of_t[at[name]]
+            x = b.column(b.schema.names.index("__x"))
+            row = np.repeat(np.arange(len(b)), np.diff(x.offsets.to_numpy()))
+            entries = x.flatten()
+            names = entries.field(0).dictionary_encode()
+            code, v = names.indices.to_numpy(), entries.field(1).to_numpy()
+            # what a unit of each name adds to the outcome's and the targets' residuals
+            add_r, add_q = np.zeros(len(names.dictionary)), np.zeros((len(names.dictionary), k))
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                if name == "y":
+                    add_r[i] = 1
+                elif name in targets:
+                    add_q[i, targets[name]] = 1
+                else:
+                    add_r[i], add_q[i] = -of_y[at[name]], -of_t[at[name]]
+            r = np.bincount(row, weights=v * add_r[code], minlength=len(b))
+            q = np.stack([np.bincount(row, weights=v * add_q[code, i], minlength=len(b)) for i in range(k)], axis=1) if k else np.zeros((len(b), 0))
             e = r - q @ beta
             s = (q @ inv) * e[:, None]
-            yield b.drop(columns="__x").assign(e=e, r=r, **{f"q{i}": q[:, i] for i in range(k)}, **{f"s{i}": s[:, i] for i in range(k)})
+            columns = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "__x"]
+            columns += [pa.array(np.ascontiguousarray(c)) for c in (e, r, *q.T, *s.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=order)
 
     types = dict(df.dtypes)
     added = ", ".join(["e double, r double", *[f"q{i} double" for i in range(k)], *[f"s{i} double" for i in range(k)]])
     schema = ", ".join([*[f"{c} {types[c]}" for c in keep], added])
-    return df.select(*keep, entries.alias("__x")).mapInPandas(scored, schema)
+    order = [*keep, "e", "r", *[f"q{i}" for i in range(k)], *[f"s{i}" for i in range(k)]]
+    return df.select(*keep, entries.alias("__x")).mapInArrow(scored, schema)
 
 
 def contrast_entries(area: str, *, local: str | None = None, controls: list[str] | None = None, extra: dict[str, Column] | None = None) -> Column:

@@ -111,33 +111,26 @@ def unique_match(
 def as_of(left: DataFrame, right: DataFrame, day: str, right_day: str, value: str, *, keys: list[str] | None = None) -> DataFrame:
     """Left rows with ``value`` of the latest right row on or before their day (null before the first).
 
-    Both sides are put in one order and the last value is carried forward, so neither side is multiplied. Without keys
-    and with a right side of bounded, checked size, its rows are held as one sorted array beside each left row instead.
+    Dates are days, so without keys the right side comes down to a calendar: one row per day, filled forward, some
+    36,500 rows a century whatever the data, and the join is an equality. With keys both sides are put in one order per
+    key and the last value is carried forward. Neither side is multiplied. Of right rows of one day the largest value counts.
     """
-    keys = keys or []
-    if not keys:
-        rows = right.select(right_day, value).where(F.col(right_day).isNotNull())
-        if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            steps = rows.withColumn("__next", F.lead(right_day).over(Window.orderBy(right_day)))  # a checked, bounded side
-            month = lambda c: F.trunc(c, "MM")  # noqa: E731  equality on the month makes it a hash join
-            last = F.coalesce(F.date_sub("__next", 1), F.greatest(F.col(right_day), F.lit("2999-12-31").cast("date")))
-            ends = steps.agg(F.max(right_day).alias("m")).first()["m"]
-            known = steps.where(F.col("__next").isNotNull())
-            months = F.sequence(month(F.col(right_day)), month(F.date_sub("__next", 1)), F.expr("interval 1 month"))
-            known = known.select(
-                F.explode(months).alias("__m"), F.col(right_day).alias("__a"), last.alias("__b"), F.col(value).alias("__v")
-            )
-            final = steps.where(F.col("__next").isNull()).agg(F.max(value).alias("v")).first()["v"] if ends is not None else None
-            on = (month(F.col(day)) == F.col("__m")) & F.col(day).between(F.col("__a"), F.col("__b"))
-            out = left.join(F.broadcast(known), on, "left")
-            found = F.when(F.col(day) >= F.lit(ends), F.lit(final)).otherwise(F.col("__v")) if ends is not None else F.col("__v")
-            return out.withColumn(value, found).drop("__m", "__a", "__b", "__v")
-    marked = left.withColumns({"__day": F.col(day), "__side": F.lit(1), "__value": F.lit(None).cast(right.schema[value].dataType)})
-    other = right.select(*keys, F.col(right_day).alias("__day"), F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    every = marked.unionByName(other, allowMissingColumns=True)
-    window = Window.partitionBy(*keys).orderBy("__day", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = every.withColumn(value, F.last("__value", ignorenulls=True).over(window)).where("__side = 1")
-    return out.drop("__day", "__side", "__value")
+    if keys:
+        marked = left.withColumns({"__day": F.col(day), "__side": F.lit(1), "__value": F.lit(None).cast(right.schema[value].dataType)})
+        other = right.groupBy(*keys, F.col(right_day).alias("__day")).agg(F.max(value).alias("__value")).withColumn("__side", F.lit(0))
+        every = marked.unionByName(other, allowMissingColumns=True)
+        window = Window.partitionBy(*keys).orderBy("__day", "__side").rowsBetween(Window.unboundedPreceding, 0)
+        out = every.withColumn(value, F.last("__value", ignorenulls=True).over(window)).where("__side = 1")
+        return out.drop("__day", "__side", "__value")
+    daily = right.where(F.col(right_day).isNotNull()).groupBy(F.col(right_day).alias("__a")).agg(F.max(value).alias("__v"))
+    daily = daily.withColumn("__next", F.lead("__a").over(Window.orderBy("__a")))  # a row per day at most
+    last = daily.where("__next is null").first()
+    if last is None:
+        return left.withColumn(value, F.lit(None).cast(right.schema[value].dataType))
+    days = F.explode(F.sequence("__a", F.date_sub("__next", 1)))
+    filled = daily.where("__next is not null").select(days.alias("__d"), "__v")
+    out = left.join(small(filled), F.col(day) == F.col("__d"), "left")
+    return out.withColumn(value, F.when(F.col(day) >= F.lit(last["__a"]), F.lit(last["__v"])).otherwise(F.col("__v"))).drop("__d", "__v")
 
 
 def single_parcel(documents: DataFrame, parcels: DataFrame, doc: str = "document_id", parcel: str = "bbl") -> DataFrame:

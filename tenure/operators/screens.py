@@ -45,7 +45,7 @@ def lot_kind(lot: Column) -> Column:
 def above_group_quantile(df: DataFrame, value: str, groups: list[str], share: float, exempt: int = 50) -> DataFrame:
     """Without each group's values below its quantile; groups of ``exempt`` rows or fewer stay whole."""
     cut = df.groupBy(*groups).agg(F.percentile(value, share).alias("__cut"), F.count("*").alias("__n"))
-    out = df.join(F.broadcast(cut), groups)
+    out = df.join(cut, groups)
     return out.where((F.col("__n") <= exempt) | (F.col(value) >= F.col("__cut"))).drop("__cut", "__n")
 
 
@@ -60,7 +60,7 @@ def terciles(df: DataFrame, value: str, group: str) -> DataFrame:
     """1, 2 or 3 by the group's 33.3 and 66.7 percentiles, each interval open above."""
     cuts = df.groupBy(group).agg(F.percentile(value, 0.333).alias("__a"), F.percentile(value, 0.667).alias("__b"))
     third = F.when(F.col(value) < F.col("__a"), 1).when(F.col(value) < F.col("__b"), 2).otherwise(3)
-    return df.join(F.broadcast(cuts), group).withColumn("tercile", third).drop("__a", "__b")
+    return df.join(cuts, group).withColumn("tercile", third).drop("__a", "__b")
 
 
 def varying(df: DataFrame, key: str, flag: str) -> DataFrame:
@@ -80,7 +80,7 @@ def trimmed_weighted(df: DataFrame, value: str, weight: str, low: float, high: f
     """Rows within weighted quantiles of their group, inclusive."""
     q = weighted_quantile(df.select(group, value, weight), value, weight, [low, high], [group])
     cut = q.groupBy(group).agg(F.min("quantile").alias("__l"), F.max("quantile").alias("__h"))
-    return df.join(F.broadcast(cut), group).where(F.col(value).between(F.col("__l"), F.col("__h"))).drop("__l", "__h")
+    return df.join(cut, group).where(F.col(value).between(F.col("__l"), F.col("__h"))).drop("__l", "__h")
 
 
 def without_top(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
