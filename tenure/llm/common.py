@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -31,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, notebooks) a local one is set.
+    Only where the session names none (tests, notebooks) a local one is set, and removed when the driver ends. In a
+    shared folder tables stay until its own retention removes them, as results may be read lazily.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -40,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
             base = known.get()
         else:
             base = tempfile.mkdtemp(prefix="tenure-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tenure-{uuid.uuid4().hex}"
 

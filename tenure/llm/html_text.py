@@ -48,7 +48,7 @@ BLOCK = words(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td "
     "tfoot th thead tr ul"
 )
-DROPPED = RAW | words("head nav footer aside form button select dialog menu svg math object canvas audio video map search")
+DROPPED = RAW | words("head nav footer aside form button select dialog menu svg object canvas audio video map search")
 ROLES = words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar")
 MARKS = words(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
@@ -148,7 +148,7 @@ def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = end.end() if end else size
             continue
-        if m["rest"].endswith("/") and name in ("svg", "math", "canvas", "object"):
+        if m["rest"].endswith("/") and name in ("svg", "canvas", "object"):
             continue
         stack.append(name)
         height = len(stack)

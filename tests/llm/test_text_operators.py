@@ -165,6 +165,7 @@ def test_main_text():
     assert ht.lines_of(PAGE)[0] == ["A & B", "one two x", "5 < 6 <i> café", "tail end"]
     assert ht.lines_of("<main><p>a</main><p>b")[0] == ["a"]
     assert ht.lines_of('<div role="navigation">n</div><p class="lead">text <i>it</i>alic<div class="cookie-notice">c</div><!-- x')[0] == ["text italic"]
+    assert ht.lines_of("<article><p>So <math><mi>x</mi></math> holds<svg><text>icon</text></svg>")[0] == ["So x holds"]
     assert ht.lines_of("")[0] == ht.lines_of(None)[0] == [] and ht.lines_of("a < b & c")[0] == ["a < b & c"]
 
 
