@@ -65,6 +65,12 @@ def m07(t):
     return resampling.intervals(draws)
 
 
+@query("m07_bootstrap_publication")
+def m07_publication(t):
+    """The intervals over the 999 draws of a publication."""
+    return resampling.intervals(resampling.bootstrap(t.spark, _sample(t), resampling.ols, draws=999))
+
+
 @query("m09_rate_interaction")
 def m09(t):
     """Interactions of financing with the rate at each end, the rate as of the sale."""
