@@ -67,6 +67,10 @@ class Rollup:
         if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
             self._fs.delete(self._path(aside), True)
             return False
+        nested = self._path(f"{name}/{aside.rsplit('/', 1)[-1]}")
+        if self._fs.exists(nested):  # another driver published the name in between, and the folder moved into its own
+            self._fs.delete(nested, True)
+            return False
         return True
 
     def batches(self) -> set[str]:
