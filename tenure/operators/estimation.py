@@ -157,8 +157,10 @@ def contrast(pairs: DataFrame, area: str, cluster: str, *, local: str | None = N
     ``pairs`` has ``date_a``, ``date_z``, ``y``, ``cf`` and ``fc``. The influences have ``inf_joint`` and ``inf_residual``.
     """
     entries = contrast_entries(area, local=local, controls=controls, extra=extra)
+    pairs = pairs.cache()  # read twice: for the sums and for the scores
     fit = solve(gram(pairs, entries), ["cf", "fc", *(extra or {})])
-    rows = scores(pairs, entries, fit, [cluster, "cf", "fc"]).cache()
+    nuisance = F.filter(entries, lambda x: ~x["k"].startswith("t:") & (x["k"] != "y"))
+    rows = scores(pairs.withColumn("__n", nuisance), entries, fit, [cluster, "cf", "fc", "__n"]).cache()
     m = rows.agg(
         F.count("*").alias("n"), F.sum("cf").alias("cf"), F.sum("fc").alias("fc"), F.count_distinct(cluster).alias("g"),
         F.avg(F.when(F.col("cf") == 1, F.col("r"))).alias("rc"), F.avg(F.when(F.col("fc") == 1, F.col("r"))).alias("rf"),
@@ -170,7 +172,6 @@ def contrast(pairs: DataFrame, area: str, cluster: str, *, local: str | None = N
         *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(fit.targets))],
     )
     se = influence.agg(*[F.sqrt(F.sum(F.pow(x, 2))).alias(x) for x in ("inf_joint", "inf_residual", *[f"s{i}" for i in range(len(fit.targets))])]).first()
-    nuisance = F.filter(entries, lambda x: ~x["k"].startswith("t:") & (x["k"] != "y"))
     joint, plain = 0.5 * (fit.beta[0] - fit.beta[1]), 0.5 * (m["rc"] - m["rf"])
     result = {
         "pairs": m["n"], "clusters": m["g"], "cf": m["cf"], "fc": m["fc"], "nuisance_columns": len(fit.nuisance),
@@ -179,15 +180,14 @@ def contrast(pairs: DataFrame, area: str, cluster: str, *, local: str | None = N
         "information_fraction": float(np.trace(fit.gram[:2, :2]) / np.trace(fit.target_squares[:2, :2])),
         "beta": fit.beta.tolist(), "beta_se": [se[f"s{i}"] for i in range(len(fit.targets))],
     }
-    result["max_nuisance_score"] = max_nuisance_score(pairs, nuisance, entries, fit)
+    result["max_nuisance_score"] = max_nuisance_score(rows)
     for k in ("joint", "residual"):
         result[f"ci_{k}"] = [result[f"pi_{k}"] - 1.96 * result[f"se_{k}"], result[f"pi_{k}"] + 1.96 * result[f"se_{k}"]]
     return result, influence
 
 
-def max_nuisance_score(pairs: DataFrame, nuisance: Column, entries: Column, fit: Fit) -> float:
-    """The largest |X'e|: how far the residuals are from orthogonal to the nuisance columns."""
-    rows = scores(pairs.withColumn("__n", nuisance), entries, fit, ["__n"])
+def max_nuisance_score(rows: DataFrame) -> float:
+    """The largest |X'e|: how far the residuals are from orthogonal to the nuisance columns, entries in ``__n``."""
     sums = rows.select(F.explode("__n").alias("x"), "e").groupBy("x.k").agg(F.abs(F.sum(F.col("x.v") * F.col("e"))).alias("s"))
     return sums.agg(F.max("s")).first()[0] or 0.0
 
