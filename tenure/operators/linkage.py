@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairing import rolling_count
+
 BROADCAST_ROWS = 100_000
 
 
@@ -163,12 +165,15 @@ def mutual_unique(
 
 def count_rule(
     sales: DataFrame, filings: DataFrame, *, eligible: Column | None = None, sale: str = "sale_id", key: str = "bbl", day: str = "sale_date",
-    doc_day: str = "doc_date", around: int = 45, low: int = -60, high: int = 135,
+    doc_day: str = "doc_date", around: int = 45, low: int = -60, high: int = 135, spread: bool = False,
 ) -> DataFrame:
-    """m filings against k sales: 0 if m = 0, 1 if m >= k, else -1; by eligible sales (k) and by all (all_k)."""
+    """m filings against k sales: 0 if m = 0, 1 if m >= k, else -1; by eligible sales (k) and by all (all_k).
+
+    ``spread`` deals a hot key's sales over tasks, see ``pairing.rolling_count``.
+    """
     ok = F.lit(True) if eligible is None else eligible
-    w = Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(-around, around)
-    counted = sales.withColumns({"all_k": F.count("*").over(w), "k": F.count(F.when(ok, 1)).over(w)}).where(ok).select(sale, key, day, "k", "all_k")
+    counted = rolling_count(sales.withColumn("__ok", ok), key, day, around, "all_k", spread=spread)
+    counted = rolling_count(counted, key, day, around, "k", F.col("__ok"), spread=spread).where("__ok").select(sale, key, day, "k", "all_k")
     hits = band(counted, filings.select(key, doc_day), [key], day, doc_day, low, high)
     m = hits.groupBy(sale, "k", "all_k").agg(F.count("gap").alias("m"))
     label = lambda k: F.when(F.col("m") == 0, 0).when(F.col("m") >= F.col(k), 1).otherwise(-1)

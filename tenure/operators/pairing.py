@@ -13,15 +13,27 @@ def numbered(rows: DataFrame, key: str, order: list[str], number: str = "n_sale"
 
 
 def consecutive(
-    rows: DataFrame, key: str, order: list[str], *, carry: list[str], day: str, hold: int, same: list[str] | None = None
+    rows: DataFrame, key: str, order: list[str], *, carry: list[str], day: str, hold: int, same: list[str] | None = None, spread: str | None = None
 ) -> DataFrame:
     """Pairs of neighbouring rows that lie ``hold`` days apart at least.
 
     The filter comes after pairing: a pair that is too short is dropped and does not join its neighbours. ``carry``
-    columns come twice, with ``_a`` and ``_z``; ``same`` columns once, from the second row.
+    columns come twice, with ``_a`` and ``_z``; ``same`` columns once, from the second row. ``order`` begins with the
+    day. With ``spread`` (year, month, ...) a key's rows are dealt by that period, so that a key with a third of all rows
+    takes many tasks: neighbours are found within periods, and a period's first row takes the last of the one before.
     """
-    before = F.lag(F.struct(*carry)).over(Window.partitionBy(key).orderBy(*order))
-    out = rows.withColumn("__a", before).where(F.datediff(F.col(day), F.col(f"__a.{day}")) >= hold)
+    item = F.struct(*carry)
+    if spread is None:
+        out = rows.withColumn("__a", F.lag(item).over(Window.partitionBy(key).orderBy(*order)))
+    else:
+        rows = rows.withColumn("__p", F.trunc(day, spread))
+        inside = F.lag(item).over(Window.partitionBy(key, "__p").orderBy(*order))
+        last = rows.groupBy(key, "__p").agg(F.max_by(item, F.struct(*order)).alias("__last"))
+        before = F.lag("__last").over(Window.partitionBy(key).orderBy("__p"))  # a row per key and period
+        last = last.select(F.col(key).alias("__key"), F.col("__p").alias("__period"), before.alias("__before"))
+        same_period = F.col(key).eqNullSafe(F.col("__key")) & F.col("__p").eqNullSafe(F.col("__period"))
+        out = rows.withColumn("__in", inside).join(last, same_period).withColumn("__a", F.coalesce("__in", "__before"))
+    out = out.where(F.datediff(F.col(day), F.col(f"__a.{day}")) >= hold)
     ends = [x for c in carry for x in (F.col(f"__a.{c}").alias(f"{c}_a"), F.col(c).alias(f"{c}_z"))]
     return out.select(key, *(same or []), *ends)
 
@@ -33,10 +45,21 @@ def drop_flips(rows: DataFrame, key: str, order: list[str], day: str, shortest:
     return rows.withColumn("__ok", ok).where("__ok").drop("__ok")
 
 
-def rolling_count(rows: DataFrame, key: str, day: str, around: int, name: str, where: Column | None = None) -> DataFrame:
-    """Rows of the key within ``around`` days, the row itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(-around, around)
-    return rows.withColumn(name, F.count(F.when(where, 1) if where is not None else F.lit(1)).over(w))
+def rolling_count(rows: DataFrame, key: str, day: str, around: int, name: str, where: Column | None = None, *, spread: bool = False) -> DataFrame:
+    """Rows of the key within ``around`` days, the row itself included.
+
+    With ``spread`` a key's rows are dealt by periods somewhat longer than the frame, each seen by its neighbours too,
+    so that a key with a third of all rows takes many tasks.
+    """
+    counted = F.count(F.when(where, 1) if where is not None else F.lit(1))
+    if not spread:
+        return rows.withColumn(name, counted.over(Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(-around, around)))
+    width = max(4 * around, 30)
+    at = F.unix_date(day)
+    period = lambda d: F.floor(d / width)
+    rows = rows.withColumn("__p", F.explode(F.array_distinct(F.array(period(at - around), period(at), period(at + around)))))
+    w = Window.partitionBy(key, "__p").orderBy(at).rangeBetween(-around, around)
+    return rows.withColumn(name, counted.over(w)).where(F.col("__p") == period(at)).drop("__p")
 
 
 def gaps(rows: DataFrame, day: str, longest: int, keys: list[str] | None = None) -> DataFrame:

@@ -191,3 +191,18 @@ def test_unique_keys_are_enforced(spark):
     left = sales(spark, 0)
     with pytest.raises(ValueError):
         linkage.join_one(left, spark.createDataFrame([("p", 1), ("p", 2)], "bbl string, v int"), ["bbl"])
+
+
+@pytest.mark.parametrize("spread", ["year", "month"])
+def test_spreading_a_hot_key_changes_nothing(spark, spread):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aab"), at(rng.randrange(900)), float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "sale_id long, bbl string, sale_date date, price double")
+    pair = lambda s: pairing.consecutive(
+        df, "bbl", ["sale_date", "sale_id"], carry=["sale_id", "sale_date"], same=["price"], day="sale_date", hold=2, spread=s
+    )
+    assert sorted(map(tuple, pair(spread).collect())) == sorted(map(tuple, pair(None).collect()))
+    count = lambda s: pairing.rolling_count(df, "bbl", "sale_date", 45, "near", F.col("price") > 50, spread=s)
+    assert sorted(map(tuple, count(True).collect())) == sorted(map(tuple, count(False).collect()))
