@@ -218,6 +218,36 @@ def locate(pairs: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
     return cases.join(n, keys, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
+def shared_ends(pairs: DataFrame, parcel: str, a: str, z: str, name: str = "sharing") -> DataFrame:
+    """Pairs with how many pairs, themselves included, have their parcel or one of their two end nodes.
+
+    Counted by inclusion and exclusion, so no pair of pairs is formed: a node's pairs, less those with both nodes, plus
+    the parcel's, less the parcel's own count of the former. Counts are over cells of parcel and two nodes; a parcel
+    has as many cells as the calendar has edges at most. A null parcel is shared with nobody.
+    """
+    lo, hi = F.least(a, z), F.greatest(a, z)
+    rows = pairs.withColumns({"__lo": lo, "__hi": hi})
+    cells = rows.groupBy(F.col(parcel).alias("__parcel"), "__lo", "__hi").agg(F.count("*").alias("__c"))
+    edges = cells.groupBy("__lo", "__hi").agg(F.sum("__c").alias("__edge"))
+    both = F.explode(F.array_distinct(F.array("__lo", "__hi"))).alias("__node")
+    nodes = edges.select("__edge", both).groupBy("__node").agg(F.sum("__edge").alias("__n"))
+    twice = F.col("__lo") != F.col("__hi")  # both nodes are counted, pairs with both of them once too often
+    over = edges.select("__lo", "__hi", "__edge", both).join(F.broadcast(nodes), "__node")  # the calendar: small by nature
+    over = over.groupBy("__lo", "__hi", "__edge").agg(F.sum("__n").alias("__t"))
+    over = over.select("__lo", "__hi", (F.col("__t") - F.when(twice, F.col("__edge")).otherwise(0)).alias("__t"))
+    own = F.sum("__c").over(Window.partitionBy("__parcel"))
+    at = F.sum("__c").over(Window.partitionBy("__parcel", "__node"))
+    within = cells.withColumn("__own", own).select("*", both).withColumn("__at", at)
+    within = within.groupBy("__parcel", "__lo", "__hi", "__c", "__own").agg(F.sum("__at").alias("__at"))
+    extra = F.col("__own") - F.col("__at") + F.when(twice, F.col("__c")).otherwise(0)
+    extra = F.when(F.col("__parcel").isNotNull(), extra).otherwise(0)
+    within = within.join(F.broadcast(over), ["__lo", "__hi"]).select(
+        "__parcel", F.col("__lo").alias("__l"), F.col("__hi").alias("__h"), (F.col("__t") + extra).alias(name)
+    )
+    same = F.col(parcel).eqNullSafe(F.col("__parcel")) & (F.col("__lo") == F.col("__l")) & (F.col("__hi") == F.col("__h"))
+    return rows.join(within, same).drop("__lo", "__hi", "__l", "__h", "__parcel")
+
+
 def reconcile(queue: DataFrame, readings: DataFrame, keys: list[str], immutable: list[str]) -> DataFrame:
     """Keys that only one side has, and keys whose immutable fields differ."""
     r = _prefixed(readings, "r_")

@@ -145,6 +145,13 @@ def j19(t):
     return linkage.locate(t.pairs, t.pairs.where("sale_id_z % 97 = 0").select(*keys), keys)
 
 
+@query("j19_locate_all", """with c as (select bbl, date_a, date_z, count(*) as rows from pairs group by 1, 2, 3) select p.bbl, p.date_a, p.date_z, c.rows from pairs p join c on c.bbl = p.bbl and c.date_a = p.date_a and c.date_z = p.date_z""")
+def j19_all(t):
+    """Every pair as a case."""
+    keys = ["bbl", "date_a", "date_z"]
+    return linkage.locate(t.pairs, t.pairs.select(*keys), keys)
+
+
 @query("j20_scenarios", """select h, f, round(h * n, 6) as recoded from (select cast(unnest([0.0, 0.08, 0.188]) as double) as h), (select cast(unnest([0.0, 0.036, 0.064]) as double) as f), (select cast(count(*) as double) as n from enriched)""")
 def j20(t):
     grid = t.spark.createDataFrame([(h, f) for h in (0.0, 0.08, 0.188) for f in (0.0, 0.036, 0.064)], "h double, f double")
@@ -155,14 +162,21 @@ def j20(t):
 @query("j21_shared_ends", """with p as (select sale_id_z as id, year(date_a) * 4 + quarter(date_a) as a, year(date_z) * 4 + quarter(date_z) as z, bbl from pairs where borough = '0' and zipcode in ('0', '5'))
     select p.id, count(*) as sharing from p join p q on p.bbl = q.bbl or p.a in (q.a, q.z) or p.z in (q.a, q.z) group by 1""")
 def j21(t):
+    """The part that the SQL, which compares all with all, is given."""
+    return _sharing(t.pairs.where("borough = '0' and zipcode in ('0', '5')"))
+
+
+@query("j21_shared_ends_all")
+def j21_all(t):
+    """All pairs; checked by brute force in tests, as the SQL grows with the square of the pairs."""
+    return _sharing(t.pairs)
+
+
+def _sharing(pairs):
     from tenure.functions.measures import quarter_index
 
-    p = t.pairs.where("borough = '0' and zipcode in ('0', '5')")
-    p = p.select(F.col("sale_id_z").alias("id"), quarter_index(F.col("date_a")).alias("a"), quarter_index(F.col("date_z")).alias("z"), "bbl")
-    # pairs of rows meet on a parcel or an end, each once; no cross product
-    node = F.array(F.concat(F.lit("p"), F.col("bbl")), F.concat(F.lit("q"), F.col("a")), F.concat(F.lit("q"), F.col("z")))
-    ends = p.select("id", F.explode(F.array_distinct(node)).alias("node"))
-    return ends.join(ends.withColumnRenamed("id", "other"), "node").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("sharing"))
+    p = pairs.select(F.col("sale_id_z").alias("id"), quarter_index(F.col("date_a")).alias("a"), quarter_index(F.col("date_z")).alias("z"), "bbl")
+    return linkage.shared_ends(p, "bbl", "a", "z").select("id", "sharing")
 
 
 @query("j22_reconcile", """with q as (select sale_id as case_id, bbl from sales where sale_id % 5 = 0), r as (select sale_id as case_id, case when sale_id % 35 = 0 then 'x' else bbl end as bbl from sales where sale_id % 15 <> 0 and sale_id % 7 = 0 or sale_id % 5 = 0 and sale_id % 15 <> 0)

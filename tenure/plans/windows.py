@@ -62,6 +62,13 @@ def w08(t):
     return pairing.gaps(t.sales.where("borough = '1' and zipcode = '1'"), "sale_date", 8)
 
 
+@query("w08_long_gaps_all", """with d as (select distinct borough, zipcode, sale_date from sales) select borough, zipcode, sale_date, next, cast(date_diff('day', sale_date, next) as integer) as days
+    from (select *, lead(sale_date) over (partition by borough, zipcode order by sale_date) as next from d) where date_diff('day', sale_date, next) > 8""")
+def w08_all(t):
+    """The gaps of every borough and ZIP code."""
+    return pairing.gaps(t.sales, "sale_date", 8, ["borough", "zipcode"])
+
+
 @query("w09_dense_codes", "select sale_id, dense_rank() over (order by bbl) - 1 as code from sales")
 def w09(t):
     return pairing.dense_codes(t.sales, "bbl", "code").select("sale_id", "code")

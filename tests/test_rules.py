@@ -206,3 +206,28 @@ def test_spreading_a_hot_key_changes_nothing(spark, spread):
     assert sorted(map(tuple, pair(spread).collect())) == sorted(map(tuple, pair(None).collect()))
     count = lambda s: pairing.rolling_count(df, "bbl", "sale_date", 45, "near", F.col("price") > 50, spread=s)
     assert sorted(map(tuple, count(True).collect())) == sorted(map(tuple, count(False).collect()))
+
+
+def test_shared_ends_equal_enumeration(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["p", "q", "r", None]), r.randrange(7), r.randrange(7)) for i in range(60)]
+    rows += [(60, "s", 1, 1), (61, "s", 1, 1), (62, None, 90, 91), (63, "u", 92, 93), (64, "u", 94, 95)]
+    df = spark.createDataFrame(rows, "id long, bbl string, a int, z int")
+    got = {x.id: x.sharing for x in linkage.shared_ends(df, "bbl", "a", "z").collect()}
+    share = lambda p, q: p[1] is not None and p[1] == q[1] or bool({p[2], p[3]} & {q[2], q[3]})
+    assert got == {p[0]: sum(share(p, q) for q in rows) for p in rows}
+
+
+def test_whole_tables_not_parts_of_them(spark):
+    from tenure.plans.catalogue import QUERIES
+    from tenure.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    n = t.pairs.count()
+    pairs = [(x.sale_id_z, x.bbl, *x[2:]) for x in t.pairs.selectExpr("sale_id_z", "bbl", "year(date_a) * 4 + quarter(date_a)", "year(date_z) * 4 + quarter(date_z)").collect()]
+    got = {x.id: x.sharing for x in QUERIES["j21_shared_ends_all"](spark, t.sf_dir).collect()}
+    assert got == {p[0]: sum(p[1] == q[1] or bool({*p[2:]} & {*q[2:]}) for q in pairs) for p in pairs}
+    assert QUERIES["j19_locate_all"](spark, t.sf_dir).count() == n == len(got)
+    assert QUERIES["w08_long_gaps_all"](spark, t.sf_dir).select("borough", "zipcode").distinct().count() == t.sales.select("borough", "zipcode").distinct().count()
