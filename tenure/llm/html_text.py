@@ -3,8 +3,11 @@
 A page is cut into lines, one per block element. Pages are sorted by host and path; each is paired with the neighbour
 of its host that shares the longer beginning of the path, their lines are aligned by a longest common subsequence, and
 lines that both have are deleted as template. Two rules keep what is no template: lines inside an explicit article are
-never deleted (articles are copied and quoted from page to page), and a neighbour that has nearly all of a page's lines
-is a copy, not another page of the same template, so nothing is deleted for it. Blocks whose markup says what they are
+never deleted (articles are copied and quoted from page to page), and a neighbour that is a copy of the page is passed
+over for the next. A copy has nearly all of what is left of the page without the lines that at least half of the
+further, different neighbours have too (three pages before and after are looked at); without a further neighbour, nearly
+all of its lines. So with less than two different pages in reach (small hosts, long runs of copies) a page whose lines
+are nearly all template keeps them, and a run of near copies that fills the neighbourhood is taken for pages of a template. Blocks whose markup says what they are
 (navigation, header, footer, aside, form, script, style; class, id or role of a menu, advert, notice, sidebar, comment)
 are dropped in any case.
 
@@ -58,8 +61,10 @@ MARKS = words(
 )
 #: These name a page's parts outside an article, but an article's own inside it.
 OUTER_MARKS = words("header masthead banner search toolbar topbar")
-#: A neighbour with this share of a page's lines is a copy.
+#: A neighbour with this share of a page's own lines is a copy.
 COPY = 0.8
+#: Pages before and after that are looked at.
+REACH = 3
 
 
 def path_key(url: str | None) -> tuple[str | None, str | None]:
@@ -160,7 +165,7 @@ def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
     close()
     for k in (1, 2):
         if any(x[k] for x in lines):
-            return [x[0] for x in lines if x[k]], [True] * sum(x[k] for x in lines)
+            return [x[0] for x in lines if x[k]], [k == 1] * sum(x[k] for x in lines)
     return [x[0] for x in lines], [False] * len(lines)
 
 
@@ -196,9 +201,16 @@ def common(a: list[int], b: list[int]) -> list[int]:
 
 def shared_lines(own: list[int], fixed: list[bool], neighbours: list[tuple[int, list[int]]]) -> list[int]:
     """Places of the lines to delete: those shared with the nearest neighbour that isn't a copy."""
+    if all(fixed):
+        return []
+    different = {tuple(n): set(n) for _, n in neighbours if list(n) != own}
     for _, other in sorted(neighbours, key=lambda n: -n[0]):
-        places = common(own, other)
-        if len(places) < COPY * len(own):
+        if list(other) == own:
+            continue
+        further = [lines for n, lines in different.items() if n != tuple(other)]
+        template = {x for x in own if further and 2 * sum(x in lines for lines in further) >= len(further)}
+        places, left = common(own, other), sum(x not in template for x in own)
+        if not left or sum(own[p] not in template for p in places) < COPY * left:
             return [p for p in places if not fixed[p]]
     return []
 
@@ -234,16 +246,17 @@ def deletions(pages: DataFrame) -> DataFrame:
         offset += r["count"]
     at = pages.sparkSession.createDataFrame(before, "part int, before long")
     placed = ranged.join(F.broadcast(at), "part").withColumn("at", F.col("before") + F.col("k")).drop("part", "k", "before")
-    side = lambda name, step: placed.select(
-        (F.col("at") + step).alias("at"), F.struct("host", "path", "lines").alias(name)
+    steps = F.explode(F.array(*[F.lit(k) for d in range(1, REACH + 1) for k in (-d, d)])).alias("step")
+    near = placed.select("at", "host", "path", "lines", steps).groupBy((F.col("at") + F.col("step")).alias("at")).agg(
+        F.collect_list(F.struct(F.abs("step").alias("far"), "host", "path", "lines")).alias("near")  # a page's few neighbours
     )
-    paired = placed.join(side("before", 1), "at", "left").join(side("after", -1), "at", "left")
+    paired = placed.where("not fixed").join(near, "at", "left")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples():
-                near = [o for o in (r.before, r.after) if o is not None and o["host"] == r.host]
+                near = sorted((o for o in (() if r.near is None else r.near) if o["host"] == r.host), key=lambda o: o["far"])
                 near = [(_alike(r.path, o["path"]), list(o["lines"])) for o in near]
                 places = shared_lines(list(r.lines), [r.fixed] * len(r.lines), near)
                 if places:

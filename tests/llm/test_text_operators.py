@@ -195,6 +195,23 @@ def test_differencing_deletes_templates_and_keeps_articles_and_copies(spark):
     assert ht.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_of_short_pages_and_of_main(spark):
+    wrap = lambda x: "".join(f"<p>template {k}</p>" for k in range(6)) + x + "".join(f"<p>end {k}</p>" for k in range(3))
+    body = lambda i: f"<p>story {i} one</p><p>story {i} two</p>"
+    pages = [(i, f"http://s.example/{i}", wrap(body(i))) for i in range(6)]  # 9 of 11 lines are shared
+    pages += [(10 + i, f"http://m.example/{i}", f"<main>{wrap(body(i))}</main>") for i in range(6)]
+    pages += [(20 + i, f"http://c.example/{i}", wrap(body(max(i, 1)))) for i in range(7)]  # the first two are exact copies
+    pages += [(30 + i, f"http://n.example/{i}", wrap("".join(f"<p>copied {k}</p>" for k in range(9)) + f"<p>seen {i}</p>") if i < 2 else wrap(body(i))) for i in range(7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in ht.extract(df).collect()}
+    story = lambda i: [f"story {i} one", f"story {i} two"]
+    for first in (0, 10):
+        assert [got[first + i] for i in range(6)] == [story(i) for i in range(6)]
+    assert [got[20 + i] for i in range(7)] == [story(max(i, 1)) for i in range(7)]
+    assert [got[30 + i] for i in range(2)] == [[f"copied {k}" for k in range(9)] + [f"seen {i}"] for i in range(2)]  # near copies
+    assert [got[30 + i] for i in range(2, 7)] == [story(i) for i in range(2, 7)]
+
+
 def test_extraction_of_the_test_pages(spark):
     rows = ht.extract(table(spark, "pages")).join(table(spark, "pages").select("page_id", "html"), "page_id").collect()
     for r in rows:
