@@ -71,15 +71,20 @@ def design(low: np.ndarray, threshold: float, half: float, width: float, degree:
     return np.column_stack(columns)
 
 
-def fit_counts(
+def counterfactual(
     low: np.ndarray, counts: np.ndarray, threshold: float, *, half: float, width: float, below: float = 50_000, above: float = 50_000,
     degree: int = 5, dummies: str | None = None, exact: str = "above",
-) -> dict[str, float]:
-    """Excess below (``B``), missing above (``M``) and its share, against a polynomial fitted outside the band."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins' middles, which of them are in the band, and the polynomial's counts, fitted outside it."""
     middle = low + width / 2
     band = (middle > threshold - below) & (middle < threshold + above)
     x = design(low, threshold, half, width, degree, dummies, exact)
-    fitted = x @ np.linalg.lstsq(x[~band], counts[~band], rcond=None)[0]
+    return middle, band, x @ np.linalg.lstsq(x[~band], counts[~band], rcond=None)[0]
+
+
+def fit_counts(low: np.ndarray, counts: np.ndarray, threshold: float, **parameters) -> dict[str, float]:
+    """Excess below (``B``), missing above (``M``) and its share, against ``counterfactual``."""
+    middle, band, fitted = counterfactual(low, counts, threshold, **parameters)
     under, over = band & (middle < threshold), band & (middle > threshold)
     missing, expected = (fitted[over] - counts[over]).sum(), fitted[over].sum()
     share = missing / expected if expected > 0 else np.nan
@@ -125,13 +130,84 @@ def bootstrap(df: DataFrame, value: str, threshold: float, draws: int, seed: int
     return df.sparkSession.range(draws).mapInPandas(drawn, "draw long, B double, M double, share double, n long")
 
 
-def grid(df: DataFrame, value: str, threshold: float, *, degrees=(3, 4, 5, 6, 7, 8), below=(25_000, 50_000, 75_000, 100_000), widths=(5_000, 10_000, 20_000, 25_000, 50_000), halves=(200_000, 250_000, 300_000, 400_000, 500_000)) -> DataFrame:
-    """``fit_counts`` over a grid of specifications that have room for their band; bins are counted once, at 5000."""
+def differences(
+    df: DataFrame, value: str, threshold: float, cuts: dict[str, tuple[Column, Column]], draws: int, seed: int, *, half: float = 400_000, width: float = 10_000,
+    below: float = 50_000, above: float = 100_000, high: tuple[float, float] = (0, 100_000), low: tuple[float, float] = (-150_000, -50_000), **parameters,
+) -> DataFrame:
+    """(cut, draw, pre, post, difference, log_ratio): bunching before and after, on resampled sales of both periods.
+
+    ``cuts`` name pairs of conditions, the period before and the one after. ``pre`` and ``post`` are the shares missing
+    above the threshold; ``log_ratio`` is the change in the log of sales in ``high`` over sales in ``low``, intervals
+    from the threshold, which needs no polynomial. A null draw has the counts as they are. All of a period's sales are
+    resampled, so a draw is multinomial over its bins and the rest.
+    """
+    for edge in (*high, *low, half):
+        if edge % width or abs(edge) > half:
+            raise ValueError(f"{edge} is not an edge of a bin of {width} within {half}")
+    size, start = int(2 * half / width), threshold - half
+    bin_ = F.when((F.col(value) >= start) & (F.col(value) < threshold + half), F.floor((F.col(value) - start) / width)).otherwise(size)
+    sides = [F.when(c, F.lit(2 * i + k)) for i, cut in enumerate(cuts.values()) for k, c in enumerate(cut)]
+    rows = df.where(F.col(value).isNotNull()).select(F.explode(F.array_compact(F.array(*sides))).alias("side"), bin_.cast("int").alias("bin"))
+    counts = np.zeros((len(cuts), 2, size + 1))
+    for r in rows.groupBy("side", "bin").count().collect():  # a row per period and bin
+        counts[r["side"] // 2, r["side"] % 2, r["bin"]] = r["count"]
+    lows, names = start + width * np.arange(size), list(cuts)
+    inside = lambda x: slice(int((half + x[0]) / width), int((half + x[1]) / width))
+    fixed = {"half": half, "width": width, "below": below, "above": above, **parameters}
+
+    def found(pair: list[np.ndarray]) -> tuple:
+        pre, post = (fit_counts(lows, c[:-1], threshold, **fixed)["share"] for c in pair)
+        (ha, la), (hz, lz) = ((c[inside(high)].sum(), c[inside(low)].sum()) for c in pair)
+        return pre, post, post - pre, float(np.log(hz / lz) - np.log(ha / la)) if min(ha, la, hz, lz) > 0 else np.nan
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for cut, draw in zip(b["cut"], b["draw"], strict=True):
+                pair = list(counts[cut])
+                if draw >= 0:
+                    rng = np.random.default_rng([seed, int(cut), int(draw)])
+                    pair = [rng.multinomial(int(c.sum()), c / c.sum()).astype(float) if c.sum() else c for c in pair]
+                out.append((names[cut], draw if draw >= 0 else None, *found(pair)))
+            yield pd.DataFrame(out, columns=["cut", "draw", "pre", "post", "difference", "log_ratio"]).astype({"draw": "Int64"})
+
+    jobs = df.sparkSession.range(len(cuts) * (draws + 1)).select(
+        F.floor(F.col("id") / (draws + 1)).cast("int").alias("cut"), (F.col("id") % (draws + 1) - 1).alias("draw")
+    )
+    return jobs.mapInPandas(drawn, "cut string, draw long, pre double, post double, difference double, log_ratio double")
+
+
+def difference_intervals(rows: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Per cut of ``differences``: the column's value on the counts as they are, and its percentile interval.
+
+    Draws without a value (an empty interval) are left out; ``draws`` counts the others.
+    """
+    value = F.when(~F.isnan(column), F.col(column))
+    drawn = F.when(F.col("draw").isNotNull(), value)
+    return rows.groupBy("cut").agg(
+        F.max(F.when(F.col("draw").isNull(), value)).alias(column), F.percentile(drawn, low).alias("low"), F.percentile(drawn, high).alias("high"),
+        F.count(drawn).alias("draws"),
+    )
+
+
+def hole_extent(df: DataFrame, value: str, threshold: float, *, upto: float = 110_000, half: float = 500_000, width: float = 10_000, below: float = 50_000, above: float = 250_000, **parameters) -> DataFrame:
+    """(low, n, fitted, ratio) of the bins from the threshold: how far above it sales are missing, under a wide band."""
+    rows = bins(df, value, threshold - half, threshold + half, width).orderBy("bin").collect()  # one row per bin
+    low, counts = np.array([r["low"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
+    middle, _, fitted = counterfactual(low, counts, threshold, half=half, width=width, below=below, above=above, **parameters)
+    at = np.flatnonzero((middle > threshold) & (middle < threshold + upto))
+    out = [(float(low[i]), int(counts[i]), float(fitted[i]), float(counts[i] / fitted[i]) if fitted[i] else None) for i in at]
+    return df.sparkSession.createDataFrame(out, "low double, n long, fitted double, ratio double")
+
+
+def grid(df: DataFrame, value: str, threshold: float, *, degrees=(2, 3, 4, 5, 6, 7), below=(30_000, 50_000, 75_000, 100_000, 150_000), widths=(5_000, 10_000, 20_000, 25_000), halves=(150_000, 200_000, 300_000, 400_000, 500_000)) -> DataFrame:
+    """``fit_counts`` over a grid of specifications whose band has 50,000 to spare and wide bins' edges; bins are counted once, at 5000."""
     step, widest = 5_000, max(halves)
     rows = bins(df, value, threshold - widest, threshold + widest, step).orderBy("bin").collect()  # one row per bin
     fine = np.array([r["n"] for r in rows], dtype=float)
     spark = df.sparkSession
-    cells = [(d, b, w, h) for d in degrees for b in below for w in widths for h in halves if h % w == 0 and 2 * (h - b) / w > d + 3]
+    fits = lambda b, w, h: 2 * h % w == 0 and b < h - 50_000 and not (w in (20_000, 25_000) and b % w)
+    cells = [(d, b, w, h) for d in degrees for b in below for w in widths for h in halves if fits(b, w, h)]
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -281,9 +281,49 @@ def m32(t):
     return draws.agg(F.percentile("M", 0.025).alias("low"), F.percentile("M", 0.975).alias("high"), F.avg("M").alias("mean"))
 
 
+def _dollars(t):
+    """Sales at five times their price, so that the study's thresholds and windows in dollars lie within the prices."""
+    return t.sales.withColumn("price", F.col("price") * 5)
+
+
+def _cuts():
+    """The study's periods before and after, laid over the years of the test tables: (before, after) by name."""
+    day = F.col("sale_date")
+    pre, post = day < "1995-04-01", day >= "1996-01-01"
+    return {
+        "baseline": (pre, post), "late post": (pre, day >= "1997-01-01"), "clean pre": (day < "1995-01-01", post),
+        "tight": ((day >= "1993-01-01") & (day < "1995-01-01"), (day >= "1996-01-01") & (day < "1998-01-01")), "late only": (pre, day >= "1998-01-01"),
+    }
+
+
+@query("m32_difference_in_bunching")
+def m32_difference(t):
+    """Change in the share missing above the threshold, with its interval."""
+    rows = density.differences(_dollars(t), "price", 1_000_000, {"baseline": _cuts()["baseline"]}, 600, 6, dummies="nested")
+    return density.difference_intervals(rows, "difference")
+
+
+@query("m32_did_log_ratio")
+def m32_did(t):
+    """Change in the log ratio of sales above and below, without a polynomial."""
+    rows = density.differences(_dollars(t), "price", 1_000_000, {"baseline": _cuts()["baseline"]}, 2000, 7, dummies="nested")
+    return density.difference_intervals(rows, "log_ratio")
+
+
+@query("m32_period_cuts")
+def m32_cuts(t):
+    """The change under other cuts of the periods."""
+    return density.difference_intervals(density.differences(_dollars(t), "price", 1_000_000, _cuts(), 400, 8, dummies="nested"), "difference")
+
+
 @query("m33_specification_grid")
 def m33(t):
-    return density.grid(t.sales, "price", 200_000, halves=(100_000, 150_000, 200_000), widths=(5_000, 10_000), below=(10_000, 20_000))
+    return density.grid(_dollars(t), "price", 1_000_000)
+
+
+@query("m33_hole_extent")
+def m33_hole(t):
+    return density.hole_extent(_dollars(t), "price", 1_000_000)
 
 
 @query("m34_bunching_by_type")

@@ -157,3 +157,47 @@ def test_covariance_of_estimates_with_themselves(pairs):
     result, influence = estimation.contrast(pairs, "borough", "bbl")
     cov = {(r.i, r.j): r.covariance for r in estimation.joint_covariance({"a": influence, "b": influence}, "bbl").collect()}
     assert all(v == pytest.approx(result["se_joint"] ** 2, rel=1e-9) for v in cov.values()) and len(cov) == 4
+
+
+def test_differences_of_two_periods(spark):
+    rng = np.random.default_rng(8)
+    v, late = rng.uniform(500_000, 1_500_000, 40_000), rng.random(40_000) < 0.5
+    move = late & (v >= 1e6) & (v < 1_100_000) & (rng.random(len(v)) < 0.4)
+    v[move] = 995_000
+    df = spark.createDataFrame([(float(x), bool(k)) for x, k in zip(v, late)], "p double, late boolean")
+    post = F.col("late")
+    cuts = {"all": (~post, post), "none": (~post, ~post)}
+    rows = density.differences(df, "p", 1e6, cuts, 40, 1, degree=3).cache()
+    point = {r.cut: r for r in rows.where("draw is null").collect()}
+    share = lambda p: density.fit_counts(600_000 + 10_000 * np.arange(80), np.histogram(p, 600_000 + 10_000 * np.arange(81))[0], 1e6, half=400_000, width=10_000, below=50_000, above=100_000, degree=3)["share"]
+    count = lambda p, a, b: ((p >= a) & (p < b)).sum()
+    ratio = lambda p: np.log(count(p, 1e6, 1.1e6) / count(p, 850_000, 950_000))
+    assert point["all"].difference == pytest.approx(share(v[late]) - share(v[~late]), abs=1e-8) and point["all"].difference == pytest.approx(0.4, abs=0.1)
+    assert point["all"].log_ratio == pytest.approx(ratio(v[late]) - ratio(v[~late]), abs=1e-12) and point["none"].log_ratio == 0
+    # the spread of the log ratio is that of independent counts
+    want = sum(1 / count(p, a, b) for p in (v[late], v[~late]) for a, b in ((1e6, 1.1e6), (850_000, 950_000))) ** 0.5
+    assert rows.where("cut = 'all' and draw >= 0").agg(F.stddev("log_ratio")).first()[0] == pytest.approx(want, rel=0.4)
+    for column, found in (("difference", point["all"].difference), ("log_ratio", point["all"].log_ratio)):
+        r = {x.cut: x for x in density.difference_intervals(rows, column).collect()}
+        assert r["all"].low < found == r["all"][column] < r["all"].high < (0 if column == "log_ratio" else 1) and r["all"].draws == 40
+        assert r["none"].low < 0 < r["none"].high
+    with pytest.raises(ValueError):
+        density.differences(df, "p", 1e6, cuts, 1, 1, high=(0, 105_000))
+
+
+def test_extent_of_a_planted_hole(spark):
+    v = np.arange(400_000, 1_600_000, 25.0)
+    v = v[(v < 1e6) | (v >= 1_030_000)]
+    rows = density.hole_extent(spark.createDataFrame([(float(x),) for x in v], "p double"), "p", 1e6).orderBy("low").collect()
+    assert [r.low for r in rows] == [1e6 + 10_000 * k for k in range(11)]
+    assert [r.ratio for r in rows] == pytest.approx([0.0] * 3 + [1.0] * 8, abs=1e-6)
+
+
+def test_the_whole_grid(spark):
+    from tenure.plans.catalogue import QUERIES
+
+    rows = QUERIES["m33_specification_grid"](spark, SF).select("degree", "band", "width", "half").collect()
+    assert {r.degree for r in rows} == {2, 3, 4, 5, 6, 7} and {r.half for r in rows} == {150_000, 200_000, 300_000, 400_000, 500_000}
+    want = [(d, b, w, h) for d in range(2, 8) for w in (5, 10, 20, 25) for h in (150, 200, 300, 400, 500) for b in (30, 50, 75, 100, 150)]
+    want = [(d, b, w, h) for d, b, w, h in want if not (b >= h - 50 or w in (20, 25) and b % w)]
+    assert sorted((r.degree, r.band / 1e3, r.width / 1e3, r.half / 1e3) for r in rows) == sorted(want)
