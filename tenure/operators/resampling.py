@@ -21,19 +21,51 @@ TRIMS = {"trim_1_99": (1, 99), "trim_2.5_97.5": (2.5, 97.5)}
 SAMPLE_ROWS = 200_000
 
 
+@dataclass
+class Design:
+    """Nuisance columns by their distinct rows: a calendar's pairs have far fewer designs than there are pairs."""
+
+    distinct: np.ndarray
+    code: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray | Design) -> Design:
+        return x if isinstance(x, Design) else Design(x, np.arange(len(x)))
+
+    def rows(self, keep: np.ndarray) -> Design:
+        return Design(self.distinct, self.code[keep])
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.code, v, len(self.distinct))
+
+    def gram(self, w: np.ndarray) -> np.ndarray:
+        return self.distinct.T @ (self.distinct * self.sums(w)[:, None])
+
+    def against(self, right: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.distinct.T @ np.column_stack([self.sums(c * w) for c in right.T])
+
+    def residuals(self, right: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What weighted least squares on the columns leaves of each column of ``right``."""
+        return right - (self.distinct @ (inverse(self.gram(w)) @ self.against(right, w)))[self.code]
+
+
 @dataclass
 class Sample:
-    """Nuisance columns X, targets Q, outcome y, annual growth g, cluster codes, and flags by name."""
+    """Nuisance columns, targets Q, outcome y, annual growth g, cluster codes, and flags by name."""
 
-    x: np.ndarray
+    design: Design
     q: np.ndarray
     y: np.ndarray
     g: np.ndarray
     cluster: np.ndarray
     flags: dict[str, np.ndarray]
 
+    @property
+    def x(self) -> np.ndarray:
+        return self.design.distinct[self.design.code]
+
     def rows(self, keep: np.ndarray) -> Sample:
-        return Sample(self.x[keep], self.q[keep], self.y[keep], self.g[keep], self.cluster[keep], {k: v[keep] for k, v in self.flags.items()})
+        return Sample(self.design.rows(keep), self.q[keep], self.y[keep], self.g[keep], self.cluster[keep], {k: v[keep] for k, v in self.flags.items()})
 
 
 def sample(pairs: DataFrame, area: str, cluster: str, *, order: list[str], flags: list[str] | None = None, limit: int = SAMPLE_ROWS, **design) -> Sample:
@@ -44,30 +76,30 @@ def sample(pairs: DataFrame, area: str, cluster: str, *, order: list[str], flags
     years = F.datediff("date_z", "date_a") / 365.25
     rows = pairs.orderBy(*order).select(entries.alias("x"), F.col(cluster).alias("c"), years.alias("years"), *(flags or [])).collect()
     names: dict[str, int] = {}
-    for r in rows:
-        for e in r["x"]:
-            if e["k"] != "y" and not e["k"].startswith("t:"):
-                names.setdefault(e["k"], len(names))
-    x, q, y = np.zeros((len(rows), len(names))), np.zeros((len(rows), 2)), np.zeros(len(rows))
+    seen: dict[tuple, int] = {}
+    code, q, y = np.zeros(len(rows), dtype=int), np.zeros((len(rows), 2)), np.zeros(len(rows))
     for i, r in enumerate(rows):
+        own = []
         for e in r["x"]:
             if e["k"] == "y":
                 y[i] += e["v"]
             elif e["k"].startswith("t:"):
                 q[i, {"t:cf": 0, "t:fc": 1}[e["k"]]] += e["v"]
             else:
-                x[i, names[e["k"]]] += e["v"]
+                own.append((names.setdefault(e["k"], len(names)), e["v"]))
+        code[i] = seen.setdefault(tuple(own), len(seen))
+    distinct = np.zeros((len(seen), len(names)))
+    for own, i in seen.items():
+        for j, v in own:
+            distinct[i, j] += v
     codes = np.unique([r["c"] for r in rows], return_inverse=True)[1]
     years = np.array([r["years"] for r in rows])
-    return Sample(x, q, y, y / years, codes, {f: np.array([r[f] for r in rows]) for f in flags or []})
+    return Sample(Design(distinct, code), q, y, y / years, codes, {f: np.array([r[f] for r in rows]) for f in flags or []})
 
 
-def wls(x: np.ndarray, q: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def wls(x: np.ndarray | Design, q: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted least squares of y on q given x: q's coefficients and the unweighted residuals."""
-    xw = x * w[:, None]
-    g = inverse(x.T @ xw)
-    right = np.column_stack([q, y])
-    r = right - x @ (g @ (xw.T @ right))
+    r = Design.of(x).residuals(np.column_stack([q, y]), w)
     rq, ry = r[:, :-1], r[:, -1]
     beta = np.linalg.lstsq(rq.T @ (rq * w[:, None]), rq.T @ (ry * w), rcond=None)[0]
     return beta, ry - rq @ beta
@@ -109,17 +141,17 @@ def half(beta: np.ndarray) -> float:
 def fit_all(s: Sample, w: np.ndarray) -> dict[str, float]:
     """Least squares, Huber and both trims on one weighted sample; rows without weight leave first."""
     s, w = s.rows(w > 0), w[w > 0]
-    out = {"ols": half(wls(s.x, s.q, s.y, w)[0]), "huber": half(huber(s.x, s.q, s.y, w)[0])}
+    out = {"ols": half(wls(s.design, s.q, s.y, w)[0]), "huber": half(huber(s.design, s.q, s.y, w)[0])}
     for name, (low, high) in TRIMS.items():
         a, b = weighted_quantile(s.g, w, [low, high])
         m = (s.g >= a) & (s.g <= b)
-        out[name] = half(wls(s.x[m], s.q[m], s.y[m], w[m])[0])
+        out[name] = half(wls(s.design.rows(m), s.q[m], s.y[m], w[m])[0])
     return out
 
 
 def ols(s: Sample, w: np.ndarray) -> dict[str, float]:
     keep = w > 0
-    return {"ols": half(wls(s.x[keep], s.q[keep], s.y[keep], w[keep])[0])}
+    return {"ols": half(wls(s.design.rows(keep), s.q[keep], s.y[keep], w[keep])[0])}
 
 
 def masked(masks: dict[str, np.ndarray]) -> Callable[[Sample, np.ndarray], dict[str, float]]:
@@ -138,7 +170,7 @@ def split(flag: np.ndarray) -> Callable[[Sample, np.ndarray], dict[str, float]]:
         keep = w > 0
         f = flag[keep].astype(float)
         q = np.column_stack([s.q[keep] * f[:, None], s.q[keep] * (1 - f)[:, None]])
-        b, _ = wls(s.x[keep], q, s.y[keep], w[keep])
+        b, _ = wls(s.design.rows(keep), q, s.y[keep], w[keep])
         return {"flagged": half(b[:2]), "other": half(b[2:])}
 
     return fit
@@ -183,7 +215,7 @@ def paired_differences(draws: DataFrame, base: str, low: float = 0.025, high: fl
 def robust_report(s: Sample) -> dict:
     """Point estimates, shares of down-weighted pairs by arm and of growth above 0.7."""
     ones = np.ones(len(s.y))
-    _, down = huber(s.x, s.q, s.y, ones)
+    _, down = huber(s.design, s.q, s.y, ones)
     arm = np.where(s.q[:, 0] == 1, "cf", np.where(s.q[:, 1] == 1, "fc", "same"))
     by = {a: arm == a for a in ("cf", "fc", "same") if (arm == a).any()}
     return {
@@ -245,7 +277,7 @@ def relabelling(spark: SparkSession, s: Sample, scenarios: list[dict], *, draws:
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         ones, n = np.ones(len(own.y)), len(own.y)
-        r = own.y - own.x @ (inverse(own.x.T @ own.x) @ (own.x.T @ own.y))
+        r = own.design.residuals(own.y[:, None], ones)[:, 0]
         fa, fz = own.flags[a].astype(int), own.flags[z].astype(int)
         value = lambda x, y: (x == 0) * (y == 1) * 1 - (x == 1) * (y == 0) * 1
         pair, label = np.tile(np.arange(n), 2), np.concatenate([fa, fz])
@@ -266,7 +298,7 @@ def relabelling(spark: SparkSession, s: Sample, scenarios: list[dict], *, draws:
                     count += len(chosen)
                 v = value(*new)
                 q = np.column_stack([v == 1, v == -1]).astype(float)
-                out.append((c["name"], int(draw), half(wls(own.x, q, own.y, ones)[0]), count))
+                out.append((c["name"], int(draw), half(wls(own.design, q, own.y, ones)[0]), count))
             yield pd.DataFrame(out, columns=["scenario", "draw", "value", "recoded"])
 
     return jobs.mapInPandas(drawn, "scenario string, draw int, value double, recoded int")
@@ -291,7 +323,7 @@ def hidden_labels(spark: SparkSession, s: Sample, cells: list[tuple[float, float
                 nz[rng.choice(fc, int(round(t.q_fc * len(fc))), replace=False)] = 1
                 na[rng.choice(cf, int(round(t.q_cf * len(cf))), replace=False)] = 1
                 q = np.column_stack([(na == 0) & (nz == 1), (na == 1) & (nz == 0)]).astype(float)
-                fit = lambda m, q=q: half(wls(own.x[m], q[m], own.y[m], np.ones(m.sum()))[0])
+                fit = lambda m, q=q: half(wls(own.design.rows(m), q[m], own.y[m], np.ones(m.sum()))[0])
                 out.append((t.q_fc, t.q_cf, t.draw, fit(np.ones(len(fa), dtype=bool)), fit(keep)))
             yield pd.DataFrame(out, columns=["q_fc", "q_cf", "draw", "full", "screened"])
 

@@ -251,6 +251,26 @@ def m29(t):
     return draws.groupBy("scenario").agg(F.avg("value").alias("value"), F.max("recoded").alias("recoded"))
 
 
+def _sweep(t):
+    """Mean contrast by kappa: recodings against the finding, tilted ever more to those that lower it most."""
+    kappas = [k / 10 for k in range(11)]
+    scenarios = [{"name": f"{k:.1f}", "h": 0.08, "f": 0.036, "mode": "tilted", "sign": 1.0, "kappa": k} for k in kappas]
+    draws = resampling.relabelling(t.spark, _sample(t), scenarios, draws=96, seed=5)
+    kappa = F.col("scenario").cast("double").alias("kappa")
+    return draws.groupBy(kappa).agg(F.avg("value").alias("value"), F.max("recoded").alias("recoded"), F.count("*").alias("draws"))
+
+
+@query("m29_kappa_sweep")
+def m29_sweep(t):
+    return _sweep(t)
+
+
+@query("m29_kappa_crossing")
+def m29_kappa_crossing(t):
+    """The kappa at which the contrast falls to zero; null if it doesn't."""
+    return resampling.crossing(_sweep(t), "kappa", "value")
+
+
 @query("m29_crossing", """with s as (select * from (values (0.0, 3.0), (0.1, 1.0), (0.2, -1.0), (0.3, -2.0)) v(x, y)) select cast(0.1 + 0.1 * 1.0 / 2.0 as double) as crossing""")
 def m29_crossing(t):
     sweep = t.spark.createDataFrame([(0.0, 3.0), (0.1, 1.0), (0.2, -1.0), (0.3, -2.0)], "x double, y double")

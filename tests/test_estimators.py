@@ -201,3 +201,22 @@ def test_the_whole_grid(spark):
     want = [(d, b, w, h) for d in range(2, 8) for w in (5, 10, 20, 25) for h in (150, 200, 300, 400, 500) for b in (30, 50, 75, 100, 150)]
     want = [(d, b, w, h) for d, b, w, h in want if not (b >= h - 50 or w in (20, 25) and b % w)]
     assert sorted((r.degree, r.band / 1e3, r.width / 1e3, r.half / 1e3) for r in rows) == sorted(want)
+
+
+def test_designs_by_distinct_rows_equal_dense_ones(sample):
+    assert len(sample.design.distinct) < len(sample.y) and (sample.x == sample.design.distinct[sample.design.code]).all()
+    w = 1.0 + np.arange(len(sample.y)) % 3
+    for x in (sample.design, sample.x):
+        beta, e = resampling.wls(x, sample.q, sample.y, w)
+        assert beta == pytest.approx(full(sample, w), abs=1e-8) and sample.x.T @ (e * w) == pytest.approx(np.zeros(sample.x.shape[1]), abs=1e-7)
+
+
+def test_the_kappa_sweep(spark):
+    from tenure.plans.catalogue import QUERIES
+
+    rows = sorted(QUERIES["m29_kappa_sweep"](spark, SF).collect())
+    assert [(r.kappa, r.draws) for r in rows] == [(k / 10, 96) for k in range(11)]
+    assert rows[-1].value < rows[0].value  # the more tilted, the lower the contrast
+    at = QUERIES["m29_kappa_crossing"](spark, SF).first().crossing
+    want = [a.kappa + (b.kappa - a.kappa) * a.value / (a.value - b.value) for a, b in zip(rows, rows[1:]) if a.value > 0 >= b.value]
+    assert at == (pytest.approx(want[0], abs=1e-9) if want else None)
