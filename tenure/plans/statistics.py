@@ -11,8 +11,8 @@ from tenure.operators import density, estimation, linkage, resampling
 from .registry import Tables, query
 
 SUMMARY = ("pairs", "clusters", "cf", "fc", "nuisance_columns", "pi_joint", "se_joint", "pi_residual", "se_residual", "information_fraction")
-#: Draws of the queries; a publication takes 999.
-DRAWS = 50
+#: Draws as the study takes them: bootstraps, a cell or scenario of the stress tests, placebos, densities.
+DRAWS, STRESS_DRAWS, PLACEBO_DRAWS, DENSITY_DRAWS = 999, 200, 400, 600
 
 
 def _one(t: Tables, rows: list[dict]):
@@ -92,7 +92,7 @@ def m10(t):
 @query("m11_weighted_least_squares")
 def m11(t):
     s = _sample(t)
-    beta, e = resampling.wls(s.x, s.q, s.y, 1.0 + (np.arange(len(s.y)) % 3))
+    beta, e = resampling.wls(s.design, s.q, s.y, 1.0 + (np.arange(len(s.y)) % 3))
     return _one(t, [{"cf": beta[0], "fc": beta[1], "half_difference": resampling.half(beta), "residual_mean": e.mean()}])
 
 
@@ -112,7 +112,7 @@ def m12(t):
 @query("m13_huber")
 def m13(t):
     s = _sample(t)
-    beta, down = resampling.huber(s.x, s.q, s.y, np.ones(len(s.y)))
+    beta, down = resampling.huber(s.design, s.q, s.y, np.ones(len(s.y)))
     return _one(t, [{"half_difference": resampling.half(beta), "down_weighted": (down < 1).mean()}])
 
 
@@ -125,7 +125,7 @@ def m14(t):
 @query("m15_robust_differences")
 def m15(t):
     """Intervals of the robust estimators less least squares, on the same draws."""
-    draws = resampling.bootstrap(t.spark, _sample(t), resampling.fit_all, draws=10)
+    draws = resampling.bootstrap(t.spark, _sample(t), resampling.fit_all, draws=DRAWS)
     return resampling.paired_differences(draws, "ols")
 
 
@@ -224,7 +224,7 @@ def m26(t):
     from tenure.operators.sampling import uniform
     from tenure.operators.summary import half_difference
 
-    rows = t.enriched.where("cf = 1 or fc = 1").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    rows = t.enriched.where("cf = 1 or fc = 1").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PLACEBO_DRAWS - 1))))
     label = F.when(uniform(F.concat_ws("|", "sale_id_z", "draw"), 1) < 0.5, "cf").otherwise("fc")
     return half_difference(rows.withColumn("arm", label), "arm", "y", ["draw"])
 
@@ -234,7 +234,7 @@ def m27(t):
     s = _sample(t)
     s.flags["building"] = s.flags["src"] == "BUILDING"
     cells = [(a, b) for a in (0.0, 0.1, 0.2) for b in (0.0, 0.1, 0.2)]
-    draws = resampling.hidden_labels(t.spark, s, cells, draws=5, seed=3, screen="building")
+    draws = resampling.hidden_labels(t.spark, s, cells, draws=STRESS_DRAWS, seed=3, screen="building")
     return draws.groupBy("q_fc", "q_cf").agg(F.avg("full").alias("full"), F.avg("screened").alias("screened"), F.count("*").alias("draws"))
 
 
@@ -247,7 +247,7 @@ def m29(t):
         {"name": "adversarial_against", "h": 0.08, "f": 0.036, "mode": "adversarial", "sign": 1.0},
         {"name": "adversarial_for", "h": 0.08, "f": 0.036, "mode": "adversarial", "sign": -1.0},
     ]
-    draws = resampling.relabelling(t.spark, _sample(t), scenarios, draws=5, seed=4)
+    draws = resampling.relabelling(t.spark, _sample(t), scenarios, draws=STRESS_DRAWS, seed=4)
     return draws.groupBy("scenario").agg(F.avg("value").alias("value"), F.max("recoded").alias("recoded"))
 
 
@@ -297,7 +297,7 @@ def m31(t):
 
 @query("m32_bunching_bootstrap")
 def m32(t):
-    draws = density.bootstrap(t.sales, "price", 200_000, 200, 5, half=90_000, width=5_000, below=10_000, above=20_000)
+    draws = density.bootstrap(t.sales, "price", 200_000, DENSITY_DRAWS, 5, half=90_000, width=5_000, below=10_000, above=20_000)
     return draws.agg(F.percentile("M", 0.025).alias("low"), F.percentile("M", 0.975).alias("high"), F.avg("M").alias("mean"))
 
 

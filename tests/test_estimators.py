@@ -220,3 +220,16 @@ def test_the_kappa_sweep(spark):
     at = QUERIES["m29_kappa_crossing"](spark, SF).first().crossing
     want = [a.kappa + (b.kappa - a.kappa) * a.value / (a.value - b.value) for a, b in zip(rows, rows[1:]) if a.value > 0 >= b.value]
     assert at == (pytest.approx(want[0], abs=1e-9) if want else None)
+
+
+def test_draws_of_the_queries(spark, monkeypatch):
+    from tenure.plans.catalogue import QUERIES
+
+    given = {}
+    whole = {f: getattr(resampling, f) for f in ("bootstrap", "hidden_labels", "relabelling")}
+    for f in whole:  # few draws are run, the number asked for is kept
+        monkeypatch.setattr(resampling, f, lambda *a, f=f, draws, **k: given.setdefault(f, []).append(draws) or whole[f](*a, draws=2, **k))
+    for name in ("m07_bootstrap", "m15_robust_differences", "m16_split", "m17_screens_common_draws", "m30_sequential_screens", "m27_hidden_labels", "m29_misclassification"):
+        QUERIES[name](spark, SF)
+    assert given == {"bootstrap": [999] * 5, "hidden_labels": [200], "relabelling": [200]}
+    assert QUERIES["m26_placebo_labels"](spark, SF).select("draw").distinct().count() == 400
