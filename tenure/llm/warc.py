@@ -32,6 +32,8 @@ from .common import join_small, materialize, shared_dir
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: A version line and well-formed header lines, so that a header doesn't run across damaged bytes.
 HEAD = re.compile(rb"WARC/1\.[01](?:\r\n[!-9;-~]+:[^\x00-\x08\x0A-\x1F]*)+")
+#: What may follow HEAD where a well-formed header is cut.
+CUT = re.compile(rb"\r?|\r\n(?:[!-9;-~]*|\r)")
 CANDIDATE = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this are always kept in full.
@@ -121,8 +123,12 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 
 def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header fields, block and end of the plain record at ``at``; every check that fails raises ValueError."""
-    head = bytes(data[at : at + CHUNK])
-    stop = head.find(b"\r\n\r\n")
+    size = CHUNK
+    while (stop := (head := bytes(data[at : at + size])).find(b"\r\n\r\n")) < 0 and at + size < len(data):
+        begun = HEAD.match(head)
+        if not begun or not CUT.fullmatch(head, begun.end()):
+            break
+        size *= 4  # a header as long as its lines are well-formed
     if stop < 0 or not HEAD.fullmatch(head, 0, stop):
         raise ValueError("no version line or no well-formed header")
     lines = head[:stop].decode("utf-8", "replace").split("\r\n")[1:]

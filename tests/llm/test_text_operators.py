@@ -247,6 +247,20 @@ def test_salvage_recovers_what_is_whole():
     assert list(warc.salvage(b"")) == []
 
 
+@pytest.mark.parametrize("n", [65_000, 65_536, 65_537, 70_000, 1_000_000])
+def test_headers_of_any_length_are_read(spark, tmp_path, n):
+    rows = [(1, "http://a/" + "x" * n, "<p>long</p>"), (2, "http://a/2", "<p>short</p>")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), path=str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, 11, "response"), (2, 12, "response")]
+    for k in range(-250, 5):  # the first part ends anywhere near the header's end
+        plain = warc.record("resource", "<urn:a>", [("X", "y" * (n + k)), ("Z", "z")], b"abc", "d") if n == 65_536 else warc.record("resource", "<urn:a>", [("X", "y" * n)], b"abc", "d")
+        assert [x[0] for x in warc.salvage(plain + plain)] == ["record", "record"]
+        if n != 65_536:
+            break
+    cut = b"WARC/1.1\r\nX: " + b"y" * n + b"\x00" * 9 + plain
+    assert [x[0] for x in warc.salvage(cut)] == ["gap", "record"]
+
+
 def test_archives_round_trip(spark, tmp_path):
     big, twin = "<p>" + "é" * 600 + "</p>", "<p>" + "y" * 999 + "</p>"
     rows = [(1, "u1", big), (2, "u\r\nX: 2", big), (3, None, "small"), (4, "u4", "small"), (5, "u5", None), (None, "u6", big), (7, "u7", twin), (7, "u7", twin), (6, "u", twin)]
