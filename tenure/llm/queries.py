@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.life_cycle(table(spark, sf_dir, "documents"), shared_dir(spark))
 
 
+def op10_token_counts_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_version(table(spark, sf_dir, "documents"), shared_dir(spark), token_files.tokenizer_path())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_token_counts": op10_token_counts,
+    "op10_token_counts_by_version": op10_token_counts_by_version,
 }
 
 

@@ -19,10 +19,12 @@ from __future__ import annotations
 import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from . import token_files
+from .common import WORD, bound_batches, materialize
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
@@ -133,3 +135,28 @@ def life_cycle(documents: DataFrame, path: str) -> DataFrame:
     for name, changes in (("recount", recount), ("clear", clear)):
         rollup.commit(name, changes)
     return rollup.totals()
+
+
+def encoded(text: Column, tokenizer: str) -> Column:
+    """Tokens of a text by op9's encoder, without an end mark; null has none."""
+
+    @F.pandas_udf("long")
+    def sizes(texts: pd.Series) -> pd.Series:
+        ids = token_files.encoder(tokenizer).encode([x if isinstance(x, str) else None for x in texts])
+        return pd.Series([len(x) // 4 for x in ids], dtype="int64")
+
+    return sizes(text)
+
+
+def by_version(documents: DataFrame, path: str, tokenizer: str, name: str = "bpe-1") -> DataFrame:
+    """Totals of all documents, those without tokens too, by each of COUNTERS and by the tokenizer; a batch a version."""
+    spark = documents.sparkSession
+    bound_batches(spark)
+    versions = {v: count(F.col("text"), v) for v in COUNTERS} | {name: encoded(F.col("text"), tokenizer)}
+    counts = materialize(documents.select("source", "lang", *[c.alias(v) for v, c in versions.items()]))
+    none = F.lit(None).cast("struct<source:string,lang:string,tokenizer:string,n_tokens:bigint>")
+    rollup = Rollup(spark, path)
+    for v in versions:
+        new = F.struct("source", "lang", F.lit(v).alias("tokenizer"), F.col(v).alias("n_tokens"))
+        rollup.commit(v, counts.select(F.lit("insert").alias("op"), none.alias("old"), new.alias("new")))
+    return rollup.totals()

@@ -355,3 +355,16 @@ def test_rollup_life_cycle(spark, docs, tmp_path):
             k = (r.source, r.lang, "words-2")
             want[k] = tuple(map(sum, zip(want.get(k, (0, 0)), (1, n))))
     assert {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in got} == want
+
+
+@pytest.mark.parametrize("make", [awkward, lambda spark: table(spark, "documents")])
+def test_rollup_counts_with_the_tokenizer(spark, make, tmp_path):
+    docs, tokenizer = make(spark), token_files.tokenizer_path()
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in token_counts.by_version(docs, str(tmp_path / "v"), tokenizer).collect()}
+    encode, want = token_files.encoder(tokenizer).whole, {}
+    for r in docs.select("source", "lang", "text").collect():
+        sizes = {v: len(re.findall(p, r.text or "")) for v, p in token_counts.COUNTERS.items()} | {"bpe-1": len(encode([r.text or ""])[0]) // 4}
+        for v, n in sizes.items():
+            a, b = want.get((r.source, r.lang, v), (0, 0))
+            want[r.source, r.lang, v] = (a + 1, b + n)
+    assert got == want and sum(d for d, _ in got.values()) == 3 * docs.count()
