@@ -70,10 +70,12 @@ QUERIES = {
 }
 
 
-#: Sizes, targets by the level at which no source is above its cap, places in hash order, and the document that fills the rest.
+#: From the contract: sizes, targets by the level at which no source is above its cap, copies one after another in the order
+#: of the id's hash as long as they end within the target, and one copy of one row that comes nearest to what is left.
 MIXING_SQL = r"""
 with recursive d as (
-    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(concat('7:', cast(doc_id as varchar))) as k
+    select row_number() over () as r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+        md5(concat('7:', cast(doc_id as varchar))) as k
     from documents
 ), s as (
     select source, sum(size) as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by 1
@@ -85,21 +87,20 @@ with recursive d as (
     from level where n < 40 and l is not null
 ), t as (
     select source, source_size, round(least(cast(3 * source_size as double), w * (select max(l) from level)), 6) as target from s
-), p as (
-    select doc_id, d.source, size, k, source_size, target,
-        coalesce(sum(size) over (partition by d.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as b
-    from d join t on t.source is not distinct from d.source
-), c as (
-    select *, case when size > 0 then greatest(0, least(3, floor((target - b - size) / source_size + 1e-9) + 1)) else 0 end as copies from p
-), r as (
-    select source, max(target) - sum(size * copies) as rest from c group by 1
-), f as (
-    select c.source, k, size, row_number() over (partition by c.source order by abs(rest - size), k, size) as nth
-    from c join r on r.source is not distinct from c.source where copies < 3 and size > 0 and abs(rest - size) < rest
+), copies as (
+    select r, d.source, size, k, target, sum(size) over (partition by d.source order by e, k, r) as ends
+    from d join t on t.source is not distinct from d.source, range(3) as x(e) where size > 0
+), whole as (
+    select r, source, size, k, count(*) filter (ends <= floor(target + 1e-6)) as n, max(floor(target + 1e-6)) as room from copies group by 1, 2, 3, 4
+), rest as (
+    select source, max(room) - sum(size * n) as left_over from whole group by 1
+), one as (
+    select r, row_number() over (partition by w.source order by abs(left_over - size), k, r) as nth
+    from whole w join rest on rest.source is not distinct from w.source where n < 3 and abs(left_over - size) < left_over
 )
-select doc_id, cast(c.size as bigint) as size, cast(source_size as bigint) as source_size, target,
-    cast(c.size * least(3, copies + case when f.k is not null then 1 else 0 end) as bigint) as taken
-from c left join f on f.nth = 1 and f.source is not distinct from c.source and f.k = c.k and f.size = c.size
+select doc_id, cast(d.size as bigint) as size, cast(source_size as bigint) as source_size, target,
+    cast(d.size * (coalesce(whole.n, 0) + case when one.r is not null then 1 else 0 end) as bigint) as taken
+from d join t on t.source is not distinct from d.source left join whole on whole.r = d.r left join one on one.nth = 1 and one.r = d.r
 """
 
 WARC_SQL = """

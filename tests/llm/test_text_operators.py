@@ -98,6 +98,34 @@ def test_mixing_takes_come_near_the_targets_and_repeat(spark):
     assert a.exceptAll(b).count() == 0
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_mixing_takes_one_copy_of_one_row(spark, seed, monkeypatch):
+    rows = [(1, "ten words " * 5, "a")] * 50 + [(2, "ten words " * 5, "a")] * 3 + [(3, "one two three", "a"), (None, None, "a"), (4, "", "b")]
+    rows += [(10 + i % 5, "word " * (i % 7), "b") for i in range(60)] + [(100 + i, "w " * 40, None) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.digest(d, seed=seed).collect()
+    assert len(got) == len(rows) and all(r.taken % r.size == 0 and r.taken <= 3 * r.size for r in got if r.size)
+    by = {}
+    for r in got:
+        size, target, taken = by.get(r.source_size, (0, r.target, 0))
+        by[r.source_size] = (max(size, r.size), target, taken + r.taken)
+    assert len(by) == 3 and all(abs(target - taken) <= size / 2 + 1 for size, target, taken in by.values())
+    out = mixing.schedule(d, seed=seed)
+    assert out.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r.taken for r in got)
+    monkeypatch.setattr(mixing, "ROWS", 2)  # the search for the demand's end goes down bucket by bucket
+    monkeypatch.setattr(mixing, "LINE_ROWS", 20)
+    again = mixing.digest(d, seed=seed).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_mixing_of_equal_rows_alone(spark):
+    rows = [(1, "ten words " * 5, "a")] * 50 + [(i, "ten words " * 20, "b") for i in range(2, 16)]
+    got = mixing.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source_size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == source_size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].size / 2
+
+
 def test_schedule_positions_invert_the_demand(spark):
     d = table(spark, "documents", "/root/testdata/sf0.01")
     rows = mixing.schedule(d)
