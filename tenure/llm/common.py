@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the contracts that split on ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word of the contracts that split on ASCII white space; Java looks single characters up in a bit set, a range not.
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 ARROW_ROWS = 500
 #: Small sides up to this many rows may be broadcast; beyond it a salted shuffle join is used.
 BROADCAST_ROWS = 200_000

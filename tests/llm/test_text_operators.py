@@ -373,6 +373,40 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
         again.commit("../x", rows())
 
 
+@pytest.mark.parametrize("before", [False, True])
+def test_a_commit_during_compaction_counts_once(spark, tmp_path, monkeypatch, before):
+    key = "struct<source:string,lang:string,tokenizer:string,n_tokens:bigint>"
+    one = spark.createDataFrame([("insert", None, ("a", "en", "v1", 5))], f"op string, old {key}, new {key}")
+    r, other = (token_counts.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    total = lambda: [tuple(x) for x in r.totals().select("documents", "tokens").collect()]
+    r.commit("b0", one)
+    if before:
+        r.compact()
+    r.commit("b1", one)
+    plain, pending = r._sums, []
+
+    def sums(*state):  # a batch is committed after the listing was taken
+        if not pending:
+            pending.append(other.commit("late", one))
+        return plain(*state)
+
+    early = r.totals()
+    monkeypatch.setattr(r, "_sums", sums)
+    assert r.compact() and pending == [True] and total() == [(3, 15)]
+    assert early.agg(F.sum("tokens")).first()[0] == 10  # read after the compaction
+    assert not r.commit("late", one) and not r.commit("b1", one) and not r.commit("b0", one)
+    for _ in range(3):
+        assert r.compact() and total() == [(3, 15)]
+    assert not other.commit("late", one) and r._names("batches") == [] and len(r._names("snapshots")) == 2
+
+
+def test_counters_equal_their_patterns(spark):
+    text = "".join(map(chr, range(1, 0x180))) + "a\x00b ü🙂中 _x"
+    d = spark.createDataFrame([(text,), (text[::-1],), (" ".join(text),), (None,)], "t string")
+    for v, p in {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}.items():
+        assert [r[1] for r in d.select("t", token_counts.count(F.col("t"), v)).collect()] == [len(re.findall(p, x or "")) for x in (text, text[::-1], " ".join(text), None)]
+
+
 @pytest.mark.parametrize("docs", [awkward, empty])
 def test_rollup_life_cycle(spark, docs, tmp_path):
     d = docs(spark)
