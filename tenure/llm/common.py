@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 ARROW_ROWS = 500
 #: Small sides up to this many rows may be broadcast; beyond it a salted shuffle join is used.
 BROADCAST_ROWS = 200_000
+#: ... if their strings and arrays take up to this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -64,11 +66,14 @@ def join_small(
 ) -> DataFrame:
     """Join a large side to one that is expected to be small, without trusting that it is.
 
-    ``small`` is broadcast if it has at most BROADCAST_ROWS rows (``rows``, or else counted here); otherwise it
-    is replicated ``salts`` times and joined by (keys, salt), so that a key with a third of all rows is dealt
-    over ``salts`` tasks. Keys are compared null-safe. Columns of the same name keep those of ``big``.
+    ``small`` is broadcast if it has at most BROADCAST_ROWS rows (``rows``, if its columns are short, or else counted
+    here) of BROADCAST_BYTES in all; otherwise it is replicated ``salts`` times and joined by (keys, salt), so that a key
+    with a third of all rows is dealt over ``salts`` tasks. Keys are compared null-safe. Columns of the same name keep those
+    of ``big``.
     """
-    rows = small.count() if rows is None else rows
+    if rows is None:
+        rows, size = small.agg(F.count("*"), F.sum(_bytes(small))).first()
+        rows = rows if (size or 0) <= BROADCAST_BYTES else BROADCAST_ROWS + 1
     renamed = small.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys and c not in big.columns]
     )
@@ -82,6 +87,17 @@ def join_small(
     return out.drop(*[f"__k_{k}" for k in keys])
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    total = F.lit(8 * len(df.columns))
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif t.startswith("array"):
+            total = total + 16 * F.greatest(F.size(c), F.lit(0))
+    return total
+
+
 def n_words(text: Column) -> Column:
     """Words split by ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

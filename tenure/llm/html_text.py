@@ -1,22 +1,27 @@
 """Main text of web pages: markup roles, and differencing against the page with the nearest URL.
 
-A page is cut into lines, one per block element. Pages are sorted by host and path; each is paired with the neighbour
-of its host that shares the longer beginning of the path, their lines are aligned by a longest common subsequence, and
-lines that both have are deleted as template. Two rules keep what is no template: lines inside an explicit article are
-never deleted (articles are copied and quoted from page to page), and a neighbour that is a copy of the page is passed
-over for the next. A copy has nearly all of what is left of the page without the lines that at least half of the
-further, different neighbours have too (three pages before and after are looked at); without a further neighbour, nearly
-all of its lines. So with less than two different pages in reach (small hosts, long runs of copies) a page whose lines
-are nearly all template keeps them, and a run of near copies that fills the neighbourhood is taken for pages of a template. Blocks whose markup says what they are
-(navigation, header, footer, aside, form, script, style; class, id or role of a menu, advert, notice, sidebar, comment)
-are dropped in any case.
+A page is cut into lines, one per block element. Elements and roles whose meaning is furniture (navigation, header,
+footer, aside, form, script, style) settle their lines: these are dropped. An explicit article settles its lines as well:
+they stay, and no class word drops the article, an element that holds it, or a part of it but comments, adverts, notices,
+subscriptions and share boxes. The other lines are open. Pages are sorted by host and path; each is paired with the
+neighbour of its host that shares the longer beginning of the path, their lines are aligned by a longest common
+subsequence, and open lines that both have are deleted as template. Of what is left, lines under a class or id that names
+furniture (a whole word, or the first or last of a compound such as ``site-footer``) go too; lines of the main element,
+or of the page if it has none, stay. Beside an article they stay only where there was another page to compare with.
+
+A neighbour that is a copy of the page is passed over for the next. A copy has nearly all of what is left of the page
+without the lines that at least half of the further, different neighbours have too (three pages before and after are
+looked at); without a further neighbour, nearly all of its lines. So with less than two different pages in reach (small
+hosts, long runs of copies) a page whose lines are nearly all template keeps them, and a run of near copies that fills the
+neighbourhood is taken for pages of a template.
 
 Pairing moves hashes of lines only. Positions in the order of URLs come from a range sort and the parts' row counts, so
 a host with a third of all pages is spread like any other. The pages' html is never shuffled unless more pages have
-deletions than may be broadcast.
+open lines than may be broadcast. An alignment takes memory in proportion to the lines of the two pages.
 
 Edge cases: null and empty html give an empty text; a null url has no host and is paired with nothing; repeated rows
-are returned each; an empty table gives an empty result. Other columns of the input are not looked at.
+are returned each, equal rows with equal texts; an empty table gives an empty result. Other columns of the input are not
+looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -52,19 +58,30 @@ BLOCK = words(
     "tfoot th thead tr ul"
 )
 DROPPED = RAW | words("head nav footer aside form button select dialog menu svg object canvas audio video map search")
+#: Elements of DROPPED that may wrap a whole page; an article inside is the page's.
+WRAPPERS = words("form")
 ROLES = words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar")
+#: Words of a class or id that name furniture outside an article.
 MARKS = words(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
     "notice notices popup modal overlay newsletter subscribe subscription signup sidebar sidebars widget widgets menu menus nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager share sharing social comment comments commentlist disqus respond replies footer "
-    "login related recommended"
+    "login related recommended header masthead banner search toolbar topbar"
 )
-#: These name a page's parts outside an article, but an article's own inside it.
-OUTER_MARKS = words("header masthead banner search toolbar topbar")
+#: What they name inside an article: alone, or before a word for a box.
+INNER = words(
+    "ad ads advert adverts advertisement advertising adsense sponsored promo comment comments commentlist disqus respond replies share "
+    "sharing social newsletter subscribe subscription signup cookie cookies consent popup modal overlay sidebar"
+)
+BOXES = words("area list section box bar button buttons links slot banner container wrapper unit form thread widget block signup notice icons tools")
+#: Before a mark these say that something has it, not that it is it.
+HAVING = words("has have with without no is not show hide hidden")
 #: A neighbour with this share of a page's own lines is a copy.
 COPY = 0.8
 #: Pages before and after that are looked at.
 REACH = 3
+#: Bits of a table that an alignment holds.
+TABLE = 1 << 26
 
 
 def path_key(url: str | None) -> tuple[str | None, str | None]:
@@ -76,49 +93,116 @@ def path_key(url: str | None) -> tuple[str | None, str | None]:
         return None, None
 
 
-def _dropped(name: str, rest: str, inside: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside:
-        return True
-    if "=" not in rest or name in ("html", "body", "main"):
-        return False
+#: What is known of a line: settled as text, open, or under a class word that names furniture.
+FIXED, OPEN, MARKED = 0, 1, 2
+
+
+def _named(rest: str, marks: frozenset[str], inside: bool) -> bool:
+    """Whether a class or id names furniture, by a whole word or one at its place in a compound."""
     for key, *value in ATTRIBUTE.findall(rest):
-        key, text = key.lower(), "".join(value).lower()
-        if key == "role" and text in ROLES and not (inside and text == "banner"):
-            return True
-        if key in ("class", "id"):
-            marks = set(re.split(r"[^a-z0-9]+", text))
-            if marks & MARKS or not inside and marks & OUTER_MARKS:
+        if key.lower() not in ("class", "id"):
+            continue
+        for token in "".join(value).lower().split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+            if len(parts) == 1 and parts[0] in marks:
+                return True
+            if len(parts) < 2 or parts[0] in HAVING:
+                continue
+            if inside and parts[0] in marks and parts[-1] in BOXES or not inside and (parts[0] in marks or parts[-1] in marks):
                 return True
     return False
 
 
+def _role(rest: str) -> str:
+    return next(("".join(v).lower() for k, *v in ATTRIBUTE.findall(rest) if k.lower() == "role"), "") if "role" in rest.lower() else ""
+
+
+@dataclass(frozen=True)
+class _Place:
+    """Where a line lies: in an article or main element, in settled furniture (``out``), under the marked element ``mark``."""
+
+    article: bool = False
+    main: bool = False
+    out: bool = False
+    wrapped: bool = False
+    mark: int = 0
+
+    def inside(self, name: str, rest: str, number: int) -> _Place:
+        """The place within a child element."""
+        if self.out and not self.wrapped:
+            return self
+        if name == "article":
+            return replace(self, article=True, out=False, wrapped=False)
+        if name in ("html", "body"):
+            return self
+        role = _role(rest) if "=" in rest else ""
+        if name == "main" or role == "main":
+            return replace(self, main=True, out=False, wrapped=False)
+        settled = self.article or self.main
+        if name in DROPPED or name == "header" and not settled or role in ROLES and not (settled and role == "banner"):
+            return replace(self, out=True, wrapped=name in WRAPPERS and not settled)
+        if "=" in rest and not self.mark and not self.out:
+            if self.article:
+                return replace(self, out=True, wrapped=False) if _named(rest, INNER, True) else self
+            if _named(rest, MARKS, False):
+                return replace(self, mark=number)
+        return self
+
+
+def blocks_of(html: str | None) -> list[tuple[str, int]]:
+    """The lines that no furniture element holds, in page order, and what is known of each."""
+    lines, found = [], _parsed(html)
+    marked = {place.mark for _, place in found if place.article and place.mark}
+    free = any(place.article and not place.mark for _, place in found)
+    # an article under a mark is the page's if there is no other; then the mark says nothing
+    released = set() if free else marked
+    mains = any(place.main and (not place.mark or place.mark in released) for _, place in found)
+    for line, place in found:
+        mark = place.mark and place.mark not in released
+        if place.article and not mark:
+            lines.append((line, FIXED))
+        elif mark:
+            lines.append((line, MARKED))
+        else:
+            lines.append((line, OPEN if place.main or not mains else MARKED))
+    return lines
+
+
 def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
-    """The text blocks that are not dropped by their markup, in page order, and whether each lies in an article.
+    """The lines of a page that is compared with nothing, and whether each lies in an article."""
+    kept = kept_lines(blocks_of(html), (), False)
+    return [x for x, _ in kept], [k == FIXED for _, k in kept]
 
-    If the page has an article, only that counts; else its main element; else all that is left.
-    """
+
+def kept_lines(blocks: list[tuple[str, int]], deleted, compared: bool) -> list[tuple[str, int]]:
+    """Settled lines, and open lines that aren't deleted; beside an article only where differencing had another page."""
+    opened, gone = compared or all(k != FIXED for _, k in blocks), set(deleted)
+    return [(x, k) for i, (x, k) in enumerate(blocks) if k == FIXED or k == OPEN and opened and i not in gone]
+
+
+def _parsed(html: str | None) -> list[tuple[str, _Place]]:
     source, at, size = html or "", 0, len(html or "")
-    stack: list[str] = []
-    drop = article = main = 0  # stack heights at which the outermost such element began, plus one; 0: none
-    lines: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, _Place]] = []
+    here, number = _Place(), 0
+    lines: list[tuple[str, _Place]] = []
     text: list[str] = []
 
     def close() -> None:
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            lines.append((line, bool(article), bool(main)))
+            lines.append((line, here))
 
     def pop(height: int) -> None:
-        nonlocal drop, article, main
+        nonlocal here
+        here = stack[height][1]
         del stack[height:]
-        drop, article, main = (x if x <= height else 0 for x in (drop, article, main))
 
     while at < size:
         less = source.find("<", at)
         if less < 0:
             less = size
-        if less > at and not drop:
+        if less > at and not here.out:
             text.append(entities.unescape(source[at:less]))
         m = TOKEN.match(source, less) if less < size else None
         if not m:
@@ -127,7 +211,7 @@ def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
                 if after == "/" or after.isalpha() and after.isascii():  # a tag with a stray quote, or "</" and no name
                     at = LOOSE_END.match(source, less + 1).end()
                     continue
-                if not drop:
+                if not here.out:
                     text.append("<")
             at = less + 1
             continue
@@ -141,13 +225,13 @@ def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
         if name in BLOCK:
             close()
         if m["end"]:
-            if name in stack:
-                height = len(stack) - 1 - stack[::-1].index(name)
+            height = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if height is not None:
                 pop(height)
             continue
         if name in VOID:
             continue
-        if name == "p" and stack and stack[-1] == "p" or name == "li" and stack and stack[-1] == "li":
+        if name in ("p", "li") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
@@ -155,39 +239,43 @@ def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
             continue
         if m["rest"].endswith("/") and name in ("svg", "canvas", "object"):
             continue
-        stack.append(name)
-        height = len(stack)
-        if not drop and _dropped(name, m["rest"], bool(article or main)):
-            drop = height
-        if not drop:
-            article = article or (height if name == "article" else 0)
-            main = main or (height if name == "main" or re.search(r"role\s*=\s*[\"']?main\b", m["rest"]) else 0)
+        stack.append((name, here))
+        number += 1
+        here = here.inside(name, m["rest"], number)
     close()
-    for k in (1, 2):
-        if any(x[k] for x in lines):
-            return [x[0] for x in lines if x[k]], [k == 1] * sum(x[k] for x in lines)
-    return [x[0] for x in lines], [False] * len(lines)
+    return lines
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``, by bit vectors: a row is one long integer."""
-    low, high = 0, min(len(a), len(b))
-    while low < high and a[low] == b[low]:
-        low += 1
-    tail = 0
-    while tail < high - low and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[low : len(a) - tail], b[low : len(b) - tail]
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """Row by row of the table of common subsequences, the places where it doesn't grow as bits of a long integer."""
     where: dict[int, int] = {}
     for j, v in enumerate(y):
         where[v] = where.get(v, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    row, rows = full, []
+    row = full = (1 << len(y)) - 1
     for v in x:
         u = row & where.get(v, 0)
         row = (row + u | row - u) & full
-        rows.append(row)
-    i, j, middle = len(x), len(y), []
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with each beginning of y, the empty one too."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _middle(x: list[int], y: list[int]) -> list[int]:
+    """Places in x of a longest common subsequence; a table of more than TABLE bits is halved instead of held."""
+    if not x or not y:
+        return []
+    if len(x) > 1 and len(x) * len(y) > TABLE:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _middle(x[:half], y[:cut]) + [half + p for p in _middle(x[half:], y[cut:])]
+    rows, i, j, out = list(_rows(x, y)), len(x), len(y), []
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
             j -= 1
@@ -195,14 +283,27 @@ def common(a: list[int], b: list[int]) -> list[int]:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            middle.append(low + i)
-    return [*range(low), *middle[::-1], *range(len(a) - tail, len(a))]
+            out.append(i)
+    return out[::-1]
 
 
-def shared_lines(own: list[int], fixed: list[bool], neighbours: list[tuple[int, list[int]]]) -> list[int]:
-    """Places of the lines to delete: those shared with the nearest neighbour that isn't a copy."""
-    if all(fixed):
-        return []
+def common(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``."""
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    tail = 0
+    while tail < high - low and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[low : len(a) - tail], b[low : len(b) - tail]
+    both = set(x) & set(y)
+    at, y = [i for i, v in enumerate(x) if v in both], [v for v in y if v in both]
+    middle = _middle([x[i] for i in at], y)
+    return [*range(low), *(low + at[p] for p in middle), *range(len(a) - tail, len(a))]
+
+
+def shared_lines(own: list[int], kinds: list[int], neighbours: list[tuple[int, list[int]]]) -> tuple[list[int], bool]:
+    """Places of the lines to delete, those shared with the nearest neighbour that isn't a copy; whether there is one."""
     different = {tuple(n): set(n) for _, n in neighbours if list(n) != own}
     for _, other in sorted(neighbours, key=lambda n: -n[0]):
         if list(other) == own:
@@ -211,11 +312,12 @@ def shared_lines(own: list[int], fixed: list[bool], neighbours: list[tuple[int,
         template = {x for x in own if further and 2 * sum(x in lines for lines in further) >= len(further)}
         places, left = common(own, other), sum(x not in template for x in own)
         if not left or sum(own[p] not in template for p in places) < COPY * left:
-            return [p for p in places if not fixed[p]]
-    return []
+            return [p for p in places if kinds[p] != FIXED], True
+    return [], False
 
 
-SIGNED = "page_id long, html_hash long, host string, path string, lines array<long>, fixed boolean"
+SIGNED = "page_id long, url string, html_hash long, host string, path string, lines array<long>, kinds array<tinyint>"
+ROW = ["page_id", "url", "html_hash"]
 
 
 def signatures(pages: DataFrame) -> DataFrame:
@@ -225,18 +327,21 @@ def signatures(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for page_id, url, html, h in zip(b["page_id"], b["url"], b["html"], b["h"], strict=True):
-                lines, fixed = lines_of(html)
-                hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
-                rows.append((None if pd.isna(page_id) else int(page_id), h, *path_key(url), hashes, bool(fixed and fixed[0])))
+                blocks = blocks_of(html)
+                hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in blocks]
+                rows.append((None if pd.isna(page_id) else int(page_id), url, h, *path_key(url), hashes, [k for _, k in blocks]))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SIGNED.split(", ")])
             yield out.astype({"page_id": "Int64"})
 
     return pages.select("page_id", "url", "html", F.xxhash64("html").alias("h")).mapInPandas(signed, SIGNED)
 
 
-def deletions(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``html_hash`` and ``deleted`` (line numbers) of the pages that lose lines to their neighbour."""
-    order = ["host", "path", "page_id", "html_hash"]
+def differenced(pages: DataFrame) -> DataFrame:
+    """ROW, ``deleted`` (numbers of the lines shared with the neighbour), ``compared`` and ``opened`` (has open lines).
+
+    A row for each different page that has lines to decide, or lines under a mark, and a host; equal rows have one.
+    """
+    order = ["host", "path", *ROW]
     ranged = signatures(pages).where("host is not null").repartitionByRange(*order).sortWithinPartitions(*order)
     n = F.monotonically_increasing_id()
     ranged = materialize(ranged.withColumn("part", F.shiftright(n, 33).cast("int")).withColumn("k", n.bitwiseAND((1 << 33) - 1)))
@@ -250,7 +355,7 @@ def deletions(pages: DataFrame) -> DataFrame:
     near = placed.select("at", "host", "path", "lines", steps).groupBy((F.col("at") + F.col("step")).alias("at")).agg(
         F.collect_list(F.struct(F.abs("step").alias("far"), "host", "path", "lines")).alias("near")  # a page's few neighbours
     )
-    paired = placed.where("not fixed").join(near, "at", "left")
+    paired = placed.where(F.exists("kinds", lambda k: k != FIXED)).join(near, "at", "left")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -258,13 +363,14 @@ def deletions(pages: DataFrame) -> DataFrame:
             for r in b.itertuples():
                 near = sorted((o for o in (() if r.near is None else r.near) if o["host"] == r.host), key=lambda o: o["far"])
                 near = [(_alike(r.path, o["path"]), list(o["lines"])) for o in near]
-                places = shared_lines(list(r.lines), [r.fixed] * len(r.lines), near)
-                if places:
-                    rows.append((None if pd.isna(r.page_id) else int(r.page_id), r.html_hash, places))
-            yield pd.DataFrame(rows, columns=["page_id", "html_hash", "deleted"]).astype({"page_id": "Int64"})
+                kinds = list(r.kinds)
+                places, told = shared_lines(list(r.lines), kinds, near)
+                rows.append((None if pd.isna(r.page_id) else int(r.page_id), r.url, r.html_hash, places, told, OPEN in kinds))
+            yield pd.DataFrame(rows, columns=[*ROW, "deleted", "compared", "opened"]).astype({"page_id": "Int64"})
 
-    found = paired.mapInPandas(compared, "page_id long, html_hash long, deleted array<int>")
-    return materialize(found).dropDuplicates(["page_id", "html_hash"])
+    found = paired.mapInPandas(compared, "page_id long, url string, html_hash long, deleted array<int>, compared boolean, opened boolean")
+    one = F.max(F.struct(F.size("deleted").alias("n"), "deleted", "compared", "opened")).alias("r")
+    return materialize(found.groupBy(*ROW).agg(one).select(*ROW, "r.deleted", "r.compared", "r.opened"))
 
 
 def _alike(a: str | None, b: str | None) -> int:
@@ -278,18 +384,17 @@ def _alike(a: str | None, b: str | None) -> int:
 
 
 @F.pandas_udf(T.StringType())
-def text_of(html: pd.Series, deleted: pd.Series) -> pd.Series:
+def text_of(html: pd.Series, deleted: pd.Series, compared: pd.Series) -> pd.Series:
     out = []
-    for page, gone in zip(html, deleted, strict=True):
-        lines = lines_of(page)[0]
-        skip = set() if gone is None else set(np.asarray(gone).tolist())
-        out.append("\n\n".join(x for i, x in enumerate(lines) if i not in skip))
+    for page, gone, told in zip(html, deleted, compared, strict=True):
+        gone = () if gone is None else np.asarray(gone).tolist()
+        out.append("\n\n".join(x for x, _ in kept_lines(blocks_of(page), gone, told is not None and bool(told))))
     return pd.Series(out, dtype=object)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
     rows = pages.select("page_id", "url", "html", F.xxhash64("html").alias("html_hash"))
-    rows = join_small(rows, deletions(pages), ["page_id", "html_hash"])
-    rows = rows.select("page_id", "url", text_of("html", "deleted").alias("text"))
+    rows = join_small(rows, differenced(pages).where("opened").drop("opened"), ROW)
+    rows = rows.select("page_id", "url", text_of("html", "deleted", "compared").alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -197,7 +197,71 @@ def test_main_text():
     assert ht.lines_of("")[0] == ht.lines_of(None)[0] == [] and ht.lines_of("a < b & c")[0] == ["a < b & c"]
 
 
-def test_longest_common_subsequence_equals_dynamic_programming():
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post has-sidebar"><p>text</p></article>',
+        '<div class="layout with-sidebar"><article><p>text</p></article><p class="sidebar">s</p></div>',
+        '<article class="post related"><p>text</p></article>',
+        '<article id="comment-policy"><p>text</p></article>',
+        '<article><section id="related-work"><p>text</p></section></article>',
+        '<article><ul class="menu-items"><li>text</li></ul></article>',
+        '<form id="page"><nav>n</nav><article><p>text</p></article></form>',
+        '<div class="menu"><article>text</article></div>',
+        '<article>text</article><div class="sidebar"><article>card</article></div><aside><article>card</article></aside>',
+        '<article><p>text</p><div class="share-buttons">x</div><div class="ad-slot">x</div><div id="comments">x</div><form>x</form></article>',
+        '<main class="has-comments"><p>text</p></main><p>outside</p>',
+        '<div class="main-nav">x</div><div class="cookie-notice">x</div><p>text</p><div class="site-footer">x</div><p class="no-comments"></p>',
+    ],
+)
+def test_class_words_drop_furniture_not_articles(page):
+    assert ht.lines_of(page)[0] == ["text"]
+
+
+def test_rows_with_one_id_have_their_own_neighbours(spark):
+    wrap = lambda x: f"<p>Site</p><p>Menu</p>{x}<p>x</p>"
+    twin = wrap("<p>T</p>")
+    rows = [(1, "http://a.example/1", twin), (1, "http://b.example/1", twin)]
+    rows += [(2, "http://a.example/2", "<p>Site</p><p>T</p><p>own</p>"), (3, "http://b.example/2", "<p>Menu</p><p>x</p><p>own</p>")]
+    df = spark.createDataFrame(rows * 2, "page_id long, url string, html string")
+    got = {(r.page_id, r.url): r.text.split() for r in ht.extract(df).collect()}
+    assert got[1, "http://a.example/1"] == ["Menu", "x"] and got[1, "http://b.example/1"] == ["Site", "T"]
+    assert ht.extract(df).count() == 8
+
+
+def test_open_lines_beside_an_article_are_compared(spark):
+    page = lambda i: f"<p>Site name</p><p>By author {i}</p><article><p>story</p><p>text {i}</p></article><div class=ad>buy</div><div class=ad>buy {i}</div>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(5)] + [(9, "http://z.example/", page(9))], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in ht.extract(df).collect()}
+    assert all(got[i] == [f"By author {i}", "story", f"text {i}"] for i in range(5)) and got[9] == ["story", "text 9"]
+    assert {r.page_id: list(r.deleted) for r in ht.differenced(df).collect()} == {**{i: [0, 4] for i in range(5)}, 9: []}
+
+
+def test_differencing_deletes_lines_of_the_test_pages(spark):
+    got = ht.differenced(table(spark, "pages", "/root/testdata/sf0.1"))
+    assert got.agg(F.sum(F.size("deleted"))).first()[0] > 0
+
+
+def test_a_very_long_page(spark, monkeypatch):
+    monkeypatch.setattr(ht, "TABLE", 1 << 12)
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 300, 3000).tolist() for _ in range(2))
+    places = ht.common(a, b)
+    monkeypatch.setattr(ht, "TABLE", 1 << 40)
+    assert len(places) == len(ht.common(a, b)) and places == sorted(set(places))
+    rest = iter(b)
+    assert all(a[i] in rest for i in places)
+    monkeypatch.undo()
+    n = 40_000
+    page = lambda i: "<p>Site</p>" + "".join(f"<p>line {(k * 7919 + i) % (2 * n)} {'' if k % 2 else i}</p>" for k in range(n))
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(2)], "page_id long, url string, html string")
+    got = ht.extract(df).collect()
+    assert len(got) == 2 and all("Site" not in r.text and r.text.count("\n\n") > n / 3 for r in got)
+
+
+@pytest.mark.parametrize("table_bits", [1 << 26, 4])
+def test_longest_common_subsequence_equals_dynamic_programming(monkeypatch, table_bits):
+    monkeypatch.setattr(ht, "TABLE", table_bits)
     rng = np.random.default_rng(1)
     for _ in range(500):
         a, b = (rng.integers(0, 4, rng.integers(0, 9)).tolist() for _ in range(2))
