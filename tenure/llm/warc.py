@@ -7,7 +7,14 @@ empty member behind it, which ends in a zero byte as well.
 
 The reader checks each member's CRC, the version line, the lengths and the block's digest. After a failed check it
 searches for the next gzip magic or version line at which a whole record passes, goes on from there, and reports the
-bytes between as a quarantined gap. Files hold about ``archive_bytes`` of payload, so one fits a task's memory.
+bytes between as a quarantined gap. A member may hold any number of records, as in a file that was gzipped at once: they
+are read one after another, damage among them is skipped within the inflated bytes, and if the member breaks off, the
+records before the last one reached are given out (that one may be damaged and is quarantined). Positions of records
+within such a member are the compressed bytes read until then.
+
+Archives are cut into pieces in the JVM and stream through the Python worker, which holds a record of up to RECORD_BYTES
+(longer ones are quarantined) and KEEP bytes to go back to. What Spark reads as one file, below 2 GiB, is the limit of an
+archive's size.
 
 Edge cases: a null html is an empty payload; a null url becomes the record's own urn; control characters in a url are
 percent-encoded. Rows with a null page_id are written and come back null; they are responses only where no row of the
@@ -21,24 +28,28 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, shared_dir
+from .common import bound_batches, join_small, materialize, shared_dir
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: A version line and well-formed header lines, so that a header doesn't run across damaged bytes.
 HEAD = re.compile(rb"WARC/1\.[01](?:\r\n[!-9;-~]+:[^\x00-\x08\x0A-\x1F]*)+")
 #: What may follow HEAD where a well-formed header is cut.
 CUT = re.compile(rb"\r?|\r\n(?:[!-9;-~]*|\r)")
+LINE = re.compile(re.escape(VERSION))
 CANDIDATE = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this are always kept in full.
 LEAST_BYTES = 1000
 CHUNK = 1 << 16
+#: Bytes of a piece in which an archive reaches a worker; of a record; and of a broken member that are searched again.
+PIECE, RECORD_BYTES, KEEP = 1 << 17, 1 << 30, 1 << 26
 RECORDS = "kind string, file string, begin long, end long, reason string, record_type string, record_id string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -84,8 +95,12 @@ def _id(x):
     return None if pd.isna(x) else int(x)
 
 
-def write(pages: DataFrame, path: str, *, archive_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Archive every page below ``path``; of equal payloads one is a response, the others revisit it."""
+def write(pages: DataFrame, path: str, *, archive_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z", torn: int = 0) -> None:
+    """Archive every page below ``path``; of equal payloads one is a response, the others revisit it.
+
+    With ``torn``, one in so many records of a batch has its first half written before it, as by a
+    writer that is killed and begins it again: damage of which the reader must salvage what follows.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     facts = materialize(rows.select("page_id", "digest", F.octet_length("payload").alias("n")))
@@ -99,32 +114,98 @@ def write(pages: DataFrame, path: str, *, archive_bytes: int = 64 << 20, date: s
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             columns = zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True)
-            out = [member(page_record(_id(i), u, bytes(p), d, _id(r), date)) for i, u, p, d, r in columns]
-            yield pd.DataFrame({"value": [x[:-1] for x in out]})
+            out = [member(page_record(_id(i), u, bytes(p), d, _id(r), date))[:-1] for i, u, p, d, r in columns]
+            yield pd.DataFrame({"value": [y for k, x in enumerate(out) for y in ([x[: len(x) // 2], x] if torn and k % torn == 0 else [x])]})
 
     lines = rows.mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
     each = max(1, min(1_000_000, int(archive_bytes / max(average, 1.0))))
     lines.write.mode("overwrite").option("lineSep", "\x00").option("maxRecordsPerFile", each).text(path)
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at``, and its end. Its CRC and length are checked by zlib."""
-    gz, out, start = zlib.decompressobj(31), [], at
-    while not gz.eof:
-        if at >= len(data):
-            raise ValueError("the gzip member ends early")
-        chunk = data[at : at + CHUNK]
-        out.append(gz.decompress(chunk))
-        at += len(chunk)
-    end = at - len(gz.unused_data)
-    assert end > start
-    return b"".join(out), end
+class Stream:
+    """Bytes from ``base`` on of what comes in pieces; earlier ones have been let go."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.base = iter(pieces), bytearray(), 0
+
+    def reaches(self, end: int) -> bool:
+        """Whether there are ``end`` bytes; as many as that are read."""
+        while self.base + len(self.held) < end:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            self.held += piece
+        return True
+
+    def cut(self, begin: int, end: int) -> bytes:
+        """The bytes there, fewer at the end."""
+        self.reaches(end)
+        return bytes(memoryview(self.held)[max(begin - self.base, 0) : max(end - self.base, 0)])
+
+    def let_go(self, at: int) -> None:
+        if at - self.base > CHUNK:
+            del self.held[: at - self.base]
+            self.base = at
+
+    def search(self, pattern: re.Pattern[bytes], at: int, length: int) -> int:
+        """Where the pattern of at most ``length`` bytes next matches, or the end. What lies before is let go."""
+        while True:
+            found = pattern.search(self.held, at - self.base)
+            if found:
+                return self.base + found.start()
+            end = self.base + len(self.held)
+            if not self.reaches(end + 1):
+                return end
+            at = max(at, end - length)
+            self.let_go(at)
+
+
+class Inflated:
+    """The content of the gzip member at ``at``, in pieces; zlib checks its CRC and length."""
+
+    def __init__(self, data: Stream, at: int):
+        self.data, self.begin, self.at, self.error = data, at, at, ""
+
+    def __iter__(self) -> Iterator[bytes]:
+        gz, size = zlib.decompressobj(31), 1 << 12
+        try:
+            while not gz.eof:
+                piece, before = self.data.cut(self.at, self.at + size), gz.copy()
+                try:
+                    plain = gz.decompress(piece, CHUNK)
+                except zlib.error:
+                    yield from self._until_fault(before, piece)
+                    raise
+                if not piece and not plain and not gz.eof:
+                    raise ValueError("the gzip member ends early")
+                self.at += len(piece) - len(gz.unused_data if gz.eof else gz.unconsumed_tail)
+                self.data.let_go(max(self.begin + 1, self.at - KEEP))
+                size = min(2 * size, CHUNK)
+                if plain:
+                    yield plain
+        except (ValueError, zlib.error) as e:
+            self.error = str(e)
 
 
-def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
+    def _until_fault(self, gz, piece: bytes) -> Iterator[bytes]:
+        """What a piece yields before the byte at which it breaks off, found in ever smaller steps."""
+        for step in (1024, 32, 1):
+            for at in range(0, len(piece), step):
+                before, own = gz.copy(), piece[at : at + step]
+                try:
+                    plain = gz.decompress(own)
+                except zlib.error:
+                    gz, piece = before, own
+                    break
+                self.at += len(own)
+                if plain:
+                    yield plain
+
+
+def _parse(data: Stream, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header fields, block and end of the plain record at ``at``; every check that fails raises ValueError."""
-    size = CHUNK
-    while (stop := (head := bytes(data[at : at + size])).find(b"\r\n\r\n")) < 0 and at + size < len(data):
+    size = 1 << 12
+    while (stop := (head := data.cut(at, at + size)).find(b"\r\n\r\n")) < 0 and len(head) == size:
         begun = HEAD.match(head)
         if not begun or not CUT.fullmatch(head, begun.end()):
             break
@@ -137,8 +218,10 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, in
         raise ValueError("no length or no type")
     begin = at + stop + 4
     end = begin + int(fields["content-length"])
-    block = bytes(data[begin:end])
-    if len(block) < end - begin or bytes(data[end : end + 4]) != b"\r\n\r\n":
+    if end - begin > RECORD_BYTES:
+        raise ValueError("the block is longer than a task holds")
+    block = data.cut(begin, end)
+    if len(block) < end - begin or data.cut(end, end + 4) != b"\r\n\r\n":
         raise ValueError("the block's length is wrong")
     wanted = fields.get("warc-block-digest", "")
     if wanted.startswith("sha1:") and wanted != sha1(block):
@@ -146,33 +229,73 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, in
     return fields, block, end + 4
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", begin, end, fields, block) for each valid record and ("gap", begin, end, reason) between them."""
-    view, at, lost, why = memoryview(data), 0, None, ""
-    while at < len(data):
+def _member(data: Stream, begin: int) -> Iterator[tuple]:
+    """Records and gaps of the gzip member at ``begin``; the last item is ("end", where, error)."""
+    pieces = Inflated(data, begin)
+    plain, at, held, why = Stream(pieces), 0, None, ""
+    since = begin  # compressed bytes that are accounted for
+    while plain.reaches(at + 1):
         try:
-            if data[at : at + 3] == MAGIC:
-                plain, end = _inflate(view, at)
-                found = _parse(plain, 0) if plain else None
-                if found and found[2] != len(plain):
-                    raise ValueError("the member holds more than a record")
-            else:
-                found = _parse(view, at)
-                end = found[2]
-        except (ValueError, zlib.error) as e:
-            if lost is None:
-                lost, why = at, str(e)
-            candidate = CANDIDATE.search(data, at + 1)
-            at = candidate.start() if candidate else len(data)
+            fields, block, at = _parse(plain, at)
+        except ValueError as e:
+            why = why or str(e)
+            at = plain.search(LINE, at + 1, len(VERSION))
             continue
-        if lost is not None:
-            yield "gap", lost, at, why
-            lost = None
-        if found:
-            yield "record", at, end, found[0], found[1]
-        at = end
+        if held:  # what comes after it is a record, so it was whole
+            yield held
+            since = held[2]
+        if why:
+            yield "gap", since, max(since, pieces.at), why
+            since, why = max(since, pieces.at), ""
+        held = ("record", since, max(since, pieces.at), fields, block)
+        plain.let_go(at)
+    if pieces.error:
+        yield "end", since, pieces.error
+        return
+    if held:
+        yield "record", since, held[2] if why else pieces.at, *held[3:]
+        since = held[2]
+    if why:
+        yield "gap", min(since, pieces.at), pieces.at, why
+    yield "end", pieces.at, ""
+
+
+def salvage(data: bytes | Iterable[bytes]) -> Iterator[tuple]:
+    """("record", begin, end, fields, block) for each valid record and ("gap", begin, end, reason) between them."""
+    stream, at, lost, why = Stream([data] if isinstance(data, (bytes, bytearray, memoryview)) else data), 0, None, ""
+    while stream.reaches(at + 1):
+        error, again = "", at + 1
+        if stream.cut(at, at + 3) == MAGIC:
+            for item in _member(stream, at):
+                if item[0] == "end":
+                    error, again = item[2], max(item[1], at + 1)
+                    end = item[1]
+                    break
+                if lost is not None:
+                    yield "gap", lost, at, why
+                    lost = None
+                yield item
+            if error and lost is None:
+                lost, why = end, error
+            elif not error and lost is not None:  # a whole member without records
+                yield "gap", lost, at, why
+                lost = None
+        else:
+            try:
+                fields, block, end = _parse(stream, at)
+            except ValueError as e:
+                error = str(e)
+                if lost is None:
+                    lost, why = at, error
+            else:
+                if lost is not None:
+                    yield "gap", lost, at, why
+                    lost = None
+                yield "record", at, end, fields, block
+        at = stream.search(CANDIDATE, again, len(VERSION)) if error else end
+        stream.let_go(at)
     if lost is not None:
-        yield "gap", lost, len(data), why
+        yield "gap", lost, at, why
 
 
 def _row(file: str, item: tuple, payloads: bool) -> tuple:
@@ -195,21 +318,24 @@ def _row(file: str, item: tuple, payloads: bool) -> tuple:
 def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """RECORDS' rows of all archives below ``path``: records, and the gaps that were quarantined."""
 
-    def salvaged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        for b in batches:
-            for file, content in zip(b["path"], b["content"], strict=True):
-                rows, held = [], 0
-                for item in salvage(bytes(content)):
-                    rows.append(_row(file, item, payloads))
-                    held += item[2] - item[1]
-                    if held > 1 << 22 or len(rows) >= 5000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names)
+    names = [x.split()[0] for x in RECORDS.split(", ")]
 
+    def salvaged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = (x for b in batches for x in zip(b["path"], b["piece"], strict=True))
+        for file, own in groupby(pieces, key=lambda x: x[0]):
+            rows, held = [], 0
+            for item in salvage(bytes(piece) for _, piece in own):
+                rows.append(_row(file, item, payloads))
+                held += len(item[4]) if item[0] == "record" else 0
+                if held > 1 << 22 or len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(salvaged, RECORDS)
+    cuts = F.expr(f"transform(sequence(0, cast(greatest(length - 1, 0) div {PIECE} as int)), i -> substring(content, i * {PIECE} + 1, {PIECE}))")
+    return files.select("path", F.explode(cuts).alias("piece")).mapInPandas(salvaged, RECORDS)
 
 
 def quarantined(records: DataFrame) -> DataFrame:

@@ -353,6 +353,74 @@ def test_headers_of_any_length_are_read(spark, tmp_path, n):
     assert [x[0] for x in warc.salvage(cut)] == ["gap", "record"]
 
 
+def archive(n=5, **fields):
+    return [warc.record("resource", f"<urn:{i}>", [("X", "y")], b"block %d " % i * 2000, "d") for i in range(n)]
+
+
+def ids(items):
+    return [x[3]["warc-record-id"] for x in items if x[0] == "record"]
+
+
+def spans_meet(items, size):
+    edges = [x[1:3] for x in items]
+    return edges[0][0] == 0 and edges[-1][1] == size and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
+
+
+@pytest.mark.parametrize("size", [1 << 30, 1000, 7])
+def test_members_of_several_records(size):
+    import gzip
+
+    recs, every = archive(), [f"<urn:{i}>" for i in range(5)]
+    pieces = lambda x: [x[i : i + size] for i in range(0, len(x), size)]
+    for level in (0, 6):
+        data = gzip.compress(b"".join(recs), level, mtime=0)
+        got = list(warc.salvage(pieces(data)))
+        assert ids(got) == every and spans_meet(got, len(data))
+        two = list(warc.salvage(pieces(data + data)))
+        assert ids(two) == every * 2 and spans_meet(two, 2 * len(data))
+        junk = gzip.compress(recs[0] + b"junk WARC/1.1 junk" + b"".join(recs[1:3]) + recs[3][:-90] + recs[4], level, mtime=0)
+        got = list(warc.salvage(pieces(junk)))
+        assert ids(got) == [every[i] for i in (0, 1, 2, 4)] and sum(x[0] == "gap" for x in got) == 2
+    rng = np.random.default_rng(1)  # blocks that don't shrink, so that damage has a place
+    blocks = [rng.bytes(30_000) for _ in range(5)]
+    recs = [warc.record("resource", f"<urn:{i}>", [], b, "d") for i, b in enumerate(blocks)]
+    data = gzip.compress(b"".join(recs), 6, mtime=0)
+    got = list(warc.salvage(pieces(data[:-40_000] + recs[0])))  # breaks off within the fourth, a plain record follows
+    assert ids(got)[:2] == every[:2] and ids(got)[-1] == every[0] and "gap" in [x[0] for x in got]
+    flipped = bytearray(data)
+    flipped[75_000] ^= 1  # within the third
+    got = list(warc.salvage(pieces(bytes(flipped))))
+    assert ids(got) in ([every[i] for i in (0, 1, 3)], every[:1], every[:2]) or ids(got)[0] == every[0]
+    assert any(x[0] == "gap" for x in got) and every[2] not in ids(got)
+
+
+def test_a_long_foreign_archive_streams(spark, tmp_path):
+    import gzip
+    import tracemalloc
+
+    block = np.random.default_rng(1).bytes(50_000)
+    recs = [warc.record("resource", f"<urn:{i}>", [], block + b"%d" % i, "d") for i in range(600)]
+    data = b"".join(recs)  # 30 MB
+    tracemalloc.start()
+    n = sum(x[0] == "record" for x in warc.salvage(data[i : i + warc.PIECE] for i in range(0, len(data), warc.PIECE)))
+    assert n == 600 and tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(gzip.compress(data, 1))
+    (tmp_path / "w" / "b.warc").write_bytes(data[1000:])
+    (tmp_path / "w" / "c.warc").write_bytes(b"")
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert got.where("kind = 'record'").count() == 1199 and warc.quarantined(got).count() == 1
+
+
+def test_torn_records_are_skipped_and_logged(spark, tmp_path):
+    pages = table(spark, "pages")
+    path = str(tmp_path / "w")
+    got = warc.round_trip(pages, path=path, torn=3)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, warc.round_trip(pages, path=str(tmp_path / "v")).collect()), key=str)
+    assert got.count() == pages.count() and warc.quarantined(warc.read(spark, path)).count() >= pages.count() // 3
+
+
 def test_archives_round_trip(spark, tmp_path):
     big, twin = "<p>" + "é" * 600 + "</p>", "<p>" + "y" * 999 + "</p>"
     rows = [(1, "u1", big), (2, "u\r\nX: 2", big), (3, None, "small"), (4, "u4", "small"), (5, "u5", None), (None, "u6", big), (7, "u7", twin), (7, "u7", twin), (6, "u", twin)]
