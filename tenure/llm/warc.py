@@ -232,8 +232,8 @@ def _parse(data: Stream, at: int) -> tuple[dict[str, str], bytes, int]:
 def _member(data: Stream, begin: int) -> Iterator[tuple]:
     """Records and gaps of the gzip member at ``begin``; the last item is ("end", where, error)."""
     pieces = Inflated(data, begin)
-    plain, at, held, why = Stream(pieces), 0, None, ""
-    since = begin  # compressed bytes that are accounted for
+    plain, at, pending, why = Stream(pieces), 0, [], ""
+    since = begin  # compressed bytes that what has been given out accounts for
     while plain.reaches(at + 1):
         try:
             fields, block, at = _parse(plain, at)
@@ -241,20 +241,23 @@ def _member(data: Stream, begin: int) -> Iterator[tuple]:
             why = why or str(e)
             at = plain.search(LINE, at + 1, len(VERSION))
             continue
-        if held:  # what comes after it is a record, so it was whole
-            yield held
-            since = held[2]
+        if pending:  # what comes after it is a record, so it was whole
+            yield from pending
+            since = pending[-1][2]
+        here, pending = max(since, pieces.at), []
         if why:
-            yield "gap", since, max(since, pieces.at), why
-            since, why = max(since, pieces.at), ""
-        held = ("record", since, max(since, pieces.at), fields, block)
+            pending.append(("gap", since, here, why))
+        pending.append(("record", here if why else since, here, fields, block))
+        why = ""
         plain.let_go(at)
     if pieces.error:
         yield "end", since, pieces.error
         return
-    if held:
-        yield "record", since, held[2] if why else pieces.at, *held[3:]
-        since = held[2]
+    if pending:
+        yield from pending[:-1]
+        _, first, last, *record = pending[-1]
+        since = last if why else pieces.at
+        yield "record", first, since, *record
     if why:
         yield "gap", min(since, pieces.at), pieces.at, why
     yield "end", pieces.at, ""
