@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts that split on ASCII white space; Java looks single characters up in a bit set, a range not.
@@ -87,6 +87,22 @@ def join_small(
     return out.drop(*[f"__k_{k}" for k in keys])
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``__nth``: their number among the rows of their keys, without a task that holds all of them.
+
+    The rows are written down, as their numbers must not change when a task is run again.
+    """
+    n = F.monotonically_increasing_id()
+    rows = materialize(rows.withColumns({"__part": F.shiftright(n, 33).cast("int"), "__k": n}))
+    own = [*keys, "__part"]
+    parts = rows.groupBy(*own).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    parts = materialize(parts.select(*own, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")))
+    nth = F.row_number().over(Window.partitionBy(*own).orderBy("__k"))
+    rows = join_small(rows.withColumn("__nth", nth), parts, own)
+    return rows.withColumn("__nth", F.col("__before") + F.col("__nth") - 1).drop("__part", "__k", "__before")
+
+
 def _bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes."""
     total = F.lit(8 * len(df.columns))

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small, materialize, n_words
+from .common import WORD, join_small, materialize, n_words, numbered
 
 #: Hexadecimal digits of a key by which a bucket is cut into smaller ones.
 DIGITS = 3
@@ -151,18 +151,6 @@ def curriculum(sizes: DataFrame, *, cycle: int = 3, repeats: int = 3) -> Curricu
     return Curriculum(shares, _cumulated(coarse, "bucket"), kept, numbered)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with ``__nth``: their number among the rows of their source and key, without a task that holds all of them."""
-    n = F.monotonically_increasing_id()
-    rows = materialize(rows.withColumns({"__part": F.shiftright(n, 33).cast("int"), "__k": n}))
-    parts = rows.groupBy("source", "__key", "__part").agg(F.count("*").alias("__c"))
-    before = Window.partitionBy("source", "__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
-    parts = materialize(parts.select("source", "__key", "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")))
-    nth = F.row_number().over(Window.partitionBy("source", "__key", "__part").orderBy("__k"))
-    rows = join_small(rows.withColumn("__nth", nth), parts, ["source", "__key", "__part"])
-    return rows.withColumn("__nth", F.col("__before") + F.col("__nth") - 1).drop("__part", "__k", "__before")
-
-
 def placed(rows: DataFrame, plan: Curriculum) -> DataFrame:
     """Rows of (source, ``__key``, ``__some``: whether there are words) with ``__positions``, that of each copy taken.
 
@@ -176,7 +164,7 @@ def placed(rows: DataFrame, plan: Curriculum) -> DataFrame:
     if plan.numbered:
         several = F.coalesce(at_cut, F.lit(False)) | F.coalesce(at_fill & (F.col("__fill_rows") > 1), F.lit(False))
         # the plain rows stay where they are; only equal rows at the end of a demand are written down and numbered
-        rows = rows.where(~several).withColumn("__nth", F.lit(0).cast("long")).unionByName(_numbered(rows.where(several)))
+        rows = rows.where(~several).withColumn("__nth", F.lit(0).cast("long")).unionByName(numbered(rows.where(several), ["source", "__key"]))
     else:
         rows = rows.withColumn("__nth", F.lit(0).cast("long"))
     once_more = F.when(F.col("__key") < F.col("__cut"), 1).when(at_cut & (F.col("__nth") < F.col("__cut_first")), 1).otherwise(0)
@@ -216,12 +204,13 @@ def schedule(documents: DataFrame, *, cycle: int = 3, repeats: int = 3, seed: in
     The schedules follow the weights: sources of the smallest weight are asked for early, of the largest late.
     """
     plan = curriculum(_sizes(documents, seed), cycle=cycle, repeats=repeats)
-    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    rows = documents.withColumns({"__key": key(F.col("doc_id"), F.col("text"), seed), "__some": words})
-    rows = placed(rows, plan).select(*documents.columns, F.posexplode("__positions").alias("__epoch", "__position"))
-    return rows.orderBy("__position", "doc_id", "__epoch")
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("__some")
+    whole = F.struct(*documents.columns).alias("row")  # no name of theirs meets one of these
+    rows = documents.select(whole, "source", key(F.col("doc_id"), F.col("text"), seed).alias("__key"), words)
+    rows = placed(rows, plan).select("row", F.posexplode("__positions").alias("__epoch", "__position"))
+    return rows.orderBy("__position", "row.doc_id", "__epoch").select("row.*", "__epoch", "__position")
 
 
 def mix(documents: DataFrame, **parameters) -> DataFrame:
     """``schedule`` with the documents' own columns alone."""
-    return schedule(documents, **parameters).select(*documents.columns)
+    return schedule(documents, **parameters).drop("__epoch", "__position")

@@ -8,7 +8,9 @@ within distance ``radius`` differ in at most ``radius`` groups and so agree in a
 found in the cell of at least one grid. Within a cell the Manhattan bound is applied, then the exact Hamming distance.
 
 Work is done on distinct fingerprints. A cell yields a spanning forest of its links, never all its pairs: the members
-are searched breadth first, and what has been reached leaves the search. Cells with more than ``block`` members are
+are searched breadth first, and what has been reached leaves the search. Cells that grow beyond ``block`` members with
+the table are cut again by a grid over their other coordinates, in the same way: these fall into five groups, and points
+within the radius agree in two of them. A cell that is crowded even then holds points alike in most coordinates; it is
 cut into blocks and dealt as pairs of blocks, so no task holds an unbounded cell. Components come from alternating
 large-star and small-star steps over the forest's edges; each step is written to the shared folder.
 
@@ -20,17 +22,18 @@ they come. An empty table gives an empty result. Other columns of the input are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, materialize, numbered
 
 CHUNK = 1 << 14
 SHIFTS = np.arange(64, dtype=np.uint64)
@@ -75,20 +78,44 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * np.bitwise_count(two).astype(np.int16) + np.bitwise_count(one)
 
 
+def _split(segments: list[int], parts: int) -> list[int]:
+    """Masks of the segments' bits in ``parts`` groups of neighbouring segments."""
+    edges = np.linspace(0, len(segments), parts + 1).astype(int)
+    return [sum(3 << (2 * s) for s in segments[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _mixed(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + seed
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def cells(fp: np.ndarray, bands: int, radius: int) -> np.ndarray:
     """Cell numbers (points x grids): a hash of the grid and of the coordinates that the grid keeps."""
     points = embed(fp)
-    edges = np.linspace(0, 32, bands + 1).astype(int)
-    masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    out = []
-    for g, chosen in enumerate(combinations(masks, bands - radius)):
-        x = points & np.uint64(sum(chosen))
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g * 0xC2B2AE3D27D4EB4F % 2**64)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(x ^ (x >> np.uint64(32)))
+    grids = combinations(_split(list(range(32)), bands), bands - radius)
+    out = [_mixed(points & np.uint64(sum(g)), np.uint64(n * 0xC2B2AE3D27D4EB4F % 2**64)) for n, g in enumerate(grids)]
     return np.stack(out, axis=1).view(np.int64)
 
 
+def finer(fp: np.ndarray, cell: np.ndarray, grid: np.ndarray, bands: int, radius: int, parts: int) -> np.ndarray:
+    """Cell numbers (points x finer grids) within crowded cells of the given grids.
+
+    Points of a cell agree in the coordinates that its grid keeps. The others are cut into ``parts`` groups, of which
+    points within the radius agree in all but ``radius`` again.
+    """
+    points, out = embed(fp), np.zeros((len(fp), math.comb(parts, radius)), dtype=np.uint64)
+    groups = _split(list(range(32)), bands)
+    for g, chosen in enumerate(combinations(groups, bands - radius)):
+        mine = grid == g
+        if mine.any():
+            rest = [s for s in range(32) if not sum(chosen) >> (2 * s) & 1]
+            for n, kept in enumerate(combinations(_split(rest, parts), parts - radius)):
+                seed = cell[mine].view(np.uint64) + np.uint64((n + 1) * 0xD6E8FEB86659FD93 % 2**64)
+                out[mine, n] = _mixed(points[mine] & np.uint64(sum(kept)), seed)
+    return out.view(np.int64)
+
+
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Edges that connect what links of at most ``radius`` bits connect, among ``left`` or between left and right.
 
@@ -161,25 +188,51 @@ def linked(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
         yield found(pd.concat(held))
 
 
+def _crowded(points: DataFrame, block: int) -> DataFrame:
+    """(__c, blocks) of the cells of more than ``block`` points."""
+    counts = points.groupBy("cell").count().where(F.col("count") > block)
+    return materialize(counts.select(F.col("cell").alias("__c"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+
+
+def _with_blocks(points: DataFrame, crowded: DataFrame, n: int) -> DataFrame:
+    side = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
+    return points.join(side, F.col("cell") == F.col("__c"), "left").drop("__c").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def gridded(fingerprints: DataFrame, *, radius: int = 3, bands: int = 6, block: int = 4096, parts: int = 5) -> DataFrame:
+    """(fp, cell, own, i, j): where points meet, so that every link meets in a cell (i, j) of at most 2 ``block`` points.
+
+    Cells that grow beyond ``block`` points with the table are cut by a finer grid; what is still crowded then holds
+    points that agree in most coordinates, and is dealt as pairs of blocks.
+    """
+    grids = F.pandas_udf(lambda s: pd.Series(list(cells(s.to_numpy().view(np.uint64), bands, radius))), T.ArrayType(T.LongType()))
+    points = fingerprints.select("fp", F.posexplode(grids("fp")).alias("grid", "cell"))
+    crowded = _crowded(points, block)
+    n_crowded, zero = crowded.count(), F.lit(0)
+    alone = lambda p: p.select("fp", "cell", zero.alias("own"), zero.alias("i"), zero.alias("j"))
+    if not n_crowded:
+        return alone(points)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def split(fp: pd.Series, cell: pd.Series, grid: pd.Series) -> pd.Series:
+        own = [x.to_numpy() for x in (fp, cell, grid)]
+        return pd.Series(list(finer(own[0].view(np.uint64), own[1], own[2], bands, radius, parts)))
+
+    points = _with_blocks(points, crowded, n_crowded)
+    inner = points.where("blocks > 1").select("fp", F.explode(split("fp", "cell", "grid")).alias("cell"))
+    points, still = alone(points.where("blocks = 1")), _crowded(inner, block)
+    n_still = still.count()
+    if not n_still:
+        return points.unionByName(alone(inner))
+    inner = _with_blocks(inner, still, n_still)
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    inner = inner.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return points.unionByName(inner.select("fp", "cell", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")))
+
+
 def links(fingerprints: DataFrame, *, radius: int = 3, bands: int = 6, block: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``fp``) that join all that links join."""
-    grids = F.pandas_udf(lambda s: pd.Series(list(cells(s.to_numpy().view(np.uint64), bands, radius))), T.ArrayType(T.LongType()))
-    points = fingerprints.select("fp", F.explode(grids("fp")).alias("cell"))
-    crowded = materialize(
-        points.groupBy("cell").count().where(F.col("count") > block)
-        .select(F.col("cell").alias("__c"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    )
-    n_crowded = crowded.count()
-    if n_crowded:
-        side = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-        points = points.join(side, F.col("cell") == F.col("__c"), "left").drop("__c")
-        points = points.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        points = points.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        points = points.select("cell", "fp", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
-    else:
-        zero = F.lit(0)
-        points = points.select("cell", "fp", zero.alias("own"), zero.alias("i"), zero.alias("j"))
+    points = gridded(fingerprints, radius=radius, bands=bands, block=block).select("cell", "fp", "own", "i", "j")
     dealt = points.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return dealt.mapInPandas(lambda batches: linked(batches, radius), "a long, b long")
 
@@ -226,13 +279,20 @@ def near_duplicates(documents: DataFrame, *, radius: int = 3, bands: int = 6, bl
 def keep_one(documents: DataFrame, *, radius: int = 3, bands: int = 6, block: int = 4096) -> DataFrame:
     """One document of each component, with its own columns: that of the smallest doc_id.
 
-    Of rows that repeat that id and fingerprint, the one with the smallest text stays.
+    Of rows that repeat that id and fingerprint, those of the smallest hash of the text are kept, and one of them if
+    there are more. The choice is made on ids and hashes; texts are read once more and joined to it.
     """
-    printed = documents.withColumn("__fingerprint", fingerprint_of("text"))
-    prints = materialize(printed.select("doc_id", F.col("__fingerprint").alias("fp")))
-    first = _placed(prints, radius=radius, bands=bands, block=block).where("__fp = first_fp")
-    first = first.select("__fp", F.col("component_id").alias("__first"))
-    same = (F.col("__fingerprint") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__first"))
-    kept = printed.join(first, same, "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__fingerprint", "doc_id").orderBy("text"))
-    return kept.withColumn("__nth", nth).where("__nth = 1").drop("__fingerprint", "__nth")
+    prints = materialize(documents.select("doc_id", F.xxhash64("text").alias("h"), fingerprint_of("text").alias("fp")))
+    first = _placed(prints, radius=radius, bands=bands, block=block).where("__fp = first_fp").drop("first_fp")
+    same = (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = prints.join(first, same, "left_semi").groupBy("fp", "doc_id", "h").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("fp", "doc_id").agg(F.min(F.struct("h", "n")).alias("m"))
+    kept = materialize(kept.select(F.col("doc_id").alias("id"), "m.h", "m.n"))
+    rows, most = kept.agg(F.count("*"), F.max("n")).first()
+    whole = documents.select(F.struct(*documents.columns).alias("row"))  # no name of theirs meets one of these
+    same = (F.xxhash64("row.text") == F.col("h")) & F.col("row.doc_id").eqNullSafe(F.col("id"))
+    out = whole.join(F.broadcast(kept) if rows <= BROADCAST_ROWS else kept, same)
+    if (most or 0) > 1:
+        several = numbered(out.where("n > 1"), ["id", "h"]).where("__nth = 0")
+        out = out.where("n = 1").unionByName(several.drop("__nth"))
+    return out.select("row.*")

@@ -91,6 +91,47 @@ def test_lower_bound_and_cells():
     assert (sh.cells(a, 6, 3) == sh.cells(b, 6, 3)).any(axis=1).all()
 
 
+def test_finer_cells_keep_links_and_shrink():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    b = a.copy()
+    for k in range(400):
+        for bit in rng.choice(64, 3, replace=False):
+            b[k] ^= np.uint64(1) << np.uint64(bit)
+    x, y = sh.cells(a, 6, 3), sh.cells(b, 6, 3)
+    for k in range(400):
+        grids = np.flatnonzero(x[k] == y[k])
+        assert len(grids)
+        for g in grids:
+            both = np.array([a[k], b[k]])
+            f = sh.finer(both, np.full(2, x[k, g]), np.full(2, g), 6, 3, 5)
+            assert (f[0] == f[1]).any()
+    one = np.full(4000, 7, dtype=np.int64)  # points that share nothing but a cell
+    fine = sh.finer(rng.integers(0, 2**63, 4000, dtype=np.uint64), one, np.zeros(4000, dtype=np.int64), 6, 3, 5)
+    assert np.unique(fine, return_counts=True)[1].max() < 200
+
+
+def test_crowded_cells_are_split_before_they_are_dealt(spark):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 2**24, 3000, dtype=np.uint64)  # the upper half is one for all
+    df = spark.createDataFrame([(int(x),) for x in np.unique(low)], "fp long")
+    plain = sh.gridded(df, block=10**6).groupBy("cell").count().agg(F.max("count")).first()[0]
+    split = sh.gridded(df, block=300)
+    assert plain > 2000 and split.groupBy("cell", "i", "j").count().agg(F.max("count")).first()[0] <= 900
+    want = classes([int(x) for x in np.unique(low)][:800])
+    some = spark.createDataFrame([(i, int(x)) for i, x in enumerate(np.unique(low)[:800])], "doc_id long, fp long")
+    got = {r["__fp"]: r.component_id for r in sh._placed(some, block=100).collect()}
+    least = {}
+    for i, c in enumerate(want):
+        least.setdefault(c, i)
+    assert [got[int(x)] for x in np.unique(low)[:800]] == [least[c] for c in want]
+
+
+def test_equal_rows_leave_one(spark):
+    d = spark.createDataFrame([(1, "a b c d", k % 2) for k in range(40)] + [(2, "a b c d", 0), (None, None, 0), (None, None, 0)], "doc_id long, text string, k int").repartition(6)
+    assert sorted(((r.doc_id, r.text) for r in sh.keep_one(d).collect()), key=str) == [(1, "a b c d"), (None, None)]
+
+
 def test_one_of_each_group_stays(spark):
     d = awkward(spark)
     kept = sh.keep_one(d)
