@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import os
 import shutil
 import tempfile
 import uuid
@@ -10,7 +12,8 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tenure.sources import files, sinks
+from tenure.operators import resampling
+from tenure.sources import files, paged, sinks
 
 from .registry import query, rounded
 
@@ -89,3 +92,138 @@ def k03(t):
 def k09(t):
     evidence = t.sales.where("sale_id % 9 = 0").select("sale_id", F.lit("seen").alias("src"))
     return sinks.update_queue(t.sales.select("sale_id", "src"), evidence, "sale_id", ["src"])
+
+
+def service(t, pages: dict[str, list[dict]]) -> str:
+    """A folder of pages as a service would return them: those of the 25 nations."""
+    path = scratch(t.spark, "pages").removeprefix("file:")
+    os.makedirs(path)
+    for name, rows in pages.items():
+        with open(f"{path}/{name}.json", "w") as f:
+            json.dump(rows, f)
+    return path
+
+
+def nations(t) -> list[dict]:
+    rows = t.nation.select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("r"))
+    return [r.asDict() for r in rows.orderBy(F.col("k").cast("int")).collect()]
+
+
+def offset_pages(rows: list[dict], size: int) -> dict[str, list[dict]]:
+    return {str(i): rows[i : i + size] for i in range(0, len(rows) + 1, size)}
+
+
+NATIONS_SQL = "select cast(n_nationkey as varchar) as k, n_name as name from nation"
+
+
+@query("s08_cached_requests", NATIONS_SQL)
+def s08(t):
+    """Pages from the cache, after the service is gone: what was read once isn't asked for again."""
+    rows = nations(t)
+    path = service(t, offset_pages(rows, 10))
+    cache = f"{path}-cache"
+    read = lambda: paged.read_offsets(t.spark, path, "k string, name string", len(rows), 10, cache=cache)
+    read().count()
+    shutil.rmtree(path)
+    return read()
+
+
+@query("s09_id_batches", NATIONS_SQL + " where n_regionkey < 3")
+def s09(t):
+    rows = [r for r in nations(t) if int(r["r"]) < 3]
+    path = service(t, {f"ids-{i // 4:05d}": rows[i : i + 4] for i in range(0, len(rows), 4)})
+    return paged.read_ids(t.spark, path, "k string, name string", [r["k"] for r in rows], "k", 4)
+
+
+@query("s10_counted_pages", NATIONS_SQL)
+def s10(t):
+    rows = nations(t)
+    return paged.read_offsets(t.spark, service(t, offset_pages(rows, 7)), "k string, name string", len(rows), 7)
+
+
+@query("s11_key_ranges", NATIONS_SQL)
+def s11(t):
+    """Disjoint ranges of a key that repeats: no page's edge cuts a key."""
+    rows = nations(t)
+    regions = sorted({r["r"] for r in rows})
+    ranges = list(zip(["", *regions], regions, strict=False))
+    path = service(t, {f"after-{a}": [r for r in rows if a < r["r"] <= b] for a, b in ranges})
+    return paged.read_ranges(t.spark, path, "k string, name string", ranges)
+
+
+@query("s12_until_short_page", NATIONS_SQL)
+def s12(t):
+    rows = nations(t)
+    return paged.read_until_short(t.spark, service(t, offset_pages(rows, 5)), "k string, name string", 5)
+
+
+@query("s13_verified_cache", NATIONS_SQL)
+def s13(t):
+    """A cached page whose rows don't fit its count, and one of another request, are fetched again."""
+    rows = nations(t)
+    path = service(t, offset_pages(rows, 10))
+    cache = f"{path}-cache"
+    read = lambda: paged.read_offsets(t.spark, path, "k string, name string", len(rows), 10, cache=cache)
+    read().count()
+    first, second, *_ = sorted(os.listdir(cache))
+    for name, change in ((first, lambda held: held["rows"].pop()), (second, lambda held: held.update(request="another", rows=[], count=0))):
+        with open(f"{cache}/{name}") as f:
+            held = json.load(f)
+        change(held)
+        with open(f"{cache}/{name}", "w") as f:
+            json.dump(held, f)
+    return read()
+
+
+@query("s14_remote_aggregates", "select cast(n_regionkey as varchar) as r, count(*) as n, max(n_name) as last from nation group by 1")
+def s14(t):
+    """Counts that a service computes for each filter it is asked."""
+    rows = nations(t)
+    filters = [{"r": r} for r in sorted({x["r"] for x in rows})]
+    own = [[x["name"] for x in rows if x["r"] == f["r"]] for f in filters]
+    path = service(t, {f"where-{i:05d}": [{"n": len(x), "last": max(x)}] for i, x in enumerate(own)})
+    return paged.read_aggregates(t.spark, path, "r string, n string, last string", filters).withColumn("n", F.col("n").cast("long"))
+
+
+@query("s18_review_sheet", """select cast(sale_id as varchar) as case_id, concat('says "', src, '", ', borough) as note, cast(null as varchar) as reading from sales where sale_id % 50 = 0""")
+def s18(t):
+    """A sheet of text columns by the names of its header, quotes and commas within."""
+    path = scratch(t.spark, "sheet")
+    note = F.concat(F.lit('says "'), "src", F.lit('", '), "borough").alias("note")
+    sheet = t.sales.where("sale_id % 50 = 0").select(F.col("sale_id").cast("string").alias("case_id"), note, F.lit(None).cast("string").alias("reading"))
+    sheet.write.option("header", True).option("escape", '"').csv(path)
+    return t.spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@query("k04_latex_table", r"""with r as (select n_regionkey as k, count(*) as n, -cast(sum(n_nationkey) as double) / 4 as v from nation group by 1)
+    select concat(cast(k as varchar), ' & ', cast(n as varchar), ' & $-$', printf('%.2f', -v), ' \\') as line from r""")
+def k04(t):
+    rows = t.nation.groupBy("n_regionkey").agg(F.count("*").alias("n"), (-F.sum("n_nationkey").cast("double") / 4).alias("v"))
+    text = sinks.latex_table([(str(r["n_regionkey"]), r["n"], r["v"]) for r in rows.collect()], ["region", "n", "v"])  # five regions
+    return t.spark.createDataFrame([(x,) for x in text.split("\n")[4:-2]], "line string")
+
+
+@query("k05_macros", r"""select concat('\newcommand{\', translate(r_name, ' ', ''), '}{', printf('%.2f', cast(r_regionkey as double)), '}') as line from region
+    union all select concat('\newcommand{\sales}{', printf('{:,}', count(*)), '}') from sales""".replace("printf('{:,}', count(*))", "format('{:,}', count(*))"))
+def k05(t):
+    values = {r["r_name"]: float(r["r_regionkey"]) for r in t.region.collect()} | {"sales": t.sales.count()}  # five regions
+    return t.spark.createDataFrame([(x,) for x in sinks.macros(values).split("\n")], "line string")
+
+
+@query("k08_input_hashes", "select cast(n_nationkey as varchar) as k, cast(strlen(n_name) + 1 as bigint) as bytes, sha256(concat(n_name, chr(10))) as sha256 from nation")
+def k08(t):
+    """Size and hash of each file, as a run's manifest lists its inputs."""
+    path = scratch(t.spark, "inputs")
+    t.nation.select(F.col("n_nationkey").alias("k"), "n_name").repartition(1).write.partitionBy("k").text(path)
+    hashed = sinks.file_hashes(t.spark, path).where("path like '%.txt'")
+    return hashed.select(F.regexp_extract("path", r"/k=(\d+)/", 1).alias("k"), "bytes", "sha256")
+
+
+@query("r05_cluster_weights", "select cast(d as integer) as draw, (select count(distinct bbl) from pairs) as clusters, (select count(distinct bbl) from pairs) as total from range(50) r(d)")
+def r05(t):
+    """Multinomial counts of the clusters: as many in every draw as there are clusters."""
+    clusters = t.pairs.agg(F.count_distinct("bbl")).first()[0]
+    weights = resampling.multinomial_weights(t.spark, clusters, 50, 20260909)
+    each = F.expr("transform(sequence(0, length(weights) div 2 - 1), i -> conv(hex(reverse(substring(weights, 2 * i + 1, 2))), 16, 10))")
+    total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return weights.select("draw", (F.length("weights") / 2).cast("long").alias("clusters"), total.alias("total"))

@@ -1,15 +1,21 @@
-"""Paged sources as a Spark data source: count-checked offsets, disjoint key ranges, id lists, cached pages.
+"""Paged sources as a Spark data source: count-checked offsets, disjoint key ranges, id lists, aggregates, cached pages.
 
 ``PagedSource`` reads pages through a fetcher, by default files ``<path>/<offset>.json`` as a paging service would
-return them; a fetcher over a network service is passed by its import path. Pages are read by executors, each on its
-own; every page is checked against the count that it should have, and retried with growing pauses.
+return them; ``http_pages`` asks a service over HTTP, and another fetcher is passed by its import path. Pages are read by
+executors, each on its own; every page is checked against the count that it should have, and retried with growing pauses.
+With a ``cache`` folder a page that was read is kept with its request and count, and taken from there only if both fit.
 """
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import json
+import os
 import time
+import urllib.parse
+import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +33,8 @@ def file_pages(path: str, page: dict) -> list[dict]:
     """A page out of a folder of JSON arrays; an id list reads its page and keeps its ids."""
     if "ids" in page:
         name = f"{path}/ids-{page['index']:05d}.json"
+    elif "where" in page:
+        name = f"{path}/where-{page['index']:05d}.json"
     elif "after" in page:
         name = f"{path}/after-{page['after']}.json"
     else:
@@ -35,6 +43,41 @@ def file_pages(path: str, page: dict) -> list[dict]:
         return json.load(f)
 
 
+def http_pages(path: str, page: dict) -> list[dict]:
+    """A page of a service that answers GET requests with JSON arrays; the page's fields are the query."""
+    query = {k: json.dumps(v) if isinstance(v, (list, dict)) else v for k, v in page.items() if v is not None}
+    with urllib.request.urlopen(f"{path}?{urllib.parse.urlencode(query)}", timeout=60) as answer:
+        return json.load(answer)
+
+
+def cached(folder: str, fetch: Fetcher) -> Fetcher:
+    """A fetcher that keeps each answer in a file of the request's hash, with the request and the number of rows.
+
+    A file that holds another request, or another number of rows than it says, is fetched again. Files are renamed into
+    place, so a reader never sees half of one.
+    """
+
+    def get(path: str, page: dict) -> list[dict]:
+        request = json.dumps([path, page], sort_keys=True)
+        name = f"{folder}/{hashlib.sha256(request.encode()).hexdigest()}.json"
+        try:
+            with open(name) as f:
+                held = json.load(f)
+            if held["request"] == request and held["count"] == len(held["rows"]):
+                return held["rows"]
+        except (FileNotFoundError, ValueError, KeyError, TypeError):
+            pass
+        rows = fetch(path, page)
+        os.makedirs(folder, exist_ok=True)
+        aside = f"{name}.{uuid.uuid4().hex}"
+        with open(aside, "w") as f:
+            json.dump({"request": request, "count": len(rows), "rows": rows}, f)
+        os.replace(aside, name)
+        return rows
+
+    return get
+
+
 def retried(fetch: Fetcher, path: str, page: dict, attempts: int = 5, pause: float = 0.5) -> list[dict]:
     """Call a fetcher until it answers; the pause doubles after each failure."""
     for attempt in range(attempts):
@@ -62,6 +105,10 @@ class PagedReader(DataSourceReader):
         if "ids" in o:
             ids = json.loads(o["ids"])
             return [Page({"ids": ids[i : i + size], "index": n}, None) for n, i in enumerate(range(0, len(ids), size))]
+        if "where" in o:  # aggregates that the service computes, one for each filter
+            return [Page({"where": w, "index": n}, None) for n, w in enumerate(json.loads(o["where"]))]
+        if "count" not in o and "ranges" not in o:  # the end is a short page, so one reader follows the pages
+            return [Page({"offset": 0, "limit": size, "follow": True}, None)]
         if "ranges" in o:  # disjoint keys, so a key that straddles pages loses no row
             return [Page({"after": a, "upto": b}, None) for a, b in json.loads(o["ranges"])]
         total = int(o["count"])
@@ -69,7 +116,21 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Page) -> Iterator[tuple]:
         module, _, name = self.options.get("fetcher", f"{__name__}:file_pages").partition(":")
-        rows = retried(getattr(importlib.import_module(module), name), self.options["path"], partition.page, pause=float(self.options.get("pause", "0.5")))
+        fetch = getattr(importlib.import_module(module), name)
+        if "cache" in self.options:
+            fetch = cached(self.options["cache"], fetch)
+        get = lambda page: retried(fetch, self.options["path"], page, pause=float(self.options.get("pause", "0.5")))
+        names = [f.name for f in self.schema.fields]
+        own = lambda r: tuple(None if r.get(n) is None else str(r[n]) for n in names)
+        if partition.page.get("follow"):
+            offset, limit = 0, partition.page["limit"]
+            while True:
+                rows = get({"offset": offset, "limit": limit})
+                yield from map(own, rows)
+                if len(rows) < limit:
+                    return
+                offset += limit
+        rows = get(partition.page)
         limit = int(self.options.get("truncatedat", "50000"))
         if partition.expected is not None and len(rows) != partition.expected:
             raise PageError(f"{partition.page}: {len(rows)} rows, counted {partition.expected}")
@@ -79,9 +140,9 @@ class PagedReader(DataSourceReader):
             wanted, key = set(partition.page["ids"]), self.options["key"]
             if extra := {r[key] for r in rows} - wanted:
                 raise PageError(f"rows of keys that weren't asked for: {sorted(extra)[:3]}")
-        names = [f.name for f in self.schema.fields]
-        for r in rows:
-            yield tuple(None if r.get(n) is None else str(r[n]) for n in names)
+        if "where" in partition.page:  # an aggregate's rows carry the filter that they answer
+            rows = [r | partition.page["where"] for r in rows]
+        yield from map(own, rows)
 
 
 class PagedSource(DataSource):
@@ -113,6 +174,18 @@ def read_ranges(spark: SparkSession, path: str, schema: str, ranges: list[tuple[
     return spark.read.format("paged").schema(schema).options(path=path, ranges=json.dumps(ranges), **options).load()
 
 
+def read_until_short(spark: SparkSession, path: str, schema: str, page: int = 50_000, **options: str) -> DataFrame:
+    """Rows by offset pages up to the first that is short, where a service tells no count."""
+    spark.dataSource.register(PagedSource)
+    return spark.read.format("paged").schema(schema).options(path=path, pagesize=str(page), **options).load()
+
+
+def read_aggregates(spark: SparkSession, path: str, schema: str, filters: list[dict[str, str]], **options: str) -> DataFrame:
+    """What a service that aggregates answers to each filter; the filter's fields are columns of the rows."""
+    spark.dataSource.register(PagedSource)
+    return spark.read.format("paged").schema(schema).options(path=path, where=json.dumps(filters), **options).load()
+
+
 def batched(df: DataFrame, key: str, size: int = 150) -> DataFrame:
     """Distinct keys in numbered batches of at most about ``size``: what a lookup service is asked for."""
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()

@@ -78,6 +78,37 @@ def test_retries_double_their_pause(monkeypatch):
         paged.retried(fetch, "", {}, attempts=2)
 
 
+def test_http_pages_are_cached_by_request(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    asked = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            query = parse_qs(urlsplit(self.path).query)
+            asked.append(query)
+            if len(asked) == 1:
+                return self.send_error(503)
+            body = json.dumps([{"id": query["offset"][0]}]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/rows"
+    fetch = paged.cached(str(tmp_path / "c"), paged.http_pages)
+    get = lambda offset: paged.retried(fetch, url, {"offset": offset, "limit": 2}, pause=0.01)
+    assert get(0) == get(0) == [{"id": "0"}] and get(2) == [{"id": "2"}]
+    server.shutdown()
+    assert len(asked) == 3 and asked[-1] == {"offset": ["2"], "limit": ["2"]} and get(2) == [{"id": "2"}]
+
+
 def test_batches_hold_every_key(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     got = paged.batched(df, "k", 150)
