@@ -56,6 +56,12 @@ def above_below(df: DataFrame, value: str, period: str, threshold: float, around
     return df.groupBy(period).agg(above.alias("above"), below.alias("below"), F.try_divide(above.cast("double"), below).alias("ratio"))
 
 
+def log_change(ratios: DataFrame, period: str, before: str, after: str) -> DataFrame:
+    """The log of ``above_below``'s ratio after less before."""
+    of = lambda p: F.log(F.max(F.when(F.col(period) == p, F.col("ratio"))))
+    return ratios.agg((of(after) - of(before)).alias("log_change"))
+
+
 def design(low: np.ndarray, threshold: float, half: float, width: float, degree: int, dummies: str | None, exact: str) -> np.ndarray:
     """Powers of the scaled distance and, if asked for, dummies of bins with round prices."""
     x = (low + width / 2 - threshold) / half

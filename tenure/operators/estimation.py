@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tenure.functions.measures import quarter_index
 
+from .tables import written
+
 ENTRY = "struct<k:string,v:double>"
 
 
@@ -96,6 +98,12 @@ def solve(sums: DataFrame, targets: list[str]) -> Fit:
     full = np.zeros((len(names), len(names)))
     for (i, j), v in s.items():
         full[at[i], at[j]] = full[at[j], at[i]] = v
+    return solved(names, full, targets)
+
+
+def solved(names: list[str], full: np.ndarray, targets: list[str]) -> Fit:
+    """The same from a whole Gram matrix over the sorted names."""
+    at = {k: i for i, k in enumerate(names)}
     t, y = [at[f"t:{k}"] for k in targets], at["y"]
     n = [i for k, i in at.items() if not k.startswith("t:") and k != "y"]
     g = inverse(full[np.ix_(n, n)])
@@ -157,10 +165,10 @@ def contrast(pairs: DataFrame, area: str, cluster: str, *, local: str | None = N
     ``pairs`` has ``date_a``, ``date_z``, ``y``, ``cf`` and ``fc``. The influences have ``inf_joint`` and ``inf_residual``.
     """
     entries = contrast_entries(area, local=local, controls=controls, extra=extra)
-    pairs = pairs.cache()  # read twice: for the sums and for the scores
+    pairs = written(pairs, "pairs")  # read twice: for the sums and for the scores
     fit = solve(gram(pairs, entries), ["cf", "fc", *(extra or {})])
     nuisance = F.filter(entries, lambda x: ~x["k"].startswith("t:") & (x["k"] != "y"))
-    rows = scores(pairs.withColumn("__n", nuisance), entries, fit, [cluster, "cf", "fc", "__n"]).cache()
+    rows = written(scores(pairs.withColumn("__n", nuisance), entries, fit, [cluster, "cf", "fc", "__n"]), "scores")
     m = rows.agg(
         F.count("*").alias("n"), F.sum("cf").alias("cf"), F.sum("fc").alias("fc"), F.count_distinct(cluster).alias("g"),
         F.avg(F.when(F.col("cf") == 1, F.col("r"))).alias("rc"), F.avg(F.when(F.col("fc") == 1, F.col("r"))).alias("rf"),

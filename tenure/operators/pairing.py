@@ -105,10 +105,14 @@ def two_sale_switchers(rows: DataFrame, key: str, order: list[str], flag: str) -
 
 
 def demeaned(rows: DataFrame, columns: list[str], group: str, weight: str | None = None) -> DataFrame:
-    """Columns less their mean in the group, as ``<column>_within``."""
-    w = Window.partitionBy(group)
-    mean = lambda c: F.avg(c).over(w) if weight is None else F.sum(F.col(c) * F.col(weight)).over(w) / F.sum(weight).over(w)
-    return rows.withColumns({f"{c}_within": F.col(c) - mean(c) for c in columns})
+    """Columns less their mean in the group, as ``<column>_within``.
+
+    Means are summed before the shuffle and joined back, so no task holds a group.
+    """
+    mean = lambda c: F.avg(c) if weight is None else F.sum(F.col(c) * F.col(weight)) / F.sum(weight)
+    means = rows.groupBy(F.col(group).alias("__group")).agg(*[mean(c).alias(f"__mean_{c}") for c in columns])
+    out = rows.join(means, F.col(group).eqNullSafe(F.col("__group")))
+    return out.withColumns({f"{c}_within": F.col(c) - F.col(f"__mean_{c}") for c in columns}).drop("__group", *[f"__mean_{c}" for c in columns])
 
 
 def hold_sweep(pairs: DataFrame, days: str, holds: list[int], *aggregates: Column) -> DataFrame:

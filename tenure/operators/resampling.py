@@ -71,7 +71,7 @@ class Sample:
 def sample(pairs: DataFrame, area: str, cluster: str, *, order: list[str], flags: list[str] | None = None, limit: int = SAMPLE_ROWS, **design) -> Sample:
     """The pairs as arrays, in a fixed order; raises beyond ``limit`` rows, as each task holds the sample."""
     if pairs.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} pairs: estimate them with estimation.contrast, which doesn't collect")
+        raise ValueError(f"more than {limit} pairs: use the estimators and draws of operators.passes, which don't collect")
     entries = contrast_entries(area, **design)
     years = F.datediff("date_z", "date_a") / 365.25
     rows = pairs.orderBy(*order).select(entries.alias("x"), F.col(cluster).alias("c"), years.alias("years"), *(flags or [])).collect()
@@ -241,26 +241,24 @@ def adversarial(rows: DataFrame, pair: str, n: int, sign: float = 1.0) -> DataFr
     return best.select(pair, "b.*").orderBy(F.desc(F.col("effect") * sign), pair).limit(n)
 
 
-def finishing_order(effect: np.ndarray, rng: np.random.Generator, mode: str, kappa: float) -> np.ndarray:
-    """Recodings as runners of a race: each has a finishing time, and the first are chosen.
+def selection_order(effect: np.ndarray, rng: np.random.Generator, mode: str, kappa: float) -> np.ndarray:
+    """The order in which recodings are taken.
 
-    Random: equal chances. Tilted: exponential times whose rate grows by kappa with the standardised effect, which draws
-    without replacement with chances by rate. Adversarial: the larger the effect, the earlier.
+    Random and tilted are sampling without replacement by exponential keys: the least of E / weight come first, with
+    equal weights, or weights that grow by kappa with the standardised effect. Adversarial takes the largest effects.
     """
     if mode == "adversarial":
-        time = -effect
-    else:
-        spread = effect.std() if mode == "tilted" else 0.0
-        rate = np.exp(kappa * (effect - effect.mean()) / spread) if spread else 1.0
-        time = rng.exponential(size=len(effect)) / rate
-    return np.argsort(time, kind="stable")
+        return np.argsort(-effect, kind="stable")
+    spread = effect.std() if mode == "tilted" else 0.0
+    weight = np.exp(kappa * (effect - effect.mean()) / spread) if spread else np.ones(len(effect))
+    return np.argsort(rng.exponential(size=len(effect)) / weight, kind="stable")
 
 
 def pick(effect: np.ndarray, pair: np.ndarray, n: int, rng: np.random.Generator, mode: str, sign: float = 1.0, kappa: float = 1.0) -> np.ndarray:
-    """Places of the ``n`` recodings that finish first, one per pair at most."""
+    """Places of the first ``n`` recodings in that order, one per pair at most."""
     if n <= 0 or not len(effect):
         return np.zeros(0, dtype=int)
-    order = finishing_order(sign * effect, rng, mode, kappa)
+    order = selection_order(sign * effect, rng, mode, kappa)
     first = np.unique(pair[order], return_index=True)[1]
     return order[np.sort(first)][:n]
 
@@ -341,18 +339,50 @@ def crossing(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
     return steps.groupBy(*(keys or [])).agg(F.min(at).alias("crossing"))
 
 
+#: A grouping of up to this many levels is solved for; what is collected is levels x levels.
+LEVELS = 4000
+
+
+def _solved_out(df: DataFrame, columns: list[str], many: str, few: str) -> DataFrame:
+    """Columns less the effects of two groupings, one with few levels: their effects solve the equations that are left when
+    the other's means are taken out, summed over cells of both."""
+    from .pairing import demeaned
+    from .tables import written
+
+    cells = df.groupBy(F.col(many).alias("p"), F.col(few).alias("t")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)])
+    cells = written(cells, "cells")
+    totals = cells.groupBy(F.col("p").alias("q")).agg(F.sum("n").alias("total"), *[F.sum(f"s{i}").alias(f"sum{i}") for i in range(len(columns))])
+    both = cells.join(totals, F.col("p").eqNullSafe(F.col("q")))
+    right = [F.sum(F.col(f"s{i}") - F.col("n") * F.col(f"sum{i}") / F.col("total")).alias(f"r{i}") for i in range(len(columns))]
+    levels = both.groupBy("t").agg(F.sum("n").alias("n"), *right).collect()
+    other = cells.select(F.col("p").alias("o"), F.col("t").alias("u"), F.col("n").alias("m"))
+    cross = both.join(other, F.col("p").eqNullSafe(F.col("o"))).groupBy("t", "u").agg(F.sum(F.col("n") * F.col("m") / F.col("total")).alias("s")).collect()
+    at = {r["t"]: i for i, r in enumerate(levels)}
+    gram = np.diag([float(r["n"]) for r in levels])
+    for r in cross:
+        gram[at[r["t"]], at[r["u"]]] -= r["s"]
+    effects = inverse(gram) @ np.array([[r[f"r{i}"] for i in range(len(columns))] for r in levels]) if levels else np.zeros((0, len(columns)))
+    types = dict(df.dtypes)
+    rows = [(t, *map(float, effects[i])) for t, i in at.items()]
+    found = df.sparkSession.createDataFrame(rows, f"__t {types[few]}, " + ", ".join(f"__b{i} double" for i in range(len(columns))))
+    out = df.join(F.broadcast(found), F.col(few).eqNullSafe(F.col("__t"))).withColumns({c: F.col(c) - F.col(f"__b{i}") for i, c in enumerate(columns)})
+    out = demeaned(out.drop("__t", *[f"__b{i}" for i in range(len(columns))]), columns, many)
+    return out.drop(*columns).withColumnsRenamed({f"{c}_within": c for c in columns})
+
+
 def absorb(df: DataFrame, columns: list[str], groups: list[str], *, steps: int = 60, tolerance: float = 1e-10, every: int = 4) -> DataFrame:
-    """Columns less the means of two or more groupings, by alternating projections.
+    """Columns less the means of two or more groupings, by alternating projections; two of which one is small, by a solve.
 
-    Every ``every`` steps the rows are checkpointed, so the plan stays short, and the largest change decides.
+    Every ``every`` steps the rows are written down, so the plan stays short, and the largest change decides.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tenure-"))
     from .pairing import demeaned
+    from .tables import written
 
+    if len(groups) == 2:
+        sizes = df.agg(*[F.approx_count_distinct(g) for g in groups]).first()
+        few = int(sizes[1] <= sizes[0])
+        if sizes[few] <= LEVELS:
+            return _solved_out(df, columns, groups[1 - few], groups[few])
     current = df
     for step in range(1, steps + 1):
         check = step % every == 0
@@ -361,7 +391,7 @@ def absorb(df: DataFrame, columns: list[str], groups: list[str], *, steps: int =
         for g in groups:
             current = demeaned(current, columns, g).drop(*columns).withColumnsRenamed({f"{c}_within": c for c in columns})
         if check:
-            current = current.checkpoint()
+            current = written(current, "absorb")
             change = F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"__{c}"))) for c in columns], F.lit(0.0))
             largest = current.agg(change.alias("m")).first()["m"]
             current = current.drop(*[f"__{c}" for c in columns])

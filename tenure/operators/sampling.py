@@ -20,10 +20,14 @@ def stratified(df: DataFrame, key: str, strata: list[str], n: int, seed: int) ->
 
     The sample is the feature: ``n`` rows are what is asked for.
     """
-    w = Window.partitionBy(*strata)
-    out = df.withColumns({"stratum_population": F.count("*").over(w), "__r": F.row_number().over(w.orderBy(hash_key(F.col(key), seed), key))})
+    # row_number <= n alone is pushed below the shuffle: a task sends n rows of a stratum at most
+    first = F.row_number().over(Window.partitionBy(*strata).orderBy(hash_key(F.col(key), seed), key))
+    out = df.withColumn("__r", first).where(F.col("__r") <= n).drop("__r")
+    sizes = df.groupBy(*[F.col(s).alias(f"__{s}") for s in strata]).agg(F.count("*").alias("stratum_population"))
+    same = [F.col(s).eqNullSafe(F.col(f"__{s}")) for s in strata]
+    out = out.join(sizes, same).drop(*[f"__{s}" for s in strata])
     share = F.least(F.lit(n), F.col("stratum_population")) / F.col("stratum_population")
-    return out.where(F.col("__r") <= n).withColumns({"probability": share, "weight": 1 / share}).drop("__r")
+    return out.withColumns({"probability": share, "weight": 1 / share})
 
 
 def additions(sample: DataFrame, targeted: DataFrame, key: str) -> DataFrame:

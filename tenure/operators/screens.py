@@ -65,9 +65,9 @@ def terciles(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def varying(df: DataFrame, key: str, flag: str) -> DataFrame:
     """Rows of keys with two rows at least whose flags differ."""
-    w = Window.partitionBy(key)
-    out = df.withColumns({"__s": F.sum(flag).over(w), "__n": F.count("*").over(w)})
-    return out.where((F.col("__n") >= 2) & (F.col("__s") > 0) & (F.col("__s") < F.col("__n"))).drop("__s", "__n")
+    sums = df.groupBy(F.col(key).alias("__key")).agg(F.sum(flag).alias("s"), F.count("*").alias("n"))
+    keys = sums.where("n >= 2 and s > 0 and s < n").select("__key")
+    return df.join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def trimmed(df: DataFrame, value: str, share: float) -> DataFrame:

@@ -16,6 +16,14 @@ def profile(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     )
 
 
+def mix(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
+    """Rows and share of each level of the columns within the group: (groups, kind, level, n, share)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("level")) for c in columns])).alias("e")
+    counts = df.select(*groups, each).groupBy(*groups, "e.kind", "e.level").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*groups, "kind").agg(F.sum("n").alias("total"))
+    return counts.join(totals, [*groups, "kind"]).select(*groups, "kind", "level", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def shares(df: DataFrame, masks: dict[str, Column], groups: list[str]) -> DataFrame:
     """Share of rows for each mask by group (null for empty groups)."""
     return df.groupBy(*groups).agg(*[F.avg(F.coalesce(m, F.lit(False)).cast("double")).alias(n) for n, m in masks.items()])

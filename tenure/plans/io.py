@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
 import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators import resampling
+from tenure.operators.tables import scratch
 from tenure.sources import files, paged, sinks
 
 from .registry import query, rounded
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that executors share; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tenure-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s01_k01_gzip_csv", "select sale_id, bbl, sale_date, price, borough from sales where borough <> '4'")
 def s01(t):
     path = scratch(t.spark, "csv")

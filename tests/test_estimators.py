@@ -108,7 +108,9 @@ def test_draws_are_numpys_sequence(spark, sample):
     assert [got[i] for i in range(4)] == pytest.approx(want, abs=1e-10)
 
 
-def test_two_way_effects_equal_dummies(spark):
+@pytest.mark.parametrize("levels", [4000, 0])
+def test_two_way_effects_equal_dummies(spark, monkeypatch, levels):
+    monkeypatch.setattr(resampling, "LEVELS", levels)
     rng = np.random.default_rng(5)
     rows = [(f"p{i}", f"t{t}", float(rng.normal()), float(rng.random() < 0.5)) for i in range(12) for t in rng.choice(6, 4, replace=False)]
     df = spark.createDataFrame(rows, "bbl string, period string, y double, x double")
@@ -233,3 +235,78 @@ def test_draws_of_the_queries(spark, monkeypatch):
         QUERIES[name](spark, SF)
     assert given == {"bootstrap": [999] * 5, "hidden_labels": [200], "relabelling": [200]}
     assert QUERIES["m26_placebo_labels"](spark, SF).select("draw").distinct().count() == 400
+
+
+def test_passes_equal_the_collected_sample(pairs, sample):
+    from tenure.operators import passes
+
+    rows = passes.rows_of(pairs, "borough", "bbl")
+    ones = np.ones(len(sample.y))
+    want = resampling.fit_all(sample, ones)
+    got = passes.fit_all(rows)
+    assert got == pytest.approx(want, abs=1e-6)
+    beta, named, scale = passes.huber(rows, ["cf", "fc"])
+    assert beta.tolist() == pytest.approx(resampling.huber(sample.design, sample.q, sample.y, ones)[0].tolist(), abs=1e-6)
+    w = pairs.withColumn("weight", 1.0 + F.col("sale_id_z") % 3)
+    weights = np.array([r.weight for r in w.orderBy("bbl", "sale_id_z").select("weight").collect()])
+    weighted = passes.rows_of(w, "borough", "bbl", weight=F.col("weight"))
+    assert passes.least_squares(weighted, ["cf", "fc"])[0].beta.tolist() == pytest.approx(full(sample, weights).tolist(), abs=1e-8)
+    assert passes.mad_scale(passes.residuals(weighted, named), "e") > 0
+
+
+def test_draws_by_passes_equal_fits_with_the_same_weights(spark, pairs, sample, monkeypatch):
+    from tenure.operators import passes
+
+    monkeypatch.setattr(passes, "HELD", 3000)
+    rows = passes.rows_of(pairs, "borough", "bbl")
+    got = {r.draw: r.value for r in passes.bootstrap(rows, {"ols": ("cf", "fc")}, draws=40, seed=3).collect()}
+    hashes = np.array([r[0] for r in pairs.orderBy("bbl", "sale_id_z").select(F.xxhash64("bbl")).collect()])
+    w = passes.poisson(hashes, np.arange(40), 3)
+    assert len(got) == 40 and abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    for d in (0, 7, 39):
+        assert got[d] == pytest.approx(resampling.half(full(sample, w[:, d])), abs=1e-8)
+    flag = F.col("src") == "BUILDING"
+    both = passes.split(pairs, flag, "borough", "bbl", draws=2, seed=3).collect()
+    some = {(r.draw, r.estimator): r.value for r in passes.screened(pairs, {"all": F.lit(True), "b": ~flag}, "borough", "bbl", draws=2, seed=3).collect()}
+    assert len(both) == 4 and some[0, "all"] == pytest.approx(got[0], abs=1e-8) and len(some) == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_quantiles_by_passes(spark, monkeypatch, n):
+    from tenure.operators import passes
+
+    monkeypatch.setattr(passes, "FEW", 50)
+    rng = np.random.default_rng(n)
+    v, w = rng.normal(size=n).round(2 if n == 7 else 9), rng.integers(0, 4, n).astype(float)
+    v[: n // 3] = 0.25  # a hot value
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w)], "v double, w double")
+    for share in (0.0, 0.01, 0.3, 0.5, 0.975, 1.0):
+        got = passes.quantile(df, "v", "w", share, bins=16)
+        keep = w > 0
+        if not keep.any():
+            assert np.isnan(got)
+            continue
+        values, inverse = np.unique(v[keep], return_inverse=True)
+        sums, least = np.bincount(inverse, w[keep]), np.array([w[keep][inverse == k].min() for k in range(len(values))])
+        upto = np.cumsum(sums)
+        middle = np.stack([upto - sums + least / 2, upto - least / 2], axis=1).ravel()
+        assert got == pytest.approx(np.interp(share * sums.sum(), middle, np.repeat(values, 2)), abs=1e-12)
+        if n == 5000:
+            same = df.withColumn("w", F.lit(1.0))
+            assert passes.quantile(same, "v", "w", share, bins=16) == pytest.approx(resampling.weighted_quantile(v, np.ones(n), [100 * share])[0], abs=1e-12)
+
+
+def test_subset_of_the_index_and_its_fit(spark, pairs, sample):
+    from tenure.plans.catalogue import QUERIES
+
+    x = sample.x
+    r = sample.y - x @ np.linalg.lstsq(x, sample.y, rcond=None)[0]
+    src = np.array([p.src for p in pairs.orderBy("bbl", "sale_id_z").select("src").collect()])
+    for row in QUERIES["m25_subset_of_index"](spark, SF).collect():
+        own = src == row.src
+        cf, fc = own & (sample.q[:, 0] == 1), own & (sample.q[:, 1] == 1)
+        assert row.half_difference == pytest.approx((r[cf].mean() - r[fc].mean()) / 2, abs=1e-8)
+    fits = {f.design: f for f in QUERIES["m26_index_fit"](spark, SF).collect()}
+    want = 1 - (r @ r) / (sample.y @ sample.y), 1 - (r @ r) / ((sample.y - sample.y.mean()) ** 2).sum()
+    assert (fits["all"].uncentred, fits["all"].centred) == pytest.approx(want, abs=1e-8)
+    assert fits["base"].columns < fits["all"].columns and fits["base"].uncentred == pytest.approx(want[0], abs=1e-8)

@@ -9,7 +9,6 @@ import pytest
 from tenure.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m05_joint_covariance", "m15_robust_differences", "m35_window_sensitivity", "m04_contrast_local"}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +38,7 @@ def test_equals_sql(spark, duck, name):
         assert all(x == y or isinstance(x, float) and y is not None and abs(x - y) < 1e-4 for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
