@@ -221,7 +221,7 @@ def m25(t):
 @query("m26_placebo_labels", """with e as (select cast(d as integer) as draw, case when substr(md5(concat('1:', cast(sale_id_z as varchar), '|', cast(d as varchar))), 1, 1) < '8' then 'cf' else 'fc' end as arm, y
         from enriched, range(400) r(d) where cf = 1 or fc = 1)
     select draw, round((avg(y) filter (arm = 'cf') - avg(y) filter (arm = 'fc')) / 2, 6) as half_difference, round(avg(y) filter (arm = 'cf') + avg(y) filter (arm = 'fc'), 6) as asymmetry,
-    round((avg(y) filter (arm = 'cf') + avg(y) filter (arm = 'fc')) / sqrt(var_samp(y) filter (arm = 'cf') / count(*) filter (arm = 'cf') + var_samp(y) filter (arm = 'fc') / count(*) filter (arm = 'fc')), 5) as z,
+    round((avg(y) filter (arm = 'cf') + avg(y) filter (arm = 'fc')) / sqrt(var_samp(y) filter (arm = 'cf') / count(*) filter (arm = 'cf') + var_samp(y) filter (arm = 'fc') / count(*) filter (arm = 'fc')), 6) as z,
     count(*) filter (arm = 'cf') as cf, count(*) filter (arm = 'fc') as fc from e group by 1""")
 def m26(t):
     """Half-differences after labels are drawn by a hash: what chance alone gives."""
@@ -232,7 +232,7 @@ def m26(t):
     label = F.when(uniform(F.concat_ws("|", "sale_id_z", "draw"), 1) < 0.5, "cf").otherwise("fc")
     from .registry import rounded
 
-    return rounded(half_difference(rows.withColumn("arm", label), "arm", "y", ["draw"])).withColumn("z", F.round("z", 5))
+    return rounded(half_difference(rows.withColumn("arm", label), "arm", "y", ["draw"]))
 
 
 @query("m27_hidden_labels")
