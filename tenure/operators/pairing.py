@@ -121,21 +121,35 @@ def hold_sweep(pairs: DataFrame, days: str, holds: list[int], *aggregates: Colum
     return pairs.withColumn("hold", each).groupBy("hold").agg(*aggregates)
 
 
+#: Ranges of values into which a group is dealt.
+RANGES = 64
+
+
 def weighted_cdf(rows: DataFrame, value: str, weight: str, keys: list[str]) -> DataFrame:
-    """Rows with ``cdf``: (weight up to and with the row, less half its own) over the group's weight."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("cdf", (upto - F.col(weight) / 2) / F.sum(weight).over(Window.partitionBy(*keys)))
+    """Rows with ``cdf``: (weight up to and with the row, less half its own) over the group's weight.
+
+    A group is dealt by ranges of its values: the ranges' sums are accumulated, then the rows within each.
+    """
+    shares = [(i + 1) / RANGES for i in range(RANGES - 1)]
+    cuts = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+        F.percentile_approx(F.col(value).cast("double"), shares, 1000).alias("__cuts"), F.sum(weight).alias("__total")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    ranged = F.size(F.filter("__cuts", lambda c: c < F.col(value))).alias("__range")
+    dealt = rows.join(cuts, same).select(*rows.columns, "__total", F.when(F.col(value).isNull(), -1).otherwise(ranged).alias("__range"))
+    sums = dealt.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r")).agg(F.sum(weight).alias("__sum"))
+    before = Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    dealt = dealt.join(sums, [*same, F.col("__range") == F.col("__r")])
+    inside = F.sum(weight).over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.select(*rows.columns, ((F.col("__before") + inside - F.col(weight) / 2) / F.col("__total")).alias("cdf"))
 
 
 def weighted_quantile(rows: DataFrame, value: str, weight: str, shares: list[float], keys: list[str]) -> DataFrame:
     """Quantiles by linear interpolation of the weighted distribution, flat beyond its ends."""
     c = weighted_cdf(rows.where(F.col(weight) > 0), value, weight, keys)
-    w = Window.partitionBy(*keys).orderBy("cdf", value)
-    c = c.withColumns({"__c": F.lead("cdf").over(w), "__v": F.lead(value).over(w), "__first": F.row_number().over(w) == 1})
-    out = c.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    at, below = F.col("share"), F.col("__first") & (F.col("share") < F.col("cdf"))
-    inside = (at >= F.col("cdf")) & (at < F.col("__c"))
-    last = F.col("__c").isNull() & (at >= F.col("cdf"))
-    between = F.col(value) + (F.col("__v") - F.col(value)) * (at - F.col("cdf")) / (F.col("__c") - F.col("cdf"))
-    return out.where(below | inside | last).select(*keys, "share", F.when(inside, between).otherwise(F.col(value)).alias("quantile"))
+    c = c.select(*keys, "cdf", F.col(value).alias("__v"), F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    point, below = F.struct("cdf", F.col("__v").alias("v")), F.col("cdf") <= F.col("share")
+    near = c.groupBy(*keys, "share").agg(F.max(F.when(below, point)).alias("a"), F.min(F.when(~below, point)).alias("b"))
+    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("share") - F.col("a.cdf")) / (F.col("b.cdf") - F.col("a.cdf"))
+    return near.select(*keys, "share", F.coalesce(between, "a.v", "b.v").alias("quantile"))

@@ -198,12 +198,12 @@ def p27(t):
 
 @query("p28_round_dummies", """select low, cast(round_even((low + 5000) / 10000, 0) * 10000 % 100000 = 0 as integer) as r100, cast(round_even((low + 5000) / 10000, 0) * 10000 % 50000 = 0 as integer) as r50,
     cast(ceil(low / 100000) * 100000 < low + 10000 as integer) as e100, cast(ceil(low / 50000) * 50000 < low + 10000 and not ceil(low / 100000) * 100000 < low + 10000 as integer) as e50
-    from (select cast(unnest(range(0, 600000, 10000)) as double) as low)""")
+    from (select distinct cast(floor(price / 10000) * 10000 as double) as low from sales)""")
 def p28(t):
     low = F.col("low")
     a, b, _ = measures.round_dummies(low + 5000, 10_000)
     c, d, _ = measures.exclusive_round_dummies(low, low + 10_000)
-    rows = t.spark.range(0, 600_000, 10_000).select(F.col("id").cast("double").alias("low"))
+    rows = t.sales.select((F.floor(F.col("price") / 10_000) * 10_000).cast("double").alias("low")).distinct()
     return rows.select("low", a.alias("r100"), b.alias("r50"), c.alias("e100"), d.alias("e50"))
 
 

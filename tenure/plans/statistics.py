@@ -277,10 +277,17 @@ def m29_kappa_crossing(t):
     return resampling.crossing(_sweep(t), "kappa", "value")
 
 
-@query("m29_crossing", """with s as (select * from (values (0.0, 3.0), (0.1, 1.0), (0.2, -1.0), (0.3, -2.0)) v(x, y)) select cast(0.1 + 0.1 * 1.0 / 2.0 as double) as crossing""")
+@query("m29_crossing", """with s as (select borough, cast(k as double) / 10 as x, avg(price) filter (financed_base = 1) - 1.2 * avg(price) * k / 10 as y from flagged, range(16) r(k) group by borough, k),
+    n as (select *, lead(x) over (partition by borough order by x) as x1, lead(y) over (partition by borough order by x) as y1 from s)
+    select borough, round(min(x + (x1 - x) * y / (y - y1)), 6) as crossing from n where y > 0 and y1 <= 0 group by 1""")
 def m29_crossing(t):
-    sweep = t.spark.createDataFrame([(0.0, 3.0), (0.1, 1.0), (0.2, -1.0), (0.3, -2.0)], "x double, y double")
-    return resampling.crossing(sweep, "x", "y")
+    """Where a sweep of the sales falls through zero, by borough; m29_kappa_crossing is the sweep of the recodings."""
+    from .registry import rounded
+
+    rows = t.flagged.select("borough", "price", "financed_base", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    y = F.avg(F.when(F.col("financed_base") == 1, F.col("price"))) - 1.2 * F.avg("price") * F.col("k") / 10
+    sweep = rows.groupBy("borough", "k").agg(y.alias("y")).withColumn("x", F.col("k").cast("double") / 10)
+    return rounded(resampling.crossing(sweep, "x", "y", ["borough"]))
 
 
 @query("m30_sequential_screens")
