@@ -40,23 +40,35 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of benchmark items, in flat arrays: about 40 bytes a word beside the vocabulary."""
+    """The different windows of a block of benchmark items, in flat arrays: about 60 bytes a word beside the vocabulary.
+
+    A window that many items share is held, and verified, once, with the list of its items.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items = [item for item, _ in items]
         texts = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)] for _, text in items]
         self.flat = np.array([i for ids in texts for i in ids], dtype=np.uint32)
         lengths = np.array([len(ids) for ids in texts], dtype=np.int64)
         begins = np.concatenate([[0], lengths.cumsum()])
         owner = np.repeat(np.arange(len(texts)), lengths)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        names = np.array([item for item, _ in items], dtype=object)
+        #: By size: hashes in order, a place of each window, and the items of window n from ends[n] to ends[n + 1].
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted(set(np.minimum(lengths, width).tolist()) - {0}):
             of_size = np.minimum(lengths, width)[owner] == size
             starts = np.flatnonzero(of_size & (np.arange(len(owner)) + size <= begins[owner + 1]))
             found = self.hashes(self.flat, starts, size)
             order = found.argsort(kind="stable")
-            self.by_size[size] = found[order], starts[order], owner[starts[order]]
+            found, starts = found[order], starts[order]
+            first = np.concatenate([[True], found[1:] != found[:-1]])
+            of = np.flatnonzero(first)[first.cumsum() - 1]  # the first window of the same hash
+            step = 1 << 16  # windows that are compared at once
+            for low in range(0, len(starts), step):
+                a, b = starts[low : low + step, None] + np.arange(size), starts[of[low : low + step], None] + np.arange(size)
+                first[low : low + step] |= (self.flat[a] != self.flat[b]).any(axis=1)  # another window of that hash stands alone
+            ends = np.append(np.flatnonzero(first), len(starts))
+            self.by_size[size] = found[ends[:-1]], starts[ends[:-1]], ends, names[owner[starts]]
 
     @staticmethod
     def hashes(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -68,10 +80,10 @@ class Windows:
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items found."""
-        hit, items = np.zeros(len(words) + 1, dtype=np.int32), set()
+        hit, items, seen = np.zeros(len(words) + 1, dtype=np.int32), set(), set()
         ids = np.fromiter(map(self.vocabulary.get, words, iter(int, 1)), dtype=np.uint64, count=len(words))
         known = np.concatenate([[0], (ids > 0).cumsum()])
-        for size, (hashes, places, owners) in self.by_size.items():
+        for size, (hashes, places, ends, owners) in self.by_size.items():
             starts = np.flatnonzero(known[size:] - known[:-size] == size) if len(words) >= size else ()
             if not len(starts):
                 continue
@@ -83,7 +95,9 @@ class Windows:
                     if (self.flat[places[at] : places[at] + size] == ids[i : i + size]).all():
                         hit[i] += 1
                         hit[i + size] -= 1
-                        items.add(self.items[owners[at]])
+                        if (size, at) not in seen:
+                            seen.add((size, at))
+                            items.update(owners[ends[at] : ends[at + 1]])
         return hit.cumsum()[:-1] > 0, items
 
 

@@ -12,8 +12,8 @@ session's own Parquet writer, which commits through the file system of the targe
 
 Texts are encoded by the library, Latin-1 texts word by word with a bounded table of the words that a worker has met.
 
-Edge cases: null and empty texts have only the end id; repeated ids stay side by side, ordered by text; rows with a
-null id come first; an empty table writes files without rows; other columns of the input are not looked at.
+Edge cases: null and empty texts have only the end id; repeated ids stay side by side, ordered by the first 32
+characters of the text and its hash; rows with a null id come first; an empty table writes files without rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -158,8 +158,10 @@ def encoder(path: str) -> Encoder:
 def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFrame:
     """SCHEMA's rows, range-sorted by doc_id."""
     bound_batches(documents.sparkSession)
-    # the parts are ranges of ids; their number follows the session's shuffle partitions
-    ranged = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the parts are ranges of ids, their number follows the session's shuffle partitions; rows of one id, or none, are
+    # ranges of their texts' beginnings and hashes
+    order = ["doc_id", F.substring("text", 1, 32), F.xxhash64("text")]
+    ranged = documents.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

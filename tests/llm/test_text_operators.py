@@ -47,6 +47,18 @@ def test_decontamination_equals_brute_force(spark, docs, block):
     assert got == sorted(((r.doc_id, *contamination(r.text, items)) for r in d.collect()), key=str)
 
 
+def test_windows_that_many_items_share_are_held_once(monkeypatch):
+    common = [f"c{i}" for i in range(20)]
+    items = [(i, " ".join([*common, f"own{i}"])) for i in range(3000)] + [(9000, "c1 c2"), (None, "c1 c2"), (9001, "c1 c2")]
+    w = dc.Windows(items, 13)
+    assert [len(x[0]) for x in w.by_size.values()] == [1, 8 + 3000]
+    hit, found = w.scan([x.encode() for x in ["a", *common, "own7", "b"]])
+    assert hit.tolist() == [False, *[True] * 21, False] and found == {*range(3000), 9000, 9001, None}
+    monkeypatch.setattr(dc.Windows, "hashes", staticmethod(lambda ids, starts, size: np.zeros(len(starts), dtype=np.uint64)))
+    hit, found = dc.Windows(items[:40], 13).scan([x.encode() for x in [*common[2:], "own7"]])  # every window has one hash
+    assert hit.all() and found == set(range(40))
+
+
 def test_decontamination_removes_spans_or_documents(spark):
     bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(13)))], "item_id long, text string")
     text = "Keep, this: " + ", ".join(f"Q{i}" for i in range(13)) + "! And this."
@@ -459,6 +471,20 @@ def test_token_files(spark, tmp_path):
     assert token_files.round_trip(empty(spark), path=str(tmp_path / "e")).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_over_parts(spark, tmp_path):
+    rows = [(None, f"text {i % 50} {'long ' * (i % 40)}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = token_files.round_trip(d, path=str(tmp_path / "t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() > 1
+    at = 0
+    for r in sorted(got.collect(), key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert got.count() == 400
+
+
 def test_token_files_allow_selective_reads(spark, tmp_path):
     import pyarrow.parquet as pq
 
