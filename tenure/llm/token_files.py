@@ -23,7 +23,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice, repeat
+from operator import attrgetter, is_
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +93,9 @@ class Encoder:
         """Encode new words: the library's model on each word as it comes from the tokenizer's own steps."""
         spelt = [w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.letters) for w in words]
         tokens = list(map(self.model.tokenize, spelt))
-        ids = np.fromiter((t.id for ts in tokens for t in ts), dtype="<u4").tobytes()
+        ids = np.array(list(map(attrgetter("id"), chain.from_iterable(tokens))), dtype="<u4").tobytes()
         ends = (np.cumsum([0, *map(len, tokens)]) * 4).tolist()
-        self.known.update((w, ids[a:b]) for w, a, b in zip(words, ends, ends[1:], strict=False))
+        self.known.update(zip(words, map(ids.__getitem__, map(slice, ends, ends[1:])), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each as 32-bit little-endian integers."""
@@ -110,7 +111,8 @@ class Encoder:
                 flat += t.lower().split()
             ends.append(len(flat))
         ids = list(map(self.known.get, flat))
-        if missing := [i for i, x in enumerate(ids) if x is None]:
+        if None in ids:
+            missing = np.flatnonzero(np.fromiter(map(is_, ids, repeat(None)), dtype=bool, count=len(ids))).tolist()
             found = self._found({flat[i] for i in missing})
             for i in missing:
                 ids[i] = found[flat[i]]
@@ -200,6 +202,7 @@ def write(
         encode(documents, tokenizer=tokenizer, end_id=end_id)
         .write.mode("overwrite")
         .option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", "1")
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group)
         .option("parquet.page.size", page)
