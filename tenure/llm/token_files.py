@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, shared_dir
 
 #: Words that a worker remembers, some 250 bytes each.
-WORDS_HELD = 400_000
+WORDS_HELD = 800_000
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids_crc32 long, ids array<int>"
 
 
