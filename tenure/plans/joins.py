@@ -139,12 +139,6 @@ def j18(t):
     return rows.select("sale_id", "doc_id", "doc_date", label.alias("relabelled"))
 
 
-@query("j19_locate", """with c as (select bbl, date_a, date_z from pairs where sale_id_z % 97 = 0) select c.*, (select count(*) from pairs p where p.bbl = c.bbl and p.date_a = c.date_a and p.date_z = c.date_z) as rows from c""")
-def j19(t):
-    keys = ["bbl", "date_a", "date_z"]
-    return linkage.locate(t.pairs, t.pairs.where("sale_id_z % 97 = 0").select(*keys), keys)
-
-
 @query("j19_locate_all", """with c as (select bbl, date_a, date_z, count(*) as rows from pairs group by 1, 2, 3) select p.bbl, p.date_a, p.date_z, c.rows from pairs p join c on c.bbl = p.bbl and c.date_a = p.date_a and c.date_z = p.date_z""")
 def j19_all(t):
     """Every pair as a case."""
@@ -159,16 +153,13 @@ def j20(t):
     return rounded(grid.crossJoin(F.broadcast(n)).select("h", "f", (F.col("h") * F.col("n")).alias("recoded")))
 
 
-@query("j21_shared_ends", """with p as (select sale_id_z as id, year(date_a) * 4 + quarter(date_a) as a, year(date_z) * 4 + quarter(date_z) as z, bbl from pairs where borough = '0' and zipcode in ('0', '5'))
-    select p.id, count(*) as sharing from p join p q on p.bbl = q.bbl or p.a in (q.a, q.z) or p.z in (q.a, q.z) group by 1""")
-def j21(t):
-    """The part that the SQL, which compares all with all, is given."""
-    return _sharing(t.pairs.where("borough = '0' and zipcode in ('0', '5')"))
-
-
-@query("j21_shared_ends_all")
+@query("j21_shared_ends_all", """with p as (select sale_id_z as id, year(date_a) * 4 + quarter(date_a) as a, year(date_z) * 4 + quarter(date_z) as z, bbl from pairs),
+    c as (select bbl, a, z, count(*) as n from p group by 1, 2, 3), e as (select a, z, sum(n) as n from c group by 1, 2),
+    t as (select e.a, e.z, sum(f.n) as n from e join e f on e.a in (f.a, f.z) or e.z in (f.a, f.z) group by 1, 2),
+    w as (select c.bbl, c.a, c.z, coalesce(sum(d.n) filter (not (c.a in (d.a, d.z) or c.z in (d.a, d.z))), 0) as n from c join c d on d.bbl = c.bbl group by 1, 2, 3)
+    select p.id, cast(t.n + w.n as bigint) as sharing from p join t on t.a = p.a and t.z = p.z join w on w.bbl = p.bbl and w.a = p.a and w.z = p.z""")
 def j21_all(t):
-    """All pairs; checked by brute force in tests, as the SQL grows with the square of the pairs."""
+    """All pairs; the SQL compares cells of quarters, and pairs of one parcel, not all pairs."""
     return _sharing(t.pairs)
 
 

@@ -57,11 +57,6 @@ def w07(t):
     return rounded(pairing.weighted_cdf(rows, "y", "w", ["borough"]).select("sale_id_z", "cdf"))
 
 
-@query("w08_long_gaps", """with d as (select distinct sale_date from sales where borough = '1' and zipcode = '1') select sale_date, next, cast(date_diff('day', sale_date, next) as integer) as days from (select sale_date, lead(sale_date) over (order by sale_date) as next from d) where date_diff('day', sale_date, next) > 8""")
-def w08(t):
-    return pairing.gaps(t.sales.where("borough = '1' and zipcode = '1'"), "sale_date", 8)
-
-
 @query("w08_long_gaps_all", """with d as (select distinct borough, zipcode, sale_date from sales) select borough, zipcode, sale_date, next, cast(date_diff('day', sale_date, next) as integer) as days
     from (select *, lead(sale_date) over (partition by borough, zipcode order by sale_date) as next from d) where date_diff('day', sale_date, next) > 8""")
 def w08_all(t):
