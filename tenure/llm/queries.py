@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, warc
+from . import centroids, decontaminate, html_text, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, warc
 from .common import shared_dir, table
 
 
@@ -56,6 +56,10 @@ def op10_token_counts_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_version(table(spark, sf_dir, "documents"), shared_dir(spark), token_files.tokenizer_path())
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_token_counts": op10_token_counts,
     "op10_token_counts_by_version": op10_token_counts_by_version,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 
@@ -132,10 +137,33 @@ with c as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\x00-\x
 select source, lang, 'words-2' as tokenizer, count(*) as documents, cast(sum(n) as bigint) as tokens from c where n > 0 group by 1, 2
 """
 
+#: The rounds of Lloyd's algorithm written one after another: distances in long form, then exact floors of the means.
+_ROUND = """
+a{n} as materialized (select r, c, d from (select r, c, d, row_number() over (partition by r order by d, c) as q
+    from (select k.r, m.c, sum((k.x - m.x) * (k.x - m.x)) as d from k join c{n} m on m.i = k.i group by 1, 2)) where q = 1)"""
+_MEANS = """, c{m} as materialized (select o.c, o.i, coalesce((s - (s % n + n) % n) // n, o.x) as x from c{n} o
+    left join (select a.c, k.i, sum(k.x) as s, count(*) as n from a{n} a join k on k.r = a.r group by 1, 2) g on g.c = o.c and g.i = o.i),"""
+CENTROIDS_SQL = (
+    """
+with e as (select row_number() over () as r, vec_id, embedding from embeddings where len(embedding) = 64),
+l as (select r, vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from e),
+k as materialized (select r, vec_id, i, cast(floor(256 * x) as bigint) as x from l where r not in (select r from l where x is null or not isfinite(x))),
+h as (select r, row_number() over (order by sha256(concat('2:', cast(vec_id as varchar)))) - 1 as c from k where i = 1 qualify c < 40),
+c0 as materialized (select c, i, x from h join k on k.r = h.r),"""
+    + "".join(_ROUND.format(n=n) + _MEANS.format(n=n, m=n + 1) for n in range(5))
+    + _ROUND.format(n=5)
+    + """, s as (select c, sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by i)) as centroid_sha256 from c5 group by 1)
+select vec_id, cast(a.c as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia,
+    cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from a5 a join k on k.r = a.r and k.i = 1 join s on s.c = a.c
+"""
+)
+
 #: The others learn, resolve components, extract or tokenise; their tests hold them against brute force.
 ORACLE_SQL = {
     "op3_source_mixing": MIXING_SQL,
     "op4_warc_salvage": WARC_SQL,
     "op8_decontamination": DECONTAMINATION_SQL,
     "op10_token_counts": TOKEN_COUNTS_SQL,
+    "op12_centroid_clustering": CENTROIDS_SQL,
 }
