@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, html_text, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, warc
+from . import centroids, decontaminate, html_text, mixing, quality_classifier, quality_rules, repeats, secrets, simhash, token_counts, token_files, warc
 from .common import shared_dir, table
 
 
@@ -56,6 +56,10 @@ def op10_token_counts_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_version(table(spark, sf_dir, "documents"), shared_dir(spark), token_files.tokenizer_path())
 
 
+def op11_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_token_counts": op10_token_counts,
     "op10_token_counts_by_version": op10_token_counts_by_version,
+    "op11_repeated_strings": op11_repeated_strings,
     "op12_centroid_clustering": op12_centroid_clustering,
 }
 
@@ -137,6 +142,21 @@ with c as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\x00-\x
 select source, lang, 'words-2' as tokenizer, count(*) as documents, cast(sum(n) as bigint) as tokens from c where n > 0 group by 1, 2
 """
 
+#: Every string of 100 bytes as 200 hexadecimal digits, numbered among its equals; a byte goes if such a start lies up to 99 before it.
+REPEATS_SQL = """
+with d as materialized (select row_number() over (order by doc_id nulls first) as r, doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+p as materialized (select r, doc_id, i, substr(hx, 2 * i + 1, 2) as b, case when i + 100 <= len(hx) // 2 then md5(substr(hx, 2 * i + 1, 200)) end as w
+    from (select *, unnest(range(len(hx) // 2)) as i from d)),
+w as (select r, i, row_number() over (partition by w order by r, i) > 1 as again from p where w is not null),
+c as (select p.r, p.i, b, max(case when again then 1 else 0 end) over (partition by p.r order by p.i rows between 99 preceding and current row) = 1 as gone
+    from p left join w on w.r = p.r and w.i = p.i),
+g as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) as begins from c),
+t as (select r, count(*) as n_bytes, count(*) filter (gone) as n_removed, count(*) filter (begins) as n_spans, string_agg(b, '' order by i) filter (not gone) as rest
+    from g group by 1)
+select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, ''))) as kept_sha256
+from d left join t on t.r = d.r
+"""
+
 #: The rounds of Lloyd's algorithm written one after another: distances in long form, then exact floors of the means.
 _ROUND = """
 a{n} as materialized (select r, c, d from (select r, c, d, row_number() over (partition by r order by d, c) as q
@@ -165,5 +185,6 @@ ORACLE_SQL = {
     "op4_warc_salvage": WARC_SQL,
     "op8_decontamination": DECONTAMINATION_SQL,
     "op10_token_counts": TOKEN_COUNTS_SQL,
+    "op11_repeated_strings": REPEATS_SQL,
     "op12_centroid_clustering": CENTROIDS_SQL,
 }
