@@ -11,10 +11,10 @@ samples, and ranks are formed for these:
    documents hold leaves a task once a batch.
 2. *First sort.* Spark sorts (name of the anchor, name of the extent, position). An anchor whose name is unique leaves:
    nothing that covers it repeats. Of equal extents all but the first are repeats. Different extents of one name go on.
-3. *Doubling.* The strings of a run have GRAM bytes about the anchor in common. Halving the run leaves more bytes in
-   common, the old ones and the block beside them, and a rank is renewed from the pair (rank, block): 50, then 75, 88, 94, 97,
-   99 and 100 bytes. Each round sorts (new rank, content, position) and drops what is unique or settled, until runs are
-   single starts, whose strings have SPAN bytes and are compared as they are.
+3. *Doubling.* The strings of a run have GRAM bytes about the anchor in common. A quarter of the run has more bytes in
+   common, the old ones and the block beside them, and its rank is renewed from the pair (rank, block): from 50 to 88, 97
+   and 100 bytes, so that what is lacking shrinks to a quarter a round. Each round sorts (new rank, content, position) and
+   drops what is unique or settled, until runs are single starts, whose strings have SPAN bytes and are compared as they are.
 4. *Cut.* Documents are sorted beside their marks and read in a stream.
 
 Sorts are by ranges of (rank, content), so neither a common rank nor a long document lands in one task: a rank that lies
@@ -48,8 +48,12 @@ from .common import materialize
 SPAN, GRAM = 100, 50
 #: Starts that share an anchor lie at offsets 0 to RUN - 1 before it.
 RUN = SPAN - GRAM + 1
+#: Parts of a run in the next round.
+WAYS = 4
 #: Bytes whose anchors are formed at once (arrays fit a core's cache), bytes that a batch compares, and the bits of a place.
 PIECE, BATCH, PLACE = 1 << 17, 8 << 20, np.uint64(20)
+#: Rows that a task hands on at once.
+ROWS = 1 << 14
 A, B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 S28, S32 = np.uint64(28), np.uint64(32)
 
@@ -135,7 +139,7 @@ def joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of documents (row, ord, body); of equal extents within a batch the first, and marks for the others."""
 
-    def formed(docs: list[tuple]) -> pa.RecordBatch:
+    def formed(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
         docs.sort(key=lambda d: d[:2])
         doc, start, n, hi, name, tag = runs([d[2] for d in docs])
         order = np.lexsort((tag, name))  # keeps positions of equal extents in order
@@ -147,7 +151,7 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ~seen
         mark = np.zeros(len(d), np.int64)
         far = pair(rows[d].astype(np.uint64), s.astype(np.uint64)).view(np.int64)  # deals the marks out
-        return pa.RecordBatch.from_pydict(
+        out = pa.RecordBatch.from_pydict(
             {
                 "name": np.concatenate([name[keep].view(np.int64), far]),
                 "tag": pa.array(np.concatenate([tag[keep].view(np.int64), mark]), mask=np.arange(keep.sum() + len(d)) >= keep.sum()),
@@ -158,6 +162,7 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "hi": np.concatenate([hi[keep], mark]).astype(np.int32),
             }
         )
+        yield from (out.slice(i, ROWS) for i in range(0, len(out), ROWS))
 
     docs: list[tuple] = []
     size = 0
@@ -166,10 +171,10 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(d)
             size += len(d[2])
             if size >= BATCH:
-                yield formed(docs)
+                yield from formed(docs)
                 docs, size = [], 0
     if docs:
-        yield formed(docs)
+        yield from formed(docs)
 
 
 def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +224,8 @@ def _on(heads: pa.Table, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield from heads.filter(pa.array(shared)).combine_chunks().to_batches()
 
 
-def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items with half their starts each: the rank of the pair (rank, block beside), contents that a batch holds twice marked."""
+def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with a quarter of their starts each: the rank of the pair (rank, block beside), contents that a batch holds twice marked."""
     schema = pa.schema(
         [(c, pa.int64()) for c in ("name", "tag", "ord", "row", "start", "n")] + [(c, pa.int32()) for c in ("hi", "low", "high")] + [("body", pa.binary())]
     )
@@ -229,15 +234,16 @@ def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def split(item: dict) -> Iterator[tuple]:
         start, hi, low, high, body = item["start"], item["hi"], item["low"], item["high"], item["body"]
-        lo, mid = hi - item["n"] + 1, (low + high) // 2
-        for side, a, b in ((0, low, mid), (1, mid + 1, high)):  # offsets of the half; smaller ones start later
+        lo, size = hi - item["n"] + 1, -(-(high - low + 1) // WAYS)
+        for a in range(low, high + 1, size):  # offsets of the part; smaller ones start later
+            b = min(high, a + size - 1)
             top, least = min(hi, b), max(lo, a)
             if top < least:
                 continue
             own = body[hi - top : hi - least + SPAN]
-            # common to the half's strings: from a before the anchor to SPAN - b behind it; the block is what the parent lacked
-            block = own[top - low + SPAN - (high - low) : top - a + SPAN - (b - a)] if side == 0 else own[top - a : top - low]
-            name = signed(names(block, (item["name"] * 2 + side) & 0xFFFFFFFFFFFFFFFF))
+            # the part's strings have in common what lies from a before the anchor to SPAN - b behind it; the block is what the parent lacked
+            block = own[top - a : top - low] + own[top - high + SPAN : top - b + SPAN]
+            name = signed(names(block, (item["name"] * 255 + a - low) & 0xFFFFFFFFFFFFFFFF))
             yield name, signed(tags(own, top << 8 | least)), item["ord"], item["row"], start + hi - top, top - least + 1, top, a, b, own
 
     def formed(items: list[tuple]) -> pa.RecordBatch:
@@ -332,7 +338,7 @@ def marks_of(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     done, open_ = [found.where("name is null")], found.where("name is not null")
     items = materialize(_beside(rows.select("row", "body"), open_.drop("tag")).mapInArrow(pieces, ITEMS))
     while not items.isEmpty():
-        pairs = items.mapInArrow(halved, ITEMS)
+        pairs = items.mapInArrow(parted, ITEMS)
         found = materialize(pairs.repartitionByRange("name", "tag").sortWithinPartitions(*KEY).mapInArrow(ranked, ITEMS))
         done.append(found.where("name is null"))
         items = found.where("name is not null")
