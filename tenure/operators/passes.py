@@ -5,8 +5,8 @@ the last coefficients or by the draws' cluster weights, and adds up the products
 and collected is columns x columns (a draw), whatever the number of pairs. Cluster weights are Poisson counts from a hash
 of the seed, the draw and the cluster: every task, screen and estimator sees the same draws, and none are sent.
 
-A quantile is searched in counts of bins over the values' range, finer in the bin that holds it, until that bin has few
-values.
+Quantiles are searched by counts, see ``search``. Estimators that reweigh by their own residuals do so for all draws at
+once: a pass takes every unsettled draw's coefficients and gives its sums, and draws that rest leave.
 """
 
 from __future__ import annotations
@@ -19,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .estimation import Fit, contrast_entries, solve, solved
+from .estimation import Fit, contrast_entries, inverse, solve, solved
 from .resampling import HUBER, TRIMS, half
+from .search import Found, search, slices
 from .tables import written
 
 #: Draws whose sums stand in one row.
 BLOCK = 32
 #: Sums that a task holds before it gives them out.
 HELD = 4_000_000
-#: A bin of up to this many values is looked at value by value.
-FEW = 10_000
+#: Rows that are worth a task, as each is weighed for every draw; fewer are dealt over all cores.
+MANY = 50_000
+#: Products (rows x pairs of entries x draws) that a task forms at once.
+CELLS = 4_000_000
 
 
 def rows_of(pairs: DataFrame, area: str, cluster: str, *, keep: list[str] | None = None, weight: Column | None = None, **design) -> DataFrame:
@@ -36,7 +39,9 @@ def rows_of(pairs: DataFrame, area: str, cluster: str, *, keep: list[str] | None
     years = F.datediff("date_z", "date_a") / 365.25
     w = F.lit(1.0) if weight is None else weight.cast("double")
     entries = contrast_entries(area, **design).alias("x")
-    return written(pairs.select(entries, F.xxhash64(cluster).alias("c"), w.alias("w"), (F.col("y") / years).alias("g"), *(keep or [])), "design")
+    rows = written(pairs.select(entries, F.xxhash64(cluster).alias("c"), w.alias("w"), (F.col("y") / years).alias("g"), *(keep or [])), "design")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.count() > cores * MANY else written(rows.repartition(cores), "design")
 
 
 def _products(offsets: np.ndarray, code: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,15 +53,39 @@ def _products(offsets: np.ndarray, code: np.ndarray, v: np.ndarray) -> tuple[np.
         i, j = np.triu_indices(n)
         a, b = code[places[:, i]], code[places[:, j]]
         twice = np.where((a == b) & (i != j), 2.0, 1.0)
-        key = np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)
+        key = np.minimum(a, b).astype(np.int64) << 24 | np.maximum(a, b)
         out.append((np.repeat(at, len(i)), key.ravel(), (v[places[:, i]] * v[places[:, j]] * twice).ravel()))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _sums(rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray], width: int, coefficients: dict[str, float] | None) -> DataFrame:
+#: Coefficients by column: a number, or one a draw.
+Coefficients = dict[str, float] | dict[str, np.ndarray]
+
+
+def _seen(batch: pa.RecordBatch, coefficients: Coefficients | None = None) -> dict[str, np.ndarray]:
+    """A batch's ``c``, ``w``, ``g``, its entries (``names``, ``codes``, ``v``, ``offsets``) and, with coefficients, residuals ``e``:
+    a number a row, or rows x draws. A column that a fit hasn't got counts as nothing."""
+    x = batch.column(batch.schema.names.index("x"))
+    own = {c: batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "x"}
+    offsets = x.offsets.to_numpy()
+    entries = x.values.slice(offsets[0], offsets[-1] - offsets[0])
+    spelt = entries.field(0).dictionary_encode()
+    own |= {"names": spelt.dictionary.to_pylist(), "codes": spelt.indices.to_numpy(), "v": entries.field(1).to_numpy(zero_copy_only=False), "offsets": offsets - offsets[0]}
+    if coefficients is not None:
+        width = next((np.shape(b) for b in coefficients.values()), ())
+        add = np.array([np.ones(width) if n == "y" else -coefficients.get(n, np.zeros(width)) for n in own["names"]]).reshape(len(own["names"]), *width)
+        terms = (own["v"] * add[own["codes"]].T).T
+        own["e"] = np.add.reduceat(terms, own["offsets"][:-1], axis=0) if len(batch) else np.zeros((0, *width))  # every row has its outcome
+    return own
+
+
+def _sums(
+    rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray], width: int, coefficients: Coefficients | None, mask: str | None = None
+) -> DataFrame:
     """(i, j, block, s0..): sums of the products of entries by the weights (rows x ``width``) that ``weigh`` gives.
 
-    ``weigh`` sees a batch's ``c``, ``w`` and ``g`` and, with coefficients, the residuals ``e``.
+    ``weigh`` sees a batch's ``c``, ``w`` and ``g`` and, with coefficients, the residuals ``e``. With ``mask``, a column of small
+    whole numbers, sums are apart by its values, in a column ``mask``.
     """
     columns = [f"s{k}" for k in range(min(BLOCK, width))]
     blocks = -(-width // BLOCK)
@@ -66,27 +95,20 @@ def _sums(rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray],
 
         def given() -> Iterator[pa.RecordBatch]:
             spelt = list(names)
-            pairs = [sorted((spelt[k >> 32], spelt[k & 0xFFFFFFFF])) for k in at]
+            pairs = [sorted((spelt[k >> 24 & 0xFFFFFF], spelt[k & 0xFFFFFF])) for k in at]
+            masks = pa.array([k >> 48 for k in at], pa.int32())
             for b in range(blocks):
                 own = held[: len(at), b * len(columns) : (b + 1) * len(columns)]
-                arrays = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(np.full(len(at), b, np.int32))]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(c)) for c in own.T]], names=["i", "j", "block", *columns])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = batch.column(batch.schema.names.index("x"))
-            own = {c: batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("c", "w", "g")}
-            entries, offsets = x.flatten(), x.offsets.to_numpy() - x.offsets[0].as_py()
-            spelt = entries.field(0).dictionary_encode()
-            local, v = spelt.dictionary.to_pylist(), entries.field(1).to_numpy(zero_copy_only=False)
-            codes = spelt.indices.to_numpy()
-            if coefficients is not None:
-                add = np.array([1.0 if n == "y" else -coefficients[n] for n in local])
-                own["e"] = np.bincount(np.repeat(np.arange(len(batch)), np.diff(offsets)), v * add[codes], len(batch))
+                arrays = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(np.full(len(at), b, np.int32)), masks]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(c)) for c in own.T]], names=["i", "j", "block", "mask", *columns])
+
+        for batch in slices(batches, CELLS // (32 * width)):
+            own = _seen(batch, coefficients)
             weights = np.zeros((len(batch), held.shape[1]))
             weights[:, :width] = weigh(own).reshape(len(batch), -1)
-            row, key, product = _products(offsets, np.array([names.setdefault(n, len(names)) for n in local])[codes], v)
+            row, key, product = _products(own["offsets"], np.array([names.setdefault(n, len(names)) for n in own["names"]])[own["codes"]], own["v"])
+            if mask:
+                key |= own[mask].astype(np.int64)[row] << 48
             order = np.argsort(key, kind="stable")
             found, first = np.unique(key[order], return_index=True)
             places = [at.setdefault(k, len(at)) for k in found.tolist()]
@@ -99,9 +121,9 @@ def _sums(rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray],
         if at:
             yield from given()
 
-    schema = "i string, j string, block int, " + ", ".join(f"{c} double" for c in columns)
-    parts = rows.select("x", "c", "w", "g").mapInArrow(added, schema)
-    return parts.groupBy("i", "j", "block").agg(*[F.sum(c).alias(c) for c in columns])
+    schema = "i string, j string, block int, mask int, " + ", ".join(f"{c} double" for c in columns)
+    parts = rows.select("x", "c", "w", "g", *([mask] if mask else [])).mapInArrow(added, schema)
+    return parts.groupBy("i", "j", "block", *(["mask"] if mask else [])).agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _one(rows: DataFrame, targets: list[str], weigh, coefficients: dict[str, float] | None = None) -> tuple[Fit, dict[str, float]]:
@@ -132,44 +154,11 @@ def residuals(rows: DataFrame, coefficients: dict[str, float], name: str = "e")
     return rows.mapInArrow(left, schema)
 
 
-def quantile(rows: DataFrame, value: str, weight: str, share: float, bins: int = 4096) -> float:
-    """The quantile of the midpoint-weighted distribution, by interpolation, without ordering all values.
-
-    Rows of equal value are taken to have equal weights: their first and last midpoint count.
-    """
-    rows = rows.where(F.col(weight) > 0).select(F.col(value).alias("v"), F.col(weight).alias("w"))
-    low, high, total = rows.agg(F.min("v"), F.max("v"), F.sum("w")).first()
-    if low is None:
-        return float("nan")
-    wanted, before = share * total, 0.0
-    edges = (low, high)
-    while True:
-        width = (edges[1] - edges[0]) / bins
-        inside = rows.where(F.col("v").between(*edges))
-        if width <= 0 or inside.limit(FEW + 1).count() <= FEW:
-            break
-        k = F.least(F.lit(bins - 1), F.floor((F.col("v") - edges[0]) / width))
-        found = inside.groupBy(k.alias("k")).agg(F.sum("w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"))
-        # the neighbouring bins with values stay, as the quantile lies between midpoints
-        steps, sums = sorted((r["k"], r["w"], r["a"], r["b"]) for r in found.collect()), before
-        cut = len(steps) - 1
-        for n, (_, w, _, _) in enumerate(steps):
-            if sums + w >= wanted:
-                cut = n
-                break
-            sums += w
-        first, last = max(cut - 1, 0), min(cut + 1, len(steps) - 1)
-        new = (steps[first][2], steps[last][3])
-        if new == edges:
-            break
-        before += sum(s[1] for s in steps[:first])
-        edges = new
-    # equal values are one value of their weight; few different ones are left
-    part = rows.where(F.col("v").between(*edges)).groupBy("v").agg(F.sum("w").alias("w"), F.min("w").alias("least")).collect()
-    v, w, least = np.array(sorted((r["v"], r["w"], r["least"]) for r in part)).T
-    upto = before + np.cumsum(w)
-    midpoints = np.stack([upto - w + least / 2, upto - least / 2], axis=1).ravel()
-    return float(np.interp(wanted, midpoints, np.repeat(v, 2)))
+def quantile(rows: DataFrame, value: str, weight: str, share: float) -> float:
+    """The quantile of the midpoint-weighted distribution, by interpolation, without ordering all values; see ``search``."""
+    columns = rows.select(F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).where("v is not null and w > 0")
+    look = lambda b: (b.column(0).to_numpy()[:, None], b.column(1).to_numpy()[:, None])
+    return search(columns, look, lambda total: share * total, 1)[0].quantile()
 
 
 def mad_scale(rows: DataFrame, value: str, weight: str = "w") -> float:
@@ -208,15 +197,32 @@ def fit_all(rows: DataFrame) -> dict[str, float]:
     return out
 
 
-def poisson(cluster: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
-    """Counts (clusters x draws) of the Poisson distribution with mean one, from hashes of 64 bits."""
+def uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers (keys x draws) above 0 and up to 1 from hashes of 64 bits."""
     with np.errstate(over="ignore"):
-        x = cluster.astype(np.int64).view(np.uint64)[:, None] ^ ((draws.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        x = keys.astype(np.int64).view(np.uint64)[:, None] ^ ((draws.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53) + 2.0**-54
+
+
+def poisson(cluster: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Counts (clusters x draws) of the Poisson distribution with mean one."""
     chance = np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)])
-    return np.searchsorted(np.cumsum(chance), u, side="right").astype(np.float64)
+    return np.searchsorted(np.cumsum(chance), uniform(cluster, draws, seed), side="right").astype(np.float64)
+
+
+def _systems(part: pd.DataFrame, width: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(draw, names, Gram matrix) of the draws of one block of sums."""
+    names = sorted({*part["i"], *part["j"]})
+    at = {n: k for k, n in enumerate(names)}
+    i, j = part["i"].map(at).to_numpy(), part["j"].map(at).to_numpy()
+    for k in range(min(BLOCK, width)):
+        draw = int(part["block"].iloc[0]) * BLOCK + k
+        if draw < width:
+            full = np.zeros((len(names), len(names)))
+            full[i, j] = full[j, i] = part[f"s{k}"].to_numpy()
+            yield draw, names, full
 
 
 def bootstrap(rows: DataFrame, contrasts: dict[str, tuple[str, str]], *, draws: int = 999, seed: int = 20260909) -> DataFrame:
@@ -224,36 +230,162 @@ def bootstrap(rows: DataFrame, contrasts: dict[str, tuple[str, str]], *, draws:
 
     A pass over the rows serves all draws; the systems of BLOCK draws are solved in one task.
     """
+    return _contrasts(_sums(rows, drawn(np.arange(draws), seed), draws, None), ["block"], contrasts, draws)
+
+
+def _contrasts(sums: DataFrame, keys: list[str], contrasts: dict[str, tuple[str, str]], draws: int) -> DataFrame:
+    """The systems of each group of sums solved; ``screen``, where it is a key, names the estimators."""
     targets = list(dict.fromkeys(t for pair in contrasts.values() for t in pair))
-    every = np.arange(draws)
-    sums = _sums(rows, lambda own: poisson(own["c"], every, seed) * own["w"][:, None], draws, None)
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*part["i"], *part["j"]})
-        at = {n: k for k, n in enumerate(names)}
-        i, j, out = part["i"].map(at).to_numpy(), part["j"].map(at).to_numpy(), []
-        for k in range(min(BLOCK, draws)):
-            draw = int(part["block"].iloc[0]) * BLOCK + k
-            if draw >= draws:
-                break
-            full = np.zeros((len(names), len(names)))
-            full[i, j] = full[j, i] = part[f"s{k}"].to_numpy()
+        out = []
+        for draw, names, full in _systems(part, draws):
             beta = dict(zip(targets, solved(names, full, targets).beta, strict=True))
-            out += [(draw, name, 0.5 * (beta[a] - beta[b])) for name, (a, b) in contrasts.items()]
+            out += [(draw, part["screen"].iloc[0] if "screen" in keys else name, 0.5 * (beta[a] - beta[b])) for name, (a, b) in contrasts.items()]
         return pd.DataFrame(out, columns=["draw", "estimator", "value"])
 
-    return sums.groupBy("block").applyInPandas(fitted, "draw int, estimator string, value double")
+    return sums.groupBy(*keys).applyInPandas(fitted, "draw int, estimator string, value double")
+
+
+def drawn(draws: np.ndarray, seed: int) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
+    """Weights (rows x draws) of a batch: the cluster's count in each draw times the row's own."""
+    return lambda own: poisson(own["c"], draws, seed) * own["w"][:, None]
 
 
-def screened(pairs: DataFrame, masks: dict[str, Column], area: str, cluster: str, **parameters) -> DataFrame:
-    """``bootstrap`` of the contrast on each screen of the pairs, with the same draws."""
-    out = None
-    for name, mask in masks.items():
-        own = bootstrap(rows_of(pairs.where(mask), area, cluster), {name: ("cf", "fc")}, **parameters)
-        out = own if out is None else out.unionByName(own)
+def fits(rows: DataFrame, targets: list[str], weigh, width: int, coefficients: Coefficients | None = None) -> dict[str, np.ndarray]:
+    """Coefficients by column, one a draw, of ``width`` weighted fits from one pass; systems are solved in tasks."""
+
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for draw, names, full in _systems(part, width):
+            fit = solved(names, full, targets)
+            values = [*(fit.of_y - fit.of_targets @ fit.beta), *fit.beta]
+            out.append((draw, [*fit.nuisance, *[f"t:{t}" for t in targets]], list(map(float, values))))
+        return pd.DataFrame(out, columns=["draw", "names", "b"])
+
+    sums = _sums(rows, weigh, width, coefficients)
+    out: dict[str, np.ndarray] = {}
+    for r in sums.groupBy("block").applyInPandas(fitted, "draw int, names array<string>, b array<double>").collect():  # draws x columns
+        for name, b in zip(r["names"], r["b"], strict=True):
+            out.setdefault(name, np.zeros(width))[r["draw"]] = b
     return out
 
 
+def draw_quantiles(rows: DataFrame, value, weigh, shares: list[float], width: int, coefficients: Coefficients | None = None) -> np.ndarray:
+    """Quantiles (shares x draws) of ``value`` of a batch (rows x draws, or x 1) under the draws' weights."""
+
+    def look(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = _seen(batch, coefficients)
+        v, w = np.broadcast_to(value(own), (len(batch), width)), weigh(own)
+        return np.tile(v, (1, len(shares))), np.tile(w, (1, len(shares)))
+
+    wanted = lambda total: np.repeat(shares, width) * total
+    return np.array([f.quantile() for f in search(rows.select("x", "c", "w", "g"), look, wanted, width * len(shares))]).reshape(len(shares), width)
+
+
+def huber_draws(rows: DataFrame, targets: list[str], draws: np.ndarray, seed: int, *, tolerance: float = 1e-7, most: int = 1000) -> dict[str, np.ndarray]:
+    """Huber's estimator on each draw: a pass reweighs all draws that haven't settled. Coefficients by column, one a draw."""
+    named = fits(rows, targets, drawn(draws, seed), len(draws))
+    for _ in range(2):
+        weigh = drawn(draws, seed)
+        middle = draw_quantiles(rows, lambda own: own["e"], weigh, [0.5], len(draws), named)[0]
+        scale = draw_quantiles(rows, lambda own, m=middle: np.abs(own["e"] - m), weigh, [0.5], len(draws), named)[0] / 0.6745
+        left, last = np.arange(len(draws)), None
+        for _ in range(most):
+            now, limit = {n: b[left] for n, b in named.items()}, HUBER * scale[left]
+            down = lambda own, own_draws=draws[left], limit=limit: drawn(own_draws, seed)(own) * np.minimum(1.0, limit / np.maximum(np.abs(own["e"]), 1e-12))
+            new = fits(rows, targets, down, len(left), now)
+            for n, b in new.items():
+                named.setdefault(n, np.zeros(len(draws)))[left] = b
+            beta = np.array([new[f"t:{t}"] for t in targets])
+            rest = np.zeros(len(left), dtype=bool) if last is None else np.abs(beta - last).max(axis=0) < tolerance
+            left, last = left[~rest], beta[:, ~rest]
+            if not len(left):
+                break
+        else:
+            raise RuntimeError("Huber's reweighting did not settle")
+    return named
+
+
+def fit_all_draws(rows: DataFrame, *, draws: int = 999, seed: int = 20260909) -> DataFrame:
+    """(draw, estimator, value): least squares, Huber and both trims of the contrast, all on the same draws."""
+    targets, every = ["cf", "fc"], np.arange(draws)
+    weigh = drawn(every, seed)
+    found = {"ols": fits(rows, targets, weigh, draws), "huber": huber_draws(rows, targets, every, seed)}
+    cuts = draw_quantiles(rows, lambda own: own["g"][:, None], weigh, [s / 100 for pair in TRIMS.values() for s in pair], draws)
+    for k, name in enumerate(TRIMS):
+        low, high = cuts[2 * k], cuts[2 * k + 1]
+        inside = lambda own, low=low, high=high: weigh(own) * ((own["g"][:, None] >= low) & (own["g"][:, None] <= high))
+        found[name] = fits(rows, targets, inside, draws)
+    out = [(d, name, float(v)) for name, b in found.items() for d, v in enumerate(0.5 * (b["t:cf"] - b["t:fc"]))]
+    return rows.sparkSession.createDataFrame(out, "draw int, estimator string, value double")
+
+
+def screened(pairs: DataFrame, masks: dict[str, Column], area: str, cluster: str, *, draws: int = 999, seed: int = 20260909) -> DataFrame:
+    """``bootstrap`` of the contrast on each screen of the pairs, with the same draws, from one pass.
+
+    Products are summed apart for each combination of screens that occurs (a bit a screen); a screen adds those with its bit.
+    """
+    bits = F.lit(0)
+    for k, mask in enumerate(masks.values()):
+        bits = bits + F.when(F.coalesce(mask, F.lit(False)), 1 << k).otherwise(0)
+    rows = rows_of(pairs.withColumn("mask", bits), area, cluster, keep=["mask"])
+    sums = _sums(rows, drawn(np.arange(draws), seed), draws, None, mask="mask")
+    own = [F.when(F.col("mask").bitwiseAND(1 << k) > 0, name) for k, name in enumerate(masks)]
+    sums = sums.withColumn("screen", F.explode(F.array_compact(F.array(*own))))
+    sums = sums.groupBy("screen", "block", "i", "j").agg(*[F.sum(c).alias(c) for c in sums.columns if c[0] == "s" and c[1:].isdigit()])
+    return _contrasts(sums, ["screen", "block"], {"": ("cf", "fc")}, draws)
+
+
+def index_draws(rows: DataFrame, group: str, *, draws: int, seed: int = 20260909) -> DataFrame:
+    """(draw, grp, n, mean): mean residuals by group of an index that is fitted anew on all rows of each draw.
+
+    No residual is formed: a mean of y - Xb over a group is its sum of y less b times its sums of x, and these stand in the
+    products once each row has an entry for its group.
+    """
+    mark = F.array(F.struct(F.concat(F.lit("g:"), F.col(group)).alias("k"), F.lit(1.0).alias("v")))
+    index = F.filter("x", lambda e: ~e["k"].startswith("t:"))
+    sums = _sums(rows.withColumn("x", F.when(F.col(group).isNull(), index).otherwise(F.concat(index, mark))), drawn(np.arange(draws), seed), draws, None)
+
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for draw, names, full in _systems(part, draws):
+            at = {n: k for k, n in enumerate(names)}
+            nuisance = [k for n, k in at.items() if n != "y" and not n.startswith("g:")]
+            b = inverse(full[np.ix_(nuisance, nuisance)]) @ full[nuisance, at["y"]]
+            for n, k in at.items():
+                if n.startswith("g:") and full[k, k] > 0:
+                    out.append((draw, n[2:], full[k, k], (full[k, at["y"]] - full[k, nuisance] @ b) / full[k, k]))
+        return pd.DataFrame(out, columns=["draw", "grp", "n", "mean"])
+
+    return sums.groupBy("block").applyInPandas(fitted, "draw int, grp string, n double, mean double")
+
+
+def index_contrasts(means: DataFrame, *, least: int = 0) -> DataFrame:
+    """(segment, draw, value) of means by groups ``segment|arm``: half of cf less fc, where both arms have ``least`` pairs."""
+    segment, arm = F.regexp_extract("grp", r"^(.*)\|", 1).alias("segment"), F.substring_index("grp", "|", -1)
+    of = lambda a, c: F.max(F.when(arm == a, F.col(c)))
+    out = means.groupBy(segment, "draw").agg((0.5 * (of("cf", "mean") - of("fc", "mean"))).alias("value"), F.least(of("cf", "n"), of("fc", "n")).alias("n"))
+    return out.where(F.col("value").isNotNull() & (F.col("n") >= least)).drop("n")
+
+
+def placebo(rows: DataFrame, value: str, key: str, *, draws: int, seed: int) -> DataFrame:
+    """(draw, half_difference, asymmetry, cf, fc) of values whose labels are drawn by a hash of the key: what chance alone gives."""
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, draws))
+        for b in slices(batches, CELLS // draws):
+            e = b.column(1).to_numpy(zero_copy_only=False)
+            cf = uniform(b.column(0).to_numpy(), np.arange(draws), seed) <= 0.5
+            sums += np.stack([e @ cf, e @ ~cf, cf.sum(axis=0), (~cf).sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), *[pa.array(c) for c in sums]], names=["draw", "a", "b", "m", "n"])
+
+    parts = rows.where(F.col(value).isNotNull()).select(F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("e")).mapInArrow(given, "draw int, a double, b double, m double, n double")
+    s = parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in "abmn"])
+    cf, fc = F.try_divide("a", "m"), F.try_divide("b", "n")
+    return s.select("draw", (0.5 * (cf - fc)).alias("half_difference"), (cf + fc).alias("asymmetry"), F.col("m").cast("long").alias("cf"), F.col("n").cast("long").alias("fc"))
+
+
 def split(pairs: DataFrame, flag: Column, area: str, cluster: str, **parameters) -> DataFrame:
     """``bootstrap`` of the contrast by a flag of the pair: four dummies in one fit."""
     own, other = F.coalesce(flag, F.lit(False)).cast("double"), (~F.coalesce(flag, F.lit(False))).cast("double")

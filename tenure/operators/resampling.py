@@ -1,4 +1,4 @@
-"""Robust estimators, common-draw bootstraps and relabelling stress on a collected estimation sample.
+"""Robust estimators and common-draw bootstraps on a collected estimation sample, rules about recodings, and absorbed effects.
 
 The estimation sample is what survives linkage and screening: thousands of pairs, collected once under a checked
 bound. Draws are rows of a DataFrame, spread over tasks; each task refits on its own weights with NumPy.
@@ -241,93 +241,6 @@ def adversarial(rows: DataFrame, pair: str, n: int, sign: float = 1.0) -> DataFr
     return best.select(pair, "b.*").orderBy(F.desc(F.col("effect") * sign), pair).limit(n)
 
 
-def selection_order(effect: np.ndarray, rng: np.random.Generator, mode: str, kappa: float) -> np.ndarray:
-    """The order in which recodings are taken.
-
-    Random and tilted are sampling without replacement by exponential keys: the least of E / weight come first, with
-    equal weights, or weights that grow by kappa with the standardised effect. Adversarial takes the largest effects.
-    """
-    if mode == "adversarial":
-        return np.argsort(-effect, kind="stable")
-    spread = effect.std() if mode == "tilted" else 0.0
-    weight = np.exp(kappa * (effect - effect.mean()) / spread) if spread else np.ones(len(effect))
-    return np.argsort(rng.exponential(size=len(effect)) / weight, kind="stable")
-
-
-def pick(effect: np.ndarray, pair: np.ndarray, n: int, rng: np.random.Generator, mode: str, sign: float = 1.0, kappa: float = 1.0) -> np.ndarray:
-    """Places of the first ``n`` recodings in that order, one per pair at most."""
-    if n <= 0 or not len(effect):
-        return np.zeros(0, dtype=int)
-    order = selection_order(sign * effect, rng, mode, kappa)
-    first = np.unique(pair[order], return_index=True)[1]
-    return order[np.sort(first)][:n]
-
-
-def relabelling(spark: SparkSession, s: Sample, scenarios: list[dict], *, draws: int, seed: int, a: str = "financed_base_a", z: str = "financed_base_z") -> DataFrame:
-    """Refits after recoding shares of cash (``h``) and financed (``f``) ends: (scenario, draw, value, recoded).
-
-    A scenario has a name, h, f, mode, sign and kappa. Residual growth ranks the recodings; X doesn't change.
-    """
-    shared = spark.sparkContext.broadcast(s)
-    rows = [(i, d) for i in range(len(scenarios)) for d in range(draws)]
-    jobs = spark.createDataFrame(rows, "scenario int, draw int").repartition(16, "scenario", "draw")
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        ones, n = np.ones(len(own.y)), len(own.y)
-        r = own.design.residuals(own.y[:, None], ones)[:, 0]
-        fa, fz = own.flags[a].astype(int), own.flags[z].astype(int)
-        value = lambda x, y: (x == 0) * (y == 1) * 1 - (x == 1) * (y == 0) * 1
-        pair, label = np.tile(np.arange(n), 2), np.concatenate([fa, fz])
-        effect = np.concatenate([r * (value(fa, fz) - value(1 - fa, fz)), r * (value(fa, fz) - value(fa, 1 - fz))])
-        for b in batches:
-            out = []
-            for i, draw in zip(b["scenario"], b["draw"], strict=True):
-                c = scenarios[i]
-                rng = np.random.default_rng([seed, int(i), int(draw)])
-                new, taken = [fa.copy(), fz.copy()], np.zeros(n, dtype=bool)
-                count = 0
-                for want, share in ((0, c["h"]), (1, c["f"])):
-                    pool = np.flatnonzero((label == want) & ~taken[pair])
-                    chosen = pool[pick(effect[pool], pair[pool], int(round(share * (label == want).sum())), rng, c["mode"], c.get("sign", 1.0), c.get("kappa", 1.0))]
-                    taken[pair[chosen]] = True
-                    for p in chosen:
-                        new[p // n][p % n] = 1 - want
-                    count += len(chosen)
-                v = value(*new)
-                q = np.column_stack([v == 1, v == -1]).astype(float)
-                out.append((c["name"], int(draw), half(wls(own.design, q, own.y, ones)[0]), count))
-            yield pd.DataFrame(out, columns=["scenario", "draw", "value", "recoded"])
-
-    return jobs.mapInPandas(drawn, "scenario string, draw int, value double, recoded int")
-
-
-def hidden_labels(spark: SparkSession, s: Sample, cells: list[tuple[float, float]], *, draws: int, seed: int, a: str = "financed_base_a", z: str = "financed_base_z", screen: str | None = None) -> DataFrame:
-    """Refits after a share of each switching arm turns out financed at both ends: (q_fc, q_cf, draw, full, screened)."""
-    shared = spark.sparkContext.broadcast(s)
-    rows = [(float(p), float(q), i, d) for i, (p, q) in enumerate(cells) for d in range(draws)]
-    jobs = spark.createDataFrame(rows, "q_fc double, q_cf double, cell int, draw int").repartition(16, "cell", "draw")
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        fa, fz = own.flags[a].astype(int), own.flags[z].astype(int)
-        keep = ~own.flags[screen].astype(bool) if screen else np.ones(len(fa), dtype=bool)
-        for b in batches:
-            out = []
-            for t in b.itertuples():
-                rng = np.random.default_rng([seed, int(t.cell), int(t.draw)])
-                na, nz = fa.copy(), fz.copy()
-                fc, cf = np.flatnonzero((fa == 1) & (fz == 0)), np.flatnonzero((fa == 0) & (fz == 1))
-                nz[rng.choice(fc, int(round(t.q_fc * len(fc))), replace=False)] = 1
-                na[rng.choice(cf, int(round(t.q_cf * len(cf))), replace=False)] = 1
-                q = np.column_stack([(na == 0) & (nz == 1), (na == 1) & (nz == 0)]).astype(float)
-                fit = lambda m, q=q: half(wls(own.design.rows(m), q[m], own.y[m], np.ones(m.sum()))[0])
-                out.append((t.q_fc, t.q_cf, t.draw, fit(np.ones(len(fa), dtype=bool)), fit(keep)))
-            yield pd.DataFrame(out, columns=["q_fc", "q_cf", "draw", "full", "screened"])
-
-    return jobs.mapInPandas(drawn, "q_fc double, q_cf double, draw int, full double, screened double")
-
-
 def crossing(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """The first x at which y falls to zero, by linear interpolation between neighbouring rows."""
     from pyspark.sql import Window

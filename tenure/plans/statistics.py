@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tenure.functions.measures import quarter_index, trend_years
-from tenure.operators import density, estimation, linkage, resampling
+from tenure.operators import density, estimation, linkage, passes, relabel, resampling
 
 from .registry import Tables, query
 
@@ -25,6 +25,10 @@ def _contrast(t: Tables, pairs=None, **design):
     return result, influence
 
 
+def _rows(t: Tables, pairs=None, **design):
+    return passes.rows_of(t.enriched if pairs is None else pairs, "borough", "bbl", **design)
+
+
 def _sample(t: Tables) -> resampling.Sample:
     return resampling.sample(
         t.enriched, "borough", "bbl", order=["bbl", "sale_id_z"], flags=["financed_base_a", "financed_base_z", "src"]
@@ -60,14 +64,13 @@ def m06(t):
 
 @query("m07_bootstrap")
 def m07(t):
-    """Percentile intervals over common multinomial draws of parcels."""
-    draws = resampling.bootstrap(t.spark, _sample(t), resampling.ols, draws=DRAWS)
-    return resampling.intervals(draws)
+    """Percentile intervals over common draws of parcels, by hashes, for any number of pairs."""
+    return resampling.intervals(passes.bootstrap(_rows(t), {"ols": ("cf", "fc")}, draws=DRAWS))
 
 
 @query("m07_bootstrap_publication")
 def m07_publication(t):
-    """The intervals over the 999 draws of a publication."""
+    """The intervals over the 999 draws of a publication: NumPy's multinomial sequence, on a collected sample."""
     return resampling.intervals(resampling.bootstrap(t.spark, _sample(t), resampling.ols, draws=999))
 
 
@@ -91,9 +94,10 @@ def m10(t):
 
 @query("m11_weighted_least_squares")
 def m11(t):
-    s = _sample(t)
-    beta, e = resampling.wls(s.design, s.q, s.y, 1.0 + (np.arange(len(s.y)) % 3))
-    return _one(t, [{"cf": beta[0], "fc": beta[1], "half_difference": resampling.half(beta), "residual_mean": e.mean()}])
+    rows = _rows(t, weight=1 + F.col("sale_id_z") % 3)
+    fit, named = passes.least_squares(rows, ["cf", "fc"])
+    mean = passes.residuals(rows, named).agg(F.avg("e")).first()[0]
+    return _one(t, [{"cf": fit.beta[0], "fc": fit.beta[1], "half_difference": resampling.half(fit.beta), "residual_mean": mean}])
 
 
 @query("m12_weighted_quantile", """with c as (select borough, y, cast(1 + sale_id_z % 3 as double) as w from enriched),
@@ -111,36 +115,45 @@ def m12(t):
 
 @query("m13_huber")
 def m13(t):
-    s = _sample(t)
-    beta, down = resampling.huber(s.design, s.q, s.y, np.ones(len(s.y)))
-    return _one(t, [{"half_difference": resampling.half(beta), "down_weighted": (down < 1).mean()}])
+    rows = _rows(t)
+    beta, named, scale = passes.huber(rows, ["cf", "fc"])
+    down = passes.residuals(rows, named).agg(F.avg((F.abs("e") > resampling.HUBER * scale).cast("int"))).first()[0]
+    return _one(t, [{"half_difference": resampling.half(beta), "down_weighted": down}])
 
 
 @query("m14_all_estimators")
 def m14(t):
-    s = _sample(t)
-    return _one(t, [{"estimator": k, "value": v} for k, v in resampling.fit_all(s, np.ones(len(s.y))).items()])
+    return _one(t, [{"estimator": k, "value": v} for k, v in passes.fit_all(_rows(t)).items()])
 
 
 @query("m15_robust_differences")
 def m15(t):
     """Intervals of the robust estimators less least squares, on the same draws."""
-    draws = resampling.bootstrap(t.spark, _sample(t), resampling.fit_all, draws=DRAWS)
-    return resampling.paired_differences(draws, "ols")
+    return resampling.paired_differences(passes.fit_all_draws(_rows(t), draws=DRAWS), "ols")
+
+
+@query("m15_robust_report")
+def m15_report(t):
+    """By arm: pairs, the share that Huber's estimator down-weights and the share of growth above 0.7; and every point estimate."""
+    rows = _rows(t, keep=["arm", "y"])
+    _, named, scale = passes.huber(rows, ["cf", "fc"])
+    arm = F.when(F.col("arm").isin("cf", "fc"), F.col("arm")).otherwise("same").alias("arm")
+    by = passes.residuals(rows, named).groupBy(arm).agg(
+        F.count("*").alias("pairs"), F.avg((F.abs("e") > resampling.HUBER * scale).cast("int")).alias("down_weighted"), F.avg((F.col("y") > 0.7).cast("int")).alias("tail")
+    )
+    point = passes.fit_all(rows)
+    return by.withColumns({k: F.lit(v) for k, v in point.items()})
 
 
 @query("m16_split")
 def m16(t):
-    s = _sample(t)
-    draws = resampling.bootstrap(t.spark, s, resampling.split(s.flags["src"] == "BUILDING"), draws=DRAWS)
-    return resampling.intervals(draws)
+    return resampling.intervals(passes.split(t.enriched, F.col("src") == "BUILDING", "borough", "bbl", draws=DRAWS))
 
 
 @query("m17_screens_common_draws")
 def m17(t):
-    s = _sample(t)
-    masks = {"all": np.ones(len(s.y), dtype=bool), "building": s.flags["src"] == "BUILDING"}
-    return resampling.paired_differences(resampling.bootstrap(t.spark, s, resampling.masked(masks), draws=DRAWS), "all")
+    draws = passes.screened(t.enriched, {"all": F.lit(True), "building": F.col("src") == "BUILDING"}, "borough", "bbl", draws=DRAWS)
+    return resampling.paired_differences(draws, "all")
 
 
 @query("m18_union_covariance")
@@ -218,29 +231,40 @@ def m25(t):
     return half_difference(r, "arm", "r")
 
 
-@query("m26_placebo_labels", """with e as (select cast(d as integer) as draw, case when substr(md5(concat('1:', cast(sale_id_z as varchar), '|', cast(d as varchar))), 1, 1) < '8' then 'cf' else 'fc' end as arm, y
-        from enriched, range(400) r(d) where cf = 1 or fc = 1)
-    select draw, round((avg(y) filter (arm = 'cf') - avg(y) filter (arm = 'fc')) / 2, 6) as half_difference, round(avg(y) filter (arm = 'cf') + avg(y) filter (arm = 'fc'), 6) as asymmetry,
-    round((avg(y) filter (arm = 'cf') + avg(y) filter (arm = 'fc')) / sqrt(var_samp(y) filter (arm = 'cf') / count(*) filter (arm = 'cf') + var_samp(y) filter (arm = 'fc') / count(*) filter (arm = 'fc')), 6) as z,
-    count(*) filter (arm = 'cf') as cf, count(*) filter (arm = 'fc') as fc from e group by 1""")
+@query("m24_index_draws")
+def m24(t):
+    """Percentiles of the half-difference over 400 draws of parcels, the index fitted anew on each."""
+    rows = _rows(t, t.enriched.withColumn("grp", F.concat(F.lit("all|"), "arm")), keep=["grp"])
+    draws = passes.index_contrasts(passes.index_draws(rows, "grp", draws=400), least=60)
+    return resampling.intervals(draws.withColumnRenamed("segment", "estimator"))
+
+
+@query("m25_index_draws")
+def m25_draws(t):
+    """The same by segment, the index fitted on the pairs of all segments of each of 250 draws."""
+    rows = _rows(t, t.enriched.withColumn("grp", F.concat_ws("|", "src", "arm")), keep=["grp"])
+    draws = passes.index_contrasts(passes.index_draws(rows, "grp", draws=250), least=40)
+    return resampling.intervals(draws.withColumnRenamed("segment", "estimator"))
+
+
+@query("m26_placebo_labels")
 def m26(t):
-    """Half-differences after labels are drawn by a hash: what chance alone gives."""
-    from tenure.operators.sampling import uniform
-    from tenure.operators.summary import half_difference
+    """Half-differences of the index residuals of pairs that don't switch, labelled by a hash as if they had: 400 draws."""
+    rows = _rows(t, keep=["sale_id_z", "arm"]).withColumn("x", F.filter("x", lambda e: ~e["k"].startswith("t:")))
+    left = passes.residuals(rows, passes.least_squares(rows, [])[1]).where("arm in ('cc', 'ff')")
+    return passes.placebo(left, "e", "sale_id_z", draws=PLACEBO_DRAWS, seed=1)
 
-    rows = t.enriched.where("cf = 1 or fc = 1").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PLACEBO_DRAWS - 1))))
-    label = F.when(uniform(F.concat_ws("|", "sale_id_z", "draw"), 1) < 0.5, "cf").otherwise("fc")
-    from .registry import rounded
 
-    return rounded(half_difference(rows.withColumn("arm", label), "arm", "y", ["draw"]))
+def _recodings(t):
+    return relabel.design(t.enriched, "borough", "bbl", "sale_id_z", "financed_base_a", "financed_base_z")
 
 
 @query("m27_hidden_labels")
 def m27(t):
-    s = _sample(t)
-    s.flags["building"] = s.flags["src"] == "BUILDING"
+    """Mean contrast after shares of each switching arm turn out financed at both ends, on all pairs and without one segment."""
+    rows = relabel.design(t.enriched, "borough", "bbl", "sale_id_z", "financed_base_a", "financed_base_z", keep=["src"])
     cells = [(a, b) for a in (0.0, 0.1, 0.2) for b in (0.0, 0.1, 0.2)]
-    draws = resampling.hidden_labels(t.spark, s, cells, draws=STRESS_DRAWS, seed=3, screen="building")
+    draws = relabel.hidden_labels(rows, cells, draws=STRESS_DRAWS, seed=3, screen=F.col("src") != "BUILDING")
     return draws.groupBy("q_fc", "q_cf").agg(F.avg("full").alias("full"), F.avg("screened").alias("screened"), F.count("*").alias("draws"))
 
 
@@ -250,18 +274,19 @@ def m29(t):
     scenarios = [
         {"name": "random", "h": 0.08, "f": 0.036, "mode": "random"},
         {"name": "tilted_against", "h": 0.08, "f": 0.036, "mode": "tilted", "sign": 1.0},
+        {"name": "tilted_for", "h": 0.08, "f": 0.036, "mode": "tilted", "sign": -1.0},
         {"name": "adversarial_against", "h": 0.08, "f": 0.036, "mode": "adversarial", "sign": 1.0},
         {"name": "adversarial_for", "h": 0.08, "f": 0.036, "mode": "adversarial", "sign": -1.0},
     ]
-    draws = resampling.relabelling(t.spark, _sample(t), scenarios, draws=STRESS_DRAWS, seed=4)
-    return draws.groupBy("scenario").agg(F.avg("value").alias("value"), F.max("recoded").alias("recoded"))
+    draws = relabel.relabelling(_recodings(t), scenarios, draws=STRESS_DRAWS, seed=4)
+    return draws.groupBy("scenario").agg(F.avg("value").alias("value"), F.max("recoded").alias("recoded"), F.count("*").alias("draws"))
 
 
 def _sweep(t):
     """Mean contrast by kappa: recodings against the finding, tilted ever more to those that lower it most."""
     kappas = [k / 10 for k in range(11)]
     scenarios = [{"name": f"{k:.1f}", "h": 0.08, "f": 0.036, "mode": "tilted", "sign": 1.0, "kappa": k} for k in kappas]
-    draws = resampling.relabelling(t.spark, _sample(t), scenarios, draws=96, seed=5)
+    draws = relabel.relabelling(_recodings(t), scenarios, draws=96, seed=5)
     kappa = F.col("scenario").cast("double").alias("kappa")
     return draws.groupBy(kappa).agg(F.avg("value").alias("value"), F.max("recoded").alias("recoded"), F.count("*").alias("draws"))
 
@@ -293,10 +318,8 @@ def m29_crossing(t):
 @query("m30_sequential_screens")
 def m30(t):
     """Each screen added to those before, with differences on common draws."""
-    s = _sample(t)
-    building, high = s.flags["src"] != "BUILDING", s.flags["src"] != "MACHINERY"
-    masks = {"all": np.ones(len(s.y), dtype=bool), "1": building, "1+2": building & high}
-    draws = resampling.bootstrap(t.spark, s, resampling.masked(masks), draws=DRAWS)
+    building, high = F.col("src") != "BUILDING", F.col("src") != "MACHINERY"
+    draws = passes.screened(t.enriched, {"all": F.lit(True), "1": building, "1+2": building & high}, "borough", "bbl", draws=DRAWS)
     return resampling.paired_differences(draws, "all")
 
 

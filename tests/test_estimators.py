@@ -125,13 +125,6 @@ def test_recodings(spark):
     df = spark.createDataFrame(rows, "i long, r double, financed_base_a int, financed_base_z int")
     got = {(r.i, r.end): r.effect for r in resampling.candidates(df, "i", "r").collect()}
     assert got == {(0, "a"): 2.0, (0, "z"): 2.0, (1, "a"): -1.0, (1, "z"): -1.0, (2, "a"): 0.5, (2, "z"): -0.5, (3, "a"): 1.0, (3, "z"): -1.0}
-    rng = np.random.default_rng(1)
-    effect, pair = np.array([3.0, 2.0, 1.0, 2.5]), np.array([0, 1, 2, 0])
-    assert resampling.pick(effect, pair, 2, rng, "adversarial").tolist() == [0, 1]
-    for mode in ("random", "tilted"):
-        chosen = resampling.pick(effect, pair, 3, rng, mode)
-        assert len(set(pair[chosen])) == 3
-    assert not len(resampling.pick(effect, pair, 0, rng, "random"))
 
 
 def test_bunching_finds_planted_mass(spark):
@@ -227,13 +220,17 @@ def test_the_kappa_sweep(spark):
 def test_draws_of_the_queries(spark, monkeypatch):
     from tenure.plans.catalogue import QUERIES
 
+    from tenure.operators import passes, relabel
+
     given = {}
-    whole = {f: getattr(resampling, f) for f in ("bootstrap", "hidden_labels", "relabelling")}
-    for f in whole:  # few draws are run, the number asked for is kept
-        monkeypatch.setattr(resampling, f, lambda *a, f=f, draws, **k: given.setdefault(f, []).append(draws) or whole[f](*a, draws=2, **k))
-    for name in ("m07_bootstrap", "m15_robust_differences", "m16_split", "m17_screens_common_draws", "m30_sequential_screens", "m27_hidden_labels", "m29_misclassification"):
+    for module, names in ((resampling, ["bootstrap"]), (passes, ["bootstrap", "fit_all_draws", "screened", "split", "index_draws"]), (relabel, ["hidden_labels", "relabelling"])):
+        for f in names:  # few draws are run, the number asked for is kept
+            whole = getattr(module, f)
+            monkeypatch.setattr(module, f, lambda *a, whole=whole, f=f, draws, **k: given.setdefault(f, []).append(draws) or whole(*a, draws=3, **k))
+    for name in ("m07_bootstrap", "m07_bootstrap_publication", "m15_robust_differences", "m16_split", "m17_screens_common_draws", "m30_sequential_screens", "m24_index_draws",
+                 "m25_index_draws", "m27_hidden_labels", "m29_misclassification"):
         QUERIES[name](spark, SF)
-    assert given == {"bootstrap": [999] * 5, "hidden_labels": [200], "relabelling": [200]}
+    assert given == {"bootstrap": [999, 999, 3], "fit_all_draws": [999], "split": [999], "screened": [999, 999], "index_draws": [400, 250], "hidden_labels": [200], "relabelling": [200]}
     assert QUERIES["m26_placebo_labels"](spark, SF).select("draw").distinct().count() == 400
 
 
@@ -273,15 +270,15 @@ def test_draws_by_passes_equal_fits_with_the_same_weights(spark, pairs, sample,
 
 @pytest.mark.parametrize("n", [0, 1, 7, 5000])
 def test_quantiles_by_passes(spark, monkeypatch, n):
-    from tenure.operators import passes
+    from tenure.operators import passes, search
 
-    monkeypatch.setattr(passes, "FEW", 50)
+    monkeypatch.setattr(search, "FEW", 5)
     rng = np.random.default_rng(n)
     v, w = rng.normal(size=n).round(2 if n == 7 else 9), rng.integers(0, 4, n).astype(float)
     v[: n // 3] = 0.25  # a hot value
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w)], "v double, w double")
     for share in (0.0, 0.01, 0.3, 0.5, 0.975, 1.0):
-        got = passes.quantile(df, "v", "w", share, bins=16)
+        got = passes.quantile(df, "v", "w", share)
         keep = w > 0
         if not keep.any():
             assert np.isnan(got)
@@ -293,7 +290,7 @@ def test_quantiles_by_passes(spark, monkeypatch, n):
         assert got == pytest.approx(np.interp(share * sums.sum(), middle, np.repeat(values, 2)), abs=1e-12)
         if n == 5000:
             same = df.withColumn("w", F.lit(1.0))
-            assert passes.quantile(same, "v", "w", share, bins=16) == pytest.approx(resampling.weighted_quantile(v, np.ones(n), [100 * share])[0], abs=1e-12)
+            assert passes.quantile(same, "v", "w", share) == pytest.approx(resampling.weighted_quantile(v, np.ones(n), [100 * share])[0], abs=1e-12)
 
 
 def test_subset_of_the_index_and_its_fit(spark, pairs, sample):
