@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +58,14 @@ def long_design(df: DataFrame, pair: str, entries: Column) -> DataFrame:
     return df.select(pair, F.explode(entries).alias("e")).groupBy(pair, F.col("e.k").alias("key")).agg(F.sum("e.v").alias("value"))
 
 
-def gram(df: DataFrame, entries: Column, weight: Column | None = None) -> DataFrame:
-    """(i, j, s), i <= j: sums over rows of the products of their entries."""
-    w = F.lit(1.0) if weight is None else weight
-    rows = df.select(entries.alias("x"), w.alias("w")).select(F.explode("x").alias("a"), "x", "w").select("a", F.explode("x").alias("b"), "w")
+def gram(df: DataFrame, entries: Column, weight: Column | None = None, block: str | None = None) -> DataFrame:
+    """(i, j, s), i <= j: sums over rows of the products of their entries; with ``block`` apart by that column, as ``block``."""
+    w, own = F.lit(1.0) if weight is None else weight, [F.col(block).cast("string").alias("block")] if block else []
+    rows = df.select(entries.alias("x"), w.alias("w"), *own)
+    own = ["block"] if block else []
+    rows = rows.select(F.explode("x").alias("a"), "x", "w", *own).select("a", F.explode("x").alias("b"), "w", *own)
     rows = rows.where(F.col("a.k") <= F.col("b.k"))
-    return rows.groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v") * F.col("w")).alias("s"))
+    return rows.groupBy(*own, F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v") * F.col("w")).alias("s"))
 
 
 def inverse(m: np.ndarray, cut: float = 1e-10) -> np.ndarray:
@@ -113,6 +116,70 @@ def solved(names: list[str], full: np.ndarray, targets: list[str]) -> Fit:
     return Fit(targets, [names[i] for i in n], np.linalg.solve(gram_t, right), gram_t, by_y, by_t, full[np.ix_(t, t)])
 
 
+def _matrix(part: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names and Gram matrix of collected sums."""
+    names = sorted({*part["i"], *part["j"]})
+    at = {n: k for k, n in enumerate(names)}
+    i, j, full = part["i"].map(at).to_numpy(), part["j"].map(at).to_numpy(), np.zeros((len(names), len(names)))
+    full[i, j] = full[j, i] = part["s"].to_numpy()
+    return names, full
+
+
+def solve_apart(sums: DataFrame, targets: list[str], prefix: str) -> tuple[Fit, DataFrame]:
+    """The fit, and (k, c0, c1..): coefficients of each nuisance column for the outcome and for each target.
+
+    ``sums`` are apart by blocks (areas) whose own columns begin with ``prefix`` and meet no other block's. Each block takes its
+    columns out of the rest in a task of its own; what is left is summed over blocks, and only the targets and the columns that
+    blocks share reach the driver. Blocks then solve their columns back. Nothing grows with the number of blocks but tables.
+    """
+
+    def without(part: pd.DataFrame) -> pd.DataFrame:
+        names, full = _matrix(part)
+        own = [k for k, n in enumerate(names) if n.startswith(prefix)]
+        rest = [k for k, n in enumerate(names) if not n.startswith(prefix)]
+        left = full[np.ix_(rest, rest)] - full[np.ix_(rest, own)] @ inverse(full[np.ix_(own, own)]) @ full[np.ix_(own, rest)]
+        i, j = np.triu_indices(len(rest))
+        shared = np.array([names[k] for k in rest], dtype=object)
+        return pd.DataFrame({"i": shared[i], "j": shared[j], "s": left[i, j]})
+
+    sums = written(sums, "blocks")
+    left = sums.groupBy("block").applyInPandas(without, "i string, j string, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    fit = solve(left, targets)
+    plain = sums.where(F.col("i").startswith("t:") & F.col("j").startswith("t:")).groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    squares = {frozenset((r["i"], r["j"])): r["s"] for r in plain}
+    fit.target_squares = np.array([[squares.get(frozenset((f"t:{a}", f"t:{b}")), 0.0) for b in targets] for a in targets])
+    goals = ["y", *[f"t:{t}" for t in targets]]
+    known = {n: [float(fit.of_y[k]), *map(float, fit.of_targets[k])] for k, n in enumerate(fit.nuisance)}
+    columns = [f"c{k}" for k in range(len(goals))]
+    schema = "k string, " + ", ".join(f"{c} double" for c in columns)
+
+    def back(part: pd.DataFrame) -> pd.DataFrame:
+        names, full = _matrix(part)
+        at = {n: k for k, n in enumerate(names)}
+        own, shared = [k for k, n in enumerate(names) if n.startswith(prefix)], [k for k, n in enumerate(names) if n in known]
+        right = np.stack([full[own, at[g]] if g in at else np.zeros(len(own)) for g in goals], axis=1)
+        right = right - full[np.ix_(own, shared)] @ np.array([known[names[k]] for k in shared]).reshape(len(shared), len(goals))
+        b = inverse(full[np.ix_(own, own)]) @ right
+        return pd.DataFrame({"k": [names[k] for k in own], **{c: b[:, i] for i, c in enumerate(columns)}})
+
+    found = sums.groupBy("block").applyInPandas(back, schema)
+    return fit, found.unionByName(sums.sparkSession.createDataFrame([(n, *c) for n, c in known.items()], schema))
+
+
+def scores_apart(df: DataFrame, entries: Column, fit: Fit, coefficients: DataFrame, keep: list[str]) -> DataFrame:
+    """``scores`` where the coefficients are a table: entries are joined to it by their names and added up by row."""
+    k, inv = len(fit.targets), np.linalg.inv(fit.gram)
+    rows = written(df.select(F.monotonically_increasing_id().alias("__id"), F.struct(*keep).alias("__keep"), entries.alias("__x")), "entries")
+    each = rows.select("__id", "__keep", F.explode("__x").alias("e")).select("__id", F.when(F.col("e.k") == "y", F.col("__keep")).alias("__keep"), "e.k", "e.v")
+    each = each.join(coefficients, "k", "left")
+    left = lambda name, c: F.sum(F.when(F.col("k") == name, F.col("v")).otherwise(-F.col("v") * F.coalesce(c, F.lit(0.0))))
+    sums = [left("y", "c0").alias("r"), *[left(f"t:{t}", f"c{i + 1}").alias(f"q{i}") for i, t in enumerate(fit.targets)]]
+    out = each.groupBy("__id").agg(F.any_value("__keep", True).alias("__keep"), *sums)
+    e = F.col("r") - sum((F.col(f"q{i}") * float(b) for i, b in enumerate(fit.beta)), F.lit(0.0))
+    s = [(sum((F.col(f"q{j}") * float(inv[j, i]) for j in range(k)), F.lit(0.0)) * F.col("e")).alias(f"s{i}") for i in range(k)]
+    return out.select("__keep.*", e.alias("e"), "r", *[f"q{i}" for i in range(k)]).select("*", *s)
+
+
 def scores(df: DataFrame, entries: Column, fit: Fit, keep: list[str]) -> DataFrame:
     """Rows with ``e`` (joint residual), ``r`` (outcome less its calendar part) and ``s0``.. (score of each target)."""
     at, k = {n: i for i, n in enumerate(fit.nuisance)}, len(fit.targets)
@@ -159,16 +226,29 @@ def contrast_entries(area: str, *, local: str | None = None, controls: list[str]
     return F.concat(*parts, F.array(F.struct(F.lit("y").alias("k"), F.col("y").alias("v"))))
 
 
-def contrast(pairs: DataFrame, area: str, cluster: str, *, local: str | None = None, controls: list[str] | None = None, extra: dict[str, Column] | None = None) -> tuple[dict, DataFrame]:
+def contrast(
+    pairs: DataFrame, area: str, cluster: str, *, local: str | None = None, controls: list[str] | None = None, extra: dict[str, Column] | None = None,
+    apart: bool | None = None,
+) -> tuple[dict, DataFrame]:
     """Joint and residual contrasts with cluster-robust errors, and influences per cluster.
 
-    ``pairs`` has ``date_a``, ``date_z``, ``y``, ``cf`` and ``fc``. The influences have ``inf_joint`` and ``inf_residual``.
+    ``pairs`` has ``date_a``, ``date_z``, ``y``, ``cf`` and ``fc``. The influences have ``inf_joint`` and ``inf_residual``. With ``apart``
+    (where there are local areas, unless it says no) the columns of each local area, or of each area if there are none, are taken
+    out in tasks of their own, for designs with many areas.
     """
     entries = contrast_entries(area, local=local, controls=controls, extra=extra)
     pairs = written(pairs, "pairs")  # read twice: for the sums and for the scores
-    fit = solve(gram(pairs, entries), ["cf", "fc", *(extra or {})])
+    targets = ["cf", "fc", *(extra or {})]
     nuisance = F.filter(entries, lambda x: ~x["k"].startswith("t:") & (x["k"] != "y"))
-    rows = written(scores(pairs.withColumn("__n", nuisance), entries, fit, [cluster, "cf", "fc", "__n"]), "scores")
+    marked, keep = pairs.withColumn("__n", nuisance), [cluster, "cf", "fc", "__n"]
+    if local is not None if apart is None else apart:
+        fit, coefficients = solve_apart(gram(pairs, entries, block=local or area), targets, "l:" if local else "q:")
+        coefficients = written(coefficients, "coefficients")
+        columns, rows = coefficients.count(), scores_apart(marked, entries, fit, coefficients, keep)
+    else:
+        fit = solve(gram(pairs, entries), targets)
+        columns, rows = len(fit.nuisance), scores(marked, entries, fit, keep)
+    rows = written(rows, "scores")
     m = rows.agg(
         F.count("*").alias("n"), F.sum("cf").alias("cf"), F.sum("fc").alias("fc"), F.count_distinct(cluster).alias("g"),
         F.avg(F.when(F.col("cf") == 1, F.col("r"))).alias("rc"), F.avg(F.when(F.col("fc") == 1, F.col("r"))).alias("rf"),
@@ -182,7 +262,7 @@ def contrast(pairs: DataFrame, area: str, cluster: str, *, local: str | None = N
     se = influence.agg(*[F.sqrt(F.sum(F.pow(x, 2))).alias(x) for x in ("inf_joint", "inf_residual", *[f"s{i}" for i in range(len(fit.targets))])]).first()
     joint, plain = 0.5 * (fit.beta[0] - fit.beta[1]), 0.5 * (m["rc"] - m["rf"])
     result = {
-        "pairs": m["n"], "clusters": m["g"], "cf": m["cf"], "fc": m["fc"], "nuisance_columns": len(fit.nuisance),
+        "pairs": m["n"], "clusters": m["g"], "cf": m["cf"], "fc": m["fc"], "nuisance_columns": columns,
         "pi_joint": float(joint), "se_joint": se["inf_joint"], "asym_joint": float(fit.beta[0] + fit.beta[1]),
         "pi_residual": float(plain), "se_residual": se["inf_residual"], "asym_residual": m["rc"] + m["rf"],
         "information_fraction": float(np.trace(fit.gram[:2, :2]) / np.trace(fit.target_squares[:2, :2])),

@@ -49,6 +49,13 @@ def m04_local(t):
     return _one(t, [{k: result[k] for k in SUMMARY}])
 
 
+@query("m04_contrast_by_zip")
+def m04_zip(t):
+    """A calendar of its own for every ZIP code: each is taken out in a task of its own."""
+    result, _ = estimation.contrast(t.enriched, "zipcode", "bbl", apart=True)
+    return _one(t, [{k: result[k] for k in SUMMARY}])
+
+
 @query("m05_joint_covariance")
 def m05(t):
     """Covariance of the contrasts of three screens, from influences on common parcels."""

@@ -37,6 +37,22 @@ def test_partialling_out_equals_full_least_squares(pairs, sample):
     assert result["pi_residual"] == pytest.approx(want, abs=1e-8)
 
 
+@pytest.mark.parametrize(("area", "design"), [("borough", {"local": "zipcode", "controls": ["financed_wide"]}), ("zipcode", {}), ("borough", {})])
+def test_areas_taken_out_apart_equal_one_solution(pairs, area, design):
+    one, by = estimation.contrast(pairs, area, "bbl", apart=False, **design)
+    apart, by_apart = estimation.contrast(pairs, area, "bbl", apart=True, **design)
+    for k, v in one.items():
+        assert apart[k] == pytest.approx(v, abs=1e-8), k
+    other = {r.bbl: (r.inf_joint, r.inf_residual) for r in by_apart.collect()}
+    assert all(other[r.bbl] == pytest.approx((r.inf_joint, r.inf_residual), abs=1e-9) for r in by.collect()) and len(other) == one["clusters"]
+
+
+def test_only_shared_columns_reach_the_driver(pairs):
+    entries = estimation.contrast_entries("zipcode")
+    fit, coefficients = estimation.solve_apart(estimation.gram(pairs, entries, block="zipcode"), ["cf", "fc"], "q:")
+    assert fit.nuisance == [] and coefficients.count() == pairs.select(F.explode(estimation.calendar("zipcode")).alias("e")).select("e.k").distinct().count()
+
+
 def test_weights_of_the_contrast(pairs):
     result, _ = estimation.contrast(pairs, "borough", "bbl")
     rows, _ = estimation.contrast_weights(pairs, "borough", ["y", "cf", "fc"])
