@@ -252,8 +252,8 @@ def crossing(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
     return steps.groupBy(*(keys or [])).agg(F.min(at).alias("crossing"))
 
 
-#: A grouping of up to this many levels is solved for; what is collected is levels x levels.
-LEVELS = 4000
+#: A grouping of up to this many levels is solved for; what is collected is levels x levels. Beyond, gradients solve for it in tables.
+LEVELS = 500
 
 
 def _solved_out(df: DataFrame, columns: list[str], many: str, few: str) -> DataFrame:
@@ -283,10 +283,59 @@ def _solved_out(df: DataFrame, columns: list[str], many: str, few: str) -> DataF
     return out.drop(*columns).withColumnsRenamed({f"{c}_within": c for c in columns})
 
 
-def absorb(df: DataFrame, columns: list[str], groups: list[str], *, steps: int = 60, tolerance: float = 1e-10, every: int = 4) -> DataFrame:
-    """Columns less the means of two or more groupings, by alternating projections; two of which one is small, by a solve.
+def _by_gradients(df: DataFrame, columns: list[str], many: str, few: str, *, steps: int, tolerance: float) -> DataFrame:
+    """``_solved_out`` for groupings that both have many levels: the same equations, by conjugate gradients on the cells.
 
-    Every ``every`` steps the rows are written down, so the plan stays short, and the largest change decides.
+    A step is a join and a sum to one grouping and back; effects, what they leave and the direction are a table by level, and the
+    driver gets a few sums. Raises if the equations aren't met after ``steps``.
+    """
+    from .pairing import demeaned
+    from .tables import written
+
+    k = range(len(columns))
+    cells = written(
+        df.groupBy(F.col(many).alias("p"), F.col(few).alias("t")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]), "cells"
+    )
+
+    def over(value: str, table: DataFrame, key: str, back: str) -> DataFrame:
+        """Means of a value by ``key`` (a level's own, times n, over its rows), summed to the levels of ``back``."""
+        means = table.groupBy(F.col(key).alias("o")).agg(*[(F.sum(f"{value}{i}") / F.sum("n")).alias(f"m{i}") for i in k])
+        return cells.join(means, F.col(key).eqNullSafe(F.col("o"))).groupBy(F.col(back).alias("u")).agg(*[F.sum(F.col("n") * F.col(f"m{i}")).alias(f"q{i}") for i in k])
+
+    own = cells.groupBy("t").agg(F.sum("n").alias("nt"), *[F.sum(f"s{i}").alias(f"s{i}") for i in k])
+    left = own.join(over("s", cells, "p", "t"), F.col("t").eqNullSafe(F.col("u"))).select("t", "nt", *[(F.col(f"s{i}") - F.col(f"q{i}")).alias(f"r{i}") for i in k])
+    state = written(left.select("*", *[F.lit(0.0).alias(f"b{i}") for i in k], *[(F.col(f"r{i}") / F.col("nt")).alias(f"d{i}") for i in k]), "gradients")
+    size = state.agg(*[F.sum(F.pow(f"r{i}", 2) / F.col("nt")) for i in k]).first()
+    start = size = np.array([x or 0.0 for x in size])
+    for _ in range(steps):
+        if (size <= tolerance**2 * start).all():
+            break
+        moved = cells.join(state.select(F.col("t").alias("v"), *[f"d{i}" for i in k]), F.col("t").eqNullSafe(F.col("v")))
+        moved = moved.select("p", "n", *[(F.col("n") * F.col(f"d{i}")).alias(f"w{i}") for i in k])
+        step = written(state.join(over("w", moved, "p", "t"), F.col("t").eqNullSafe(F.col("u"))).select(*state.columns, *[(F.col("nt") * F.col(f"d{i}") - F.col(f"q{i}")).alias(f"q{i}") for i in k]), "gradients")
+        dq = np.array(step.agg(*[F.sum(F.col(f"d{i}") * F.col(f"q{i}")) for i in k]).first(), dtype=float)
+        alpha = np.where((size <= tolerance**2 * start) | (dq <= 0), 0.0, size / np.where(dq > 0, dq, 1))
+        r = [F.col(f"r{i}") - float(alpha[i]) * F.col(f"q{i}") for i in k]
+        new = np.array(step.agg(*[F.sum(F.pow(r[i], 2) / F.col("nt")) for i in k]).first(), dtype=float)
+        beta = np.where(size > 0, new / np.where(size > 0, size, 1), 0.0)
+        state = step.select(
+            "t", "nt", *[r[i].alias(f"r{i}") for i in k], *[(F.col(f"b{i}") + float(alpha[i]) * F.col(f"d{i}")).alias(f"b{i}") for i in k],
+            *[(r[i] / F.col("nt") + float(beta[i]) * F.col(f"d{i}")).alias(f"d{i}") for i in k],
+        )
+        size = new
+    else:
+        raise RuntimeError(f"the effects of {many} and {few} did not settle in {steps} steps")
+    effects = state.select(F.col("t").alias("__t"), *[F.col(f"b{i}").alias(f"__b{i}") for i in k])
+    out = df.join(effects, F.col(few).eqNullSafe(F.col("__t"))).withColumns({c: F.col(c) - F.col(f"__b{i}") for i, c in enumerate(columns)})
+    out = demeaned(out.drop("__t", *[f"__b{i}" for i in k]), columns, many)
+    return out.drop(*columns).withColumnsRenamed({f"{c}_within": c for c in columns})
+
+
+def absorb(df: DataFrame, columns: list[str], groups: list[str], *, steps: int = 400, tolerance: float = 1e-10) -> DataFrame:
+    """Columns less the means of two or more groupings: two by a solve (one of them small) or by conjugate gradients, more by
+    alternating projections. Raises if they haven't settled after ``steps``.
+
+    The rows are written down after each round of projections, so the plan stays short, and the largest change decides.
     """
     from .pairing import demeaned
     from .tables import written
@@ -296,21 +345,19 @@ def absorb(df: DataFrame, columns: list[str], groups: list[str], *, steps: int =
         few = int(sizes[1] <= sizes[0])
         if sizes[few] <= LEVELS:
             return _solved_out(df, columns, groups[1 - few], groups[few])
+        return _by_gradients(df, columns, groups[1 - few], groups[few], steps=steps, tolerance=tolerance)
     current = df
-    for step in range(1, steps + 1):
-        check = step % every == 0
-        if check:
-            current = current.withColumns({f"__{c}": F.col(c) for c in columns})
+    for _ in range(steps):
+        current = current.withColumns({f"__{c}": F.col(c) for c in columns})
         for g in groups:
             current = demeaned(current, columns, g).drop(*columns).withColumnsRenamed({f"{c}_within": c for c in columns})
-        if check:
-            current = written(current, "absorb")
-            change = F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"__{c}"))) for c in columns], F.lit(0.0))
-            largest = current.agg(change.alias("m")).first()["m"]
-            current = current.drop(*[f"__{c}" for c in columns])
-            if largest is None or largest < tolerance:
-                break
-    return current
+        current = written(current, "absorb")
+        change = F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"__{c}"))) for c in columns], F.lit(0.0))
+        largest = current.agg(change.alias("m")).first()["m"]
+        current = current.drop(*[f"__{c}" for c in columns])
+        if largest is None or largest < tolerance:
+            return current
+    raise RuntimeError(f"the effects of {groups} did not settle in {steps} steps")
 
 
 def two_way(df: DataFrame, y: str, x: str, cluster: str, groups: list[str]) -> dict:

@@ -124,7 +124,19 @@ def test_draws_are_numpys_sequence(spark, sample):
     assert [got[i] for i in range(4)] == pytest.approx(want, abs=1e-10)
 
 
-@pytest.mark.parametrize("levels", [4000, 0])
+@pytest.mark.parametrize("groups", [["p"], ["p", "t"], ["p", "t", "q"]])
+def test_effects_that_don_t_settle_are_an_error(spark, monkeypatch, groups):
+    monkeypatch.setattr(resampling, "LEVELS", 0)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(rng.integers(9)), int(rng.integers(9)), int(rng.integers(3)), float(rng.normal())) for _ in range(60)], "p int, t int, q int, y double")
+    done = resampling.absorb(df, ["y"], groups)
+    assert all(done.groupBy(g).agg(F.abs(F.avg("y")).alias("m")).agg(F.max("m")).first()[0] < 1e-8 for g in groups)
+    if len(groups) > 1:
+        with pytest.raises(RuntimeError, match="did not settle"):
+            resampling.absorb(df, ["y"], groups, steps=2)
+
+
+@pytest.mark.parametrize("levels", [500, 0])
 def test_two_way_effects_equal_dummies(spark, monkeypatch, levels):
     monkeypatch.setattr(resampling, "LEVELS", levels)
     rng = np.random.default_rng(5)
