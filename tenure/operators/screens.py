@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairing import weighted_quantile
+from .summary import percentiles, with_percentiles
 
 
 def eligible_sale(price: Column, day: Column, borough: Column, unit: Column | None = None) -> Column:
@@ -44,23 +45,21 @@ def lot_kind(lot: Column) -> Column:
 
 def above_group_quantile(df: DataFrame, value: str, groups: list[str], share: float, exempt: int = 50) -> DataFrame:
     """Without each group's values below its quantile; groups of ``exempt`` rows or fewer stay whole."""
-    cut = df.groupBy(*groups).agg(F.percentile(value, share).alias("__cut"), F.count("*").alias("__n"))
-    out = df.join(cut, groups)
+    out = with_percentiles(df, value, {"__cut": share}, groups).join(df.groupBy(*groups).agg(F.count("*").alias("__n")), groups)
     return out.where((F.col("__n") <= exempt) | (F.col(value) >= F.col("__cut"))).drop("__cut", "__n")
 
 
 def common_support(df: DataFrame, value: str, group: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Rows in the band from the largest low quantile of the groups to their smallest high one."""
-    cuts = df.groupBy(group).agg(F.percentile(value, low).alias("l"), F.percentile(value, high).alias("h"))
+    cuts = percentiles(df, value, {"l": low, "h": high}, [group])
     band = cuts.agg(F.max("l").alias("__l"), F.min("h").alias("__h"))
     return df.crossJoin(F.broadcast(band)).where(F.col(value).between(F.col("__l"), F.col("__h"))).drop("__l", "__h")  # one row
 
 
 def terciles(df: DataFrame, value: str, group: str) -> DataFrame:
     """1, 2 or 3 by the group's 33.3 and 66.7 percentiles, each interval open above."""
-    cuts = df.groupBy(group).agg(F.percentile(value, 0.333).alias("__a"), F.percentile(value, 0.667).alias("__b"))
     third = F.when(F.col(value) < F.col("__a"), 1).when(F.col(value) < F.col("__b"), 2).otherwise(3)
-    return df.join(cuts, group).withColumn("tercile", third).drop("__a", "__b")
+    return with_percentiles(df, value, {"__a": 0.333, "__b": 0.667}, [group]).withColumn("tercile", third).drop("__a", "__b")
 
 
 def varying(df: DataFrame, key: str, flag: str) -> DataFrame:
@@ -72,8 +71,7 @@ def varying(df: DataFrame, key: str, flag: str) -> DataFrame:
 
 def trimmed(df: DataFrame, value: str, share: float) -> DataFrame:
     """Rows within the overall quantiles share and 1 - share, inclusive."""
-    cut = df.agg(F.percentile(value, share).alias("__l"), F.percentile(value, 1 - share).alias("__h"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col(value).between(F.col("__l"), F.col("__h"))).drop("__l", "__h")  # one row
+    return with_percentiles(df, value, {"__l": share, "__h": 1 - share}, []).where(F.col(value).between(F.col("__l"), F.col("__h"))).drop("__l", "__h")
 
 
 def trimmed_weighted(df: DataFrame, value: str, weight: str, low: float, high: float, group: str) -> DataFrame:

@@ -2,18 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.measures import wilson
 
+from .tables import written
+
+#: Ranges of values into which a group is dealt for its percentiles.
+RANGES = 256
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], groups: list[str]) -> DataFrame:
+    """Exact percentiles by linear interpolation, a column a share: what ``F.percentile`` gives, without a group's values in one task.
+
+    Values are counted by group, dealt by ranges (from a sketch, so ranges differ in size but nothing is lost), and each
+    range's count tells in which the wanted ranks lie; only those ranges are put in order, each in a task. Groups without
+    values have nulls. Null is a group of its own.
+    """
+    keys = [f"__g{i}" for i in range(len(groups) + 1)]  # one more, so that there is always a key
+    rows = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=False)], F.lit(0).alias(keys[-1]), F.col(value).cast("double").alias("__v"))
+    counts = written(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n")), "counts")
+    known = counts.where("__v is not null")
+
+    def beside(left: DataFrame, right: DataFrame, more: list[str] | None = None) -> DataFrame:
+        own = right.select(*[F.col(k).alias(f"_{k}") for k in [*keys, *(more or [])]], *[c for c in right.columns if c not in [*keys, *(more or [])]])
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, *(more or [])]]
+        return left.join(own, on, "left").drop(*[f"_{k}" for k in [*keys, *(more or [])]])
+
+    cuts = known.groupBy(*keys).agg(F.percentile_approx("__v", [(i + 1) / RANGES for i in range(RANGES - 1)], 10 * RANGES).alias("__cuts"))
+    dealt = written(beside(known, cuts).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts"), "dealt")
+    sizes = dealt.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"))
+    own = Window.partitionBy(*keys)  # a row a range
+    sizes = sizes.withColumns({"__upto": F.sum("__size").over(own.orderBy("__range")), "__total": F.sum("__size").over(own)})
+    place = [F.struct(F.lit(name).alias("name"), (F.lit(float(share)) * (F.col("__total") - 1)).alias("at")) for name, share in shares.items()]
+    ranks = sizes.withColumn("w", F.explode(F.array(*place))).select(*keys, "__range", (F.col("__upto") - F.col("__size")).alias("__before"), "__upto", "w.name", "w.at")
+    ranks = ranks.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("rank >= __before and rank < __upto").drop("__upto")
+    asked = ranks.groupBy(*keys, "__range").agg(F.collect_list(F.struct("name", "at", "rank")).alias("__asked"), F.first("__before").alias("__before"))  # two a share
+    lines = beside(dealt, asked, ["__range"]).where("__asked is not null")
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy("__v")) + F.col("__before")
+    lines = lines.withColumn("__end", upto).withColumn("a", F.explode("__asked")).where("a.rank >= __end - __n and a.rank < __end")
+    low, high = F.min_by("__v", "a.rank"), F.max_by("__v", "a.rank")
+    found = lines.groupBy(*keys, "a.name").agg((low + (high - low) * (F.first("a.at") - F.min("a.rank"))).alias("q"))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in shares])
+    return beside(counts.select(*keys).distinct(), wide).select(*[F.col(k).alias(g) for k, g in zip(keys, groups, strict=False)], *shares)
+
+
+def with_percentiles(df: DataFrame, value: str, shares: dict[str, float], groups: list[str]) -> DataFrame:
+    """Rows with their group's percentiles."""
+    cut = percentiles(df, value, shares, groups).withColumnsRenamed({g: f"__of_{g}" for g in groups})
+    if not groups:
+        return df.crossJoin(F.broadcast(cut))  # one row
+    return df.join(cut, [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups]).drop(*[f"__of_{g}" for g in groups])
+
 
 def profile(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """Rows, quartiles and mean of a value by group."""
-    return df.groupBy(*groups).agg(
-        F.count("*").alias("n"), F.percentile(value, 0.25).alias("p25"), F.percentile(value, 0.5).alias("median"),
-        F.percentile(value, 0.75).alias("p75"), F.avg(value).alias("mean"),
-    )
+    rest = df.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    cut = percentiles(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, groups).withColumnsRenamed({g: f"__of_{g}" for g in groups})
+    on = [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups]
+    both = rest.join(cut, on) if groups else rest.crossJoin(F.broadcast(cut))  # one row each
+    return both.select(*groups, "n", "p25", "median", "p75", "mean")
 
 
 def mix(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:

@@ -55,7 +55,7 @@ def g07(t):
 
 @query("g08_percentiles", "select borough, round(quantile_cont(price, 0.025), 6) as low, round(median(price), 6) as median, round(quantile_cont(price, 0.975), 6) as high from sales group by 1")
 def g08(t):
-    return rounded(t.sales.groupBy("borough").agg(F.percentile("price", 0.025).alias("low"), F.median("price").alias("median"), F.percentile("price", 0.975).alias("high")))
+    return rounded(summary.percentiles(t.sales, "price", {"low": 0.025, "median": 0.5, "high": 0.975}, ["borough"]))
 
 
 @query("g09_shares", "select arm, round(avg(cast(price_a > 200000 as integer)), 6) as high_a, round(avg(cast(y > 0.7 as integer)), 6) as tail from enriched group by 1")

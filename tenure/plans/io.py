@@ -116,9 +116,9 @@ def s08(t):
     return read()
 
 
-@query("s09_id_batches", NATIONS_SQL + " where n_regionkey < 3")
+@query("s09_id_batches", NATIONS_SQL)
 def s09(t):
-    rows = [r for r in nations(t) if int(r["r"]) < 3]
+    rows = nations(t)
     path = service(t, {f"ids-{i // 4:05d}": rows[i : i + 4] for i in range(0, len(rows), 4)})
     return paged.read_ids(t.spark, path, "k string, name string", [r["k"] for r in rows], "k", 4)
 
@@ -173,12 +173,12 @@ def s14(t):
     return paged.read_aggregates(t.spark, path, "r string, n string, last string", filters).withColumn("n", F.col("n").cast("long"))
 
 
-@query("s18_review_sheet", """select cast(sale_id as varchar) as case_id, concat('says "', src, '", ', borough) as note, cast(null as varchar) as reading from sales where sale_id % 50 = 0""")
+@query("s18_review_sheet", """select cast(sale_id as varchar) as case_id, concat('says "', src, '", ', borough) as note, cast(null as varchar) as reading from sales""")
 def s18(t):
     """A sheet of text columns by the names of its header, quotes and commas within."""
     path = scratch(t.spark, "sheet")
     note = F.concat(F.lit('says "'), "src", F.lit('", '), "borough").alias("note")
-    sheet = t.sales.where("sale_id % 50 = 0").select(F.col("sale_id").cast("string").alias("case_id"), note, F.lit(None).cast("string").alias("reading"))
+    sheet = t.sales.select(F.col("sale_id").cast("string").alias("case_id"), note, F.lit(None).cast("string").alias("reading"))
     sheet.write.option("header", True).option("escape", '"').csv(path)
     return t.spark.read.option("header", True).option("escape", '"').csv(path)
 
