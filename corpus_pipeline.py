@@ -18,6 +18,10 @@ from tenure.llm import decontaminate, mixing, quality_classifier, simhash, token
 from tenure.llm.common import materialize, table
 
 
+#: Words that a worker of the last stage holds: half of what the operator alone does, as other stages' memory is still held.
+WORDS = 400_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(docs)
+    return token_files.round_trip(docs, words=WORDS)
 
 
 STAGES = [

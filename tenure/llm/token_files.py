@@ -69,7 +69,8 @@ class Encoder:
         " a".join(map(chr, range(1, 256))) + " 1",
     )
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
+        self.words = words or WORDS_HELD
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -124,14 +125,14 @@ class Encoder:
         parts = {p: self._parts(p) for p in pieces - alone}
         words = alone.union(*parts.values())
         new = words.difference(self.known)
-        if len(self.known) + len(new) > WORDS_HELD:  # frequent words came early: the later half goes
-            self.known = dict(islice(self.known.items(), WORDS_HELD // 2))
+        if len(self.known) + len(new) > self.words:  # frequent words came early: the later half goes
+            self.known = dict(islice(self.known.items(), self.words // 2))
             new = words.difference(self.known)
         if new:
             self.learn(list(new))
         of = self.known.__getitem__
         found = {p: b"".join(map(of, ws)) for p, ws in parts.items()}
-        if len(self.known) + len(found) < WORDS_HELD // 2:
+        if len(self.known) + len(found) < self.words // 2:
             self.known.update(found)
         found.update(zip(alone, map(of, alone), strict=True))
         return found
@@ -153,12 +154,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, words: int | None = None) -> Encoder:
+    return Encoder(path, words)
 
 
-def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """SCHEMA's rows, range-sorted by doc_id."""
+def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2, words: int | None = None) -> DataFrame:
+    """SCHEMA's rows, range-sorted by doc_id; ``words`` (or else WORDS_HELD) are held in a worker."""
     bound_batches(documents.sparkSession)
     # the parts are ranges of ids, their number follows the session's shuffle partitions; rows of one id, or none, are
     # ranges of their texts' beginnings and hashes
@@ -168,7 +169,7 @@ def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFram
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encode_texts = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
+        part, at, encode_texts = TaskContext.get().partitionId(), 0, encoder(tokenizer, words).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
@@ -195,11 +196,11 @@ def encode(documents: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFram
 
 
 def write(
-    documents: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, row_group: int = 32 << 20, page: int = 256 << 10
+    documents: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, row_group: int = 32 << 20, page: int = 256 << 10, words: int | None = None
 ) -> None:
     """Encode the documents and write them below ``path``."""
     (
-        encode(documents, tokenizer=tokenizer, end_id=end_id)
+        encode(documents, tokenizer=tokenizer, end_id=end_id, words=words)
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "1")
