@@ -40,7 +40,8 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    sf = "/root/testdata/sf0.01" if name == "m25_index_draws" else SF  # it wants 40 pairs an arm and segment
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry_without_the_optional_parts(monkeypatch, spark):
@@ -56,5 +57,6 @@ def test_entry_without_the_optional_parts(monkeypatch, spark):
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", missing)
-    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE_SQL)
+    jobs = {"job1_repeat_sale_panel", "job2_evidence_register"}
+    assert set(e.queries()) == set(QUERIES) | jobs and set(e.oracle_sql()) == set(ORACLE_SQL) | jobs
     assert set(e.entry(spark).columns) == {"half_difference", "asymmetry", "cf", "fc"}
