@@ -82,7 +82,7 @@ def duck(sql, **tables):
 def test_oracles(spark, name, sf):
     sf = f"/root/testdata/sf{sf}"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf)
