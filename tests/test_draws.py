@@ -160,6 +160,28 @@ def test_values_of_the_queries(spark, sample):
         assert (r.down_weighted, r.tail, r.huber) == pytest.approx((down["down_weighted"][r.arm], down["tails"][r.arm], down["point"]["huber"]), abs=1e-6)
 
 
+def test_adverse_outcomes_and_windows(spark, pairs, sample):
+    """m22 by the weights that the collected design gives, m35 by refits with each window's labels."""
+    from tenure.plans.catalogue import QUERIES
+
+    ones = np.ones(len(sample.y))
+    q = sample.design.residuals(sample.q, ones)
+    k = q @ np.linalg.inv(q.T @ q) @ np.array([0.5, -0.5])
+    parcels, of = np.unique(sample.flags["parcel"], return_inverse=True)
+    names = {r.parcel: r.bbl for r in pairs.select("parcel", "bbl").distinct().collect()}
+    weight = np.bincount(of, np.abs(k))
+    order = sorted(range(len(parcels)), key=lambda i: (-round(weight[i], 12), names[parcels[i]]))
+    for r in QUERIES["m22_adverse_outcomes"](spark, SF).collect():
+        hit = np.isin(of, order[: r.parcels])
+        assert r.contrast == pytest.approx((k * (sample.y - hit * np.sign(k) * r.delta)).sum(), abs=1e-7)
+    got = {r.window: r for r in QUERIES["m35_window_sensitivity"](spark, SF).collect()}
+    labels = pairs.orderBy("bbl", "sale_id_z").select(*[f"financed_{w}_{e}" for w in ("strict", "base", "wide") for e in "az"]).collect()
+    for w in ("strict", "base", "wide"):
+        a, z = (np.array([r[f"financed_{w}_{e}"] for r in labels]) for e in "az")
+        assert got[w].pi_joint == pytest.approx(refit(sample, a, z), abs=1e-8)
+        assert (got[w].cf, got[w].fc) == ((relabel.switch(a, z) == 1).sum(), (relabel.switch(a, z) == -1).sum())
+
+
 @pytest.mark.parametrize("values", ["outliers", "ties", "plain"])
 def test_searches_hold_few_values(spark, monkeypatch, values):
     """Two values far out don't keep the range wide; a value that most rows share counts as one."""
