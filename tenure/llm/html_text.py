@@ -1,13 +1,17 @@
 """Main text of web pages: markup roles, and differencing against the page with the nearest URL.
 
 A page is cut into lines, one per block element. Elements and roles whose meaning is furniture (navigation, header,
-footer, aside, form, script, style) settle their lines: these are dropped. An explicit article settles its lines as well:
-they stay, and no class word drops the article, an element that holds it, or a part of it but comments, adverts, notices,
-subscriptions and share boxes. The other lines are open. Pages are sorted by host and path; each is paired with the
-neighbour of its host that shares the longer beginning of the path, their lines are aligned by a longest common
-subsequence, and open lines that both have are deleted as template. Of what is left, lines under a class or id that names
-furniture (a whole word, or the first or last of a compound such as ``site-footer``) go too; lines of the main element,
-or of the page if it has none, stay. Beside an article they stay only where there was another page to compare with.
+footer, aside, form, script, style) and hidden elements settle their lines: these are dropped. An explicit article settles
+its lines as well: they stay, and no class word drops the article or an element that holds it. An article whose class says
+that it is a comment or a card (``comment``, ``related-card``; ``post related`` is a post) is none. Within an article,
+comments, adverts, notices, breadcrumbs, page numbers, subscriptions and share boxes are dropped by their class or id; other
+parts under a word of furniture (``menu-items``, ``search``) are open, and so are all lines outside. Pages are sorted by
+host and path; each is paired with the neighbour of its host that shares the longer beginning of the path, their lines
+are aligned by a longest common subsequence, and open lines that both have are deleted as template. Of what is left,
+lines under a class or id that names furniture go too: a whole word, or a compound of it and a word for a box or for its
+place on the site (``comment-list``, ``site-header``). Compounds that only contain the word (``post-header``,
+``related-work``) leave their lines open. Lines of the main element, or of the page if it has none, stay. Beside an
+article they stay only where there was another page to compare with; open lines within it stay unless they are deleted.
 
 A neighbour that is a copy of the page is passed over for the next. A copy has nearly all of what is left of the page
 without the lines that at least half of the further, different neighbours have too (three pages before and after are
@@ -47,6 +51,8 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 LOOSE_END = re.compile(r"[^>]*(?:>|\Z)")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 words = lambda s: frozenset(s.split())
 #: Elements by what they mean for the text.
@@ -71,9 +77,23 @@ MARKS = words(
 #: What they name inside an article: alone, or before a word for a box.
 INNER = words(
     "ad ads advert adverts advertisement advertising adsense sponsored promo comment comments commentlist disqus respond replies share "
-    "sharing social newsletter subscribe subscription signup cookie cookies consent popup modal overlay sidebar"
+    "sharing social newsletter subscribe subscription signup cookie cookies consent popup modal overlay sidebar notice notices breadcrumb "
+    "breadcrumbs pagination pager"
 )
-BOXES = words("area list section box bar button buttons links slot banner container wrapper unit form thread widget block signup notice icons tools")
+#: Words that name furniture inside an article only before a word for a box.
+LISTED = words("related recommended")
+BOXES = words(
+    "area list section box bar button buttons links slot banner container wrapper unit form thread widget block signup notice icons tools "
+    "body card cards content item items posts articles stories author"
+)
+#: Words that are furniture at the end of a compound only after a mark or a word of SITE.
+EITHER = words("header banner notice notices related recommended widget widgets search share")
+SITE = words("site page main global top bottom left right primary secondary mobile desktop sticky fixed app web privacy")
+#: Adverts, whatever they stand before.
+ADVERTS = words("ad ads advert adverts advertisement advertising adsense sponsored")
+#: Words of an article that is a reader's comment or a card for another page, and those of one that isn't.
+CARDS = words("comment comments reply replies related recommended promo promoted ad ads advert advertisement sponsored")
+PROSE = words("post entry article story hentry")
 #: Before a mark these say that something has it, not that it is it.
 HAVING = words("has have with without no is not show hide hidden")
 #: A neighbour with this share of a page's own lines is a copy.
@@ -93,24 +113,50 @@ def path_key(url: str | None) -> tuple[str | None, str | None]:
         return None, None
 
 
-#: What is known of a line: settled as text, open, or under a class word that names furniture.
-FIXED, OPEN, MARKED = 0, 1, 2
+#: What is known of a line: settled as text, open, under a class word that names furniture, or open within an article.
+FIXED, OPEN, MARKED, HINTED = 0, 1, 2, 3
+#: What a class or id says: nothing, a word of furniture in another sense maybe, furniture.
+NONE, HINT, FURNITURE = 0, 1, 2
 
 
-def _named(rest: str, marks: frozenset[str], inside: bool) -> bool:
-    """Whether a class or id names furniture, by a whole word or one at its place in a compound."""
-    for key, *value in ATTRIBUTE.findall(rest):
-        if key.lower() not in ("class", "id"):
-            continue
-        for token in "".join(value).lower().split():
-            parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
-            if len(parts) == 1 and parts[0] in marks:
-                return True
-            if len(parts) < 2 or parts[0] in HAVING:
-                continue
-            if inside and parts[0] in marks and parts[-1] in BOXES or not inside and (parts[0] in marks or parts[-1] in marks):
-                return True
-    return False
+def _tokens(rest: str) -> list[str]:
+    """The words of class and id."""
+    return [t for k, *v in ATTRIBUTE.findall(rest) if k.lower() in ("class", "id") for t in "".join(v).lower().split()]
+
+
+def _parts(token: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z0-9]+", token) if x]
+
+
+def _names(parts: list[str], inside: bool) -> int:
+    """What a word or a compound says, in an article or outside."""
+    first, last = parts[0], parts[-1]
+    if len(parts) == 1:
+        return FURNITURE if first in (INNER if inside else MARKS) else HINT if first in MARKS else NONE
+    if first in HAVING or first not in MARKS and last not in MARKS:
+        return NONE
+    if inside:
+        return FURNITURE if first in INNER | LISTED and last in BOXES else HINT
+    boxed = first in MARKS and last in BOXES | MARKS or first in ADVERTS
+    return FURNITURE if boxed or last in MARKS and (last not in EITHER or first in SITE) else HINT
+
+
+def _named(rest: str, inside: bool) -> int:
+    """What a class or id says, by the word of it that says most."""
+    return max((_names(p, inside) for p in map(_parts, _tokens(rest)) if p), default=NONE)
+
+
+def _is_card(rest: str) -> bool:
+    """Whether an article's class says that it is a comment or leads to another page."""
+    tokens = _tokens(rest)
+    if not PROSE.isdisjoint(tokens):
+        return False
+    named = [p for p in map(_parts, tokens) if p and p[0] in CARDS]
+    return any(len(p) == 1 or p[-1] in BOXES or p[-1].isdigit() for p in named)
+
+
+def _is_hidden(rest: str) -> bool:
+    return "hidden" in rest.lower() and bool(HIDDEN.search(QUOTED.sub("", rest)))
 
 
 def _role(rest: str) -> str:
@@ -119,22 +165,27 @@ def _role(rest: str) -> str:
 
 @dataclass(frozen=True)
 class _Place:
-    """Where a line lies: in an article or main element, in settled furniture (``out``), under the marked element ``mark``."""
+    """Where a line lies: in an article or main element, in settled furniture (``out``), under the marked element ``mark``, in a part of an article that a word hints at."""
 
     article: bool = False
     main: bool = False
     out: bool = False
     wrapped: bool = False
     mark: int = 0
+    hint: bool = False
 
     def inside(self, name: str, rest: str, number: int) -> _Place:
         """The place within a child element."""
         if self.out and not self.wrapped:
             return self
-        if name == "article":
-            return replace(self, article=True, out=False, wrapped=False)
         if name in ("html", "body"):
             return self
+        if _is_hidden(rest):
+            return replace(self, out=True, wrapped=False)
+        if name == "article":
+            if "=" not in rest or not _is_card(rest):
+                return replace(self, article=True, out=False, wrapped=False)
+            return replace(self, out=True, wrapped=False) if self.article or self.out else replace(self, mark=self.mark or number)
         role = _role(rest) if "=" in rest else ""
         if name == "main" or role == "main":
             return replace(self, main=True, out=False, wrapped=False)
@@ -142,9 +193,10 @@ class _Place:
         if name in DROPPED or name == "header" and not settled or role in ROLES and not (settled and role == "banner"):
             return replace(self, out=True, wrapped=name in WRAPPERS and not settled)
         if "=" in rest and not self.mark and not self.out:
-            if self.article:
-                return replace(self, out=True, wrapped=False) if _named(rest, INNER, True) else self
-            if _named(rest, MARKS, False):
+            said = _named(rest, self.article)
+            if self.article and said:
+                return replace(self, out=True, wrapped=False) if said == FURNITURE else replace(self, hint=True)
+            if said == FURNITURE:
                 return replace(self, mark=number)
         return self
 
@@ -160,7 +212,7 @@ def blocks_of(html: str | None) -> list[tuple[str, int]]:
     for line, place in found:
         mark = place.mark and place.mark not in released
         if place.article and not mark:
-            lines.append((line, FIXED))
+            lines.append((line, HINTED if place.hint else FIXED))
         elif mark:
             lines.append((line, MARKED))
         else:
@@ -175,9 +227,9 @@ def lines_of(html: str | None) -> tuple[list[str], list[bool]]:
 
 
 def kept_lines(blocks: list[tuple[str, int]], deleted, compared: bool) -> list[tuple[str, int]]:
-    """Settled lines, and open lines that aren't deleted; beside an article only where differencing had another page."""
-    opened, gone = compared or all(k != FIXED for _, k in blocks), set(deleted)
-    return [(x, k) for i, (x, k) in enumerate(blocks) if k == FIXED or k == OPEN and opened and i not in gone]
+    """Settled lines, and open lines that aren't deleted; those beside an article only where differencing had another page."""
+    opened, gone = compared or all(k not in (FIXED, HINTED) for _, k in blocks), set(deleted)
+    return [(x, k) for i, (x, k) in enumerate(blocks) if k == FIXED or (k == HINTED or k == OPEN and opened) and i not in gone]
 
 
 def _parsed(html: str | None) -> list[tuple[str, _Place]]:
@@ -365,7 +417,7 @@ def differenced(pages: DataFrame) -> DataFrame:
                 near = [(_alike(r.path, o["path"]), list(o["lines"])) for o in near]
                 kinds = list(r.kinds)
                 places, told = shared_lines(list(r.lines), kinds, near)
-                rows.append((None if pd.isna(r.page_id) else int(r.page_id), r.url, r.html_hash, places, told, OPEN in kinds))
+                rows.append((None if pd.isna(r.page_id) else int(r.page_id), r.url, r.html_hash, places, told, OPEN in kinds or HINTED in kinds))
             yield pd.DataFrame(rows, columns=[*ROW, "deleted", "compared", "opened"]).astype({"page_id": "Int64"})
 
     found = paired.mapInPandas(compared, "page_id long, url string, html_hash long, deleted array<int>, compared boolean, opened boolean")

@@ -224,6 +224,15 @@ def test_main_text():
         '<article><p>text</p><div class="share-buttons">x</div><div class="ad-slot">x</div><div id="comments">x</div><form>x</form></article>',
         '<main class="has-comments"><p>text</p></main><p>outside</p>',
         '<div class="main-nav">x</div><div class="cookie-notice">x</div><p>text</p><div class="site-footer">x</div><p class="no-comments"></p>',
+        '<article><p>text</p><article class="comment"><p>mine</p></article></article>',
+        '<article>text</article><article class="comment">mine</article><article class="related-card">more</article>',
+        '<p>text</p><ol><li id="comment-7"><article id="div-comment-7" class="comment-body"><p>mine</p></article></ol>',
+        '<article><div class="notice">x</div><ol class="breadcrumbs"><li>x</ol><p>text</p><div class="pagination">1 2</div><div class="related-posts">x</div></article>',
+        '<div class="post-header"><h1>text</h1></div>',
+        '<div class="related-work"><p>text</p></div>',
+        '<div class="elementor-widget"><p>text</p></div><div class="site-header">x</div><div class="ad-label">x</div>',
+        '<p hidden>x</p><p class="hidden">text</p><div hidden="hidden"><article>x</article></div>',
+        '<p aria-hidden="false" data-x="a hidden b">text</p>',
     ],
 )
 def test_class_words_drop_furniture_not_articles(page):
@@ -249,6 +258,19 @@ def test_open_lines_beside_an_article_are_compared(spark):
     assert {r.page_id: list(r.deleted) for r in ht.differenced(df).collect()} == {**{i: [0, 4] for i in range(5)}, 9: []}
 
 
+def test_differencing_decides_what_class_words_only_hint_at(spark):
+    """Lines that no class drops go because a neighbour has them; a page without neighbours keeps them."""
+    head = lambda i: f'<div class="post-header"><p>Our paper</p><h1>Title {i}</h1></div><div class="related-work"><p>work {i}</p></div>'
+    inner = lambda i: f'<article><ul class="menu-items"><li>Shared dish</li><li>dish {i}</li></ul><p>Shared words</p><p>meal {i}</p></article>'
+    pages = [(10 * h + i, f"http://{h}.example/{i}", page(i)) for h, page in ((1, head), (2, inner)) for i in range(5)]
+    pages += [(30, "http://alone.example/", head(9)), (31, "http://other.example/", inner(9))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in ht.extract(df).collect()}
+    assert all(got[10 + i] == [f"Title {i}", f"work {i}"] for i in range(5))
+    assert all(got[20 + i] == [f"dish {i}", "Shared words", f"meal {i}"] for i in range(5))
+    assert got[30] == ["Our paper", "Title 9", "work 9"] and got[31] == ["Shared dish", "dish 9", "Shared words", "meal 9"]
+
+
 def test_differencing_deletes_lines_of_the_test_pages(spark):
     got = ht.differenced(table(spark, "pages", "/root/testdata/sf0.1"))
     assert got.agg(F.sum(F.size("deleted"))).first()[0] > 0
