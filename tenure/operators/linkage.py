@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairing import rolling_count
+from .scan import scanned
 
 BROADCAST_ROWS = 100_000
 
@@ -43,15 +44,17 @@ def window_flags(
 ) -> DataFrame:
     """Sales with ``financed_<name>`` for each window in days, from one join with the widest band.
 
-    With ``amount_in`` also ``mort_amt``: the largest amount in that window, 0 without one.
+    With ``amount_in`` also ``mort_amt``: the largest amount in that window, 0 without one. Flags are found once for each
+    key and day and joined back, so equal sales stay as many as they are and a key has a calendar's days at most.
     """
     low, high = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
-    hits = band(sales, filings.select(key, filing_day, amount), [key], day, filing_day, low, high)
+    hits = band(sales.select(key, day).distinct(), filings.select(key, filing_day, amount), [key], day, filing_day, low, high)
     inside = {n: F.col("gap").between(a, b) for n, (a, b) in windows.items()}
     flags = [F.coalesce(F.max(F.when(x, 1)), F.lit(0)).alias(f"financed_{n}") for n, x in inside.items()]
     if amount_in:
         flags.append(F.coalesce(F.max(F.when(inside[amount_in], F.col(f"r_{amount}"))), F.lit(0.0)).alias("mort_amt"))
-    return hits.groupBy(*sales.columns).agg(*flags)
+    found = hits.groupBy(F.col(key).alias("__key"), F.col(day).alias("__day")).agg(*flags)
+    return sales.join(found, F.col(key).eqNullSafe(F.col("__key")) & F.col(day).eqNullSafe(F.col("__day"))).drop("__key", "__day")
 
 
 def exists_between(left: DataFrame, right: DataFrame, key: str, low: str, high: str, day: str, *, negate: bool = False) -> DataFrame:
@@ -115,15 +118,16 @@ def as_of(left: DataFrame, right: DataFrame, day: str, right_day: str, value: st
 
     Dates are days, so without keys the right side comes down to a calendar: one row per day, filled forward, some
     36,500 rows a century whatever the data, and the join is an equality. With keys both sides are put in one order per
-    key and the last value is carried forward. Neither side is multiplied. Of right rows of one day the largest value counts.
+    key and the last value is carried forward, by a scan in two levels, so a hot key takes many tasks. Neither side is
+    multiplied. Of right rows of one day the largest value counts; right rows without a day count for nothing.
     """
     if keys:
         marked = left.withColumns({"__day": F.col(day), "__side": F.lit(1), "__value": F.lit(None).cast(right.schema[value].dataType)})
-        other = right.groupBy(*keys, F.col(right_day).alias("__day")).agg(F.max(value).alias("__value")).withColumn("__side", F.lit(0))
+        dated = right.where(F.col(right_day).isNotNull())
+        other = dated.groupBy(*keys, F.col(right_day).alias("__day")).agg(F.max(value).alias("__value")).withColumn("__side", F.lit(0))
         every = marked.unionByName(other, allowMissingColumns=True)
-        window = Window.partitionBy(*keys).orderBy("__day", "__side").rowsBetween(Window.unboundedPreceding, 0)
-        out = every.withColumn(value, F.last("__value", ignorenulls=True).over(window)).where("__side = 1")
-        return out.drop("__day", "__side", "__value")
+        out = scanned(every, keys, ["__day", "__side"], latest={value: "__value"})
+        return out.where("__side = 1").drop("__day", "__side", "__value")
     daily = right.where(F.col(right_day).isNotNull()).groupBy(F.col(right_day).alias("__a")).agg(F.max(value).alias("__v"))
     daily = daily.withColumn("__next", F.lead("__a").over(Window.orderBy("__a")))  # a row per day at most
     last = daily.where("__next is null").first()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 
 def numbered(rows: DataFrame, key: str, order: list[str], number: str = "n_sale", total: str = "n_sales_total") -> DataFrame:
-    """Rows with their number within the key and the key's number of rows."""
-    w = Window.partitionBy(key)
-    return rows.withColumns({number: F.row_number().over(w.orderBy(*order)), total: F.count("*").over(w)})
+    """Rows with their number within the key and the key's number of rows, by a scan in two levels."""
+    return scanned(rows, [key], order, number=number, total=total)
 
 
 def consecutive(
@@ -40,9 +41,9 @@ def consecutive(
 
 def drop_flips(rows: DataFrame, key: str, order: list[str], day: str, shortest: int, longest: int | None = None) -> DataFrame:
     """Rows whose gap to the row before, dropped or not, is long enough (and not too long); the first always stays."""
-    gap = F.datediff(F.col(day), F.lag(day).over(Window.partitionBy(key).orderBy(*order)))
+    gap = F.datediff(F.col(day), F.col("__before"))
     ok = gap.isNull() | (gap >= shortest if longest is None else gap.between(shortest, longest))
-    return rows.withColumn("__ok", ok).where("__ok").drop("__ok")
+    return scanned(rows, [key], order, previous={"__before": day}).where(ok).drop("__before")
 
 
 def rolling_count(rows: DataFrame, key: str, day: str, around: int, name: str, where: Column | None = None, *, spread: bool = False) -> DataFrame:
@@ -80,15 +81,12 @@ def gaps(rows: DataFrame, day: str, longest: int, keys: list[str] | None = None)
 
 
 def dense_codes(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows with a code from 0 by the sorted distinct values: numbered once over the values, not over the rows."""
-    values = rows.select(column).distinct()
-    # two levels: number within a prefix bucket, add the bucket's offset
-    values = values.withColumn("__b", F.substring(F.col(column).cast("string"), 1, 2))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = values.groupBy("__b").count().withColumn("__o", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
-    values = values.withColumn("__i", inner).join(F.broadcast(sizes), "__b")
-    return rows.join(values.select(column, (F.col("__i") + F.col("__o")).cast("long").alias(name)), column)
+    """Rows with a code from 0 by the sorted distinct values: numbered once over the values, in ranges, not over the rows.
+
+    Null has no code: its rows are left out.
+    """
+    values = scanned(rows.select(column).where(F.col(column).isNotNull()).distinct(), [], [column], number=name)
+    return rows.join(values.withColumn(name, F.col(name) - 1), column)
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
