@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 
 from pyspark.sql import functions as F
 
 from tenure.operators import resampling
+from tenure.operators.scan import scanned
 from tenure.operators.tables import scratch
 from tenure.sources import files, paged, sinks
 
@@ -82,95 +80,92 @@ def k09(t):
     return sinks.update_queue(t.sales.select("sale_id", "src"), evidence, "sale_id", ["src"])
 
 
-def service(t, pages: dict[str, list[dict]]) -> str:
-    """A folder of pages as a service would return them: those of the 25 nations."""
-    path = scratch(t.spark, "pages").removeprefix("file:")
-    os.makedirs(path)
-    for name, rows in pages.items():
-        with open(f"{path}/{name}.json", "w") as f:
-            json.dump(rows, f)
-    return path
+PAGED = {"fetcher": "tenure.sources.paged:table_pages"}
+CUSTOMERS = "k string, name string"
+CUSTOMERS_SQL = "select cast(c_custkey as varchar) as k, c_name as name from customer"
 
 
-def nations(t) -> list[dict]:
-    rows = t.nation.select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("r"))
-    return [r.asDict() for r in rows.orderBy(F.col("k").cast("int")).collect()]
+def service(pages) -> str:
+    """A folder of pages as a service would return them: rows with their ``page``, written by the executors."""
+    path = scratch(pages.sparkSession, "pages")
+    pages.write.partitionBy("page").json(path)
+    return path
 
 
-def offset_pages(rows: list[dict], size: int) -> dict[str, list[dict]]:
-    return {str(i): rows[i : i + size] for i in range(0, len(rows) + 1, size)}
+def customers(t):
+    return t.customer.select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
 
 
-NATIONS_SQL = "select cast(n_nationkey as varchar) as k, n_name as name from nation"
+def offset_pages(t, size: int):
+    """The customers in the order of their keys with the offset of their page."""
+    rows = scanned(customers(t), [], [F.col("k").cast("long")], number="n")
+    return rows.withColumn("page", (F.floor((F.col("n") - 1) / size) * size).cast("string")).select("k", "name", "page")
 
 
-@query("s08_cached_requests", NATIONS_SQL)
+@query("s08_cached_requests", CUSTOMERS_SQL)
 def s08(t):
-    """Pages from the cache, after the service is gone: what was read once isn't asked for again."""
-    rows = nations(t)
-    path = service(t, offset_pages(rows, 10))
-    cache = f"{path}-cache"
-    read = lambda: paged.read_offsets(t.spark, path, "k string, name string", len(rows), 10, cache=cache)
-    read().count()
-    shutil.rmtree(path)
+    """Pages from the cache: of a service that has only half its pages left nothing is asked that was read once."""
+    pages = offset_pages(t, 100)
+    path = service(pages)
+    cache, n = scratch(t.spark, "cache"), t.customer.count()
+    read = lambda: paged.read_offsets(t.spark, path, CUSTOMERS, n, 100, cache=cache, **PAGED)
+    read()
+    pages.where("cast(page as long) % 200 = 0").write.mode("overwrite").partitionBy("page").json(path)
     return read()
 
 
-@query("s09_id_batches", NATIONS_SQL)
+@query("s09_id_batches", "select cast(n_nationkey as varchar) as k, n_name as name from nation")
 def s09(t):
-    rows = nations(t)
-    path = service(t, {f"ids-{i // 4:05d}": rows[i : i + 4] for i in range(0, len(rows), 4)})
-    return paged.read_ids(t.spark, path, "k string, name string", [r["k"] for r in rows], "k", 4)
+    """The ids are a list that the caller has."""
+    nations = t.nation.select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name"))
+    ids = sorted(r.k for r in nations.select("k").collect())
+    batch = F.format_string("ids-%05d", F.floor((F.array_position(F.lit(ids), F.col("k")) - 1) / 4))
+    return paged.read_ids(t.spark, service(nations.withColumn("page", batch)), CUSTOMERS, ids, "k", 4, **PAGED)
 
 
-@query("s10_counted_pages", NATIONS_SQL)
+@query("s10_counted_pages", CUSTOMERS_SQL)
 def s10(t):
-    rows = nations(t)
-    return paged.read_offsets(t.spark, service(t, offset_pages(rows, 7)), "k string, name string", len(rows), 7)
+    return paged.read_offsets(t.spark, service(offset_pages(t, 70)), CUSTOMERS, t.customer.count(), 70, **PAGED)
 
 
-@query("s11_key_ranges", NATIONS_SQL)
+@query("s11_key_ranges", CUSTOMERS_SQL)
 def s11(t):
     """Disjoint ranges of a key that repeats: no page's edge cuts a key."""
-    rows = nations(t)
-    regions = sorted({r["r"] for r in rows})
-    ranges = list(zip(["", *regions], regions, strict=False))
-    path = service(t, {f"after-{a}": [r for r in rows if a < r["r"] <= b] for a, b in ranges})
-    return paged.read_ranges(t.spark, path, "k string, name string", ranges)
+    rows = customers(t).withColumn("nation", F.format_string("%02d", "nation"))
+    ends = [f"{k:02d}" for k in range(4, 25, 5)]  # five nations a page
+    ranges = list(zip(["", *ends], ends, strict=False))
+    page = F.coalesce(*[F.when((F.col("nation") > a) & (F.col("nation") <= b), f"after-{a}") for a, b in ranges])
+    return paged.read_ranges(t.spark, service(rows.select("k", "name", page.alias("page"))), CUSTOMERS, ranges, **PAGED)
 
 
-@query("s12_until_short_page", NATIONS_SQL)
+@query("s12_until_short_page", CUSTOMERS_SQL)
 def s12(t):
-    rows = nations(t)
-    return paged.read_until_short(t.spark, service(t, offset_pages(rows, 5)), "k string, name string", 5)
+    return paged.read_until_short(t.spark, service(offset_pages(t, 50)), CUSTOMERS, 50, **PAGED)
 
 
-@query("s13_verified_cache", NATIONS_SQL)
+@query("s13_verified_cache", CUSTOMERS_SQL)
 def s13(t):
-    """A cached page whose rows don't fit its count, and one of another request, are fetched again."""
-    rows = nations(t)
-    path = service(t, offset_pages(rows, 10))
-    cache = f"{path}-cache"
-    read = lambda: paged.read_offsets(t.spark, path, "k string, name string", len(rows), 10, cache=cache)
-    read().count()
-    first, second, *_ = sorted(os.listdir(cache))
-    for name, change in ((first, lambda held: held["rows"].pop()), (second, lambda held: held.update(request="another", rows=[], count=0))):
-        with open(f"{cache}/{name}") as f:
-            held = json.load(f)
-        change(held)
-        with open(f"{cache}/{name}", "w") as f:
-            json.dump(held, f)
-    return read()
-
-
-@query("s14_remote_aggregates", "select cast(n_regionkey as varchar) as r, count(*) as n, max(n_name) as last from nation group by 1")
+    """Entries whose rows don't fit their number, and those of another request, are asked for again."""
+    path = service(offset_pages(t, 100))
+    cache, damaged, n = scratch(t.spark, "cache"), scratch(t.spark, "cache"), t.customer.count()
+    read = lambda cache: paged.read_offsets(t.spark, path, CUSTOMERS, n, 100, cache=cache, **PAGED)
+    read(cache)
+    held = t.spark.read.schema(paged.ENTRY).parquet(cache)
+    cut, other = F.crc32("request") % 3 == 0, F.crc32("request") % 3 == 1
+    held = held.withColumn("page", F.when(cut, F.slice("page", 1, F.col("n") - 1)).otherwise(F.col("page")))
+    held.withColumn("request", F.when(other, F.concat(F.lit("another "), "request")).otherwise(F.col("request"))).write.parquet(damaged)
+    return read(damaged)
+
+
+@query("s14_remote_aggregates", "select cast(c_nationkey as varchar) as r, count(*) as n, max(c_name) as last from customer group by 1")
 def s14(t):
-    """Counts that a service computes for each filter it is asked."""
-    rows = nations(t)
-    filters = [{"r": r} for r in sorted({x["r"] for x in rows})]
-    own = [[x["name"] for x in rows if x["r"] == f["r"]] for f in filters]
-    path = service(t, {f"where-{i:05d}": [{"n": len(x), "last": max(x)}] for i, x in enumerate(own)})
-    return paged.read_aggregates(t.spark, path, "r string, n string, last string", filters).withColumn("n", F.col("n").cast("long"))
+    """Counts that a service computes for each filter it is asked: one a nation."""
+    counts = customers(t).groupBy("nation").agg(F.count("*").alias("n"), F.max("name").alias("last"))
+    nations = sorted(r.nation for r in counts.select("nation").collect())
+    index = F.array_position(F.lit(nations), F.col("nation")) - 1
+    path = service(counts.select("n", "last", F.format_string("where-%05d", index).alias("page")))
+    read = paged.read_aggregates(t.spark, path, "r string, n string, last string", [{"r": str(k)} for k in nations], **PAGED)
+    return read.withColumn("n", F.col("n").cast("long"))
 
 
 @query("s18_review_sheet", """select cast(sale_id as varchar) as case_id, concat('says "', src, '", ', borough) as note, cast(null as varchar) as reading from sales""")

@@ -1,23 +1,27 @@
 """Paged sources as a Spark data source: count-checked offsets, disjoint key ranges, id lists, aggregates, cached pages.
 
-``PagedSource`` reads pages through a fetcher, by default files ``<path>/<offset>.json`` as a paging service would
-return them; ``http_pages`` asks a service over HTTP, and another fetcher is passed by its import path. Pages are read by
-executors, each on its own; every page is checked against the count that it should have, and retried with growing pauses.
-With a ``cache`` folder a page that was read is kept with its request and count, and taken from there only if both fit.
+``PagedSource`` reads pages through a fetcher: by default files ``<path>/<offset>.json`` as a paging service would
+return them, or folders that Spark wrote (``table_pages``); ``http_pages`` asks a service over HTTP, and another fetcher
+is passed by its import path. Pages are read by executors, each on its own; every page is checked against the count that
+it should have, and retried with growing pauses. Where a service tells no count, its end is searched for first, so pages
+are read side by side then too.
+
+With a ``cache`` (a path under any scheme that Spark reads) pages are kept as a table of request, number of rows and rows.
+A request is taken from there only if its entry has the number of rows that it says and that the request should have;
+only the others are asked for, and Spark's writer adds them, so a lost task leaves no half of a page.
 """
 
 from __future__ import annotations
 
-import hashlib
 import importlib
 import json
 import os
 import time
 import urllib.parse
 import urllib.request
-import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,20 +33,37 @@ class PageError(RuntimeError):
     """A page had other rows than were counted for it."""
 
 
-def file_pages(path: str, page: dict) -> list[dict]:
-    """A page out of a folder of JSON arrays; an id list reads its page and keeps its ids."""
+def _name(page: dict) -> str:
+    """What a page is called in a folder of pages."""
     if "ids" in page:
-        name = f"{path}/ids-{page['index']:05d}.json"
-    elif "where" in page:
-        name = f"{path}/where-{page['index']:05d}.json"
-    elif "after" in page:
-        name = f"{path}/after-{page['after']}.json"
-    else:
-        name = f"{path}/{page['offset']}.json"
+        return f"ids-{page['index']:05d}"
+    if "where" in page:
+        return f"where-{page['index']:05d}"
+    return f"after-{page['after']}" if "after" in page else str(page["offset"])
+
+
+def file_pages(path: str, page: dict) -> list[dict]:
+    """A page out of a local folder of JSON arrays; an offset beyond the last has no rows."""
+    name = f"{path}/{_name(page)}.json"
+    if "offset" in page and not os.path.exists(name):
+        return []
     with open(name) as f:
         return json.load(f)
 
 
+def table_pages(path: str, page: dict) -> list[dict]:
+    """A page out of JSON lines that Spark wrote by ``page``, under any scheme; one that isn't there has no rows."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    found = system.get_file_info(fs.FileSelector(f"{base}/page={_name(page)}", allow_not_found=True))
+    rows = []
+    for name in sorted(f.path for f in found if f.base_name.endswith(".json")):
+        with system.open_input_stream(name) as f:
+            rows += [json.loads(line) for line in f.read().decode().splitlines()]
+    return rows
+
+
 def http_pages(path: str, page: dict) -> list[dict]:
     """A page of a service that answers GET requests with JSON arrays; the page's fields are the query."""
     query = {k: json.dumps(v) if isinstance(v, (list, dict)) else v for k, v in page.items() if v is not None}
@@ -50,34 +71,6 @@ def http_pages(path: str, page: dict) -> list[dict]:
         return json.load(answer)
 
 
-def cached(folder: str, fetch: Fetcher) -> Fetcher:
-    """A fetcher that keeps each answer in a file of the request's hash, with the request and the number of rows.
-
-    A file that holds another request, or another number of rows than it says, is fetched again. Files are renamed into
-    place, so a reader never sees half of one.
-    """
-
-    def get(path: str, page: dict) -> list[dict]:
-        request = json.dumps([path, page], sort_keys=True)
-        name = f"{folder}/{hashlib.sha256(request.encode()).hexdigest()}.json"
-        try:
-            with open(name) as f:
-                held = json.load(f)
-            if held["request"] == request and held["count"] == len(held["rows"]):
-                return held["rows"]
-        except (FileNotFoundError, ValueError, KeyError, TypeError):
-            pass
-        rows = fetch(path, page)
-        os.makedirs(folder, exist_ok=True)
-        aside = f"{name}.{uuid.uuid4().hex}"
-        with open(aside, "w") as f:
-            json.dump({"request": request, "count": len(rows), "rows": rows}, f)
-        os.replace(aside, name)
-        return rows
-
-    return get
-
-
 def retried(fetch: Fetcher, path: str, page: dict, attempts: int = 5, pause: float = 0.5) -> list[dict]:
     """Call a fetcher until it answers; the pause doubles after each failure."""
     for attempt in range(attempts):
@@ -90,47 +83,61 @@ def retried(fetch: Fetcher, path: str, page: dict, attempts: int = 5, pause: flo
     raise AssertionError
 
 
+def fetcher_of(options: dict) -> Fetcher:
+    module, _, name = options.get("fetcher", f"{__name__}:file_pages").partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def rows_until_short(path: str, size: int, **options: str) -> int:
+    """Rows of a service that ends with its first short page, from about 2 log2(pages) pages: doubled offsets, then halved.
+
+    Pages after a short one are taken for empty; a short one before the end is an error of the counted read that follows.
+    """
+    fetch, pause = fetcher_of(options), float(options.get("pause", "0.5"))
+    length = lambda k: len(retried(fetch, path, {"offset": k * size, "limit": size}, pause=pause))
+    full, short = -1, 0  # the last page known to be full, the first known to be short
+    while (n := length(short)) >= size:
+        full, short = short, 2 * short + 1
+    while short - full > 1:
+        middle = (full + short) // 2
+        if (m := length(middle)) >= size:
+            full = middle
+        else:
+            short, n = middle, m
+    return short * size + n
+
+
 class Page(InputPartition):
     def __init__(self, page: dict, expected: int | None):
         self.page, self.expected = page, expected
 
 
+def _request(path: str, page: dict, columns: list[str]) -> str:
+    return json.dumps([path, page, columns], sort_keys=True)
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, schema, options: dict):
         self.schema, self.options = schema, options
 
     def partitions(self) -> list[Page]:
         o = self.options
+        if "requests" in o:  # chosen pages, each with the rows that it should have
+            return [Page(p, n) for p, n in json.loads(o["requests"])]
         size = int(o.get("pagesize", "50000"))
         if "ids" in o:
             ids = json.loads(o["ids"])
             return [Page({"ids": ids[i : i + size], "index": n}, None) for n, i in enumerate(range(0, len(ids), size))]
         if "where" in o:  # aggregates that the service computes, one for each filter
             return [Page({"where": w, "index": n}, None) for n, w in enumerate(json.loads(o["where"]))]
-        if "count" not in o and "ranges" not in o:  # the end is a short page, so one reader follows the pages
-            return [Page({"offset": 0, "limit": size, "follow": True}, None)]
         if "ranges" in o:  # disjoint keys, so a key that straddles pages loses no row
             return [Page({"after": a, "upto": b}, None) for a, b in json.loads(o["ranges"])]
         total = int(o["count"])
         return [Page({"offset": i, "limit": size}, min(size, total - i)) for i in range(0, total, size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        module, _, name = self.options.get("fetcher", f"{__name__}:file_pages").partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        if "cache" in self.options:
-            fetch = cached(self.options["cache"], fetch)
-        get = lambda page: retried(fetch, self.options["path"], page, pause=float(self.options.get("pause", "0.5")))
-        names = [f.name for f in self.schema.fields]
-        own = lambda r: tuple(None if r.get(n) is None else str(r[n]) for n in names)
-        if partition.page.get("follow"):
-            offset, limit = 0, partition.page["limit"]
-            while True:
-                rows = get({"offset": offset, "limit": limit})
-                yield from map(own, rows)
-                if len(rows) < limit:
-                    return
-                offset += limit
-        rows = get(partition.page)
+        fetch, pause = fetcher_of(self.options), float(self.options.get("pause", "0.5"))
+        rows = retried(fetch, self.options["path"], partition.page, pause=pause)
         limit = int(self.options.get("truncatedat", "50000"))
         if partition.expected is not None and len(rows) != partition.expected:
             raise PageError(f"{partition.page}: {len(rows)} rows, counted {partition.expected}")
@@ -142,7 +149,13 @@ class PagedReader(DataSourceReader):
                 raise PageError(f"rows of keys that weren't asked for: {sorted(extra)[:3]}")
         if "where" in partition.page:  # an aggregate's rows carry the filter that they answer
             rows = [r | partition.page["where"] for r in rows]
-        yield from map(own, rows)
+        whole = "columns" in self.options  # the page as one row of a cache
+        names = json.loads(self.options["columns"]) if whole else [f.name for f in self.schema.fields]
+        texts = [tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows]
+        if whole:
+            yield _request(self.options["path"], partition.page, names), len(texts), [list(t) for t in texts]
+        else:
+            yield from texts
 
 
 class PagedSource(DataSource):
@@ -156,34 +169,62 @@ class PagedSource(DataSource):
         return PagedReader(schema, self.options)
 
 
+#: A cache's columns: the request, its number of rows, and the rows' values in the order of the columns asked for.
+ENTRY = "request string, n int, page array<array<string>>"
+
+
+def _held(spark: SparkSession, cache: str, wanted: DataFrame) -> DataFrame:
+    """One whole entry of each wanted request that the cache has."""
+    try:
+        entries = spark.read.schema(ENTRY).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ENTRY)
+    whole = (F.size("page") == F.col("n")) & (F.col("expected").isNull() | (F.col("expected") == F.col("n")))
+    return entries.join(F.broadcast(wanted), "request").where(whole).select("request", "n", "page").dropDuplicates(["request"])
+
+
+def _load(spark: SparkSession, schema: str, cache: str | None = None, **options: str) -> DataFrame:
+    """Rows of the pages that the options plan; with a cache only what it lacks is asked for. Requests are known here."""
+    spark.dataSource.register(PagedSource)
+    source = spark.read.format("paged").options(**options)
+    if cache is None:
+        return source.schema(schema).load()
+    columns = spark.createDataFrame([], schema).columns
+    pages = {_request(options["path"], p.page, columns): (p.page, p.expected) for p in PagedReader(None, options).partitions()}
+    wanted = spark.createDataFrame([(r, n) for r, (_, n) in pages.items()], "request string, expected int")
+    known = {r.request for r in _held(spark, cache, wanted).select("request").collect()}  # requests that were planned here
+    if lacking := [pages[r] for r in pages if r not in known]:
+        source = source.options(requests=json.dumps(lacking), columns=json.dumps(columns))
+        source.schema(ENTRY).load().write.mode("append").parquet(cache)
+    rows = _held(spark, cache, wanted).select(F.explode("page").alias("r"))
+    return rows.select(*[F.col("r")[i].alias(c) for i, c in enumerate(columns)])
+
+
 def read_offsets(spark: SparkSession, path: str, schema: str, count: int, page: int = 50_000, **options: str) -> DataFrame:
     """``count`` rows by offset pages, each page checked against its share of the count."""
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").schema(schema).options(path=path, count=str(count), pagesize=str(page), **options).load()
+    return _load(spark, schema, path=path, count=str(count), pagesize=str(page), **options)
 
 
 def read_ids(spark: SparkSession, path: str, schema: str, ids: list[str], key: str, page: int = 150, **options: str) -> DataFrame:
     """Rows of an id list in batches; a batch that may have been cut short, or holds other keys, is an error."""
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").schema(schema).options(path=path, ids=json.dumps(ids), key=key, pagesize=str(page), **options).load()
+    return _load(spark, schema, path=path, ids=json.dumps(ids), key=key, pagesize=str(page), **options)
 
 
 def read_ranges(spark: SparkSession, path: str, schema: str, ranges: list[tuple[str, str]], **options: str) -> DataFrame:
     """Rows by disjoint key ranges instead of a cursor, which would lose rows of a key that straddles pages."""
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").schema(schema).options(path=path, ranges=json.dumps(ranges), **options).load()
+    return _load(spark, schema, path=path, ranges=json.dumps(ranges), **options)
 
 
 def read_until_short(spark: SparkSession, path: str, schema: str, page: int = 50_000, **options: str) -> DataFrame:
-    """Rows by offset pages up to the first that is short, where a service tells no count."""
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").schema(schema).options(path=path, pagesize=str(page), **options).load()
+    """Rows by offset pages up to the first that is short, where a service tells no count; its end is searched for first."""
+    return read_offsets(spark, path, schema, rows_until_short(path, page, **options), page, **options)
 
 
 def read_aggregates(spark: SparkSession, path: str, schema: str, filters: list[dict[str, str]], **options: str) -> DataFrame:
     """What a service that aggregates answers to each filter; the filter's fields are columns of the rows."""
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").schema(schema).options(path=path, where=json.dumps(filters), **options).load()
+    return _load(spark, schema, path=path, where=json.dumps(filters), **options)
 
 
 def batched(df: DataFrame, key: str, size: int = 150) -> DataFrame:

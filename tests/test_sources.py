@@ -78,7 +78,7 @@ def test_retries_double_their_pause(monkeypatch):
         paged.retried(fetch, "", {}, attempts=2)
 
 
-def test_http_pages_are_cached_by_request(tmp_path):
+def test_http_pages_are_cached_by_request(spark, tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlsplit
@@ -102,11 +102,43 @@ def test_http_pages_are_cached_by_request(tmp_path):
     server = HTTPServer(("127.0.0.1", 0), Answer)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/rows"
-    fetch = paged.cached(str(tmp_path / "c"), paged.http_pages)
-    get = lambda offset: paged.retried(fetch, url, {"offset": offset, "limit": 2}, pause=0.01)
-    assert get(0) == get(0) == [{"id": "0"}] and get(2) == [{"id": "2"}]
+    options = {"fetcher": "tenure.sources.paged:http_pages", "pause": "0.01", "cache": (tmp_path / "c").as_uri()}
+    read = lambda n: sorted(r.id for r in paged.read_offsets(spark, url, "id string", n, 1, **options).collect())
+    assert read(2) == ["0", "1"] and len(asked) == 3 and read(2) == ["0", "1"] and len(asked) == 3
+    assert read(4) == ["0", "1", "2", "3"] and len(asked) == 5 and sorted(q["offset"][0] for q in asked[3:]) == ["2", "3"]
     server.shutdown()
-    assert len(asked) == 3 and asked[-1] == {"offset": ["2"], "limit": ["2"]} and get(2) == [{"id": "2"}]
+    assert read(4) == ["0", "1", "2", "3"]
+
+
+def test_a_cache_gives_whole_entries_only(spark, tmp_path):
+    pages, cache = tmp_path / "p", str(tmp_path / "c")
+    pages.mkdir()
+    for i in range(0, 6, 2):
+        (pages / f"{i}.json").write_text(json.dumps([{"id": i, "x": None}, {"id": i + 1, "x": True}]))
+    read = lambda **o: sorted((r.id, r.x) for r in paged.read_offsets(spark, str(pages), "id string, x string", 6, 2, **o).collect())
+    want = read()
+    assert read(cache=cache) == want
+    held = spark.read.schema(paged.ENTRY).parquet(cache)
+    cut = held.withColumn("page", F.when(F.col("request").contains('"offset": 2'), F.slice("page", 1, 1)).otherwise(F.col("page")))
+    cut.union(held.where(F.col("request").contains('"offset": 4'))).write.parquet(f"{cache}2")  # one is cut, one is there twice
+    (pages / "0.json").unlink()
+    assert read(cache=f"{cache}2") == want and spark.read.parquet(f"{cache}2").count() == 5
+    (pages / "2.json").write_text("[]")
+    with pytest.raises(Exception, match="0 rows, counted 2"):
+        read(cache=f"{cache}3")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 31, 32, 33, 100])
+def test_the_end_is_found_by_doubling_and_halving(monkeypatch, n):
+    asked = []
+
+    def fetch(path, page):
+        asked.append(page["offset"])
+        return [{}] * max(0, min(page["limit"], n - page["offset"]))
+
+    monkeypatch.setattr(paged, "fetcher_of", lambda options: fetch)
+    assert paged.rows_until_short("", 2) == n
+    assert len(asked) <= 2 * (n // 2 + 2).bit_length() and len(set(asked)) == len(asked)
 
 
 def test_batches_hold_every_key(spark):
