@@ -6,17 +6,19 @@ in the vocabulary, runs of known words are hashed window by window, and a window
 word by word against the items before it counts. Documents are never shuffled.
 
 The broadcast has a checked size: items are cut into blocks of at most ``block_words`` words, each block is a query set
-that is run against all documents, and the hits of the blocks are united per document.
+that is run against all documents, and the hits of the blocks are united per document. All blocks but the last write down
+what they hit, by the SHA-256 of the text: no text is written, and copies of a text are one row.
 
 Edge cases: null and empty texts have no words, no hits and are not contaminated; items without words are no windows;
 an item with a null id still hits words but is not listed; repeated items and rows are each counted or returned; an
-empty benchmark hits nothing. Other columns of the input are kept by ``remove`` and not looked at.
+empty benchmark hits nothing. Other columns of the input are kept by ``remove``, whatever their names, and not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import join_small, materialize
 
 #: A-Z to lower case; digits, a-z and all bytes of non-ASCII characters stay; the rest separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -105,7 +107,7 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
     """Items in blocks of bounded size, streamed to the driver a partition at a time."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(words_of(r["text"]))
+        n = 1 + len(words_of(r["text"]))  # an item without words takes room too
         if block and size + n > block_words:
             yield block
             block, size = [], 0
@@ -121,29 +123,47 @@ def spans_of(hit: np.ndarray) -> list[int]:
 
 
 def scanned(documents: DataFrame, benchmark: DataFrame, width: int, block_words: int) -> DataFrame:
-    """The documents with a column ``__scan``: words, hit words, sorted items and spans of hit words.
-
-    A benchmark of more than one block costs a pass and a written table per block, so that a worker holds one block.
-    """
-    context = documents.sparkSession.sparkContext
-    out = documents.withColumn("__scan", F.lit(None).cast(SCAN))
-    for n, block in enumerate(blocks_of(benchmark, block_words)):
-        out = materialize(out) if n else out
-        out = out.withColumn("__scan", scan_of(context.broadcast(Windows(block, width)))("text", "__scan"))
-    return out
+    """``row`` (a document with its columns) and ``scan``: words, hit words, sorted items and spans of hit words."""
+    context, none = documents.sparkSession.sparkContext, F.lit(None)
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "text")
+    rows = rows.withColumns({"items": none.cast(SCAN["items"].dataType), "spans": none.cast(SCAN["spans"].dataType)})
+    blocks, earlier = blocks_of(benchmark, block_words), []
+    block = next(blocks)
+    for following in blocks:
+        earlier.append(_hits(documents, context.broadcast(Windows(block, width))))
+        block = following
+    if earlier:
+        every = reduce(DataFrame.unionByName, earlier).groupBy("digest")  # a row a block and text
+        known = every.agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        rows = join_small(rows.select("row", "text", _digest()), materialize(known), ["digest"])
+    return rows.select("row", scan_of(context.broadcast(Windows(block, width)))("text", "items", "spans").alias("scan"))
+
+
+def _digest():
+    return F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+
+
+def _hits(documents: DataFrame, shared) -> DataFrame:
+    """``digest``, ``items`` and ``spans`` of each different text that a block hits, written down."""
+    none = F.lit(None)
+    scan = scan_of(shared).asNondeterministic()  # run once, not for the filter and again for the columns
+    found = documents.where("text is not null").select(
+        _digest(), scan("text", none.cast(SCAN["items"].dataType), none.cast(SCAN["spans"].dataType)).alias("scan")
+    )
+    return materialize(found.where("scan.n_hit > 0").select("digest", "scan.items", "scan.spans").dropDuplicates(["digest"]))
 
 
 def scan_of(shared):
-    """The UDF that scans texts for the broadcast windows and unites the hits with those of blocks before."""
+    """The UDF that scans texts for the broadcast windows and unites the hits with the items and spans of blocks before."""
 
     @F.pandas_udf(SCAN)
-    def scan(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+    def scan(texts: pd.Series, known: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, known, spans in zip(texts, before["items"], before["spans"], strict=True):
+        for text, before, flat in zip(texts, known, spans, strict=True):
             words = words_of(text)
             hit, items = shared.value.scan(words)
-            items |= set(known if known is not None else ())
-            flat = spans if spans is not None else ()
+            items |= set(before if before is not None else ())
+            flat = flat if flat is not None else ()
             for a, b in zip(flat[::2], flat[1::2], strict=True):
                 hit[a:b] = True
             rows.append((len(words), int(hit.sum()), sorted(i for i in items if i is not None), spans_of(hit)))
@@ -159,7 +179,7 @@ def contaminated(n_hit, n_words):
 
 def report(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_words: int = 1_000_000) -> DataFrame:
     """Per document: ``n_words``, ``n_hit``, ``n_items``, ``items`` (ids), ``spans`` and ``contaminated``."""
-    out = scanned(documents, benchmark, width, block_words).select("doc_id", "__scan.*")
+    out = scanned(documents.select("doc_id", "text"), benchmark, width, block_words).select("row.doc_id", "scan.*")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
@@ -178,19 +198,16 @@ def remove(
 
     Cutting replaces each run of hit words, and what separates them, by one space; all other characters stay.
     """
-    columns = documents.columns
+    found = scanned(documents, benchmark, width, block_words)
     if not spans:
-        kept = scanned(documents, benchmark, width, block_words)
-        return kept.where(~contaminated(F.col("__scan.n_hit"), F.col("__scan.n_words"))).select(*columns)
+        return found.where(~contaminated(F.col("scan.n_hit"), F.col("scan.n_words"))).select("row.*")
 
     @F.pandas_udf(T.StringType())
     def cut(texts: pd.Series, flat: pd.Series) -> pd.Series:
         return pd.Series([cut_spans(t, s) for t, s in zip(texts, flat, strict=True)])
 
-    kept = scanned(documents, benchmark, width, block_words)
-    return kept.withColumn("text", F.when(F.size("__scan.spans") > 0, cut("text", "__scan.spans")).otherwise(F.col("text"))).select(
-        *columns
-    )
+    text = F.when(F.size("scan.spans") > 0, cut("row.text", "scan.spans")).otherwise(F.col("row.text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def cut_spans(text: str | None, flat) -> str | None:

@@ -67,6 +67,29 @@ def test_decontamination_removes_spans_or_documents(spark):
     assert {r.doc_id: r.text for r in dc.remove(docs, bench, spans=True).collect()} == {1: "Keep, this:  ! And this.", 2: "clean", 3: None}
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert dc.remove(docs, nothing).count() == 3
+    clash = docs.select("*", *[F.lit("mine").alias(c) for c in ("row", "scan", "__scan", "items", "spans", "digest")])
+    for cut in (False, True):
+        for block in (1_000_000, 1):
+            got = dc.remove(clash, bench.union(bench), spans=cut, block_words=block)
+            assert got.columns == clash.columns and all(tuple(r)[2:] == ("mine",) * 6 for r in got.collect())
+
+
+def test_blocks_are_closed_by_items_without_words(spark):
+    bench = spark.createDataFrame([(i, None if i % 2 else "") for i in range(50)] + [(50, "a b")], "item_id long, text string")
+    blocks = list(dc.blocks_of(bench, 10))
+    assert max(map(len, blocks)) == 10 and sum(map(len, blocks)) == 51
+
+
+def test_blocks_write_hits_without_texts(spark, monkeypatch):
+    """Copies of a text that several blocks hit are a row a block, and their spans are united."""
+    kept = []
+    keep = dc.materialize
+    monkeypatch.setattr(dc, "materialize", lambda df: kept.append(keep(df)) or kept[-1])
+    runs = [" ".join(f"{c}{i}" for i in range(13)) for c in "xyz"]
+    docs = spark.createDataFrame([(i, f"own {runs[0]} and {runs[2]}") for i in range(40)] + [(99, "none of it")], "doc_id long, text string")
+    got = dc.report(docs, spark.createDataFrame(list(enumerate(runs)), "item_id long, text string"), block_words=14).collect()
+    assert [t.columns for t in kept] == [["digest", "items", "spans"]] * 3 and [t.count() for t in kept] == [1, 0, 1]
+    assert all((r.n_hit, r["items"], list(r.spans)) == ((26, [0, 2], [1, 14, 15, 28]) if r.doc_id < 99 else (0, [], [])) for r in got)
 
 
 def duck(sql, **tables):
