@@ -9,9 +9,9 @@ target)``; a copy that the demand reaches whole by the end of the run is taken,
 filled by the one copy whose size is nearest to it, if that brings the source nearer to its target. Documents are
 range-sorted by position, and what a document gives to the mix is counted from its positions.
 
-No row is joined to another row of its table. The line is known by the words of its buckets (a prefix of the hash; at
-most LINE_ROWS rows in all, so texts meet it by a broadcast), within a bucket a document's place follows from the rest
-of its hash. Where the demand ends is searched in the one bucket of each source that it ends in, bucket by smaller
+No row is joined to another row of its table. The line is known by the words of its buckets (a prefix of the hash, 4096
+a source whatever the number of sources; texts meet it by a broadcast, or by salted keys where there are more sources
+than one holds), within a bucket a document's place follows from the rest of its hash. Where the demand ends is searched in the one bucket of each source that it ends in, bucket by smaller
 bucket, and needs only sizes and hashes; rows that are equal share a hash and are counted, not listed. So texts are
 moved once, by the range sort.
 
@@ -34,8 +34,6 @@ from .common import WORD, join_small, materialize, n_words, numbered
 DIGITS = 3
 #: Buckets with up to this many different keys are put in order as a whole.
 ROWS = 20_000
-#: Buckets of all lines together by which documents are placed.
-LINE_ROWS = 65_536
 
 
 def targets(sizes: DataFrame, *, cycle: int = 3, repeats: int = 3) -> DataFrame:
@@ -83,13 +81,11 @@ class Curriculum:
 
     ``sources``: size, target, slope; ``epochs`` that every document is read; the key ``cut`` up to which the documents
     are read once more, and how many of its ``cut_rows`` equal rows are (``cut_first``); the key ``fill`` of the copy that
-    fills what is ``left``, with its number of equal rows. ``lines``: offset and words of each bucket of ``digits`` digits.
-    ``numbered``: whether some equal rows are to be told apart.
+    fills what is ``left``, with its number of equal rows. ``lines``: offset and words of each bucket. ``numbered``: whether some equal rows are to be told apart.
     """
 
     sources: DataFrame
     lines: DataFrame
-    digits: int
     numbered: bool
 
 
@@ -143,12 +139,7 @@ def curriculum(sizes: DataFrame, *, cycle: int = 3, repeats: int = 3) -> Curricu
     n_fill = within(some, fill).where(F.col("key") == F.col("fill")).groupBy("source", "fill").agg(F.count("*").alias("fill_rows"))
     shares = materialize(within(shares, n_fill))
     numbered = shares.where("cut_first > 0 or fill_rows > 1").limit(1).count() > 0
-
-    kept = DIGITS
-    while kept and n_sources * 16**kept > LINE_ROWS:
-        kept -= 1
-    coarse = lines.groupBy("source", F.substring("bucket", 1, kept).alias("bucket")).agg(F.sum("words").alias("words"))
-    return Curriculum(shares, _cumulated(coarse, "bucket"), kept, numbered)
+    return Curriculum(shares, _cumulated(lines, "bucket"), numbered)
 
 
 def placed(rows: DataFrame, plan: Curriculum) -> DataFrame:
@@ -171,8 +162,8 @@ def placed(rows: DataFrame, plan: Curriculum) -> DataFrame:
     epochs = F.when(F.col("__some"), F.col("__epochs") + once_more).otherwise(0)
     filling = at_fill & (F.col("__nth") == F.col("__fill_rows") - 1)
     line = plan.lines.select("source", F.col("bucket").alias("__bucket"), F.col("offset").alias("__offset"), F.col("words").alias("__words"))
-    rows = join_small(rows.withColumn("__bucket", F.substring("__key", 1, plan.digits)), line, ["source", "__bucket"])
-    share = F.conv(F.substring("__key", plan.digits + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = join_small(rows.withColumn("__bucket", F.substring("__key", 1, DIGITS)), line, ["source", "__bucket"])
+    share = F.conv(F.substring("__key", DIGITS + 1, 8), 16, 10).cast("double") / float(1 << 32)
     place = F.col("__offset") + share * F.col("__words")
     read = lambda c: position(c, F.col("__target"), F.col("__slope"))
     every = F.transform(F.sequence(F.lit(0), epochs - 1), lambda e: read(place + e * F.col("__source_size")))
@@ -189,13 +180,17 @@ def _sizes(documents: DataFrame, seed: int, *more: str) -> DataFrame:
 
 
 def digest(documents: DataFrame, *, cycle: int = 3, repeats: int = 3, seed: int = 7) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every document, in the order of the training."""
+    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every document, in the order of the training.
+
+    Also ``copies`` that training reads and the ``first_position`` at which it does (null where there are none).
+    """
     sizes = _sizes(documents, seed, "doc_id")
     rows = sizes.withColumn("__some", F.col("size") > 0).withColumnRenamed("key", "__key")
     rows = placed(rows, curriculum(sizes, cycle=cycle, repeats=repeats))
-    rows = rows.orderBy(F.get("__positions", F.lit(0)).asc_nulls_last(), "doc_id")
+    copies, first = F.size("__positions").cast("long"), F.get("__positions", F.lit(0))
     own = [F.col(f"__{c}").alias(c) for c in ("source_size", "target")]
-    return rows.select("doc_id", "size", *own, (F.col("size") * F.size("__positions")).alias("taken"))
+    rows = rows.orderBy(first.asc_nulls_last(), "doc_id")
+    return rows.select("doc_id", "size", *own, (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.round(first, 6).alias("first_position"))
 
 
 def schedule(documents: DataFrame, *, cycle: int = 3, repeats: int = 3, seed: int = 7) -> DataFrame:

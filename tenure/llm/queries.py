@@ -82,7 +82,8 @@ QUERIES = {
 
 
 #: From the contract: sizes, targets by the level at which no source is above its cap, copies one after another in the order
-#: of the id's hash as long as they end within the target, and one copy of one row that comes nearest to what is left.
+#: of the id's hash as long as they end within the target, and one copy of one row that comes nearest to what is left. The
+#: first copy is read when the demand, (1 - s) t + s t^2 of the target, reaches its place, known to the hash's bucket of words.
 MIXING_SQL = r"""
 with recursive d as (
     select row_number() over () as r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
@@ -108,10 +109,23 @@ with recursive d as (
 ), one as (
     select r, row_number() over (partition by w.source order by abs(left_over - size), k, r) as nth
     from whole w join rest on rest.source is not distinct from w.source where n < 3 and abs(left_over - size) < left_over
+), line as (
+    select source, b, words, coalesce(sum(words) over (partition by source order by b rows between unbounded preceding and 1 preceding), 0) as before
+    from (select source, substr(k, 1, 3) as b, sum(size) as words from d group by 1, 2)
+), place as (
+    select d.r, least(1.0, cast(case when whole.n > 0 then line.before + cast(cast(concat('0x', substr(d.k, 4, 8)) as bigint) as double) / 4294967296 * line.words
+        when one.r is not null then whole.room - rest.left_over end as double) / target) as share, (w - 2) / cast(2 as double) as slope
+    from d join s on s.source is not distinct from d.source join t on t.source is not distinct from d.source
+        join line on line.source is not distinct from d.source and line.b = substr(d.k, 1, 3) join whole on whole.r = d.r
+        join rest on rest.source is not distinct from d.source left join one on one.nth = 1 and one.r = d.r
+    where whole.n > 0 or one.r is not null
+), read as (
+    select r, case when slope = 0 then share else (sqrt(pow(1 - slope, 2) + 4 * slope * share) - (1 - slope)) / (2 * slope) end as first_position from place
 )
 select doc_id, cast(d.size as bigint) as size, cast(source_size as bigint) as source_size, target,
-    cast(d.size * (coalesce(whole.n, 0) + case when one.r is not null then 1 else 0 end) as bigint) as taken
-from d join t on t.source is not distinct from d.source left join whole on whole.r = d.r left join one on one.nth = 1 and one.r = d.r
+    cast(d.size * (coalesce(whole.n, 0) + case when one.r is not null then 1 else 0 end) as bigint) as taken,
+    cast(coalesce(whole.n, 0) + case when one.r is not null then 1 else 0 end as bigint) as copies, round(first_position, 6) as first_position
+from d join t on t.source is not distinct from d.source left join whole on whole.r = d.r left join one on one.nth = 1 and one.r = d.r left join read on read.r = d.r
 """
 
 WARC_SQL = """

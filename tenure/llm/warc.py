@@ -12,9 +12,10 @@ are read one after another, damage among them is skipped within the inflated byt
 records before the last one reached are given out (that one may be damaged and is quarantined). Positions of records
 within such a member are the compressed bytes read until then.
 
-Archives are cut into pieces in the JVM and stream through the Python worker, which holds a record of up to RECORD_BYTES
-(longer ones are quarantined) and KEEP bytes to go back to. What Spark reads as one file, below 2 GiB, is the limit of an
-archive's size.
+An archive is closed once it has ``archive_bytes``, whatever the sizes of its records, so it exceeds that by a record at
+most. Archives are cut into pieces in the JVM, one at a time, and stream through the Python worker, which holds a record of
+up to RECORD_BYTES (longer ones are quarantined) and KEEP bytes to go back to. What Spark reads as one file, below 2 GiB,
+is the limit of an archive from elsewhere.
 
 Edge cases: a null html is an empty payload; a null url becomes the record's own urn; control characters in a url are
 percent-encoded. Rows with a null page_id are written and come back null; they are responses only where no row of the
@@ -31,6 +32,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +106,6 @@ def write(pages: DataFrame, path: str, *, archive_bytes: int = 64 << 20, date: s
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     facts = materialize(rows.select("page_id", "digest", F.octet_length("payload").alias("n")))
-    average = facts.agg(F.avg("n")).first()[0] or 1.0
     groups = facts.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("c"))
     groups = materialize(groups.where((F.col("c") > 1) & F.col("response").isNotNull()).select("digest", "response"))
     rows = join_small(rows, groups, ["digest"])
@@ -112,14 +113,18 @@ def write(pages: DataFrame, path: str, *, archive_bytes: int = 64 << 20, date: s
     rows = rows.withColumn("refers_to", F.when(revisits, F.col("response"))).drop("response")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        written = 0
         for b in batches:
             columns = zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True)
             out = [member(page_record(_id(i), u, bytes(p), d, _id(r), date))[:-1] for i, u, p, d, r in columns]
-            yield pd.DataFrame({"value": [y for k, x in enumerate(out) for y in ([x[: len(x) // 2], x] if torn and k % torn == 0 else [x])]})
+            out = [y for k, x in enumerate(out) for y in ([x[: len(x) // 2], x] if torn and k % torn == 0 else [x])]
+            before = written + np.cumsum([0, *[len(x) + 1 for x in out]])
+            written = int(before[-1])
+            yield pd.DataFrame({"value": out, "archive": before[:-1] // archive_bytes})
 
-    lines = rows.mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    each = max(1, min(1_000_000, int(archive_bytes / max(average, 1.0))))
-    lines.write.mode("overwrite").option("lineSep", "\x00").option("maxRecordsPerFile", each).text(path)
+    lines = rows.mapInPandas(members, "value binary, archive long").select(F.col("value").cast("string").alias("value"), "archive")
+    files = lines.write.mode("overwrite").option("partitionOverwriteMode", "static")  # no archive of an earlier run stays
+    files.option("lineSep", "\x00").partitionBy("archive").text(path)
 
 
 class Stream:
@@ -337,8 +342,9 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
 
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    cuts = F.expr(f"transform(sequence(0, cast(greatest(length - 1, 0) div {PIECE} as int)), i -> substring(content, i * {PIECE} + 1, {PIECE}))")
-    return files.select("path", F.explode(cuts).alias("piece")).mapInPandas(salvaged, RECORDS)
+    # numbers are exploded, not pieces, so that no second copy of an archive is made
+    numbers = files.select("path", "content", F.explode(F.expr(f"sequence(0, cast(greatest(length - 1, 0) div {PIECE} as int))")).alias("i"))
+    return numbers.select("path", F.expr(f"substring(content, i * {PIECE} + 1, {PIECE})").alias("piece")).mapInPandas(salvaged, RECORDS)
 
 
 def quarantined(records: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.llm import decontaminate as dc
 from tenure.llm import html_text as ht
-from tenure.llm import mixing, queries, secrets, token_counts, token_files, warc
+from tenure.llm import common, mixing, queries, secrets, token_counts, token_files, warc
 
 from .helpers import awkward, empty, table
 
@@ -148,7 +148,7 @@ def test_mixing_takes_one_copy_of_one_row(spark, seed, monkeypatch):
     out = mixing.schedule(d, seed=seed)
     assert out.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r.taken for r in got)
     monkeypatch.setattr(mixing, "ROWS", 2)  # the search for the demand's end goes down bucket by bucket
-    monkeypatch.setattr(mixing, "LINE_ROWS", 20)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)  # lines and sources meet the rows by salted keys
     again = mixing.digest(d, seed=seed).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
 
@@ -161,6 +161,23 @@ def test_mixing_of_equal_rows_alone(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].size / 2
 
 
+def test_each_tenth_of_the_run_holds_the_integrated_demand(spark):
+    """Of every source as much as its schedule asks for in that time, but for documents at either end and the hash's unevenness."""
+    d = table(spark, "documents", "/root/testdata/sf0.1")
+    size = mixing.n_words(F.col("text"))
+    tenth = F.least(F.lit(9), F.floor(F.col("__position") * 10)).alias("tenth")
+    read = {(r.source, r.tenth): r.words for r in mixing.schedule(d).groupBy("source", tenth).agg(F.sum(size).alias("words")).collect()}
+    largest = {r[0]: r[1] for r in d.groupBy("source").agg(F.max(size)).collect()}
+    facts = mixing.targets(d.select("source", size.alias("size"))).collect()
+    assert {r.weight for r in facts} == {1, 2, 3}
+    for r in facts:
+        slope = (r.weight - 2) / 2
+        by = lambda t: (1 - slope) * t + slope * t * t  # noqa: B023, E731
+        for k in range(10):
+            want = r.target * (by((k + 1) / 10) - by(k / 10))
+            assert abs(read.get((r.source, k), 0) - want) <= 2 * largest[r.source] + 0.02 * r.target, (r.source, k)
+
+
 def test_schedule_positions_invert_the_demand(spark):
     d = table(spark, "documents", "/root/testdata/sf0.01")
     rows = mixing.schedule(d)
@@ -478,6 +495,21 @@ def test_torn_records_are_skipped_and_logged(spark, tmp_path):
     assert got.count() == pages.count() and warc.quarantined(warc.read(spark, path)).count() == pages.count()
 
 
+def test_archives_are_closed_by_bytes(spark, tmp_path):
+    """Small pages first and long ones after them: an average of their sizes would put all long ones into one archive."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "u", rng.bytes(50 if i < 300 else 9000).hex()) for i in range(320)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "w"
+    for _ in range(2):  # a rerun leaves nothing of the earlier one
+        got = warc.round_trip(pages, path=str(path), archive_bytes=30_000)
+        sizes = [f.stat().st_size for f in path.rglob("*.txt")]
+        assert len(sizes) > 5 and max(sizes) < 30_000 + 12_000
+        assert sorted(r.page_id for r in got.collect()) == list(range(320))
+    warc.write(pages.limit(5), str(path))
+    assert warc.read(spark, str(path)).count() == 5
+
+
 def test_archives_round_trip(spark, tmp_path):
     big, twin = "<p>" + "é" * 600 + "</p>", "<p>" + "y" * 999 + "</p>"
     rows = [(1, "u1", big), (2, "u\r\nX: 2", big), (3, None, "small"), (4, "u4", "small"), (5, "u5", None), (None, "u6", big), (7, "u7", twin), (7, "u7", twin), (6, "u", twin)]
