@@ -35,13 +35,18 @@ CELLS = 4_000_000
 
 
 def rows_of(pairs: DataFrame, area: str, cluster: str, *, keep: list[str] | None = None, weight: Column | None = None, **design) -> DataFrame:
-    """The pairs as sparse rows: ``x`` (entries), ``c`` (hash of the cluster), ``w``, ``g`` (annual growth) and ``keep``."""
+    """The pairs as sparse rows: ``x`` (entries), ``c`` (hash of the cluster), ``w``, ``g`` (annual growth) and ``keep``.
+
+    Rows of one design lie beside each other in a file, as passes add them up first.
+    """
     years = F.datediff("date_z", "date_a") / 365.25
     w = F.lit(1.0) if weight is None else weight.cast("double")
     entries = contrast_entries(area, **design).alias("x")
-    rows = written(pairs.select(entries, F.xxhash64(cluster).alias("c"), w.alias("w"), (F.col("y") / years).alias("g"), *(keep or [])), "design")
+    own = pairs.select(entries, F.xxhash64(cluster).alias("c"), w.alias("w"), (F.col("y") / years).alias("g"), *(keep or []))
+    design = F.xxhash64(F.filter("x", lambda e: e["k"] != "y").cast("string"))
+    rows = written(own.sortWithinPartitions(design), "design")
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.count() > cores * MANY else written(rows.repartition(cores), "design")
+    return rows if rows.count() > cores * MANY else written(rows.repartitionByRange(cores, design).sortWithinPartitions(design), "design")
 
 
 def _products(offsets: np.ndarray, code: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,36 +67,58 @@ def _products(offsets: np.ndarray, code: np.ndarray, v: np.ndarray) -> tuple[np.
 Coefficients = dict[str, float] | dict[str, np.ndarray]
 
 
-def _seen(batch: pa.RecordBatch, coefficients: Coefficients | None = None) -> dict[str, np.ndarray]:
-    """A batch's ``c``, ``w``, ``g``, its entries (``names``, ``codes``, ``v``, ``offsets``) and, with coefficients, residuals ``e``:
-    a number a row, or rows x draws. A column that a fit hasn't got counts as nothing."""
+def _designs(own: dict[str, np.ndarray], mask: str | None) -> dict[str, np.ndarray]:
+    """Of a batch: the outcome ``y`` of each row, which ``design`` (its other entries, and the mask) it has, and each design's ``first`` row."""
+    n, offsets = len(own["offsets"]) - 1, own["offsets"]
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    outcome = np.array([name == "y" for name in own["names"]], dtype=bool)[own["codes"]]
+    y = np.bincount(row[outcome], own["v"][outcome], n)
+    place = np.arange(len(row)) - offsets[:-1][row]
+    width = int(place.max(initial=0)) + 1
+    key = np.full((n, 2 * width + 1), -1, dtype=np.int64)
+    key[row, place] = np.where(outcome, -1, own["codes"])
+    key[row, width + place] = np.where(outcome, 0.0, own["v"] + 0.0).view(np.int64)
+    key[:, -1] = own[mask] if mask else 0
+    _, first, design = np.unique(key.view(np.dtype((np.void, key.itemsize * key.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return {"y": y, "design": design, "first": first}
+
+
+def _seen(batch: pa.RecordBatch, coefficients: Coefficients | None = None, mask: str | None = None) -> dict[str, np.ndarray]:
+    """A batch's ``c``, ``w``, ``g``, its entries (``names``, ``codes``, ``v``, ``offsets``), its designs and, with coefficients, residuals
+    ``e``: a number a row, or rows x draws. A column that a fit hasn't got counts as nothing."""
     x = batch.column(batch.schema.names.index("x"))
     own = {c: batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "x"}
     offsets = x.offsets.to_numpy()
     entries = x.values.slice(offsets[0], offsets[-1] - offsets[0])
     spelt = entries.field(0).dictionary_encode()
     own |= {"names": spelt.dictionary.to_pylist(), "codes": spelt.indices.to_numpy(), "v": entries.field(1).to_numpy(zero_copy_only=False), "offsets": offsets - offsets[0]}
+    own |= _designs(own, mask)
     if coefficients is not None:
         width = next((np.shape(b) for b in coefficients.values()), ())
-        add = np.array([np.ones(width) if n == "y" else -coefficients.get(n, np.zeros(width)) for n in own["names"]]).reshape(len(own["names"]), *width)
-        terms = (own["v"] * add[own["codes"]].T).T
-        own["e"] = np.add.reduceat(terms, own["offsets"][:-1], axis=0) if len(batch) else np.zeros((0, *width))  # every row has its outcome
+        by = np.array([np.zeros(width) if n == "y" else coefficients.get(n, np.zeros(width)) for n in own["names"]]).reshape(len(own["names"]), *width)
+        fitted = np.zeros((len(own["first"]), *width))
+        for d, i in enumerate(own["first"]):
+            at = slice(own["offsets"][i], own["offsets"][i + 1])
+            fitted[d] = own["v"][at] @ by[own["codes"][at]]
+        own["e"] = (own["y"] - fitted.T[..., own["design"]]).T if not width else own["y"][:, None] - fitted[own["design"]]
     return own
 
 
 def _sums(
-    rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray], width: int, coefficients: Coefficients | None, mask: str | None = None
-) -> DataFrame:
+    rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray], width: int, coefficients: Coefficients | None, mask: str | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """(i, j, block, s0..): sums of the products of entries by the weights (rows x ``width``) that ``weigh`` gives.
 
-    ``weigh`` sees a batch's ``c``, ``w`` and ``g`` and, with coefficients, the residuals ``e``. With ``mask``, a column of small
-    whole numbers, sums are apart by its values, in a column ``mask``.
+    ``weigh`` sees a batch's ``c``, ``w``, ``g`` and ``keep`` and, with coefficients, the residuals ``e``. It may give two arrays: weights, and
+    what stands for the weighted outcome. The outcome's square isn't summed. With ``mask``, a column of small whole numbers, sums are apart by its values, in a column
+    ``mask``. Weights are added up by design first, so products are formed once a design; rows in the order of their designs make few.
     """
     columns = [f"s{k}" for k in range(min(BLOCK, width))]
     blocks = -(-width // BLOCK)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, at, held = {}, {}, np.zeros((0, blocks * len(columns)))
+        names, at, held = {"y": 0}, {}, np.zeros((0, blocks * len(columns)))
 
         def given() -> Iterator[pa.RecordBatch]:
             spelt = list(names)
@@ -102,19 +129,40 @@ def _sums(
                 arrays = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(np.full(len(at), b, np.int32)), masks]
                 yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(c)) for c in own.T]], names=["i", "j", "block", "mask", *columns])
 
-        for batch in slices(batches, CELLS // (32 * width)):
-            own = _seen(batch, coefficients)
-            weights = np.zeros((len(batch), held.shape[1]))
-            weights[:, :width] = weigh(own).reshape(len(batch), -1)
-            row, key, product = _products(own["offsets"], np.array([names.setdefault(n, len(names)) for n in own["names"]])[own["codes"]], own["v"])
+        for batch in slices(batches, CELLS // (16 * width)):
+            if not len(batch):
+                continue
+            own = _seen(batch, coefficients, mask)
+            weights = weigh(own)
+            weights, outcome = weights if isinstance(weights, tuple) else (weights, None)
+            weights = weights.reshape(len(batch), -1)
+            # a design's entries without the outcome, then what they share with it
+            first, many = own["first"], len(own["first"])
+            if many <= 16:
+                one = np.zeros((many, len(batch)))
+                one[own["design"], np.arange(len(batch))] = 1
+                sums = np.concatenate([one @ weights, one * own["y"] @ weights if outcome is None else one @ outcome.reshape(len(batch), -1)])
+            else:
+                by = np.argsort(own["design"], kind="stable")
+                starts = np.flatnonzero(np.diff(own["design"][by], prepend=-1))
+                outcome = weights * own["y"][:, None] if outcome is None else outcome.reshape(len(batch), -1)
+                sums = np.concatenate([np.add.reduceat(m[by], starts, axis=0) for m in (weights, outcome)])
+            lengths = np.diff(own["offsets"])[first]
+            place = np.repeat(own["offsets"][first] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            code = np.array([names.setdefault(n, len(names)) for n in own["names"]])[own["codes"][place]]
+            plain = code > 0
+            design, code, v = np.repeat(np.arange(many), lengths)[plain], code[plain], own["v"][place][plain]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(design, minlength=many))])
+            row, key, product = _products(offsets, code, v)
+            row, key, product = np.concatenate([row, design + many]), np.concatenate([key, code.astype(np.int64)]), np.concatenate([product, v])
             if mask:
-                key |= own[mask].astype(np.int64)[row] << 48
+                key |= own[mask].astype(np.int64)[first[row % many]] << 48
             order = np.argsort(key, kind="stable")
-            found, first = np.unique(key[order], return_index=True)
+            found, begin = np.unique(key[order], return_index=True)
             places = [at.setdefault(k, len(at)) for k in found.tolist()]
             if len(at) > len(held):
                 held = np.concatenate([held, np.zeros((max(len(at) - len(held), len(held), 64), held.shape[1]))])
-            held[places] += np.add.reduceat(weights[row[order]] * product[order][:, None], first, axis=0)
+            held[places, :width] += np.add.reduceat(sums[row[order]] * product[order][:, None], begin, axis=0)
             if held.size > HELD:
                 yield from given()
                 at, held = {}, np.zeros((0, held.shape[1]))
@@ -122,7 +170,7 @@ def _sums(
             yield from given()
 
     schema = "i string, j string, block int, mask int, " + ", ".join(f"{c} double" for c in columns)
-    parts = rows.select("x", "c", "w", "g", *([mask] if mask else [])).mapInArrow(added, schema)
+    parts = rows.select("x", "c", "w", "g", *keep, *([mask] if mask else [])).mapInArrow(added, schema)
     return parts.groupBy("i", "j", "block", *(["mask"] if mask else [])).agg(*[F.sum(c).alias(c) for c in columns])
 
 
@@ -197,19 +245,42 @@ def fit_all(rows: DataFrame) -> dict[str, float]:
     return out
 
 
-def uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
-    """Numbers (keys x draws) above 0 and up to 1 from hashes of 64 bits."""
+def hashed(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes (keys x draws) of 53 bits."""
     with np.errstate(over="ignore"):
         x = keys.astype(np.int64).view(np.uint64)[:, None] ^ ((draws.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53) + 2.0**-54
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        x >>= np.uint64(11)
+        return x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float64) / float(1 << 53) + 2.0**-54
+
+
+def uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers (keys x draws) above 0 and up to 1 from hashes of 64 bits."""
+    return _unit(hashed(keys, draws, seed))
+
+
+#: Upper ends of the uniform numbers that give 0, 1, .. in the Poisson distribution with mean one; the count of each 2048th of them, and
+#: where an end lies within.
+POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+COUNT = np.searchsorted(POISSON, np.arange(2048) / 2048, side="right").astype(np.float64)
+BETWEEN = np.searchsorted(POISSON, (np.arange(2048) + 1) / 2048, side="right") != COUNT
 
 
 def poisson(cluster: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     """Counts (clusters x draws) of the Poisson distribution with mean one."""
-    chance = np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)])
-    return np.searchsorted(np.cumsum(chance), uniform(cluster, draws, seed), side="right").astype(np.float64)
+    x = hashed(cluster, draws, seed)
+    part = (x >> np.uint64(42)).view(np.int64)
+    out = COUNT[part]
+    unsure = np.nonzero(BETWEEN[part])
+    out[unsure] = np.searchsorted(POISSON, _unit(x[unsure]), side="right")
+    return out
 
 
 def _systems(part: pd.DataFrame, width: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
