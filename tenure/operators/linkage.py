@@ -6,6 +6,8 @@ condition, and hot keys are split by adaptive execution. Rules about ties count
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,18 +101,39 @@ def unique_match(
 ) -> DataFrame:
     """Sales matched on keys, date and amount if exactly one distinct ``target`` agrees; ``reason`` says why not.
 
-    With a lot as the target two deeds of one lot still match; with a document they don't.
+    With a lot as the target two deeds of one lot still match; with a document they don't. Few keys may have many rows: whether any
+    document has the date is found for each key and day, and only rows of neighbouring spans of days and of log amounts meet;
+    of a sale's targets the first and the last are kept, in the task that meets them.
     """
-    columns = list(dict.fromkeys([*keys, doc_day, amount, target]))
-    own = sales.select(sale, *keys, day, price)
-    hits = band(own, documents.select(*columns), keys, day, doc_day, -within, within)
-    agrees = F.abs(F.col(f"r_{amount}") - F.col(price)) <= share * F.col(price)
-    found = hits.groupBy(sale).agg(
-        F.count_distinct(F.when(agrees, F.col(f"r_{target}"))).alias("n"), F.min(F.when(agrees, F.col(f"r_{target}"))).alias("t"),
-        F.count(F.col("gap")).alias("dated"),
-    )
-    reason = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").when(F.col("dated") > 0, "no amount").otherwise("no date")
-    return found.select(sale, F.when(F.col("n") == 1, F.col("t")).alias(target), reason.alias("reason"))
+    width, since = 2 * within + 1, F.lit("1970-01-01").cast("date")
+    number = lambda day: F.floor(F.datediff(day, since) / width)
+    own, columns = sales.select(sale, *keys, day, price), list(dict.fromkeys([*keys, doc_day, amount, target]))
+    spans = F.explode(F.sequence(number(F.date_sub(day, within)), number(F.date_add(day, within)))).alias("__span")
+    documents = documents.select(*columns).withColumn("__span", number(F.col(doc_day)))
+    days = band(own.select(*keys, day).distinct().select("*", spans), documents.select(*keys, doc_day, "__span").distinct(), [*keys, "__span"], day, doc_day, -within, within, "left_semi")
+    days = days.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col(day).alias("__day")).distinct()
+    dated = own.join(days, [*[F.col(k) == F.col(f"__{i}") for i, k in enumerate(keys)], F.col(day) == F.col("__day")], "left")
+
+    # prices that any amount is near to by the rule (NaN, infinity) look everywhere
+    any_ = F.isnan(F.col(price).cast("double")) | (F.col(price).cast("double") == float("inf"))
+    step = math.log((1 + share) / (1 - share)) if 0 < share < 1 else 1.0
+    at = lambda x, shift=0.0: F.when(x > 0, F.floor(F.log(x.cast("double")) / step + shift)).otherwise(F.lit(-(1 << 40)))
+    low, high = (at(F.col(price) * (1 + side * min(share, 1.0)), side * 1e-6) for side in (-1, 1))
+    near = F.explode(F.sequence(low, high)) if share < 1 else F.lit(0)
+    some = own.where(~any_).select("*", near.alias("__near")).select("*", spans)
+    right = documents.withColumn("__near", at(F.col(amount)) if share < 1 else F.lit(0))
+    hits = band(some, right, [*keys, "__span", "__near"], day, doc_day, -within, within, "inner").unionByName(
+        band(own.where(any_).select("*", F.lit(0).alias("__near")).select("*", spans), right.withColumn("__near", F.lit(0)), [*keys, "__span"], day, doc_day, -within, within, "inner")
+    )
+    hits = hits.where(F.abs(F.col(f"r_{amount}") - F.col(price)) <= share * F.col(price))
+    none = F.lit(None).cast(documents.schema[target].dataType)
+    every = dated.select(sale, F.col("__day").isNotNull().alias("dated"), none.alias("t")).unionByName(
+        hits.select(sale, F.lit(False).alias("dated"), F.col(f"r_{target}").alias("t"))
+    )
+    found = every.groupBy(sale).agg(F.min("t").alias("t"), F.max("t").alias("last"), F.max("dated").alias("dated"))
+    one = F.col("t") == F.col("last")
+    reason = F.when(one, "matched").when(~one, "ambiguous").when(F.col("dated"), "no amount").otherwise("no date")
+    return found.select(sale, F.when(one, F.col("t")).alias(target), reason.alias("reason"))
 
 
 def as_of(left: DataFrame, right: DataFrame, day: str, right_day: str, value: str, *, keys: list[str] | None = None) -> DataFrame:

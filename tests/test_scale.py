@@ -36,3 +36,32 @@ def test_rows_of_a_design_lie_together_and_are_added_up_first(enriched):
                         want[key] = want.get(key, 0.0) + w[k] * x["v"] * z["v"] * (2 if x["k"] == z["k"] and a != b else 1)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_unique_lots_among_few_keys(spark):
+    """All rows have one key: the answers are brute force's, odd prices included, and no join is by the key alone."""
+    import datetime as dt
+
+    from tenure.operators import linkage
+
+    rng, day = np.random.default_rng(2), dt.date(1995, 1, 1)
+    prices = [float("nan"), float("inf"), 0.0, -5.0, None, *rng.choice([100.0, 100.5, 101.0, 250.0], 60)]
+    sales = [(i, "k" if i % 9 else None, day + dt.timedelta(int(rng.integers(0, 90))), None if p is None else float(p)) for i, p in enumerate(prices)]
+    docs = [("k", day + dt.timedelta(int(rng.integers(-20, 60))), float(rng.choice([0.0, -5.0, 99.4, 99.6, 100.0, 100.5, 101.5, 250.0])), f"l{rng.integers(0, 12)}") for _ in range(40)]
+    s = spark.createDataFrame(sales, "sale_id int, key string, sale_date date, price double")
+    d = spark.createDataFrame(docs, "key string, doc_date date, amount double, lot string")
+    got = linkage.unique_match(s, d, keys=["key"], target="lot", within=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__span" in line for line in plan.splitlines() if "Join Inner" in line or "Join LeftSemi" in line)
+
+    def agrees(a, p):
+        return p is not None and (p != p or p == float("inf") or abs(a - p) <= 0.005 * p)
+
+    want = {}
+    for i, k, when, p in sales:
+        dated = [x for x in docs if x[0] == k and abs((x[1] - when).days) <= 10]
+        lots = sorted({x[3] for x in dated if agrees(x[2], p)})
+        reason = "matched" if len(lots) == 1 else "ambiguous" if lots else "no amount" if dated else "no date"
+        want[i] = (lots[0] if len(lots) == 1 else None, reason)
+    assert {r["sale_id"]: (r["lot"], r["reason"]) for r in got.collect()} == want
+    assert len(set(r for _, r in want.values())) == 4
