@@ -104,6 +104,19 @@ def _seen(batch: pa.RecordBatch, coefficients: Coefficients | None = None, mask:
     return own
 
 
+def by_design(own: dict[str, np.ndarray], weights: np.ndarray, outcome: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums (designs x columns) of the weights and of the weighted outcome, or of what stands for it."""
+    many, n = len(own["first"]), len(weights)
+    if many <= 16:
+        one = np.zeros((many, n))
+        one[own["design"], np.arange(n)] = 1
+        return one @ weights, one * own["y"] @ weights if outcome is None else one @ outcome.reshape(n, -1)
+    by = np.argsort(own["design"], kind="stable")
+    starts = np.flatnonzero(np.diff(own["design"][by], prepend=-1))
+    outcome = weights * own["y"][:, None] if outcome is None else outcome.reshape(n, -1)
+    return np.add.reduceat(weights[by], starts, axis=0), np.add.reduceat(outcome[by], starts, axis=0)
+
+
 def _sums(
     rows: DataFrame, weigh: Callable[[dict[str, np.ndarray]], np.ndarray], width: int, coefficients: Coefficients | None, mask: str | None = None,
     keep: tuple[str, ...] = (),
@@ -136,17 +149,9 @@ def _sums(
             weights = weigh(own)
             weights, outcome = weights if isinstance(weights, tuple) else (weights, None)
             weights = weights.reshape(len(batch), -1)
+            sums = np.concatenate(by_design(own, weights, outcome))
             # a design's entries without the outcome, then what they share with it
             first, many = own["first"], len(own["first"])
-            if many <= 16:
-                one = np.zeros((many, len(batch)))
-                one[own["design"], np.arange(len(batch))] = 1
-                sums = np.concatenate([one @ weights, one * own["y"] @ weights if outcome is None else one @ outcome.reshape(len(batch), -1)])
-            else:
-                by = np.argsort(own["design"], kind="stable")
-                starts = np.flatnonzero(np.diff(own["design"][by], prepend=-1))
-                outcome = weights * own["y"][:, None] if outcome is None else outcome.reshape(len(batch), -1)
-                sums = np.concatenate([np.add.reduceat(m[by], starts, axis=0) for m in (weights, outcome)])
             lengths = np.diff(own["offsets"])[first]
             place = np.repeat(own["offsets"][first] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
             code = np.array([names.setdefault(n, len(names)) for n in own["names"]])[own["codes"][place]]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .estimation import inverse
-from .passes import BLOCK, _seen, _sums, least_squares, residuals, rows_of, uniform
+from .passes import BLOCK, _seen, _sums, by_design, least_squares, residuals, rows_of, uniform
 from .search import CELLS, search, slices
 from .tables import written
 
@@ -63,8 +63,11 @@ class Recodings:
         ok = ends(own)[0] == label
         return ok & np.stack([own[f"{pool}_a"], own[f"{pool}_z"]], axis=1).astype(bool) if pool and label == CASH else ok
 
-    def keys(self, own: dict[str, np.ndarray], label: int) -> tuple[np.ndarray, np.ndarray]:
-        """The least key of each pair's ends and which end has it (pairs x columns); infinite where the pair has none."""
+    def keys(self, own: dict[str, np.ndarray], label: int, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The least key of each pair's ends and which end has it (pairs x columns); infinite where the pair has none.
+
+        ``gone`` are the pairs that were recoded at cash ends, where they are known.
+        """
         n = len(own["pair"])
         out, which = np.full((n, self.width), np.inf), np.zeros((n, self.width), dtype=np.int8)
         _, effect = ends(own)
@@ -79,12 +82,17 @@ class Recodings:
                     key = -np.log(uniform(own["pair"][some], np.arange(at.start, at.stop), self.seed + 2 * label + end))
                     if s["mode"] == "tilted":
                         mean, spread = (x[at] for x in self.pool[label])
+                        if label == CASH:  # nothing is recoded before: one pool for all draws
+                            mean, spread = mean[:1], spread[:1]
                         key = key / np.exp(s.get("kappa", 1.0) * (signed[some, end][:, None] - s.get("sign", 1.0) * mean) / np.where(spread > 0, spread, 1))
-                nearer = key < out[some, at]
-                out[some, at] = np.where(nearer, key, out[some, at])
-                which[some, at] = np.where(nearer, end, which[some, at])
+                if end == 0:  # the first end that is looked at
+                    out[some, at] = key
+                    continue
+                before = out[some, at]
+                out[some, at] = np.minimum(before, key)
+                which[some, at] = key < before
         if label == FINANCED:
-            out[self.chosen(own, CASH)] = np.inf
+            out[self.chosen(own, CASH) if gone is None else gone] = np.inf
         return out, which
 
     def chosen(self, own: dict[str, np.ndarray], label: int) -> np.ndarray:
@@ -92,15 +100,16 @@ class Recodings:
 
     def recoded(self, own: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The new switches (pairs x columns), and which pairs are recoded."""
-        new = [np.repeat(own[c][:, None], self.width, axis=1) for c in ("fa", "fz")]
+        a, z = own["fa"], own["fz"]
+        new = np.repeat(switch(a, z).astype(np.int8)[:, None], self.width, axis=1)
+        once = np.stack([switch(1 - a, z), switch(a, 1 - z)], axis=1).astype(np.int8)
         some = np.zeros((len(own["pair"]), self.width), dtype=bool)
         for label in (CASH, FINANCED):
-            key, which = self.keys(own, label)
-            hit = key <= self.limit[label]
-            for end in (0, 1):
-                new[end] = np.where(hit & (which == end), 1 - label, new[end])
-            some |= hit
-        return switch(*new), some
+            key, which = self.keys(own, label, some if label == FINANCED else None)
+            row, column = np.nonzero(key <= self.limit[label])
+            new[row, column] = once[row, which[row, column]]
+            some[row, column] = True
+        return new, some
 
     def find(self, rows: DataFrame, label: int) -> None:
         """Set the pool's figures and the limit of one label."""
@@ -140,8 +149,9 @@ def _plain(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "x"}
 
 
-def refitted(rows: DataFrame, switches: Callable[[dict[str, np.ndarray]], np.ndarray], width: int) -> np.ndarray:
-    """The contrast (half of cf less fc) by least squares for each column of new switches (pairs x columns)."""
+def refitted(rows: DataFrame, switches: Callable[[dict[str, np.ndarray]], np.ndarray | tuple], width: int, may: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The contrast (half of cf less fc) by least squares for each column of new switches (pairs x columns), and how many pairs
+    ``switches`` marks in a second array, if it gives one. Pairs without ``may`` never switch."""
     fixed = {(r["i"], r["j"]): r["s"] for r in _sums(rows, lambda own: np.ones(len(own["w"])), 1, None).select("i", "j", F.col("s0").alias("s")).collect()}
     names = sorted({n for pair in fixed for n in pair} - {"y"})
     at = {n: k for k, n in enumerate(names)}
@@ -157,42 +167,46 @@ def refitted(rows: DataFrame, switches: Callable[[dict[str, np.ndarray]], np.nda
     columns = [f"{side}{k}" for side in ("p", "m") for k in range(BLOCK)]
 
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, held = {"": 0}, np.zeros((1, 2, blocks * BLOCK))  # "" has the numbers of pairs
+        order, held = {"": 0, "+": 1, "y": 2}, np.zeros((3, 2, blocks * BLOCK))  # "" has the numbers of pairs, "+" of marked ones
         for b in slices(batches, CELLS // width):
+            if not len(b):
+                continue
             own = _seen(b)
-            v = np.zeros((len(b), blocks * BLOCK), dtype=int)
-            v[:, :width] = switches(own)
-            local = np.array([order.setdefault(n, len(order)) for n in own["names"]])[own["codes"]]
+            v = switches(own)
+            if isinstance(v, tuple):
+                held[1, 0, :width] += v[1].sum(axis=0)
+                v = v[0]
+            local = np.array([order.setdefault(n, len(order)) for n in own["names"]])
             held = np.concatenate([held, np.zeros((len(order) - len(held), *held.shape[1:]))])
-            row = np.repeat(np.arange(len(b)), np.diff(own["offsets"]))
-            by = np.argsort(local, kind="stable")
-            found, first = np.unique(local[by], return_index=True)
             for side, sign in ((0, 1), (1, -1)):
-                hit = (v == sign).astype(float)
-                held[0, side] += hit.sum(axis=0)
-                if len(by):
-                    held[found, side] += np.add.reduceat(hit[row[by]] * own["v"][by][:, None], first, axis=0)
+                sums, outcome = by_design(own, (v == sign).astype(float))
+                held[0, side, :width] += sums.sum(axis=0)
+                held[2, side, :width] += outcome.sum(axis=0)
+                for d, i in enumerate(own["first"]):
+                    for e in range(own["offsets"][i], own["offsets"][i + 1]):
+                        if (k := local[own["codes"][e]]) != 2:
+                            held[k, side, :width] += own["v"][e] * sums[d]
         for k in range(blocks):
             part = held[:, :, k * BLOCK : (k + 1) * BLOCK].reshape(len(held), -1)
             arrays = [pa.array(list(order), pa.string()), pa.array(np.full(len(held), k, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in part.T]]
             yield pa.RecordBatch.from_arrays(arrays, names=["name", "block", *columns])
 
     schema = "name string, block int, " + ", ".join(f"{c} double" for c in columns)
-    sums = rows.mapInArrow(given, schema).groupBy("name", "block").agg(*[F.sum(c).alias(c) for c in columns])
-    n, shared, right = np.zeros((2, blocks * BLOCK)), np.zeros((2, len(names), blocks * BLOCK)), np.zeros((2, blocks * BLOCK))
+    sums = (rows if may is None else rows.where(may)).mapInArrow(given, schema).groupBy("name", "block").agg(*[F.sum(c).alias(c) for c in columns])
+    marked, n, shared, right = np.zeros((2, blocks * BLOCK)), np.zeros((2, blocks * BLOCK)), np.zeros((2, len(names), blocks * BLOCK)), np.zeros((2, blocks * BLOCK))
     for r in sums.collect():  # columns x scenarios and draws
         own, part = np.array(r[2:]).reshape(2, BLOCK), slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
         if r["name"] in at:
             shared[:, at[r["name"]], part] = own
         else:
-            {"": n, "y": right}[r["name"]][:, part] = own
+            {"": n, "y": right, "+": marked}[r["name"]][:, part] = own
     inv = inverse(gram)
     solved = np.einsum("kl,slj->skj", inv, shared)
     left = np.einsum("skj,tkj->jst", shared, solved)
     m = np.stack([np.diag(n[:, j]) for j in range(width)]) - left[:width]
     b = (right - np.einsum("skj,k->sj", shared, inv @ of_y)).T[:width]
     beta = np.array([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(m, b, strict=True)])
-    return 0.5 * (beta[:, 0] - beta[:, 1])
+    return 0.5 * (beta[:, 0] - beta[:, 1]), marked[0, :width].round().astype(int)
 
 
 def relabelling(rows: DataFrame, scenarios: list[dict], *, draws: int, seed: int) -> DataFrame:
@@ -204,16 +218,8 @@ def relabelling(rows: DataFrame, scenarios: list[dict], *, draws: int, seed: int
     found = Recodings(scenarios, draws, seed)
     for label in (CASH, FINANCED):
         found.find(rows, label)
-    values = refitted(rows, lambda own: found.recoded(own)[0], found.width)
-
-    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(found.width, dtype=np.int64)
-        for b in slices(batches, CELLS // found.width):
-            n += found.recoded(_plain(b))[1].sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"k": np.arange(found.width, dtype=np.int32), "recoded": n})
-
-    counts = {r["k"]: r["n"] for r in rows.drop("x").mapInArrow(given, "k int, recoded long").groupBy("k").agg(F.sum("recoded").alias("n")).collect()}
-    out = [(scenarios[k // draws]["name"], k % draws, float(v), int(counts.get(k, 0))) for k, v in enumerate(values)]
+    values, counts = refitted(rows, found.recoded, found.width)
+    out = [(scenarios[k // draws]["name"], k % draws, float(v), int(counts[k])) for k, v in enumerate(values)]
     return rows.sparkSession.createDataFrame(out, "scenario string, draw int, value double, recoded int")
 
 
@@ -223,22 +229,24 @@ def hidden_labels(rows: DataFrame, cells: list[tuple[float, float]], *, draws: i
     width = len(cells) * draws
     share = {-1: np.repeat([c[0] for c in cells], draws), 1: np.repeat([c[1] for c in cells], draws)}
 
-    def keys(own: dict[str, np.ndarray], arm: int) -> np.ndarray:
-        out = np.full((len(own["pair"]), width), np.inf)
-        some = np.flatnonzero(switch(own["fa"], own["fz"]) == arm)
-        out[some] = uniform(own["pair"][some], np.arange(width), seed + arm)
-        return out
-
+    some = {arm: np.flatnonzero(np.rint(share[arm] * (1 << 52)) > 0) for arm in (-1, 1)}  # columns that recode the arm
     limit = {}
     for arm in (-1, 1):
-        look = lambda b, arm=arm: (keys(_plain(b), arm), np.ones((len(b), 1)))
-        limit[arm] = np.array([f.nth() for f in search(rows, look, lambda total, arm=arm: np.rint(share[arm] * total), width)])
+        own = rows.where((F.col("fa") == int(arm == -1)) & (F.col("fz") == int(arm == 1))).select("pair")
+        look = lambda b, arm=arm: (uniform(b.column(0).to_numpy(), some[arm], seed + arm), np.ones((len(b), 1)))
+        wanted = lambda total, arm=arm: np.rint(share[arm][some[arm]] * total)
+        limit[arm] = np.array([f.nth() for f in search(own, look, wanted, len(some[arm]))]) if len(some[arm]) else np.zeros(0)
 
     def switches(own: dict[str, np.ndarray]) -> np.ndarray:
-        gone = (keys(own, -1) <= limit[-1]) | (keys(own, 1) <= limit[1])
-        return np.where(gone, 0, switch(own["fa"], own["fz"])[:, None])
-
-    full = refitted(rows, switches, width)
-    part = refitted(rows if screen is None else rows.where(screen), switches, width)
+        now = switch(own["fa"], own["fz"])
+        new = np.repeat(now.astype(np.int8)[:, None], width, axis=1)
+        for arm in (-1, 1):
+            at = np.flatnonzero(now == arm)
+            new[np.ix_(at, some[arm])] = np.where(uniform(own["pair"][at], some[arm], seed + arm) <= limit[arm], 0, arm)
+        return new
+
+    switching = F.col("fa") != F.col("fz")
+    full = refitted(rows, switches, width, switching)[0]
+    part = refitted(rows if screen is None else rows.where(screen), switches, width, switching)[0]
     out = [(*map(float, cells[k // draws]), k % draws, float(full[k]), float(part[k])) for k in range(width)]
     return rows.sparkSession.createDataFrame(out, "q_fc double, q_cf double, draw int, full double, screened double")

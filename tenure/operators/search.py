@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS, FEW = 32, 64
+BINS, FEW = 64, 64
 #: Values (rows x searches) that a task looks at together.
 CELLS = 1 << 19
 
@@ -66,12 +66,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(i, max(1, rows))
 
 
-def _cells(look: Look, batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(search, value, weight) of the cells that take part."""
+def _cells(look: Look, batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values, NaN where a cell takes no part, and weights, rows x searches."""
     v, w = look(batch)
-    v, w = np.broadcast_to(v, (len(batch), n)), np.broadcast_to(w, (len(batch), n))
-    row, search = np.nonzero((w > 0) & np.isfinite(v))
-    return search, v[row, search], w[row, search]
+    if not (w > 0).all():
+        v = np.where(w > 0, v, np.nan)
+    return np.broadcast_to(v, (len(batch), n)), np.broadcast_to(w, (len(batch), n))
+
+
+def _between(v: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(search, value, weight) of the cells between finite bounds: few, so only these are picked out."""
+    row, search = np.nonzero((v >= low) & (v <= high))
+    x = v[row, search]
+    at = (x < high[search]) | closed[search]
+    return search[at], x[at], w[row[at], search[at]]
 
 
 def _per_search(rows: DataFrame, given: Callable, schema: str, n: int) -> DataFrame:
@@ -85,11 +93,12 @@ def _bounds(rows: DataFrame, look: Look, n: int) -> np.ndarray:
     def given(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, total, count = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n), np.zeros(n)
         for b in parts:
-            search, v, w = _cells(look, b, n)
-            np.minimum.at(low, search, v)
-            np.maximum.at(high, search, v)
-            total += np.bincount(search, w, n)
-            count += np.bincount(search, minlength=n)
+            v, w = _cells(look, b, n)
+            some = np.isfinite(v)
+            low = np.minimum(low, np.where(some, v, np.inf).min(axis=0, initial=np.inf))
+            high = np.maximum(high, np.where(some, v, -np.inf).max(axis=0, initial=-np.inf))
+            total += np.where(some, w, 0.0).sum(axis=0)
+            count += some.sum(axis=0)
         yield pa.RecordBatch.from_pydict({"k": np.arange(n, dtype=np.int32), "low": low, "high": high, "w": total, "n": count})
 
     by = _per_search(rows, given, "k int, low double, high double, w double, n double", n).groupBy("k")
@@ -99,10 +108,6 @@ def _bounds(rows: DataFrame, look: Look, n: int) -> np.ndarray:
     return out
 
 
-def _inside(search: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, closed: np.ndarray) -> np.ndarray:
-    return (v >= low[search]) & ((v < high[search]) | (closed[search] & (v == high[search])))
-
-
 def _counted(rows: DataFrame, look: Look, low: np.ndarray, high: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (BINS + 1), weights and numbers of rows (BINS) by search."""
     n = len(low)
@@ -112,9 +117,7 @@ def _counted(rows: DataFrame, look: Look, low: np.ndarray, high: np.ndarray, clo
     def given(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, count = np.zeros(n * BINS), np.zeros(n * BINS)
         for b in parts:
-            search, v, w = _cells(look, b, n)
-            at = _inside(search, v, low, high, closed)
-            search, v, w = search[at], v[at], w[at]
+            search, v, w = _between(*_cells(look, b, n), low, high, closed)
             width = (high - low)[search]
             k = np.clip(np.floor((v - low[search]) / np.where(width > 0, width, 1) * BINS).astype(np.int64), 0, BINS - 1)
             k -= (v < edges[search, k]) & (k > 0)  # the edges decide, not the division's rounding
@@ -159,21 +162,21 @@ def _listed(rows: DataFrame, look: Look, low: np.ndarray, high: np.ndarray, clos
         held: dict[tuple[int, float], list[float]] = {}
         left, right = np.full((n, 2), -np.inf), np.full((n, 2), np.inf)
         for b in parts:
-            search, v, w = _cells(look, b, n)
-            at = _inside(search, v, low, high, closed)
-            order = np.lexsort((v[at], search[at]))
-            s, x, y = search[at][order], v[at][order], w[at][order]
+            v, w = _cells(look, b, n)
+            s, x, y = _between(v, w, low, high, closed)
+            order = np.lexsort((x, s))
+            s, x, y = s[order], x[order], y[order]
             first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])) if len(s) else order
             sums, least = (np.add.reduceat(y, first), np.minimum.reduceat(y, first)) if len(s) else (y, y)
             for key, total, lowest in zip(zip(s[first].tolist(), x[first].tolist(), strict=True), sums.tolist(), least.tolist(), strict=True):
                 own = held.setdefault(key, [0.0, lowest])
                 own[0], own[1] = own[0] + total, min(own[1], lowest)
-            for side, sign, beyond in ((left, -1, v < low[search]), (right, 1, ~at & (v >= low[search]))):
-                s, x, y = search[beyond], v[beyond], w[beyond]
-                order = np.lexsort((sign * x, s))  # nearest first
-                first = order[np.concatenate([[True], s[order][1:] != s[order][:-1]])] if len(order) else order
-                nearer = sign * x[first] < sign * side[s[first], 0]
-                side[s[first][nearer]] = np.stack([x[first], y[first]], axis=1)[nearer]
+            above = (v > high) | ((v == high) & ~closed)
+            for side, sign, beyond in ((left, -1, v < low), (right, 1, above)):
+                away = np.where(beyond, sign * v, np.inf)
+                first, every = away.argmin(axis=0), np.arange(n)  # nearest first
+                nearer = away[first, every] < sign * side[:, 0]
+                side[nearer] = np.stack([v[first, every], w[first, every]], axis=1)[nearer]
         out = [(s, 0, x, w, least) for (s, x), (w, least) in held.items()]
         out += [(int(s), kind, *side[s], 0.0) for kind, side in ((-1, left), (1, right)) for s in np.flatnonzero(np.isfinite(side[:, 0]))]
         if out:

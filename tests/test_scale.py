@@ -65,3 +65,21 @@ def test_unique_lots_among_few_keys(spark):
         want[i] = (lots[0] if len(lots) == 1 else None, reason)
     assert {r["sale_id"]: (r["lot"], r["reason"]) for r in got.collect()} == want
     assert len(set(r for _, r in want.values())) == 4
+
+
+def test_recodings_look_at_what_can_be_recoded(spark, enriched, monkeypatch):
+    """An arm's keys are searched among its pairs and for the cells that recode it; recoded pairs are counted in the pass that refits."""
+    from tenure.operators import relabel
+
+    rows = relabel.design(enriched, "borough", "bbl", "sale_id_z", "financed_base_a", "financed_base_z")
+    sizes, found = [], relabel.search
+    monkeypatch.setattr(relabel, "search", lambda r, look, wanted, n: sizes.append((r.count(), n)) or found(r, look, wanted, n))
+    relabel.hidden_labels(rows, [(0.0, 0.1), (0.1, 0.1)], draws=3, seed=3)
+    arms = enriched.agg(F.sum("fc"), F.sum("cf")).first()
+    assert sizes == [(arms[0], 3), (arms[1], 6)]
+    refit = relabel.Recodings([{"name": "r", "h": 0.08, "f": 0.04, "mode": "random"}], 2, 1)
+    for label in (relabel.CASH, relabel.FINANCED):
+        refit.find(rows, label)
+    values, counts = relabel.refitted(rows, refit.recoded, 2)
+    labels = [x for r in enriched.select("financed_base_a", "financed_base_z").collect() for x in r]
+    assert counts.tolist() == [round(0.08 * labels.count(0)) + round(0.04 * labels.count(1))] * 2 and np.isfinite(values).all()
