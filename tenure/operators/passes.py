@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .estimation import Fit, contrast_entries, inverse, solve, solved
@@ -309,6 +309,51 @@ def bootstrap(rows: DataFrame, contrasts: dict[str, tuple[str, str]], *, draws:
     return _contrasts(_sums(rows, drawn(np.arange(draws), seed), draws, None), ["block"], contrasts, draws)
 
 
+#: Clusters whose multinomial counts a task holds for all draws.
+CLUSTERS = 16_384
+
+
+def multinomial(rows: DataFrame, cluster: str, contrasts: dict[str, tuple[str, str]], *, draws: int = 999, seed: int = 20260909) -> DataFrame:
+    """``bootstrap`` on multinomial counts of the clusters, which add up to the number of clusters in each draw, for any number of pairs.
+
+    Up to CLUSTERS clusters the counts are NumPy's sequence of the seed over the clusters in order, as a publication takes them. More
+    are dealt to blocks by a hash: a draw's total is split over the blocks, and a block's share over its clusters by a sequence of its own,
+    which is the same distribution. ``rows`` have the column ``cluster``; a task makes the counts of a block as it meets its rows.
+    """
+    keys = rows.select(F.col(cluster).alias("__k")).distinct()
+    total = keys.count()
+    many = max(1, -(-total * 5 // (CLUSTERS * 4))) if total > CLUSTERS else 1
+    keys = keys.withColumn("block_", F.pmod(F.xxhash64("__k"), F.lit(many)).cast("int"))
+    codes = written(keys.withColumn("code_", F.row_number().over(Window.partitionBy("block_").orderBy("__k")) - 1), "clusters")  # a block is small
+    sizes = np.zeros(many, dtype=np.int64)
+    for r in codes.groupBy("block_").count().collect():
+        sizes[r[0]] = r[1]
+    share = np.random.default_rng([seed, 0]).multinomial(total, sizes / max(total, 1), size=draws) if many > 1 else np.full((draws, 1), total)
+    dealt = rows.join(codes, F.col(cluster).eqNullSafe(F.col("__k"))).drop("__k")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    design = F.xxhash64(F.filter("x", lambda e: e["k"] != "y").cast("string"))
+    dealt = dealt.repartitionByRange(max(cores, many), "block_", "code_") if many > 1 else dealt.repartitionByRange(cores, design)
+    dealt = written(dealt.sortWithinPartitions("block_", design), "dealt")
+    made: dict[int, np.ndarray] = {}
+
+    def counts(block: int) -> np.ndarray:
+        if block not in made:
+            made.clear()
+            rng, n = np.random.default_rng(seed if many == 1 else [seed, block + 1]), sizes[block]
+            chances = np.repeat(1 / n, n)
+            made[block] = np.array([rng.multinomial(s, chances).astype(np.uint16) for s in share[:, block]]).T.copy()
+        return made[block]
+
+    def weigh(own: dict[str, np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(own["w"]), draws))
+        for block in np.unique(own["block_"]):
+            at = np.flatnonzero(own["block_"] == block)
+            out[at] = counts(int(block))[own["code_"][at]] * own["w"][at][:, None]
+        return out
+
+    return _contrasts(_sums(dealt, weigh, draws, None, keep=("block_", "code_")), ["block"], contrasts, draws)
+
+
 def _contrasts(sums: DataFrame, keys: list[str], contrasts: dict[str, tuple[str, str]], draws: int) -> DataFrame:
     """The systems of each group of sums solved; ``screen``, where it is a key, names the estimators."""
     targets = list(dict.fromkeys(t for pair in contrasts.values() for t in pair))

@@ -29,12 +29,6 @@ def _rows(t: Tables, pairs=None, **design):
     return passes.rows_of(t.enriched if pairs is None else pairs, "borough", "bbl", **design)
 
 
-def _sample(t: Tables) -> resampling.Sample:
-    return resampling.sample(
-        t.enriched, "borough", "bbl", order=["bbl", "sale_id_z"], flags=["financed_base_a", "financed_base_z", "src"]
-    )
-
-
 @query("m04_contrast")
 def m04(t):
     """Joint and residual contrasts: calendar by borough, clustered by parcel."""
@@ -77,8 +71,8 @@ def m07(t):
 
 @query("m07_bootstrap_publication")
 def m07_publication(t):
-    """The intervals over the 999 draws of a publication: NumPy's multinomial sequence, on a collected sample."""
-    return resampling.intervals(resampling.bootstrap(t.spark, _sample(t), resampling.ols, draws=999))
+    """The intervals over the 999 draws of a publication: NumPy's multinomial sequence, by blocks where parcels are many."""
+    return resampling.intervals(passes.multinomial(_rows(t, keep=["bbl"]), "bbl", {"ols": ("cf", "fc")}, draws=999))
 
 
 @query("m09_rate_interaction")

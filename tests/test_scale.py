@@ -83,3 +83,29 @@ def test_recodings_look_at_what_can_be_recoded(spark, enriched, monkeypatch):
     values, counts = relabel.refitted(rows, refit.recoded, 2)
     labels = [x for r in enriched.select("financed_base_a", "financed_base_z").collect() for x in r]
     assert counts.tolist() == [round(0.08 * labels.count(0)) + round(0.04 * labels.count(1))] * 2 and np.isfinite(values).all()
+
+
+def test_multinomial_draws_of_any_number_of_pairs(spark, enriched, monkeypatch):
+    """One block gives the study's own sequence; many blocks give draws whose counts add up, and no sample is collected."""
+    from tenure.operators import resampling
+    from tenure.plans import statistics
+
+    sample = resampling.sample(enriched, "borough", "bbl", order=["bbl", "sale_id_z"])
+    want = {r["draw"]: r["value"] for r in resampling.bootstrap(spark, sample, resampling.ols, draws=8).collect()}
+    rows = passes.rows_of(enriched, "borough", "bbl", keep=["bbl"])
+    got = {r["draw"]: r["value"] for r in passes.multinomial(rows, "bbl", {"ols": ("cf", "fc")}, draws=8).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    seen, sums = [], passes._sums
+    monkeypatch.setattr(passes, "_sums", lambda r, weigh, *a, **k: seen.append((r, weigh)) or sums(r, weigh, *a, **k))
+    monkeypatch.setattr(passes, "CLUSTERS", 20)
+    many = [r["value"] for r in passes.multinomial(rows, "bbl", {"ols": ("cf", "fc")}, draws=40).collect()]
+    dealt, weigh = seen[0]
+    one = dealt.dropDuplicates(["block_", "code_"]).toPandas()
+    assert one["block_"].nunique() > 2
+    assert (weigh({c: one[c].to_numpy() for c in ("block_", "code_", "w")}).sum(axis=0) == len(one)).all()
+    assert len(set(many)) == 40
+    monkeypatch.setattr(resampling, "SAMPLE_ROWS", 1)
+    monkeypatch.setattr(resampling, "sample", lambda *a, **k: pytest.fail("collected"))
+    t = Tables(spark, SF)
+    t.__dict__["enriched"] = enriched
+    assert statistics.m07_publication(t).columns == ["estimator", "low", "high", "draws"]
