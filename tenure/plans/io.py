@@ -84,10 +84,11 @@ CUSTOMERS = "k string, name string"
 CUSTOMERS_SQL = "select cast(c_custkey as varchar) as k, c_name as name from customer"
 
 
-def service(pages) -> str:
-    """A folder of pages as a service would return them: rows with their ``page``, written by the executors."""
-    path = scratch(pages.sparkSession, "pages")
-    pages.write.partitionBy("page").json(path)
+def service(pages, path: str | None = None) -> str:
+    """A folder of pages as a service would return them: rows with their ``page``, written by the executors on shelves."""
+    path = path or scratch(pages.sparkSession, "pages")
+    shelved = pages if "shelf" in pages.columns else pages.withColumn("shelf", F.col("page"))
+    shelved.write.mode("overwrite").partitionBy("shelf").json(path)
     return path
 
 
@@ -98,7 +99,8 @@ def customers(t):
 def offset_pages(t, size: int):
     """The customers in the order of their keys with the offset of their page."""
     rows = scanned(customers(t), [], [F.col("k").cast("long")], number="n")
-    return rows.withColumn("page", (F.floor((F.col("n") - 1) / size) * size).cast("string")).select("k", "name", "page")
+    number = F.floor((F.col("n") - 1) / size)
+    return rows.select("k", "name", (number * size).cast("string").alias("page"), F.floor(number / paged.SHELF).alias("shelf"))
 
 
 @query("s08_cached_requests", CUSTOMERS_SQL)
@@ -109,7 +111,7 @@ def s08(t):
     cache, n = scratch(t.spark, "cache"), t.customer.count()
     read = lambda: paged.read_offsets(t.spark, path, CUSTOMERS, n, 100, cache=cache, **PAGED)
     read()
-    pages.where("cast(page as long) % 200 = 0").write.mode("overwrite").partitionBy("page").json(path)
+    service(pages.where("cast(page as long) % 200 = 0"), path)
     return read()
 
 

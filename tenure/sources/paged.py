@@ -1,9 +1,9 @@
 """Paged sources as a Spark data source: count-checked offsets, disjoint key ranges, id lists, aggregates, cached pages.
 
 ``PagedSource`` reads pages through a fetcher: by default files ``<path>/<offset>.json`` as a paging service would
-return them, or folders that Spark wrote (``table_pages``); ``http_pages`` asks a service over HTTP, and another fetcher
-is passed by its import path. Pages are read by executors, each on its own; every page is checked against the count that
-it should have, and retried with growing pauses. Where a service tells no count, its end is searched for first, so pages
+return them, or shelves of pages that Spark wrote (``table_pages``); ``http_pages`` asks a service over HTTP, and another
+fetcher is passed by its import path. Pages are read by executors, a run of neighbouring ones a task (option ``tasks``: so many
+at most); every page is checked against the count that it should have, and retried with growing pauses. Where a service tells no count, its end is searched for first, so pages
 are read side by side then too.
 
 With a ``cache`` (a path under any scheme that Spark reads) pages are kept as a table of request, number of rows and rows.
@@ -51,17 +51,35 @@ def file_pages(path: str, page: dict) -> list[dict]:
         return json.load(f)
 
 
+#: Offset pages that lie on one shelf.
+SHELF = 100
+#: The shelf that this process read last: its files, as listed, and its rows by page.
+_last: tuple[list, dict[str, list[dict]]] = ([], {})
+
+
 def table_pages(path: str, page: dict) -> list[dict]:
-    """A page out of JSON lines that Spark wrote by ``page``, under any scheme; one that isn't there has no rows."""
+    """A page out of JSON lines that Spark wrote by ``shelf``, under any scheme; one that isn't there has no rows.
+
+    A row names its ``page``. SHELF offset pages share a shelf, others have their own, so there are fewer files than pages;
+    neighbouring pages come from one reading of their shelf, as long as its files are the same.
+    """
     from pyarrow import fs
 
+    global _last
     system, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    found = system.get_file_info(fs.FileSelector(f"{base}/page={_name(page)}", allow_not_found=True))
-    rows = []
-    for name in sorted(f.path for f in found if f.base_name.endswith(".json")):
-        with system.open_input_stream(name) as f:
-            rows += [json.loads(line) for line in f.read().decode().splitlines()]
-    return rows
+    shelf = page["offset"] // (page["limit"] * SHELF) if "offset" in page else _name(page)
+    found = system.get_file_info(fs.FileSelector(f"{base}/shelf={shelf}", allow_not_found=True))
+    files = sorted((f.path, f.size, f.mtime_ns) for f in found if f.base_name.endswith(".json"))
+    if files != _last[0]:
+        pages: dict[str, list[dict]] = {}
+        for name, *_ in files:
+            with system.open_input_stream(name) as f:
+                for line in f.read().decode().split("\n"):
+                    if line:
+                        row = json.loads(line)
+                        pages.setdefault(row.pop("page"), []).append(row)
+        _last = (files, pages)
+    return _last[1].get(_name(page), [])
 
 
 def http_pages(path: str, page: dict) -> list[dict]:
@@ -107,9 +125,11 @@ def rows_until_short(path: str, size: int, **options: str) -> int:
     return short * size + n
 
 
-class Page(InputPartition):
-    def __init__(self, page: dict, expected: int | None):
-        self.page, self.expected = page, expected
+class Run(InputPartition):
+    """Neighbouring pages, each with the rows that it should have."""
+
+    def __init__(self, pages: list[tuple[dict, int | None]]):
+        self.pages = pages
 
 
 def _request(path: str, page: dict, columns: list[str]) -> str:
@@ -120,40 +140,54 @@ class PagedReader(DataSourceReader):
     def __init__(self, schema, options: dict):
         self.schema, self.options = schema, options
 
-    def partitions(self) -> list[Page]:
+    def __getstate__(self) -> dict:
+        """Tasks get their own pages, not the lists that all pages were planned from."""
+        return {"schema": self.schema, "options": {k: v for k, v in self.options.items() if k not in ("requests", "ids", "where", "ranges")}}
+
+    def pages(self) -> list[tuple[dict, int | None]]:
         o = self.options
         if "requests" in o:  # chosen pages, each with the rows that it should have
-            return [Page(p, n) for p, n in json.loads(o["requests"])]
+            return [(p, n) for p, n in json.loads(o["requests"])]
         size = int(o.get("pagesize", "50000"))
         if "ids" in o:
             ids = json.loads(o["ids"])
-            return [Page({"ids": ids[i : i + size], "index": n}, None) for n, i in enumerate(range(0, len(ids), size))]
+            return [({"ids": ids[i : i + size], "index": n}, None) for n, i in enumerate(range(0, len(ids), size))]
         if "where" in o:  # aggregates that the service computes, one for each filter
-            return [Page({"where": w, "index": n}, None) for n, w in enumerate(json.loads(o["where"]))]
+            return [({"where": w, "index": n}, None) for n, w in enumerate(json.loads(o["where"]))]
         if "ranges" in o:  # disjoint keys, so a key that straddles pages loses no row
-            return [Page({"after": a, "upto": b}, None) for a, b in json.loads(o["ranges"])]
+            return [({"after": a, "upto": b}, None) for a, b in json.loads(o["ranges"])]
         total = int(o["count"])
-        return [Page({"offset": i, "limit": size}, min(size, total - i)) for i in range(0, total, size)]
+        return [({"offset": i, "limit": size}, min(size, total - i)) for i in range(0, total, size)]
+
+    def partitions(self) -> list[Run]:
+        pages = self.pages()
+        each = max(1, -(-len(pages) // int(self.options.get("tasks", "200"))))
+        return [Run(pages[i : i + each]) for i in range(0, len(pages), each)]
+
+    def read(self, partition: Run) -> Iterator[tuple]:
+        if partition is not None:  # Spark's stand-in for no pages at all
+            for page, expected in partition.pages:
+                yield from self._page(page, expected)
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def _page(self, page: dict, expected: int | None) -> Iterator[tuple]:
         fetch, pause = fetcher_of(self.options), float(self.options.get("pause", "0.5"))
-        rows = retried(fetch, self.options["path"], partition.page, pause=pause)
+        rows = retried(fetch, self.options["path"], page, pause=pause)
         limit = int(self.options.get("truncatedat", "50000"))
-        if partition.expected is not None and len(rows) != partition.expected:
-            raise PageError(f"{partition.page}: {len(rows)} rows, counted {partition.expected}")
-        if "ids" in partition.page:
+        if expected is not None and len(rows) != expected:
+            raise PageError(f"{page}: {len(rows)} rows, counted {expected}")
+        if "ids" in page:
             if len(rows) >= limit:
-                raise PageError(f"{partition.page['index']}: {len(rows)} rows, the service may have cut them")
-            wanted, key = set(partition.page["ids"]), self.options["key"]
+                raise PageError(f"{page['index']}: {len(rows)} rows, the service may have cut them")
+            wanted, key = set(page["ids"]), self.options["key"]
             if extra := {r[key] for r in rows} - wanted:
                 raise PageError(f"rows of keys that weren't asked for: {sorted(extra)[:3]}")
-        if "where" in partition.page:  # an aggregate's rows carry the filter that they answer
-            rows = [r | partition.page["where"] for r in rows]
+        if "where" in page:  # an aggregate's rows carry the filter that they answer
+            rows = [r | page["where"] for r in rows]
         whole = "columns" in self.options  # the page as one row of a cache
         names = json.loads(self.options["columns"]) if whole else [f.name for f in self.schema.fields]
         texts = [tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows]
         if whole:
-            yield _request(self.options["path"], partition.page, names), len(texts), [list(t) for t in texts]
+            yield _request(self.options["path"], page, names), len(texts), [list(t) for t in texts]
         else:
             yield from texts
 
@@ -192,7 +226,7 @@ def _load(spark: SparkSession, schema: str, cache: str | None = None, **options:
     if cache is None:
         return source.schema(schema).load()
     columns = spark.createDataFrame([], schema).columns
-    pages = {_request(options["path"], p.page, columns): (p.page, p.expected) for p in PagedReader(None, options).partitions()}
+    pages = {_request(options["path"], page, columns): (page, n) for page, n in PagedReader(None, options).pages()}
     wanted = spark.createDataFrame([(r, n) for r, (_, n) in pages.items()], "request string, expected int")
     known = {r.request for r in _held(spark, cache, wanted).select("request").collect()}  # requests that were planned here
     if lacking := [pages[r] for r in pages if r not in known]:

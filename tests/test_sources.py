@@ -177,3 +177,23 @@ def test_interval_join_over_streams(spark, tmp_path):
     q = joined.writeStream.format("memory").queryName("linked").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("linked").count() == 2
+
+
+def test_pages_are_read_by_runs_from_shelves(spark, tmp_path, monkeypatch):
+    """Many small pages make few files and tasks; tasks get their pages alone; a shelf that is written anew is read anew."""
+    import pickle
+
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("k"), (F.floor(F.col("id") / 2) * 2).cast("string").alias("page"))
+    shelved = rows.withColumn("shelf", F.floor(F.col("page").cast("long") / (2 * paged.SHELF)))
+    shelved.coalesce(1).write.partitionBy("shelf").json(str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").glob("*/*.json"))) == 5
+    options = {"fetcher": "tenure.sources.paged:table_pages"}
+    got = paged.read_until_short(spark, str(tmp_path / "p"), "k string", 2, tasks="7", **options)
+    assert sorted(int(r.k) for r in got.collect()) == list(range(1000)) and got.rdd.getNumPartitions() == 7
+    requests = json.dumps([[{"offset": i, "limit": 2}, 2] for i in range(0, 1000, 2)])
+    reader = paged.PagedReader(None, {"path": "p", "requests": requests})
+    assert len(reader.partitions()) <= 200 and len(reader.pages()) == 500 and "requests" not in pickle.loads(pickle.dumps(reader)).options
+    page = {"offset": 4, "limit": 2}
+    assert [r["k"] for r in paged.table_pages(str(tmp_path / "p"), page)] == ["4", "5"]
+    shelved.where("page % 8 = 0").write.mode("overwrite").partitionBy("shelf").json(str(tmp_path / "p"))
+    assert paged.table_pages(str(tmp_path / "p"), page) == []
