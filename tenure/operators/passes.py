@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .estimation import Fit, contrast_entries, inverse, solve, solved
+from .estimation import Fit, _products, contrast_entries, inverse, solve, solved
 from .resampling import HUBER, TRIMS, half
 from .search import Found, search, slices
 from .tables import written
@@ -49,20 +49,6 @@ def rows_of(pairs: DataFrame, area: str, cluster: str, *, keep: list[str] | None
     return rows if rows.count() > cores * MANY else written(rows.repartitionByRange(cores, design).sortWithinPartitions(design), "design")
 
 
-def _products(offsets: np.ndarray, code: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, product) of every unordered pair of a row's entries; the key holds both codes, the smaller first."""
-    out, lengths = [], np.diff(offsets)
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        places = offsets[at][:, None] + np.arange(n)
-        i, j = np.triu_indices(n)
-        a, b = code[places[:, i]], code[places[:, j]]
-        twice = np.where((a == b) & (i != j), 2.0, 1.0)
-        key = np.minimum(a, b).astype(np.int64) << 24 | np.maximum(a, b)
-        out.append((np.repeat(at, len(i)), key.ravel(), (v[places[:, i]] * v[places[:, j]] * twice).ravel()))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
 #: Coefficients by column: a number, or one a draw.
 Coefficients = dict[str, float] | dict[str, np.ndarray]
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import measures
 from tenure.operators import linkage, pairing
+from tenure.operators.tables import written
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
 HOLD = 180
@@ -89,6 +90,11 @@ class Tables:
         y = measures.log_growth(p.price_a, p.price_z)
         return p.withColumns({"y": y, "arm": measures.arm(p.financed_base_a, p.financed_base_z), "cf": cf, "fc": fc})
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """``enriched`` written down, for what reads the pairs more than once."""
+        return written(self.enriched, "enriched")
+
 
 ENRICHED_SQL = """select *, ln(price_z / price_a) as y, concat(case when financed_base_a = 1 then 'f' else 'c' end, case when financed_base_z = 1 then 'f' else 'c' end) as arm,
     cast(financed_base_a = 0 and financed_base_z = 1 as integer) as cf, cast(financed_base_a = 1 and financed_base_z = 0 as integer) as fc from pairs"""

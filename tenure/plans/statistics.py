@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tenure.functions.measures import quarter_index, trend_years
 from tenure.operators import density, estimation, linkage, passes, relabel, resampling
 
+from tenure.operators.tables import written
+
 from .registry import Tables, query
 
 SUMMARY = ("pairs", "clusters", "cf", "fc", "nuisance_columns", "pi_joint", "se_joint", "pi_residual", "se_residual", "information_fraction")
@@ -161,9 +163,9 @@ def m17(t):
 def m18(t):
     """Scores' covariance over pairs that share a parcel or an end's quarter."""
     entries = estimation.contrast_entries("borough")
-    fit = estimation.solve(estimation.gram(t.enriched, entries), ["cf", "fc"])
-    ends = t.enriched.withColumns({"qa": quarter_index(F.col("date_a")), "qz": quarter_index(F.col("date_z"))})
-    rows = estimation.scores(ends, entries, fit, ["bbl", "qa", "qz"])
+    fit = estimation.solve(estimation.gram(t.kept, entries), ["cf", "fc"])
+    ends = t.kept.withColumns({"qa": quarter_index(F.col("date_a")), "qz": quarter_index(F.col("date_z"))})
+    rows = written(estimation.scores(ends, entries, fit, ["bbl", "qa", "qz"]), "scores")  # read for each kind of group
     cov = estimation.union_covariance(rows, "qa", "qz", "bbl", ["s0", "s1"])
     return _one(t, [{"i": i, "j": j, "covariance": cov[i, j]} for i in range(2) for j in range(2)])
 
@@ -171,12 +173,12 @@ def m18(t):
 @query("m19_m20_market_model")
 def m20(t):
     """Four targets with trends as nuisance, tested on the nodes of the calendar."""
-    p = t.enriched
+    p = t.kept
     slope = {f"slope_{s}": F.col(f"financed_base_{s}") * trend_years(F.col(f"date_{s}"), "1998-01-01") for s in "az"}
     entries = estimation.contrast_entries("borough", extra=slope)
     fit = estimation.solve(estimation.gram(p, entries), ["cf", "fc", *slope])
     ends = p.withColumns({"qa": quarter_index(F.col("date_a")), "qz": quarter_index(F.col("date_z"))})
-    rows = estimation.scores(ends, entries, fit, ["bbl", "qa", "qz"])
+    rows = written(estimation.scores(ends, entries, fit, ["bbl", "qa", "qz"]), "scores")  # read for each kind of group
     cov = estimation.union_covariance(rows, "qa", "qz", "bbl", [f"s{i}" for i in range(4)])
     nodes = ends.select("qa").union(ends.select("qz")).distinct().count()
     d = estimation.diagnostics(fit.beta, cov, nodes - 1)
@@ -396,6 +398,6 @@ def m35(t):
     rows = []
     for w in ("strict", "base", "wide"):
         cf, fc = switched(F.col(f"financed_{w}_a"), F.col(f"financed_{w}_z"))
-        result, _ = _contrast(t, t.enriched.withColumns({"cf": cf, "fc": fc}))
+        result, _ = _contrast(t, t.kept.withColumns({"cf": cf, "fc": fc}))
         rows.append({"window": w, **{k: result[k] for k in ("cf", "fc", "pi_joint", "se_joint")}})
     return _one(t, rows)

@@ -109,3 +109,40 @@ def test_multinomial_draws_of_any_number_of_pairs(spark, enriched, monkeypatch):
     t = Tables(spark, SF)
     t.__dict__["enriched"] = enriched
     assert statistics.m07_publication(t).columns == ["estimator", "low", "high", "draws"]
+
+
+
+
+def test_products_are_added_up_in_tasks(spark, enriched, monkeypatch):
+    """Gram sums, with nulls and blocks, as the exploded rows give them, without exploding a row."""
+    from tenure.operators import estimation
+
+    rows = enriched.limit(200).withColumn("w", F.when(F.col("sale_id_z") % 7 > 0, F.col("sale_id_z") % 5)).withColumn("y", F.when(F.col("sale_id_z") % 3 > 0, F.col("y")))
+    rows, entries = rows.withColumn("zipcode", F.when(F.col("sale_id_z") % 4 > 0, F.col("zipcode"))).localCheckpoint(), estimation.contrast_entries("borough")
+    monkeypatch.setattr(estimation, "HELD", 50)
+    for block in (None, "zipcode"):
+        got = estimation.gram(rows, entries, F.col("w"), block)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        own = ["block"] if block else []
+        flat = rows.select(entries.alias("x"), "w", F.col("zipcode").alias("block")).select("*", F.explode("x").alias("a")).select("*", F.explode("x").alias("b")).where("a.k <= b.k")
+        want = flat.groupBy(*own, F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.expr("a.v * b.v * w")).alias("s")).collect()
+        of = lambda rs: {tuple(r[c] for c in (*own, "i", "j")): r["s"] for r in rs}
+        assert of(got.collect()).keys() == of(want).keys()
+        assert of(got.collect()) == pytest.approx(of(want), abs=1e-9)
+
+
+def test_pairs_are_made_once(spark, monkeypatch):
+    """m18, m20, m35 and m24 read the pairs several times: they are written down, and draws copy no pair."""
+    from tenure.plans import equations, registry, statistics
+
+    made = []
+    monkeypatch.setattr(registry, "written", lambda df, name: made.append(name) or written(df, name))
+    from tenure.operators.tables import written
+
+    for f in (statistics.m18, statistics.m20, statistics.m35, equations.m35, equations.m24):
+        made.clear()
+        out = f(Tables(spark, SF))
+        assert made == ["enriched"]
+        if f is equations.m24:
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert [line for line in plan.splitlines() if "Join" in line and "shuffle_hash" in line and "bbl" not in line]
