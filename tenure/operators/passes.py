@@ -168,9 +168,7 @@ def _sums(
 def _one(rows: DataFrame, targets: list[str], weigh, coefficients: dict[str, float] | None = None) -> tuple[Fit, dict[str, float]]:
     """The fit by one pass, and all coefficients by name."""
     fit = solve(_sums(rows, weigh, 1, coefficients).select("i", "j", F.col("s0").alias("s")), targets)
-    nuisance = fit.of_y - fit.of_targets @ fit.beta
-    named = dict(zip(fit.nuisance, nuisance.tolist(), strict=True)) | {f"t:{n}": float(b) for n, b in zip(targets, fit.beta, strict=True)}
-    return fit, named
+    return fit, _named(fit, targets)
 
 
 def least_squares(rows: DataFrame, targets: list[str]) -> tuple[Fit, dict[str, float]]:
@@ -193,11 +191,16 @@ def residuals(rows: DataFrame, coefficients: dict[str, float], name: str = "e")
     return rows.mapInArrow(left, schema)
 
 
-def quantile(rows: DataFrame, value: str, weight: str, share: float) -> float:
-    """The quantile of the midpoint-weighted distribution, by interpolation, without ordering all values; see ``search``."""
+def quantiles(rows: DataFrame, value: str, weight: str, shares: list[float]) -> list[float]:
+    """Quantiles of the midpoint-weighted distribution, by interpolation, without ordering all values; see ``search``."""
     columns = rows.select(F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).where("v is not null and w > 0")
-    look = lambda b: (b.column(0).to_numpy()[:, None], b.column(1).to_numpy()[:, None])
-    return search(columns, look, lambda total: share * total, 1)[0].quantile()
+    n = len(shares)
+    look = lambda b: (np.tile(b.column(0).to_numpy()[:, None], (1, n)), np.tile(b.column(1).to_numpy()[:, None], (1, n)))
+    return [f.quantile() for f in search(columns, look, lambda total: np.array(shares) * total, n)]
+
+
+def quantile(rows: DataFrame, value: str, weight: str, share: float) -> float:
+    return quantiles(rows, value, weight, [share])[0]
 
 
 def mad_scale(rows: DataFrame, value: str, weight: str = "w") -> float:
@@ -205,18 +208,100 @@ def mad_scale(rows: DataFrame, value: str, weight: str = "w") -> float:
     return quantile(rows.withColumn("__far", F.abs(F.col(value) - middle)), "__far", weight, 0.5) / 0.6745
 
 
-def huber(rows: DataFrame, targets: list[str], *, tolerance: float = 1e-7, most: int = 1000) -> tuple[np.ndarray, dict[str, float], float]:
-    """Huber's estimator: a pass a reweighting; the scale is set from least squares and once more from the result.
+#: Outcomes of one design that stand in one row of a table of runs.
+RUN = 256
+
 
-    Coefficients of the targets, all coefficients, and the scale of the last weights.
+def runs_of(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows as runs of one design: ``k`` (codes of its columns among ``names``), ``v`` and the arrays ``y`` and ``w``, RUN rows at most.
+
+    What a fit that reweighs reads in every pass: numbers without names, a design once.
     """
-    fit, named = least_squares(rows, targets)
-    beta = None
+    at = {n: i for i, n in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            own = _seen(b)
+            order = np.argsort(own["design"], kind="stable")
+            design = own["design"][order]
+            new = np.flatnonzero(np.diff(design, prepend=-1))
+            place = np.arange(len(design)) - np.repeat(new, np.diff(np.append(new, len(design))))
+            starts = np.flatnonzero(place % RUN == 0)
+            first = own["first"][design[starts]]
+            lengths = np.diff(own["offsets"])[first]
+            entry = np.repeat(own["offsets"][first] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            code = np.array([at.get(n, -1) for n in own["names"]])[own["codes"][entry]]
+            plain = code >= 0
+            ends = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(first)), lengths)[plain], minlength=len(first)))).astype(np.int32)
+            many = np.append(starts, len(design)).astype(np.int32)
+            lists = [(ends, code[plain].astype(np.int32)), (ends, own["v"][entry][plain]), (many, own["y"][order]), (many, own["w"][order])]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(o, pa.array(x)) for o, x in lists], names=["k", "v", "y", "w"])
+
+    return written(rows.select("x", "c", "w", "g").mapInArrow(run, "k array<int>, v array<double>, y array<double>, w array<double>"), "runs")
+
+
+def _left(batch: pa.RecordBatch, b: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(offsets, values) of the columns of a batch of runs, and what the coefficients leave of each outcome."""
+    lists = [(c.offsets.to_numpy() - c.offsets[0].as_py(), c.flatten().to_numpy(zero_copy_only=False)) for c in batch.columns]
+    (entry, k), (_, v), (many, y), _ = lists
+    fitted = np.bincount(np.repeat(np.arange(len(batch)), np.diff(entry)), v * b[k], len(batch))
+    return lists, y - np.repeat(fitted, np.diff(many))
+
+
+def _reweighed(runs: DataFrame, names: list[str], b: np.ndarray, limit: float) -> DataFrame:
+    """(i, j, s): sums of products weighed down by the residuals, without the outcome's square."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(names)  # the outcome's code
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ((entry, k), (_, v), (many, y), (_, w)), e = _left(batch, b)
+            down = w * np.minimum(1.0, limit / np.maximum(np.abs(e), 1e-12))
+            weight, outcome = np.add.reduceat(down, many[:-1]), np.add.reduceat(down * y, many[:-1])
+            row, key, product = _products(entry, k, v)
+            own = np.repeat(np.arange(len(batch)), np.diff(entry))
+            keys, at = np.unique(np.concatenate([keys, key, k.astype(np.int64) << 24 | n]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([sums, product * weight[row], v * outcome[own]]), len(keys))
+        spelt = [*names, "y"]
+        pairs = [sorted((spelt[x >> 24], spelt[x & 0xFFFFFF])) for x in keys.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(sums)], names=["i", "j", "s"])
+
+    return runs.mapInArrow(added, "i string, j string, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def _named(fit: Fit, targets: list[str]) -> dict[str, float]:
+    nuisance = fit.of_y - fit.of_targets @ fit.beta
+    return dict(zip(fit.nuisance, nuisance.tolist(), strict=True)) | {f"t:{n}": float(b) for n, b in zip(targets, fit.beta, strict=True)}
+
+
+def huber(
+    rows: DataFrame, targets: list[str], *, tolerance: float = 1e-7, most: int = 1000, start: tuple[Fit, dict[str, float]] | None = None
+) -> tuple[np.ndarray, dict[str, float], float]:
+    """Huber's estimator: a pass a reweighting; the scale is set from least squares (``start``, if known) and once more from the result.
+
+    Coefficients of the targets, all coefficients, and the scale of the last weights. Passes read ``runs_of`` the rows, and a scale's
+    searches the residuals as written down.
+    """
+    fit, named = start or least_squares(rows, targets)
+    names = sorted(named)
+    runs = runs_of(rows, names)
     for _ in range(2):
-        scale, beta = mad_scale(residuals(rows, named), "e"), None
+        b = np.array([named[n] for n in names])
+
+        def left(batches: Iterator[pa.RecordBatch], b: np.ndarray = b) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    lists, e = _left(batch, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(lists[3][1])], names=["e", "w"])
+
+        scale, beta = mad_scale(written(runs.mapInArrow(left, "e double, w double"), "residuals"), "e"), None
         for _ in range(most):
-            down = lambda own, scale=scale: own["w"] * np.minimum(1.0, HUBER * scale / np.maximum(np.abs(own["e"]), 1e-12))
-            fit, named = _one(rows, targets, down, named)
+            fit = solve(_reweighed(runs, names, np.array([named[n] for n in names]), HUBER * scale), targets)
+            named = _named(fit, targets)
             if beta is not None and np.abs(fit.beta - beta).max() < tolerance:
                 break
             beta = fit.beta
@@ -226,13 +311,14 @@ def huber(rows: DataFrame, targets: list[str], *, tolerance: float = 1e-7, most:
     return beta, named, scale
 
 
-def fit_all(rows: DataFrame) -> dict[str, float]:
-    """Least squares, Huber and both trims of the contrast."""
+def fit_all(rows: DataFrame, robust: np.ndarray | None = None) -> dict[str, float]:
+    """Least squares, Huber (``robust``, if known) and both trims of the contrast."""
     targets = ["cf", "fc"]
-    out = {"ols": half(least_squares(rows, targets)[0].beta), "huber": half(huber(rows, targets)[0])}
-    for name, (low, high) in TRIMS.items():
-        a, b = (quantile(rows, "g", "w", s / 100) for s in (low, high))
-        out[name] = half(least_squares(rows.where(F.col("g").between(a, b)), targets)[0].beta)
+    start = least_squares(rows, targets)
+    out = {"ols": half(start[0].beta), "huber": half(huber(rows, targets, start=start)[0] if robust is None else robust)}
+    cuts = quantiles(rows, "g", "w", [s / 100 for pair in TRIMS.values() for s in pair])
+    for k, name in enumerate(TRIMS):
+        out[name] = half(least_squares(rows.where(F.col("g").between(cuts[2 * k], cuts[2 * k + 1])), targets)[0].beta)
     return out
 
 

@@ -139,12 +139,12 @@ def m15(t):
 def m15_report(t):
     """By arm: pairs, the share that Huber's estimator down-weights and the share of growth above 0.7; and every point estimate."""
     rows = _rows(t, keep=["arm", "y"])
-    _, named, scale = passes.huber(rows, ["cf", "fc"])
+    beta, named, scale = passes.huber(rows, ["cf", "fc"])
     arm = F.when(F.col("arm").isin("cf", "fc"), F.col("arm")).otherwise("same").alias("arm")
     by = passes.residuals(rows, named).groupBy(arm).agg(
         F.count("*").alias("pairs"), F.avg((F.abs("e") > resampling.HUBER * scale).cast("int")).alias("down_weighted"), F.avg((F.col("y") > 0.7).cast("int")).alias("tail")
     )
-    point = passes.fit_all(rows)
+    point = passes.fit_all(rows, beta)
     return by.withColumns({k: F.lit(v) for k, v in point.items()})
 
 

@@ -146,3 +146,22 @@ def test_pairs_are_made_once(spark, monkeypatch):
         if f is equations.m24:
             plan = out._jdf.queryExecution().optimizedPlan().toString()
             assert [line for line in plan.splitlines() if "Join" in line and "shuffle_hash" in line and "bbl" not in line]
+
+
+def test_reweighing_reads_runs_of_numbers(spark, enriched, monkeypatch):
+    """Passes of Huber's estimator read a row a run, not the rows with their names; rows without an order and with weights give the same."""
+    rows = passes.rows_of(enriched, "borough", "bbl", weight=1 + F.col("sale_id_z") % 3)
+    monkeypatch.setattr(passes, "RUN", 3)
+    runs = passes.runs_of(rows, ["t:cf"])
+    n = rows.count()
+    assert max(len(r.y) for r in runs.collect()) == 3 and sum(len(r.y) for r in runs.collect()) == n
+    weighed, sums = [], passes._sums
+    monkeypatch.setattr(passes, "_sums", lambda *a, **k: weighed.append(a) or sums(*a, **k))
+    beta, named, scale = passes.huber(rows.orderBy(F.rand(1)), ["cf", "fc"])
+    assert len(weighed) == 1  # the start
+    down = lambda own: own["w"] * np.minimum(1.0, passes.HUBER * scale / np.maximum(np.abs(own["e"]), 1e-12))
+    again, _ = passes._one(rows, ["cf", "fc"], down, named)
+    assert again.beta == pytest.approx(beta, abs=1e-7)
+    weighed.clear()
+    passes.fit_all(rows, beta)
+    assert len(weighed) == 3
