@@ -117,7 +117,7 @@ def m35(t):
     out = None
     for w in ("strict", "base", "wide"):
         cf, fc = switched(F.col(f"financed_{w}_a"), F.col(f"financed_{w}_z"))
-        rows = _rows(t, t.enriched.withColumns({"cf": cf, "fc": fc}))
+        rows = _rows(t, t.kept.withColumns({"cf": cf, "fc": fc}))
         own = scores(rows, passes.least_squares(rows, TARGETS)[1]).select(F.lit(w).alias("win"), "k", "score")
         out = own if out is None else out.unionByName(own)
     return out
@@ -155,20 +155,22 @@ def m23(t):
     select cast(d as integer) as draw, round((avg(y) filter (arm = 'cf') - avg(y) filter (arm = 'fc')) / 2, 6) as half_difference, count(*) as n from e group by 1""")
 def m24(t):
     """Parcels drawn with replacement, their pairs as often as they come, 250 times; draws by a hash of draw and place."""
-    p = t.enriched.select("bbl", "arm", "y")
+    p = t.kept.select("bbl", "arm", "y")
     # numbers in the order of the keys from a range sort's parts, without one task for all
     ranged = written(p.select("bbl").distinct().repartitionByRange("bbl").sortWithinPartitions("bbl").select("bbl", F.monotonically_increasing_id().alias("m")), "numbers")
     parts = sorted(ranged.groupBy(F.shiftright("m", 33).alias("part")).count().collect())  # a row a task
     before = np.concatenate([[0], np.cumsum([r["count"] for r in parts])]).tolist()
     offset = t.spark.createDataFrame([(r["part"], int(b)) for r, b in zip(parts, before, strict=False)], "part long, before long")
     k = ranged.join(F.broadcast(offset), F.shiftright("m", 33) == F.col("part")).select("bbl", (F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("i"))
+    # a parcel's sums meet the draws of it, dealt by its number: no pair is copied for a draw
+    side = lambda a, c: F.coalesce(F.sum(F.when(F.col("arm") == a, c)), F.lit(0))
+    arms = {f"{s}_{a}": side(a, c) for a in ("cf", "fc") for s, c in (("y", F.col("y")), ("n", F.when(F.col("y").isNotNull(), 1)))}
+    parcels = k.join(p.groupBy("bbl").agg(*[c.alias(n) for n, c in arms.items()], F.count("*").alias("n")), "bbl").drop("bbl")
     slots = k.select("i", F.explode(F.sequence(F.lit(0), F.lit(249))).alias("draw"))
     drawn = F.floor(uniform(F.concat_ws("|", "draw", "i"), 24) * F.lit(float(before[-1]))).alias("i")
-    times = slots.select("draw", drawn).groupBy("draw", "i").agg(F.count("*").alias("times"))
-    rows = times.join(k, "i").join(p, "bbl")
-    side = lambda a, c: F.sum(F.when(F.col("arm") == a, F.col("times") * c))
-    mean = lambda a: side(a, F.col("y")) / side(a, F.lit(1))
-    return rows.groupBy("draw").agg(F.round((mean("cf") - mean("fc")) / 2, 6).alias("half_difference"), F.sum("times").alias("n"))
+    rows = slots.select("draw", drawn).join(parcels.hint("shuffle_hash"), "i")
+    mean = lambda a: F.try_divide(F.sum(f"y_{a}"), F.sum(f"n_{a}"))
+    return rows.groupBy("draw").agg(F.round((mean("cf") - mean("fc")) / 2, 6).alias("half_difference"), F.sum("n").alias("n"))
 
 
 @query("m25_subset_of_index")
