@@ -166,7 +166,9 @@ def m24(t):
     side = lambda a, c: F.coalesce(F.sum(F.when(F.col("arm") == a, c)), F.lit(0))
     arms = {f"{s}_{a}": side(a, c) for a in ("cf", "fc") for s, c in (("y", F.col("y")), ("n", F.when(F.col("y").isNotNull(), 1)))}
     parcels = k.join(p.groupBy("bbl").agg(*[c.alias(n) for n, c in arms.items()], F.count("*").alias("n")), "bbl").drop("bbl")
-    slots = k.select("i", F.explode(F.sequence(F.lit(0), F.lit(249))).alias("draw"))
+    # numbers are few bytes and lie in few files: hashes, 250 a number, are dealt over all cores
+    dealt = k.select("i").repartition(max(t.spark.sparkContext.defaultParallelism, before[-1] * 250 // 4_000_000))
+    slots = dealt.select("i", F.explode(F.sequence(F.lit(0), F.lit(249))).alias("draw"))
     drawn = F.floor(uniform(F.concat_ws("|", "draw", "i"), 24) * F.lit(float(before[-1]))).alias("i")
     rows = slots.select("draw", drawn).join(parcels.hint("shuffle_hash"), "i")
     mean = lambda a: F.try_divide(F.sum(f"y_{a}"), F.sum(f"n_{a}"))
