@@ -111,8 +111,6 @@ def test_multinomial_draws_of_any_number_of_pairs(spark, enriched, monkeypatch):
     assert statistics.m07_publication(t).columns == ["estimator", "low", "high", "draws"]
 
 
-
-
 def test_products_are_added_up_in_tasks(spark, enriched, monkeypatch):
     """Gram sums, with nulls and blocks, as the exploded rows give them, without exploding a row."""
     from tenure.operators import estimation
