@@ -43,10 +43,16 @@ def rows_of(pairs: DataFrame, area: str, cluster: str, *, keep: list[str] | None
     w = F.lit(1.0) if weight is None else weight.cast("double")
     entries = contrast_entries(area, **design).alias("x")
     own = pairs.select(entries, F.xxhash64(cluster).alias("c"), w.alias("w"), (F.col("y") / years).alias("g"), *(keep or []))
+    rows = written(own, "pairs")
+    return dealt(rows, -(-rows.count() // MANY))
+
+
+def dealt(rows: DataFrame, least: int = 1) -> DataFrame:
+    """The rows by ranges of designs, a range a core and ``least`` at least, written down; the rows of one design may be many, so their clusters
+    are dealt too."""
     design = F.xxhash64(F.filter("x", lambda e: e["k"] != "y").cast("string"))
-    rows = written(own.sortWithinPartitions(design), "design")
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.count() > cores * MANY else written(rows.repartitionByRange(cores, design).sortWithinPartitions(design), "design")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, least)
+    return written(rows.repartitionByRange(tasks, design, "c").sortWithinPartitions(design), "design")
 
 
 #: Coefficients by column: a number, or one a draw.
@@ -80,16 +86,22 @@ def _seen(batch: pa.RecordBatch, coefficients: Coefficients | None = None, mask:
     own |= {"names": spelt.dictionary.to_pylist(), "codes": spelt.indices.to_numpy(), "v": entries.field(1).to_numpy(zero_copy_only=False), "offsets": offsets - offsets[0]}
     own |= _designs(own, mask)
     if coefficients is not None:
-        width = next((np.shape(b) for b in coefficients.values()), ())
-        by = np.array([np.zeros(width) if n == "y" else coefficients.get(n, np.zeros(width)) for n in own["names"]]).reshape(len(own["names"]), *width)
-        fitted = np.zeros((len(own["first"]), *width))
-        for d, i in enumerate(own["first"]):
-            at = slice(own["offsets"][i], own["offsets"][i + 1])
-            fitted[d] = own["v"][at] @ by[own["codes"][at]]
-        own["e"] = (own["y"] - fitted.T[..., own["design"]]).T if not width else own["y"][:, None] - fitted[own["design"]]
+        fitted = _fitted(own, coefficients)
+        own["e"] = own["y"] - fitted[own["design"]] if fitted.ndim == 1 else own["y"][:, None] - fitted[own["design"]]
     return own
 
 
+def _fitted(own: dict[str, np.ndarray], coefficients: Coefficients) -> np.ndarray:
+    """What the coefficients make of each design: a number, or one a draw."""
+    width = next((np.shape(b) for b in coefficients.values()), ())
+    by = np.array([np.zeros(width) if n == "y" else coefficients.get(n, np.zeros(width)) for n in own["names"]]).reshape(len(own["names"]), *width)
+    fitted = np.zeros((len(own["first"]), *width))
+    for d, i in enumerate(own["first"]):
+        at = slice(own["offsets"][i], own["offsets"][i + 1])
+        fitted[d] = own["v"][at] @ by[own["codes"][at]]
+    return fitted
+
+
 def by_design(own: dict[str, np.ndarray], weights: np.ndarray, outcome: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sums (designs x columns) of the weights and of the weighted outcome, or of what stands for it."""
     many, n = len(own["first"]), len(weights)
@@ -445,8 +457,13 @@ def drawn(draws: np.ndarray, seed: int) -> Callable[[dict[str, np.ndarray]], np.
     return lambda own: poisson(own["c"], draws, seed) * own["w"][:, None]
 
 
-def fits(rows: DataFrame, targets: list[str], weigh, width: int, coefficients: Coefficients | None = None) -> dict[str, np.ndarray]:
-    """Coefficients by column, one a draw, of ``width`` weighted fits from one pass; systems are solved in tasks."""
+def fits(
+    rows: DataFrame, targets: list[str], weigh, width: int, coefficients: Coefficients | None = None, *, plus: DataFrame | None = None
+) -> dict[str, np.ndarray]:
+    """Coefficients by column, one a draw, of ``width`` weighted fits from one pass; systems are solved in tasks.
+
+    ``plus`` are the sums of further rows, as ``_sums`` gives them.
+    """
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -457,6 +474,8 @@ def fits(rows: DataFrame, targets: list[str], weigh, width: int, coefficients: C
         return pd.DataFrame(out, columns=["draw", "names", "b"])
 
     sums = _sums(rows, weigh, width, coefficients)
+    if plus is not None:
+        sums = sums.unionByName(plus).groupBy("i", "j", "block").agg(*[F.sum(c).alias(c) for c in sums.columns[3:]])
     out: dict[str, np.ndarray] = {}
     for r in sums.groupBy("block").applyInPandas(fitted, "draw int, names array<string>, b array<double>").collect():  # draws x columns
         for name, b in zip(r["names"], r["b"], strict=True):
@@ -464,52 +483,196 @@ def fits(rows: DataFrame, targets: list[str], weigh, width: int, coefficients: C
     return out
 
 
-def draw_quantiles(rows: DataFrame, value, weigh, shares: list[float], width: int, coefficients: Coefficients | None = None) -> np.ndarray:
-    """Quantiles (shares x draws) of ``value`` of a batch (rows x draws, or x 1) under the draws' weights."""
+#: What lies beyond the spread of a draw's rank, in standard errors, as quantiles are looked for; all rows in the end.
+REACH = (5, 20, np.inf)
+#: By how much of itself the range of the draws' fitted values is made wider, as Huber's estimator moves on.
+WIDER = 0.5
+#: Newton's steps in which a draw has to rest; what doesn't is reweighed.
+STEPS = 12
 
-    def look(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        own = _seen(batch, coefficients)
-        v, w = np.broadcast_to(value(own), (len(batch), width)), weigh(own)
-        return np.tile(v, (1, len(shares))), np.tile(w, (1, len(shares)))
 
-    wanted = lambda total: np.repeat(shares, width) * total
-    return np.array([f.quantile() for f in search(rows.select("x", "c", "w", "g"), look, wanted, width * len(shares))]).reshape(len(shares), width)
+def _totals(rows: DataFrame, draws: np.ndarray, seed: int, marks: list[Column]) -> np.ndarray:
+    """Weights (marks x draws) of the rows that have each mark, added up by cluster before they are drawn."""
+    by = rows.groupBy("c").agg(*[F.sum(F.when(m, F.col("w")).otherwise(0.0)).alias(f"m{k}") for k, m in enumerate(marks)])
+    many = len(marks)
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((many, len(draws)))
+        for b in slices(batches, CELLS // (8 * len(draws))):
+            sums += np.stack([c.to_numpy() for c in b.columns[1:]]) @ poisson(b.column(0).to_numpy(), draws, seed)
+        yield pa.RecordBatch.from_pydict({"k": np.arange(sums.size, dtype=np.int32), "s": sums.ravel()})
 
+    out = np.zeros(many * len(draws))
+    for r in by.mapInArrow(given, "k int, s double").groupBy("k").agg(F.sum("s")).collect():
+        out[r[0]] = r[1]
+    return out.reshape(many, len(draws))
 
-def huber_draws(rows: DataFrame, targets: list[str], draws: np.ndarray, seed: int, *, tolerance: float = 1e-7, most: int = 1000) -> dict[str, np.ndarray]:
-    """Huber's estimator on each draw: a pass reweighs all draws that haven't settled. Coefficients by column, one a draw."""
-    named = fits(rows, targets, drawn(draws, seed), len(draws))
-    for _ in range(2):
-        weigh = drawn(draws, seed)
-        middle = draw_quantiles(rows, lambda own: own["e"], weigh, [0.5], len(draws), named)[0]
-        scale = draw_quantiles(rows, lambda own, m=middle: np.abs(own["e"] - m), weigh, [0.5], len(draws), named)[0] / 0.6745
-        left, last = np.arange(len(draws)), None
+
+def _spread(rows: DataFrame) -> float:
+    """The standard error of a draw's total, of the total: what ranks move by."""
+    by = rows.groupBy("c").agg(F.sum("w").alias("w")).agg(F.sum(F.col("w") * F.col("w")), F.sum("w")).first()
+    return float(np.sqrt(by[0]) / by[1]) if by[1] else np.inf
+
+
+def draw_quantile(
+    rows: DataFrame, value: Callable[[pa.RecordBatch], np.ndarray], low: Column, high: Column, share: float, draws: np.ndarray, seed: int, spread: float
+) -> np.ndarray:
+    """A quantile of each draw's values, which lie between ``low`` and ``high`` of a row in every draw.
+
+    Rows that lie on one side of all draws' quantiles only count by their clusters' weights; the others, a small share where rows are
+    many, are looked at for each draw. What is found is held against the bounds that were taken; if it lies beyond, they are set wider.
+    """
+    middle = (low + high) / 2
+    rows = rows.where(F.abs(middle) < float("inf"))
+
+    def look(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        c, w = (batch.column(batch.schema.names.index(n)).to_numpy() for n in "cw")
+        return value(batch), poisson(c, draws, seed) * w[:, None]
+
+    for reach in REACH:
+        apart = float(reach * spread * np.sqrt(share * (1 - share)))
+        near = rows.agg(F.percentile_approx(middle, [max(share - apart, 0.0), min(share + apart, 1.0)], 10_000), F.avg((high - low) / 2)).first()
+        if near[0] is None:
+            return np.full(len(draws), np.nan)
+        below = near[0][0] - near[1] if share > apart else -np.inf
+        above = near[0][1] + near[1] if share + apart < 1 else np.inf
+        total, before = _totals(rows, draws, seed, [F.lit(True), high < float(below)])
+        few = dealt(rows.where((high >= float(below)) & (low <= float(above))))
+        found = search(few, look, lambda _, total=total, before=before: share * total - before, len(draws))
+        sides = np.array([f.beside() for f in found])
+        if (sides[:, 0] >= below).all() and (sides[:, 1] <= above).all():
+            break
+    return np.array([f.quantile() for f in found])
+
+
+def _ranged(rows: DataFrame, coefficients: dict[str, np.ndarray], wider: float = 0.0) -> DataFrame:
+    """The rows with ``lo`` and ``hi``, the least and the largest residual in any draw; the range is made wider by a share of itself."""
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                own = _seen(b)
+                fitted = _fitted(own, coefficients)
+                low, high = fitted.min(axis=1), fitted.max(axis=1)
+                more = wider * (high - low) + 1e-9  # more than rounding
+                ends = (own["y"] - (high + more)[own["design"]], own["y"] - (low - more)[own["design"]])
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(e) for e in ends]], names=[*b.schema.names, "lo", "hi"])
+
+    rows = rows.select("x", "c", "w", "g")
+    return written(rows.mapInArrow(given, f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, lo double, hi double"), "ranged")
+
+
+def _scales(rows: DataFrame, named: dict[str, np.ndarray], draws: np.ndarray, seed: int, spread: float) -> np.ndarray:
+    """The scale of each draw's residuals by the median of their distances from their median."""
+    ranged = _ranged(rows, named)
+    low, high = F.col("lo"), F.col("hi")
+    m = draw_quantile(ranged, lambda b: _seen(b, named)["e"], low, high, 0.5, draws, seed, spread)
+    from_, to = low - float(m.max()), high - float(m.min())
+    return draw_quantile(ranged, lambda b: np.abs(_seen(b, named)["e"] - m), F.greatest(from_, -to, F.lit(0.0)), F.greatest(-from_, to), 0.5, draws, seed, spread) / 0.6745
+
+
+def _stepped(
+    rows: DataFrame, targets: list[str], named: dict[str, np.ndarray], limit: np.ndarray, draws: np.ndarray, seed: int, tolerance: float
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Huber's estimator at a fixed limit by Newton's steps, and which draws seem to rest.
+
+    A residual up to the limit counts as it is, one beyond as the limit, so rows that lie on one side of it in all draws are added up once;
+    the others are looked at in each step. Where these are most of the rows, nothing is won and no step is made.
+    """
+    weigh, width = drawn(draws, seed), len(draws)
+
+    def sure(own: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        w, side = weigh(own), own["side"][:, None]
+        return w * (side == 0), w * np.where(side == 0, own["y"][:, None], limit * side)
+
+    least, most, rest = float(limit.min()), float(limit.max()), np.zeros(width, dtype=bool)
+    side = F.when(F.greatest(-F.col("lo"), F.col("hi")) <= least, 0).when(F.col("lo") > most, 1).when(F.col("hi") < -most, -1)
+    marked = _ranged(rows, named, WIDER).withColumn("side", side)
+    share = marked.agg(F.avg(F.col("side").isNull().cast("int"))).first()[0]
+    if share is None or share > 0.5:
+        return named, rest
+    near = dealt(marked.where("side is null").drop("side"))
+    plus = written(_sums(marked.where("side is not null"), sure, width, None, keep=("side",)), "sums")
+    for _ in range(STEPS):
+        new = fits(near, targets, _step(draws, seed, limit), width, named, plus=plus)
+        rest = np.max([np.abs(new[f"t:{t}"] - named[f"t:{t}"]) for t in targets], axis=0) < tolerance
+        named = named | new
+        if rest.all():
+            break
+    return named, rest
+
+
+def huber_draws(
+    rows: DataFrame, targets: list[str], draws: np.ndarray, seed: int, *, tolerance: float = 1e-7, most: int = 1000, start: dict[str, np.ndarray] | None = None
+) -> dict[str, np.ndarray]:
+    """Huber's estimator on each draw, from least squares (``start``, if known). Coefficients by column, one a draw.
+
+    Where rows are many, the draws lie close together, and Newton's steps look at few rows again (``_stepped``). What they find is held
+    against a reweighing of all rows, which must leave it where it is. Draws that it moves are reweighed from the start until they rest: a
+    pass reweighs all draws that haven't settled.
+    """
+    named, width = start or fits(rows, targets, drawn(draws, seed), len(draws)), len(draws)
+    spread = _spread(rows)
+    for k in range(2):
+        limit = HUBER * _scales(rows, named, draws, seed, spread)
+        found = named if k else named | fits(rows, targets, _step(draws, seed, limit), width, named)
+        found, rest = _stepped(rows, targets, found, limit, draws, seed, tolerance)
+        left = np.flatnonzero(rest)
+        if len(left):
+            now = {n: b[left] for n, b in found.items()}
+            new = fits(rows, targets, _down(draws[left], seed, limit[left]), len(left), now)
+            rest[left] = np.max([np.abs(new[f"t:{t}"] - now[f"t:{t}"]) for t in targets], axis=0) < tolerance
+        named = {n: np.where(rest, found.get(n, 0.0), named.get(n, 0.0)) for n in named | found}
+        left, last = np.flatnonzero(~rest), None
         for _ in range(most):
-            now, limit = {n: b[left] for n, b in named.items()}, HUBER * scale[left]
-            down = lambda own, own_draws=draws[left], limit=limit: drawn(own_draws, seed)(own) * np.minimum(1.0, limit / np.maximum(np.abs(own["e"]), 1e-12))
-            new = fits(rows, targets, down, len(left), now)
-            for n, b in new.items():
-                named.setdefault(n, np.zeros(len(draws)))[left] = b
-            beta = np.array([new[f"t:{t}"] for t in targets])
-            rest = np.zeros(len(left), dtype=bool) if last is None else np.abs(beta - last).max(axis=0) < tolerance
-            left, last = left[~rest], beta[:, ~rest]
             if not len(left):
                 break
-        else:
+            new = fits(rows, targets, _down(draws[left], seed, limit[left]), len(left), {n: b[left] for n, b in named.items()})
+            for n, b in new.items():
+                named.setdefault(n, np.zeros(width))[left] = b
+            beta = np.array([new[f"t:{t}"] for t in targets])
+            still = np.zeros(len(left), dtype=bool) if last is None else np.abs(beta - last).max(axis=0) < tolerance
+            left, last = left[~still], beta[:, ~still]
+        if len(left):
             raise RuntimeError("Huber's reweighting did not settle")
     return named
 
 
+def _down(draws: np.ndarray, seed: int, limit: np.ndarray) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
+    """Weights of a reweighing for Huber's estimator: residuals beyond the limit weigh down."""
+    weigh = drawn(draws, seed)
+    return lambda own: weigh(own) * np.minimum(1.0, limit / np.maximum(np.abs(own["e"]), 1e-12))
+
+
+def _step(draws: np.ndarray, seed: int, limit: np.ndarray) -> Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """Weights of a step of Newton's for Huber's estimator: residuals up to the limit as they are, the others as the limit."""
+    weigh = drawn(draws, seed)
+
+    def pulled(own: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        w, inside = weigh(own), np.abs(own["e"]) <= limit
+        return w * inside, w * np.where(inside, own["y"][:, None], limit * np.sign(own["e"]))
+
+    return pulled
+
+
 def fit_all_draws(rows: DataFrame, *, draws: int = 999, seed: int = 20260909) -> DataFrame:
-    """(draw, estimator, value): least squares, Huber and both trims of the contrast, all on the same draws."""
+    """(draw, estimator, value): least squares, Huber and both trims of the contrast, all on the same draws.
+
+    Rows that no draw trims are added up once; least squares and trims add what they have of the others.
+    """
     targets, every = ["cf", "fc"], np.arange(draws)
-    weigh = drawn(every, seed)
-    found = {"ols": fits(rows, targets, weigh, draws), "huber": huber_draws(rows, targets, every, seed)}
-    cuts = draw_quantiles(rows, lambda own: own["g"][:, None], weigh, [s / 100 for pair in TRIMS.values() for s in pair], draws)
+    weigh, spread, rows = drawn(every, seed), _spread(rows), rows.select("x", "c", "w", "g")
+    own = lambda b: b.column(b.schema.names.index("g")).to_numpy()[:, None]
+    cuts = [draw_quantile(rows, own, F.col("g"), F.col("g"), s / 100, every, seed, spread) for pair in TRIMS.values() for s in pair]
+    low, high = float(np.max(cuts[::2])), float(np.min(cuts[1::2]))
+    core = F.coalesce(F.col("g").between(low, high), F.lit(False))
+    plus, others = written(_sums(rows.where(core), weigh, draws, None), "sums"), dealt(rows.where(~core))
+    found = {"ols": fits(others, targets, weigh, draws, plus=plus)}
     for k, name in enumerate(TRIMS):
         low, high = cuts[2 * k], cuts[2 * k + 1]
         inside = lambda own, low=low, high=high: weigh(own) * ((own["g"][:, None] >= low) & (own["g"][:, None] <= high))
-        found[name] = fits(rows, targets, inside, draws)
+        found[name] = fits(others, targets, inside, draws, plus=plus)
+    found["huber"] = huber_draws(rows, targets, every, seed, start=found["ols"])
     out = [(d, name, float(v)) for name, b in found.items() for d, v in enumerate(0.5 * (b["t:cf"] - b["t:fc"]))]
     return rows.sparkSession.createDataFrame(out, "draw int, estimator string, value double")
 

@@ -38,10 +38,8 @@ class Found:
     right: tuple[float, float] | None
     wanted: float
 
-    def quantile(self) -> float:
-        """Interpolated between midpoints of the rows' weights; rows of one value are taken to have equal weights."""
-        if not len(self.values):
-            return float("nan")
+    def _points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative weights and values between which quantiles are interpolated."""
         upto = self.before + np.cumsum(self.weights)
         at = np.stack([upto - self.weights + self.least / 2, upto - self.least / 2], axis=1).ravel()
         v = np.repeat(self.values, 2)
@@ -49,7 +47,19 @@ class Found:
             at, v = np.concatenate([[self.before - self.left[1] / 2], at]), np.concatenate([[self.left[0]], v])
         if self.right:
             at, v = np.concatenate([at, [upto[-1] + self.right[1] / 2]]), np.concatenate([v, [self.right[0]]])
-        return float(np.interp(self.wanted, at, v))
+        return at, v
+
+    def quantile(self) -> float:
+        """Interpolated between midpoints of the rows' weights; rows of one value are taken to have equal weights."""
+        return float(np.interp(self.wanted, *self._points())) if len(self.values) else float("nan")
+
+    def beside(self) -> tuple[float, float]:
+        """The values between which the quantile lies; infinite where there is none."""
+        if not len(self.values):
+            return -np.inf, np.inf
+        at, v = self._points()
+        k = int(np.searchsorted(at, self.wanted))
+        return float(v[k - 1]) if k else -np.inf, float(v[k]) if k < len(v) else np.inf
 
     def nth(self) -> float:
         """The least value up to which the wanted weight lies; minus infinity for none, infinity beyond all."""

@@ -163,3 +163,22 @@ def test_reweighing_reads_runs_of_numbers(spark, enriched, monkeypatch):
     weighed.clear()
     passes.fit_all(rows, beta)
     assert len(weighed) == 3
+
+
+def test_draws_look_at_few_pairs_again(spark, monkeypatch):
+    """All robust estimators of all draws take some eight looks at the pairs, as only those near a draw's cuts and limits are looked at in each step."""
+    from tenure.operators import resampling
+    from tenure.operators.tables import written
+
+    pairs = written(Tables(spark, "/root/testdata/sf0.01").enriched.withColumn("parcel", F.xxhash64("bbl")), "enriched")
+    rows = passes.rows_of(pairs, "borough", "bbl")
+    seen, sums, searched, search = [], passes._sums, [], passes.search
+    monkeypatch.setattr(passes, "_sums", lambda r, *a, **k: seen.append(r.count()) or sums(r, *a, **k))
+    monkeypatch.setattr(passes, "search", lambda r, *a: searched.append(r.count()) or search(r, *a))
+    got = {(r["draw"], r["estimator"]): r["value"] for r in passes.fit_all_draws(rows, draws=6, seed=3).collect()}
+    n = pairs.count()
+    assert sum(seen) < 10 * n and max(searched) < n
+    sample = resampling.sample(pairs, "borough", "bbl", order=["bbl", "sale_id_z"], flags=["parcel"])
+    w = passes.poisson(sample.flags["parcel"].astype(np.int64), np.arange(6), 3)
+    for d in (0, 5):
+        assert {name: got[d, name] for name in ("ols", "huber", *resampling.TRIMS)} == pytest.approx(resampling.fit_all(sample, w[:, d]), abs=1e-6)
