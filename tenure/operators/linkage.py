@@ -47,16 +47,22 @@ def window_flags(
     """Sales with ``financed_<name>`` for each window in days, from one join with the widest band.
 
     With ``amount_in`` also ``mort_amt``: the largest amount in that window, 0 without one. Flags are found once for each
-    key and day and joined back, so equal sales stay as many as they are and a key has a calendar's days at most.
+    key and day and joined back, so equal sales stay as many as they are and a key has a calendar's days at most. Days meet
+    by spans as long as the widest band, so a key's sales and filings that lie years apart don't.
     """
     low, high = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
-    hits = band(sales.select(key, day).distinct(), filings.select(key, filing_day, amount), [key], day, filing_day, low, high)
+    number = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (high - low + 1))
+    spans = F.explode(F.sequence(number(F.date_add(day, low)), number(F.date_add(day, high)))).alias("__span")
+    own = sales.select(key, day).where(F.col(key).isNotNull() & F.col(day).isNotNull()).distinct().select("*", spans)
+    other = filings.select(key, filing_day, *([amount] if amount_in else [])).withColumn("__span", number(F.col(filing_day)))
+    hits = band(own, other, [key, "__span"], day, filing_day, low, high, "inner")
     inside = {n: F.col("gap").between(a, b) for n, (a, b) in windows.items()}
-    flags = [F.coalesce(F.max(F.when(x, 1)), F.lit(0)).alias(f"financed_{n}") for n, x in inside.items()]
+    flags = {f"financed_{n}": (F.max(F.when(x, 1)), 0) for n, x in inside.items()}
     if amount_in:
-        flags.append(F.coalesce(F.max(F.when(inside[amount_in], F.col(f"r_{amount}"))), F.lit(0.0)).alias("mort_amt"))
-    found = hits.groupBy(F.col(key).alias("__key"), F.col(day).alias("__day")).agg(*flags)
-    return sales.join(found, F.col(key).eqNullSafe(F.col("__key")) & F.col(day).eqNullSafe(F.col("__day"))).drop("__key", "__day")
+        flags["mort_amt"] = (F.max(F.when(inside[amount_in], F.col(f"r_{amount}"))), 0.0)
+    found = hits.groupBy(F.col(key).alias("__key"), F.col(day).alias("__day")).agg(*[f.alias(n) for n, (f, _) in flags.items()])
+    out = sales.join(found, (F.col(key) == F.col("__key")) & (F.col(day) == F.col("__day")), "left").drop("__key", "__day")
+    return out.withColumns({n: F.coalesce(n, F.lit(none)) for n, (_, none) in flags.items()})
 
 
 def exists_between(left: DataFrame, right: DataFrame, key: str, low: str, high: str, day: str, *, negate: bool = False) -> DataFrame:

@@ -27,13 +27,13 @@ def consecutive(
     if spread is None:
         out = rows.withColumn("__a", F.lag(item).over(Window.partitionBy(key).orderBy(*order)))
     else:
+        within = Window.partitionBy(key, "__p").orderBy(*order)
         rows = rows.withColumn("__p", F.trunc(day, spread))
-        inside = F.lag(item).over(Window.partitionBy(key, "__p").orderBy(*order))
-        last = rows.groupBy(key, "__p").agg(F.max_by(item, F.struct(*order)).alias("__last"))
-        before = F.lag("__last").over(Window.partitionBy(key).orderBy("__p"))  # a row per key and period
-        last = last.select(F.col(key).alias("__key"), F.col("__p").alias("__period"), before.alias("__before"))
-        same_period = F.col(key).eqNullSafe(F.col("__key")) & F.col("__p").eqNullSafe(F.col("__period"))
-        out = rows.withColumn("__in", inside).join(last, same_period).withColumn("__a", F.coalesce("__in", "__before"))
+        rows = rows.withColumns({"__in": F.lag(item).over(within), "__end": F.lead(F.lit(True)).over(within).isNull()})
+        # the first and the last of each period stand together, two rows per key and period
+        inner = F.when(F.col("__in").isNotNull() & ~F.col("__end"), F.col("__p"))
+        before = F.lag(item).over(Window.partitionBy(key, "__inner").orderBy(*order))
+        out = rows.withColumn("__inner", inner).withColumn("__a", F.coalesce("__in", before))
     out = out.where(F.datediff(F.col(day), F.col(f"__a.{day}")) >= hold)
     ends = [x for c in carry for x in (F.col(f"__a.{c}").alias(f"{c}_a"), F.col(c).alias(f"{c}_z"))]
     return out.select(key, *(same or []), *ends)

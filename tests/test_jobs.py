@@ -52,6 +52,35 @@ def test_panel_settings_and_empty_tables(spark, tmp_path):
     assert repeat_sale_panel.run(spark, f"{tmp_path}/none", f"{tmp_path}/empty", repeat_sale_panel.settings()).count() == 0
 
 
+def test_panel_meets_filings_by_spans_and_neighbours_without_a_join(spark):
+    """Flags are those of all sales against all filings, though only days of a span meet; pairs by periods are pairs by keys."""
+    import datetime as dt
+    import random
+
+    from tenure.operators import linkage, pairing
+
+    rng, first = random.Random(4), dt.date(1969, 1, 1)
+    day = lambda: first + dt.timedelta(rng.randrange(1500)) if rng.random() > 0.02 else None
+    sales = [(i, rng.choice(["a", "b", None]), day()) for i in range(200)]
+    filings = [(rng.choice(["a", "b", None]), day(), rng.choice([1.0, 2.5, None])) for _ in range(40)]
+    s, f = spark.createDataFrame(sales, "sale_id int, bbl string, sale_date date"), spark.createDataFrame(filings, "bbl string, doc_date date, amount double")
+    windows = {"x": (-15, 30), "y": (5, 90)}
+    flagged = linkage.window_flags(s, f, windows, amount_in="y")
+    joins = [line for line in flagged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and all("__span" in line for line in joins)
+    want = []
+    for i, key, at in sales:
+        gaps = [((d - at).days, a) for k, d, a in filings if key and k == key and at and d]
+        inside = {n: [(g, a) for g, a in gaps if low <= g <= high] for n, (low, high) in windows.items()}
+        want.append((i, int(bool(inside["x"])), int(bool(inside["y"])), max([a for _, a in inside["y"] if a], default=0.0)))
+    assert sorted(tuple(r) for r in flagged.select("sale_id", "financed_x", "financed_y", "mort_amt").collect()) == want
+    assert {r[1:3] for r in want} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    made = [pairing.consecutive(flagged, "bbl", ["sale_date", "sale_id"], carry=["sale_id", "sale_date"], day="sale_date", hold=2, spread=p) for p in (None, "year", "month")]
+    assert rows(made[0]) == rows(made[1]) == rows(made[2]) != []
+    joined = [pairing.consecutive(s, "bbl", ["sale_date", "sale_id"], carry=["sale_id", "sale_date"], day="sale_date", hold=2, spread=p) for p in ("year", "month")]
+    assert all("Join" not in m._jdf.queryExecution().optimizedPlan().toString() for m in joined)
+
+
 DOCUMENTS = [
     (1, "Sold to ACME HOLDINGS LLC.", "a", "x"), (2, "Sold to ACME HOLDINGS LLC.", "b", "x"), (3, None, "a", "x"), (4, " \n", None, "x"),
     (5, "Mortgage of WELLS FARGO BANK", "a", "x"), (None, "no id", "a", "x"), (6, "NYS REAL ESTATE TRANSFER TAX $ 2,000.00", "a", "x"), (7, "plain", "b", "x"),
