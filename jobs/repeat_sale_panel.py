@@ -64,7 +64,7 @@ def panel(tables: Tables, config: dict, years: tuple[int, int] | None = None) ->
     label = f"financed_{config['label']}"
     pairs = linkage.flag_between(pairs, tables.permits, "bbl", "date_a", "date_z", "issued", "permit")
     weekly = tables.rates
-    rates = pairs.sparkSession.createDataFrame(weekly.collect(), weekly.schema)  # a row a week, made once for both days
+    rates = pairs.sparkSession.createDataFrame(weekly.toArrow(), weekly.schema)  # a row a week, made once for both days
     for side in ("a", "z"):
         pairs = linkage.as_of(pairs, rates, f"date_{side}", "observed", "rate").withColumnRenamed("rate", f"rate_{side}")
     return pairs.withColumns(
