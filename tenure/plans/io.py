@@ -207,7 +207,4 @@ def k08(t):
 def r05(t):
     """Multinomial counts of the clusters: as many in every draw as there are clusters."""
     clusters = t.pairs.agg(F.count_distinct("bbl")).first()[0]
-    weights = resampling.multinomial_weights(t.spark, clusters, 50, 20260909)
-    each = F.expr("transform(sequence(0, length(weights) div 2 - 1), i -> conv(hex(reverse(substring(weights, 2 * i + 1, 2))), 16, 10))")
-    total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    return weights.select("draw", (F.length("weights") / 2).cast("long").alias("clusters"), total.alias("total"))
+    return resampling.counted(resampling.multinomial_weights(t.spark, clusters, 50, 20260909))

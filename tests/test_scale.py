@@ -182,3 +182,17 @@ def test_draws_look_at_few_pairs_again(spark, monkeypatch):
     w = passes.poisson(sample.flags["parcel"].astype(np.int64), np.arange(6), 3)
     for d in (0, 5):
         assert {name: got[d, name] for name in ("ols", "huber", *resampling.TRIMS)} == pytest.approx(resampling.fit_all(sample, w[:, d]), abs=1e-6)
+
+
+def test_multinomial_weights_are_made_and_added_up_in_tasks(spark, monkeypatch):
+    """NumPy's sequence, without a draw on the driver; a table of no pairs has draws of no clusters."""
+    from tenure.operators import resampling
+
+    rng = np.random.default_rng(7)
+    want = [rng.multinomial(100_000, np.repeat(1 / 100_000, 100_000)) for _ in range(5)]
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: pytest.fail("drawn on the driver"))
+    weights = resampling.multinomial_weights(spark, 100_000, 5, 7)
+    got = {r["draw"]: np.frombuffer(r["weights"], dtype="<i2") for r in weights.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and all((got[d] == w).all() for d, w in enumerate(want))
+    assert sorted(map(tuple, resampling.counted(weights).collect())) == [(d, 100_000, 100_000) for d in range(5)]
+    assert sorted(map(tuple, resampling.counted(resampling.multinomial_weights(spark, 0, 2, 7)).collect())) == [(0, 0, 0), (1, 0, 0)]
