@@ -203,3 +203,35 @@ def test_searches_hold_few_values(spark, monkeypatch, values):
             assert f.quantile() == pytest.approx(want, abs=1e-12)
     order = search.search(df, lambda b: (stack(b, "v"), np.ones((len(b), 1))), lambda _: np.array([0, 17, 5000]), 3)
     assert [f.nth() for f in order] == [-np.inf, np.sort(v[:, 1])[16], np.inf]
+
+
+def test_limits_are_looked_for_near_what_is_expected(rows, sample, monkeypatch):
+    """Only the worst recodings are searched, in one column; a limit that lies elsewhere is looked for further out; a pool may have too few."""
+    some = [SCENARIOS[1], SCENARIOS[3], {"name": "few", "h": 0.9, "f": 0.02, "mode": "random", "pool": "building"}, {"name": "most", "h": 0.5, "f": 0.9, "mode": "tilted"}]
+    searched, found, looks, limits = [], relabel.search, [], relabel.Recodings._limits
+    monkeypatch.setattr(relabel, "search", lambda r, look, wanted, n: searched.append(n) or found(r, look, wanted, n))
+    monkeypatch.setattr(relabel.Recodings, "_limits", lambda self, *a: looks.append(a) or limits(self, *a))
+    got = {(r.scenario, r.draw): (r.value, r.recoded) for r in relabel.relabelling(rows, some, draws=3, seed=4).collect()}
+    assert searched == [1, 1] and len(looks) == 2
+    monkeypatch.setattr(relabel, "REACH", 0.01)
+    assert {(r.scenario, r.draw): (r.value, r.recoded) for r in relabel.relabelling(rows, some, draws=3, seed=4).collect()} == got
+    assert len(looks) > 4
+    for i, c in enumerate(some):
+        for d in range(3):
+            (a, z), n = by_sorting(sample, c, 3 * i + d, 4)
+            assert got[c["name"], d] == (pytest.approx(refit(sample, a, z), abs=1e-9), n)
+
+
+def test_few_cells_are_given_new_switches():
+    """A pass gives the cells that are recoded, not all pairs and draws; the worst are the same in every draw."""
+    n = 1000
+    rng = np.random.default_rng(1)
+    own = {"pair": rng.integers(-(2**62), 2**62, n), "fa": rng.integers(0, 2, n), "fz": rng.integers(0, 2, n), "r": rng.normal(size=n)}
+    f = relabel.Recodings([{"name": "r", "h": 0.1, "f": 0.1, "mode": "random"}, {"name": "w", "h": 0.1, "f": 0.1, "mode": "adversarial"}], 50, 1)
+    f.limit = {0: np.append(np.full(50, 0.02), -0.5), 1: np.append(np.full(50, 0.03), -0.7)}
+    row, column, new = f.recoded(own)
+    assert f.width == 51 and set(column) == set(range(51)) and len(set(zip(row, column))) == len(row) < 0.1 * n * 51
+    u = [[passes.uniform(own["pair"], np.arange(50), 1 + 2 * label + end) for end in (0, 1)] for label in (0, 1)]
+    labels = np.stack([own["fa"], own["fz"]], axis=1)
+    key = [np.min([np.where((labels[:, e] == label)[:, None], -np.log(u[label][e]), np.inf) for e in (0, 1)], axis=0) for label in (0, 1)]
+    assert ((column < 50).sum()) == ((key[0] <= 0.02) | (key[1] <= 0.03)).sum()
