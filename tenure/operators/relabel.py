@@ -26,11 +26,13 @@ from .tables import written
 #: Labels in the order in which ends are recoded.
 CASH, FINANCED = 0, 1
 #: Cells (pairs x draws) that are hashed at once, and cells (pairs x columns) of which a task looks at those near a limit together.
-HASHED, SEEN = 1 << 15, 1 << 21
+HASHED, SEEN = 1 << 14, 1 << 21
+#: Keys near a limit that a task holds before it gives them out.
+LISTED = 1 << 20
 #: Levels of weights, so many to a factor of e.
 LEVELS, FINE = 4096, 64
 #: How far from the expected key a limit is looked for first, in roots of what is wanted.
-REACH = 6
+REACH = 5
 
 
 def design(pairs: DataFrame, area: str, cluster: str, pair: str, a: str, z: str, keep: list[str] | None = None, **parameters) -> DataFrame:
@@ -264,46 +266,54 @@ class Recodings:
     def _limits(self, rows: DataFrame, label: int, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The wanted keys by number, which should lie from ``low`` to ``high``, and NaN for those that don't; ``high`` where none is wanted.
 
-        Keys below are counted, those between are listed and put in order column by column: some times the root of what is wanted. With the
-        limits of cash ends come number, sum and squares of the effects that the pairs up to the limit take from the other pool.
+        Keys below are counted, those between are listed, some LISTED of a task in one go, and put in order column by column: some times the root
+        of what is wanted. With the limits of cash ends come number, sum and squares of the effects that the pairs up to the limit take from the
+        other pool.
         """
-        names = ["k", "key", "n", "m", "e", "ee"]
+        names = ["k", "n", "m", "e", "ee", "keys", "effects"]
 
         def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            below = np.zeros((4, self.width))
+            below, held = np.zeros((4, self.width)), []
+
+            def out(sums: np.ndarray, parts: list[tuple]) -> pa.RecordBatch:
+                column, *rest = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else np.zeros((3, 0))
+                order = np.argsort(column, kind="stable")
+                cuts = 8 * np.searchsorted(column[order], np.arange(self.width + 1)).astype(np.int32)  # numbers have 8 bytes
+                lists = [pa.Array.from_buffers(pa.binary(), self.width, [None, pa.py_buffer(cuts), pa.py_buffer(c[order])]) for c in rest]
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(self.width, dtype=np.int32)), *[pa.array(c) for c in sums], *lists], names=names)
+
             for b in slices(batches, SEEN // self.width):
                 own = _plain(b)
                 labels, effect = ends(own)
-                listed = []
                 for i, at in enumerate(self.at):
                     row, column, key, end = self._near(own, label, high, i)
                     column = column + at.start
-                    other = (labels[row, 1 - end] != label).astype(float)
-                    e = effect[row, 1 - end] * other
+                    e = np.where(labels[row, 1 - end] != label, effect[row, 1 - end], np.nan)
                     sure = key < low[column]
-                    for x, v in zip(below, (None, other, e, e * e), strict=True):
-                        x += np.bincount(column[sure], None if v is None else v[sure], self.width)
-                    listed.append([c[~sure] for c in (column, key, np.ones(len(key)), other, e, e * e)])
-                column, *rest = (np.concatenate(c) for c in zip(*listed, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(column, pa.int32()), *[pa.array(c) for c in rest]], names=names)
-            arrays = [np.arange(self.width, dtype=np.int32), np.full(self.width, -np.inf), *below]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=names)
+                    below[0] += np.bincount(column[sure], minlength=self.width)
+                    some = np.flatnonzero(sure & ~np.isnan(e))
+                    for x, v in zip(below[1:], (None, e[some], e[some] ** 2), strict=True):
+                        x += np.bincount(column[some], v, self.width)
+                    held.append((column[~sure], key[~sure], e[~sure]))
+                if sum(len(h[0]) for h in held) > LISTED:
+                    yield out(np.zeros((4, self.width)), held)
+                    held = []
+            yield out(below, held)
 
         def ordered(part: pa.Table) -> pa.Table:
             k = part["k"][0].as_py()
-            key, n, *sums = (part[c].to_numpy() for c in names[1:])
+            below, *sums = (part[c].to_numpy().sum() for c in names[1:5])
+            key, e = (np.concatenate([np.frombuffer(x.as_buffer()) for x in part[c]]) for c in names[5:])
             limit = high[k]
             if wanted[k] > 0:
-                order = np.argsort(key, kind="stable")
-                upto = np.cumsum(n[order])
-                place = np.searchsorted(upto, wanted[k] - 1e-9)
-                limit = key[order[place]] if place < len(key) else np.inf if high[k] == np.inf else np.nan
-                limit = np.nan if limit == -np.inf else limit
-            up = key <= limit
-            return pa.table({"k": pa.array([k], pa.int32()), "limit": [float(limit)], **{c: [float(v[up].sum())] for c, v in zip(names[3:], sums, strict=True)}})
+                place = int(np.ceil(wanted[k] - below - 1e-9)) - 1
+                limit = np.nan if place < 0 else np.partition(key, place)[place] if place < len(key) else np.inf if high[k] == np.inf else np.nan
+            e = e[(key <= limit) & ~np.isnan(e)]
+            taken = [float(x + y) for x, y in zip(sums, (len(e), e.sum(), e @ e), strict=True)]
+            return pa.table({"k": pa.array([k], pa.int32()), "limit": [float(limit)], **{c: [x] for c, x in zip(names[2:5], taken, strict=True)}})
 
         limit, taken = np.where(wanted > 0, np.inf, high), np.zeros((3, self.width))
-        schema = ", ".join(f"{c} {'int' if c == 'k' else 'double'}" for c in names)
+        schema = "k int, n double, m double, e double, ee double, keys binary, effects binary"
         found = rows.mapInArrow(given, schema).groupBy("k").applyInArrow(ordered, "k int, limit double, m double, e double, ee double")
         for r in found.collect():  # a row a column
             limit[r[0]], taken[:, r[0]] = r[1], r[2:]
