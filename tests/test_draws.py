@@ -235,3 +235,14 @@ def test_few_cells_are_given_new_switches():
     labels = np.stack([own["fa"], own["fz"]], axis=1)
     key = [np.min([np.where((labels[:, e] == label)[:, None], -np.log(u[label][e]), np.inf) for e in (0, 1)], axis=0) for label in (0, 1)]
     assert ((column < 50).sum()) == ((key[0] <= 0.02) | (key[1] <= 0.03)).sum()
+
+
+def test_worst_recodings_are_made_once(spark, monkeypatch):
+    """m29_misclassification has a column a draw for the random and tilted scenarios and one for each of the worst, whose 200 draws are alike."""
+    from tenure.plans.catalogue import QUERIES
+
+    widths, refitted = [], relabel.refitted
+    monkeypatch.setattr(relabel, "refitted", lambda rows, switches, width, *a, **k: widths.append(width) or refitted(rows, switches, width, *a, **k))
+    got = {r.scenario: r for r in QUERIES["m29_misclassification"](spark, SF).collect()}
+    assert widths == [3 * 200 + 2] and {r.draws for r in got.values()} == {200}
+    assert got["adversarial_against"].value < got["tilted_against"].value < got["random"].value < got["tilted_for"].value < got["adversarial_for"].value
