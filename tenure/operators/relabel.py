@@ -2,8 +2,8 @@
 
 Recodings are drawn without replacement, at most one a pair: every end of a pair has a random key from a hash of the pair, the
 end, the scenario and the draw (an exponential over the end's weight, or minus its effect where the worst are taken); a
-pair stands for the least key of its ends, and the n-th smallest key over all pairs is searched by counts (``search``), for
-all scenarios and draws at once. Any pass can then tell from a pair alone whether it is recoded.
+pair stands for the least key of its ends. The n-th smallest key over all pairs is looked for near the one that the pairs' weights lead
+to expect, for all scenarios and draws at once (the worst by ``search``). Any pass can then tell from a pair alone whether it is recoded.
 
 The calendar doesn't change, so its Gram matrix is solved once; a last pass adds up what the new targets have in common with
 it: two numbers a column, scenario and draw.
